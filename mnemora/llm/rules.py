@@ -30,7 +30,7 @@ RULES: dict[str, str] = {
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 20 * n_words",
     "symbols": "5 * n_symbols > n_words",
-    "repeated_lines": "10 * n_dup_lines > 3 * n_lines",
+    "repeated_lines": "2 * n_dup_lines > n_lines",
 }
 #: Policy version to the rules that it enforces.
 POLICIES: dict[str, tuple[str, ...]] = {
