@@ -290,12 +290,13 @@ def decode(rows: DataFrame, vocabulary) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, decoded string")
 
 
-def digests(docs: DataFrame, vocabulary) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of docs."""
+def digests(docs: DataFrame, vocabulary, ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and if asked for ids, of every row of docs."""
     rows = encode(docs, vocabulary, decoded=True)
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *(["ids"] if ids else []),
     )

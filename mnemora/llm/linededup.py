@@ -8,8 +8,8 @@
 4. What the partitions say about waiting runs (at most two each) is summed up and decides the waiting rows.
 5. The dropped places are gathered by document into a zlib-compressed bitmap of its lines.
 
-Policies: "frequent" drops every line of a key found in min_docs documents or more; "first" keeps a key's
-first occurrence, by document and position, and drops all others.
+A key found in min_docs documents or more loses its lines in every document; with keep_first, its first
+occurrence, by document and position, stays. With min_docs 1 and keep_first only first occurrences stay.
 
 Defined results. A document is a distinct (doc_id, text): rows that repeat both count once and are decided
 alike; rows that share only the id, or have no id, are documents of their own. A null or empty text is one
@@ -72,32 +72,27 @@ def _key_rows(min_chars: int):
 
 
 class _Stream:
-    """Decides the runs of one sorted partition as its rows go by; holds a few rows at most."""
+    """Decides the runs of one sorted partition as its rows go by; holds fewer than min_docs rows and one."""
 
-    def __init__(self, policy: str, min_docs: int):
-        self.first_policy, self.min_docs = policy == "first", min_docs
+    def __init__(self, min_docs: int, keep_first: bool):
+        self.min_docs, self.keep_first = min_docs, keep_first
         self.run = None  # the hash of the current run
         self.runs = 0  # runs that began before the current one
         self.n = 0  # documents of the current run
         self.doc = None
-        self.held: list[tuple] = []  # rows of the current run that aren't decided yet
+        self.first: tuple = ()
+        self.held: list[tuple] = []  # further rows of the current run that aren't decided yet
         self.out: list[tuple] = []
 
     def close(self, at_end: bool) -> None:
         """Ends the current run. The partition's first and last run may have a part elsewhere."""
         if self.run is None:
             return
-        edge = self.runs == 0 or at_end
-        if self.first_policy:
-            for row in self.held:  # the run's first row
-                if edge:
-                    self.out.append((_WAIT, self.n, *row))
-                elif len(row[5]) > 1:
-                    self.out.append((_DROP, 0, *row[:5], row[5][1:]))
-        elif edge:
-            for row in self.held:
-                self.out.append((_WAIT, 0, *row))
+        if self.runs == 0 or at_end:
+            self.out += [(_WAIT, 0, *x) for x in (self.first, *self.held)]
             self.out.append((_COUNT, self.n, *self.run, None, None, 0, []))
+        elif self.n >= self.min_docs:
+            self.out.append((_DROP, 0, *self.first[:5], self.first[5][self.keep_first :]))
         self.held = []
 
     def row(self, row: tuple) -> None:
@@ -108,22 +103,18 @@ class _Stream:
         if self.n and self.doc == row[2:4]:
             return  # a repeated row of the table
         self.n, self.doc = self.n + 1, row[2:4]
-        if self.first_policy:
-            if self.n == 1:
-                self.held.append(row)
-            else:
-                self.out.append((_DROP, 0, *row))
+        if self.n == 1:
+            self.first = row
         elif self.n < self.min_docs:
             self.held.append(row)
         else:
-            self.out += [(_DROP, 0, *x) for x in self.held]
+            self.out += [(_DROP, 0, *x) for x in (*self.held, row)]
             self.held = []
-            self.out.append((_DROP, 0, *row))
 
 
-def _decide(policy: str, min_docs: int, schema: pa.Schema):
+def _decide(min_docs: int, keep_first: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = _Stream(policy, min_docs)
+        state = _Stream(min_docs, keep_first)
 
         def flush() -> pa.RecordBatch:
             rows, state.out = state.out, []
@@ -143,7 +134,7 @@ def _decide(policy: str, min_docs: int, schema: pa.Schema):
     return run
 
 
-def keep_bitmaps(docs: DataFrame, policy: str = "frequent", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """doc_id, text_hash, n_lines, n_dropped, keep (zlib-compressed bits, 1: keep) per document that loses lines."""
     kind = dict(docs.dtypes)["doc_id"]
     keys = _documents(docs).mapInArrow(_key_rows(max(1, min_chars)), f"h1 long, h2 long, doc_id {kind}, text_hash long, n_lines int, places array<int>")
@@ -154,18 +145,14 @@ def keep_bitmaps(docs: DataFrame, policy: str = "frequent", min_docs: int = 10,
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    staged = written(ranged.mapInArrow(_decide(policy, min_docs, arrow), schema), "line-decisions")
+    staged = written(ranged.mapInArrow(_decide(min_docs, keep_first, arrow), schema), "line-decisions")
     waiting = staged.filter(F.col("kind") == _WAIT)
-    if policy == "first":
-        # of each waiting run the first row of all partitions stays; every other loses all its places
-        mine = F.struct("doc_id", "text_hash")
-        runs = waiting.groupBy("h1", "h2").agg(F.min(mine).alias("first"))
-        places = F.when(mine.eqNullSafe(F.col("first")), F.slice("places", 2, F.greatest(F.size("places"), F.lit(1)))).otherwise(F.col("places"))
-        late = waiting.join(F.broadcast(runs), ["h1", "h2"]).withColumn("places", places)
-    else:
-        # at most two runs of each partition, with fewer than min_docs rows each, wait: small at any size
-        runs = staged.filter(F.col("kind") == _COUNT).groupBy("h1", "h2").agg(F.sum("n").alias("total")).filter(F.col("total") >= min_docs)
-        late = waiting.join(F.broadcast(runs.select("h1", "h2")), ["h1", "h2"])
+    # at most two runs of each partition, with min_docs rows each at most, wait: small at any size
+    mine = F.struct("doc_id", "text_hash")
+    runs = staged.filter(F.col("kind") != _DROP).groupBy("h1", "h2").agg(F.sum("n").alias("total"), F.min(F.when(F.col("kind") == _WAIT, mine)).alias("first"))
+    late = waiting.join(F.broadcast(runs.filter(F.col("total") >= min_docs).select("h1", "h2", "first")), ["h1", "h2"])
+    if keep_first:
+        late = late.withColumn("places", F.when(mine == F.col("first"), F.slice("places", F.lit(2), F.size("places"))).otherwise(F.col("places")))
     columns = ["doc_id", "text_hash", "n_lines", "places"]
     drops = staged.filter(F.col("kind") == _DROP).select(columns).unionByName(late.select(columns)).filter(F.size("places") > 0)
     by_doc = drops.groupBy("doc_id", "text_hash").agg(F.max("n_lines").alias("n_lines"), F.flatten(F.collect_list("places")).alias("places"))
@@ -215,6 +202,6 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, carry: list[str] = ()) ->
 
 
 def digests(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 of every row of docs under the policy "frequent"."""
-    out = apply_bitmaps(docs, keep_bitmaps(docs, "frequent", min_docs, min_chars))
+    """doc_id, n_lines, n_dropped, kept_sha256 of every row of docs with keys of min_docs documents dropped everywhere."""
+    out = apply_bitmaps(docs, keep_bitmaps(docs, min_docs, min_chars))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
