@@ -137,7 +137,7 @@ def person_context(store, who: str, as_of: str, days: int = 365) -> DataFrame:
     mails = store.mails().join(links, "email_id", "left_semi")
     recent = mails.filter(F.col("date_received") >= F.date_sub(F.lit(as_of).cast("date"), days))
     span = mails.agg(F.count(F.lit(1)).alias("total"), F.min("date_received").alias("first"), F.max("date_received").alias("last"))
-    weeks = F.greatest(F.floor((F.unix_seconds("last") - F.unix_seconds("first")) / 86400) / 7, F.lit(1.0))
+    weeks = F.greatest(F.floor((F.unix_seconds(F.col("last").cast("timestamp")) - F.unix_seconds(F.col("first").cast("timestamp"))) / 86400) / 7, F.lit(1.0))
     span = span.withColumn("rate", F.bround(F.col("total") / weeks, 1)).filter("total > 0")
     ids = recent.select("email_id")
     topics = store.mail_topics().join(ids, "email_id", "left_semi")

@@ -41,7 +41,7 @@ def lag(upstream: DataFrame, stored: DataFrame, ts: str, now: Column) -> DataFra
     """Seconds that the store is behind its source, whose future times count as now."""
     up = upstream.agg(F.least(F.max(ts), now).alias("up"))
     own = stored.agg(F.max(ts).alias("own"))
-    return up.join(F.broadcast(own)).select((F.unix_seconds("up") - F.unix_seconds("own")).alias("lag_seconds"))
+    return up.join(F.broadcast(own)).select((F.unix_seconds(F.col("up").cast("timestamp")) - F.unix_seconds(F.col("own").cast("timestamp"))).alias("lag_seconds"))
 
 
 def newest_files(files: DataFrame, roots: list[str], now: Column) -> DataFrame:

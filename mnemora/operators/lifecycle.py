@@ -42,6 +42,6 @@ def stale_threads(mails: DataFrame, user: str, as_of: Column, days: int = 5) ->
     if not user:
         return mails.limit(0).withColumn("days_waiting", F.lit(0))
     last = latest_with_ties(mails.filter("conversation_id is not null"), ["conversation_id"], "date_received")
-    waited = (F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds("date_received")) / 86400
+    waited = (F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds(F.col("date_received").cast("timestamp"))) / 86400
     mine = F.lower("sender_address").contains(user.lower())
     return last.filter(mine & (F.col("date_received") < as_of.cast("timestamp") - F.make_interval(days=F.lit(days)))).withColumn("days_waiting", waited.cast("int"))

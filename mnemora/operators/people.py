@@ -127,7 +127,8 @@ def upsert_people(people: DataFrame, seen: DataFrame) -> DataFrame:
     """people with those of seen (name, email, n: order) added: by e-mail, else by exact name; longest names win."""
     new = seen.withColumn("email", _email())
     by_email = new.filter("email is not null").groupBy("email").agg(F.max_by("name", F.struct(F.length("name"), -F.col("n"))).alias("new_name"), F.min("n").alias("n"))
-    old = people.join(by_email, _email() == by_email["email"], "left").select("id", F.when(F.length("new_name") > F.length("name"), F.col("new_name")).otherwise(F.col("name")).alias("name"), people["email"])
+    longer = F.when(F.length("new_name") > F.length("name"), F.col("new_name")).otherwise(F.col("name"))
+    old = people.join(by_email.select(F.col("email").alias("__mail"), "new_name"), _email() == F.col("__mail"), "left").select("id", longer.alias("name"), "email")
     mails = by_email.join(people.select(_email().alias("email")), "email", "left_anti").select(F.col("new_name").alias("name"), "email", "n")
     names = new.filter("email is null and name is not null").groupBy("name").agg(F.min("n").alias("n")).join(people.select("name"), "name", "left_anti").join(mails.select("name"), "name", "left_anti")
     fresh = mails.unionByName(names.select("name", F.lit(None).cast("string").alias("email"), "n"))

@@ -49,8 +49,8 @@ def occurrences(words: Column, part: list[str]) -> Column:
 def bm25(rows: DataFrame, key: str, columns: list[str], query: str, limit: int | None = 20, phrase: bool = False) -> DataFrame:
     """key and score of the rows that have all the query's parts in the columns together, best first.
 
-    Two scans: one for corpus statistics (a single row, broadcast), one for scores. Rows without the first
-    token of each part are skipped before their text is split into tokens.
+    Statistics of the corpus come first, as a single row that is broadcast. Rows without the first token of
+    any part are skipped before their text is split into tokens.
     """
     parts = query_parts(query, phrase)
     text = F.concat_ws("\n", *(F.coalesce(F.col(c), F.lit("")) for c in columns))
@@ -58,10 +58,9 @@ def bm25(rows: DataFrame, key: str, columns: list[str], query: str, limit: int |
     if not parts:
         return base.filter(F.lit(False)).select(F.col("key").alias(key), F.lit(0.0).alias("score"))
     folded = base.withColumn("text", fold(F.col("text")))
-    may = F.lit(True)
+    may = F.lit(False)
     for part in parts:
-        for token in part:
-            may = may & F.col("text").contains(token)
+        may = may | F.col("text").contains(part[0])
     words = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
     hits = folded.filter(may).select("key", words.alias("words")).select("key", F.size("words").alias("length"), *(occurrences(F.col("words"), p).alias(f"tf{i}") for i, p in enumerate(parts)))
     lengths = folded.agg(F.count(F.lit(1)).alias("n"), F.avg(F.regexp_count("text", F.lit(TOKEN))).alias("average"))

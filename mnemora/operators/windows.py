@@ -11,7 +11,8 @@ from mnemora.functions.fixed import SESSION_GAP_HOURS
 def sessions(rows: DataFrame, by: str, ts: str, order: list[str], hours: float = SESSION_GAP_HOURS) -> DataFrame:
     """rows with session, from 1 for each value of by: a new one starts after a gap of more than hours."""
     w = Window.partitionBy(by).orderBy(ts, *order)
-    gap = F.unix_micros(F.col(ts)) - F.unix_micros(F.lag(ts).over(w))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    gap = at - F.lag(at).over(w)
     new = F.when(gap.isNull() | (gap > int(hours * 3_600_000_000)), 1).otherwise(0)
     return rows.withColumn("__new", new).withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 

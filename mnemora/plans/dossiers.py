@@ -187,11 +187,11 @@ def _part(name: str, rows: str, n: int, key: str, value: str, order: str) -> str
 
 
 @query("meeting_prep", with_views("mails", "people", "mail_people", "mail_topics", "actions", "decisions") + f""",
-at as (select person_id, a as attendee from people, (values ('customer#00000001'), ('supplier#00000000')) t(a) where contains(lower(name), a)),
-li as (select distinct attendee, email_id from mail_people join at using (person_id)),
+who as (select person_id, a as attendee from people, (values ('customer#00000001'), ('supplier#00000000')) t(a) where contains(lower(name), a)),
+li as (select distinct attendee, email_id from mail_people join who using (person_id)),
 ma as (select * from mails join li using (email_id) where date_received >= date '{AS_OF}' - interval 1500 day),
 to_ as (select attendee, sentiment, count(*) as n from ma group by all), de as (select * from decisions join (select attendee, email_id from ma) using (email_id)),
-ac as (select a.*, at.attendee from actions a join at on a.owner = at.person_id where status = 'open'), tc as (select attendee, topic, count(*) as n from mail_topics join (select attendee, email_id from ma) using (email_id) group by all)
+ac as (select a.*, who.attendee from actions a join who on a.owner = who.person_id where status = 'open'), tc as (select attendee, topic, count(*) as n from mail_topics join (select attendee, email_id from ma) using (email_id) group by all)
 """ + " union all ".join([
     _part("mails", "ma", 10, "email_id", "date_received::date", "date_received desc, email_id"), _part("sentiments", "to_", 100, "sentiment", "n", "n desc, sentiment"),
     _part("decisions", "de", 10, "decision", "email_id", "email_id desc, decision, decided_by"), _part("open_actions", "ac", 10, "task", "deadline", "deadline nulls last, task, email_id, line"),

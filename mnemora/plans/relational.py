@@ -84,7 +84,7 @@ def share_of_total(v):
 
 @query("rate_per_week", "select o_custkey, count(*) as n, round_even(count(*) / greatest(floor(date_diff('second', min(o_orderdate), max(o_orderdate)) / 86400) / 7, 1.0), 1)::decimal(18,1) as per_week from orders group by 1")
 def rate_per_week(v):
-    weeks = F.greatest(F.floor((F.unix_seconds(F.max("o_orderdate")) - F.unix_seconds(F.min("o_orderdate"))) / 86400) / 7, F.lit(1.0))
+    weeks = F.greatest(F.floor((F.unix_seconds(F.max("o_orderdate").cast("timestamp")) - F.unix_seconds(F.min("o_orderdate").cast("timestamp"))) / 86400) / 7, F.lit(1.0))
     return v.table("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.bround(F.count(F.lit(1)) / weeks, 1).cast("decimal(18,1)").alias("per_week"))
 
 

@@ -64,8 +64,8 @@ def systemic_failures(v):
 
 
 @query("resolve_queue", """
-with k as (select user_id, case user_id % 4 when 0 then 'resolved' when 1 then 'failed' when 2 then 'pending' end as status, max(ts) as at from events where user_id % 4 <> 3 group by 1)
-select '8:' || u.user_id as mri from (select distinct user_id from events where user_id % 7 <> 0) u left join k using (user_id) where status is null or status <> 'resolved' order by at nulls first, mri limit 50
+with k as (select user_id, case user_id % 4 when 0 then 'resolved' when 1 then 'failed' when 2 then 'pending' end as status, max(ts) as tried from events where user_id % 4 <> 3 group by 1)
+select '8:' || u.user_id as mri from (select distinct user_id from events where user_id % 7 <> 0) u left join k using (user_id) where status is null or status <> 'resolved' order by tried nulls first, mri limit 50
 """)
 def resolve_queue(v):
     e = v.table("events")

@@ -98,7 +98,7 @@ def embed_texts(v):
     return v.table("documents").select("doc_id", T.embed_text(F.when(d % 3 == 0, " ").otherwise(F.col("source")), F.col("lang"), F.when(d % 2 == 0, "2024-01-02T10:00:00"), F.substring("text", 1, 40)).alias("t"))
 
 
-@query("json_props", "select event_id, (props ->> '$.k')::int as k, props -> '$.k' is not null as has from events where (props ->> '$.k')::int >= 50")
+@query("json_props", "select event_id, json_extract_string(props, '$.k')::int as k, json_extract_string(props, '$.k') is not null as has from events where json_extract_string(props, '$.k')::int >= 50")
 def json_props(v):
     k = F.from_json("props", "k int")["k"]
     return v.table("events").select("event_id", k.alias("k"), k.isNotNull().alias("has")).filter("k >= 50")
