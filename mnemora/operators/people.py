@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from mnemora.functions import text as T
 from mnemora.functions.fixed import FUZZY_BLOCK, FUZZY_PAIRS, FUZZY_THRESHOLD
+from mnemora.session import stored
 
 MAP = ["loser", "survivor"]
 
@@ -107,8 +108,8 @@ def compose(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.join(later, "survivor", "left").select("loser", F.coalesce("__then", "survivor").alias("survivor")).unionByName(second.select(*MAP))
 
 
-def resolve(people: DataFrame, phases=PHASES, cut=lambda df: df) -> tuple[DataFrame, DataFrame]:
-    """All phases in order. cut: written or checkpointed between phases on large inputs."""
+def resolve(people: DataFrame, phases=PHASES, cut=stored) -> tuple[DataFrame, DataFrame]:
+    """All phases in order. Each phase's result is stored, as the next one reads it several times."""
     total = _none(people)
     for phase in phases:
         people, merged = phase(people)
