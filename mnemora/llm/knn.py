@@ -13,7 +13,7 @@ Rows are never compared with rows that no query needs, and every score that coul
 Defined results. A component x counts as floor(256 * x). Vectors that are null, or hold a null or non-finite
 component, take no part, nor do rows without an id. Of vectors of different lengths the shorter ones count
 as filled up with zeros. Rows with the query's own id are no candidates; a candidate that repeats is one
-each time. Equal scores go by smaller vec_id. Other columns are not read. An empty table has no result.
+each time. Equal scores go by smaller vec_id; a score beyond a long is the nearest long. Other columns are not read. An empty table has no result.
 """
 
 from __future__ import annotations
@@ -51,24 +51,33 @@ def _whole(df: DataFrame) -> DataFrame:
 
 
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole numbers."""
+    """Exact inner products of whole numbers; one beyond a long is the nearest long."""
     width = max(q.shape[1], x.shape[1])
     q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, x))
     if width * np.abs(q).max(initial=0) * np.abs(x).max(initial=0) < 2.0**53:
         return (q @ x.T).astype(np.int64)
-    return np.array([[sum(int(a) * int(b) for a, b in zip(r, s)) for s in x] for r in q], np.int64).reshape(len(q), len(x))
-
-
-def _best(scores: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest of each row, the first ones of equal, own ones last; k is at most a row's length."""
-    if np.abs(scores).max(initial=0) >= 2**53:
-        return np.argsort(np.where(own, 2**62, -scores), axis=1, kind="stable")[:, :k]
-    left, out = scores.astype(np.float64), np.zeros((len(scores), k), np.int64)
+    least, most = -(2**63), 2**63 - 1
+    exact = [[min(most, max(least, sum(int(a) * int(b) for a, b in zip(r, s)))) for s in x] for r in q]
+    return np.array(exact, np.int64).reshape(len(q), len(x))
+
+
+def _best(scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and places of each row's k largest scores, the first ones of equal; own ones are left out."""
+    if np.abs(scores.astype(np.float64)).max(initial=0) >= 2**53:
+        # sorted as whole numbers, from the last place, so that of equal ones the first comes last and is taken
+        order = np.argsort(scores[:, ::-1], axis=1, kind="stable")[:, ::-1]
+        place = scores.shape[1] - 1 - order
+        mine = np.take_along_axis(own, place, 1)
+        taken = ~mine & ((~mine).cumsum(1) <= k)
+        return np.nonzero(taken)[0], place[taken]
+    left, place, taken = scores.astype(np.float64), np.zeros((len(scores), k), np.int64), np.zeros((len(scores), k), bool)
     left[own] = -np.inf
+    each = np.arange(len(left))
     for i in range(k):
-        out[:, i] = left.argmax(1)
-        left[np.arange(len(left)), out[:, i]] = -np.inf
-    return out
+        place[:, i] = left.argmax(1)
+        taken[:, i] = left[each, place[:, i]] > -np.inf  # not if a row has run out
+        left[each, place[:, i]] = -np.inf
+    return np.nonzero(taken)[0], place[taken]
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -130,9 +139,13 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     asked = queries.mapInArrow(route, f"cell int, chunk int, vec_id {kind}, v array<double>").select("cell", "chunk", block, "vec_id", "v")
     per_cell = F.create_map(*(F.lit(int(x)) for i, c in enumerate(chunks) for x in (i, max(1, c))))
     data = cells.select("cell", F.pmod(F.xxhash64("vec_id"), per_cell[F.col("cell")]).cast("int").alias("chunk"), "vec_id", "v")
-    needed = asked.select("cell", "chunk", "block").distinct() if blocks > 1 else None
-    data = data.join(needed, ["cell", "chunk"]) if needed is not None else data.withColumn("block", F.lit(0))
-    data = data.select("cell", "chunk", "block", "vec_id", "v")
+    if blocks > 1:
+        # written, as it is read twice; a chunk goes to the blocks that ask for it
+        asked = written(asked, "queries-by-chunk")
+        needed = asked.groupBy(F.col("cell").alias("c"), F.col("chunk").alias("h"), F.col("block").alias("b")).count()
+        data = data.join(needed, (F.col("cell") == F.col("c")) & (F.col("chunk") == F.col("h"))).select("cell", "chunk", F.col("b").alias("block"), "vec_id", "v")
+    else:
+        data = data.select("cell", "chunk", F.lit(0).alias("block"), "vec_id", "v")
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", left.schema.field("vec_id").type), ("vec_id", right.schema.field("vec_id").type), ("score", pa.int64())])
@@ -146,10 +159,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             scores = _products(q[at : at + 512], x)
             ids = np.asarray(x_id)
             own = np.asarray(q_id)[at : at + 512, None] == ids
-            best = _best(scores, own, min(k, len(x)))
-            row = np.repeat(np.arange(len(scores)), best.shape[1])
-            place = best.reshape(-1)
-            row, place = row[~own[row, place]], place[~own[row, place]]
+            row, place = _best(scores, own, min(k, len(x)))
             out.append(pa.table([q_id.take(pa.array(row + at)), x_id.take(pa.array(place)), pa.array(scores[row, place], pa.int64())], schema=schema))
         return pa.concat_tables(out)
 

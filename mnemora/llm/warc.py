@@ -15,7 +15,7 @@ stated in a revisit (field X-Full-Payload-Length), which has no payload itself.
 
 Defined results. A null payload is as an empty one. Payloads shorter than least_bytes are all responses.
 Rows that repeat the smallest page_id of a digest are all responses. A null URL is written as "-" and read
-as null; a null page_id has no record id, its row is a response unless others share its digest, and then a
+as null, white space and controls in one as %XX; a null page_id has no record id, its row is a response unless others share its digest, and then a
 revisit of the smallest id. Other columns are not read. An empty table writes no archive.
 """
 
