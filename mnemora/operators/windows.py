@@ -17,6 +17,27 @@ def sessions(rows: DataFrame, by: str, ts: str, order: list[str], hours: float =
     return rows.withColumn("__new", new).withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
+def sessions_split(rows: DataFrame, by: str, ts: str, order: list[str], hours: float = SESSION_GAP_HOURS, unit: str = "day") -> DataFrame:
+    """The same as sessions() for values of by with very many rows: no task sorts more than one's unit of time.
+
+    Each unit is numbered by itself; its bounds and number of new sessions are one row, and a window over
+    these rows tells where each unit's numbers begin.
+    """
+    limit = int(hours * 3_600_000_000)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    cut = rows.withColumn("__unit", F.date_trunc(unit, ts)).withColumn("__at", at)
+    w = Window.partitionBy(by, "__unit").orderBy(ts, *order)
+    inner = F.coalesce((F.col("__at") - F.lag("__at").over(w) > limit).cast("int"), F.lit(0))
+    cut = cut.withColumn("__new", inner).withColumn("__within", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    units = cut.groupBy(by, "__unit").agg(F.min("__at").alias("first"), F.max("__at").alias("last"), F.sum("__new").alias("inner"))
+    u = Window.partitionBy(by).orderBy("__unit")
+    starts = F.coalesce((F.col("first") - F.lag("last").over(u) > limit).cast("int"), F.lit(1))
+    units = units.withColumn("starts", starts)
+    before = F.coalesce(F.sum(F.col("starts") + F.col("inner")).over(u.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    units = units.select(by, "__unit", (before + F.col("starts")).alias("__base"))
+    return cut.join(units, [by, "__unit"]).withColumn("session", F.col("__base") + F.col("__within")).select(*rows.columns, "session")
+
+
 def session_summary(rows: DataFrame, by: str, ts: str, who: str) -> DataFrame:
     """One row per session: bounds, messages, and the distinct participants, sorted."""
     return rows.groupBy(by, "session").agg(

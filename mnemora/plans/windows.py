@@ -17,6 +17,11 @@ def sessions(v):
     return W.sessions(v.messages(), "chat_id", "composed_at", ["event_id"]).select("event_id", "chat_id", "session")
 
 
+@query("sessions_split", _SESSIONS + " select event_id, chat_id, session from s")
+def sessions_split(v):
+    return W.sessions_split(v.messages(), "chat_id", "composed_at", ["event_id"]).select("event_id", "chat_id", "session")
+
+
 @query("session_summary", _SESSIONS + " select chat_id, session, min(composed_at) as started_at, max(composed_at) as ended_at, count(*) as messages, string_agg(distinct sender, ',' order by sender) as participants from s group by chat_id, session")
 def session_summary(v):
     return W.session_summary(W.sessions(v.messages(), "chat_id", "composed_at", ["event_id"]), "chat_id", "composed_at", "sender")
