@@ -57,14 +57,14 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: list[dict[str, i
 
     budget is an aggregate expression over leaves, such as F.lit(10 ** 9) or F.sum("tokens") * 2.
     """
-    given = leaves.agg(F.least(budget.cast("long"), F.sum(F.col("tokens") * max_epochs)).alias("total"))
+    total = leaves.agg(F.least(budget.cast("long"), F.sum(F.col("tokens") * max_epochs))).first()[0] or 0
+    given = None
     for i, name in enumerate(levels):
         parent = levels[:i]
         nodes = leaves.groupBy(*levels[: i + 1]).agg((F.sum("tokens") * max_epochs).alias("cap"))
         own = F.create_map(*(F.lit(x) for kv in weights[i].items() for x in kv))[F.col(name)] if weights[i] else F.lit(None).cast("int")
         nodes = nodes.withColumn("weight", F.coalesce(own, F.lit(1)).cast("long"))
-        # one row for the root, one for each parent below it
-        nodes = nodes.join(given, parent) if parent else nodes.join(F.broadcast(given))
+        nodes = nodes.join(given, parent) if parent else nodes.withColumn("total", F.lit(total))
         given = _share(nodes, parent, name)
     return leaves.join(given, levels, "left").withColumn("total", F.coalesce("total", F.lit(0)))
 
