@@ -154,7 +154,8 @@ def learn(docs: DataFrame, labels: DataFrame, docs_per_label: int = 1500) -> Cha
     have = {r[0]: r[1] for r in marks.groupBy("quality").count().collect()}
     scale = 1 << 20
     share = F.when(F.col("quality") == 1, min(scale, scale * docs_per_label // have.get(1, 1) + 1)).otherwise(min(scale, scale * docs_per_label // have.get(0, 1) + 1))
-    picked = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < share)
+    # about docs_per_label ids of each label, whatever the table's size, so they may be broadcast
+    picked = F.broadcast(marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < share).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
