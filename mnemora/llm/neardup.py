@@ -9,10 +9,13 @@
    similarity 0.8 share none with a probability of 3e-6.
 4. Instead of all pairs of a key, its members are compared with one hub: the member that shares most keys
    with others. A pair goes on if sizes allow 0.8 and the registers' similarity, less the equal registers
-   expected by chance, is 0.6 or more; then both full sets are compared.
+   expected by chance, comes near enough; then both full sets are compared.
 5. Components of the confirmed links (alternating large and small stars; every round is written out).
-6. Only where a key's members are still in several components, the others are compared with the members of
-   the key's largest component and with each other, so no link between components is lost. Then again 5.
+6. Only where a key's members are still in several components, those outside the key's largest component
+   are compared with all others, so no link between components is lost. They meet with their texts in
+   blocks of bounded size; pairs whose registers come near enough have their full sets compared in the
+   block, each pair only under the first of its common keys. A block gives no pairs but links, and of these
+   one fewer than members at most. Components are then joined by these links.
 
 No step holds a group in one task: groups are aggregated before a shuffle, or joined with one row per key,
 which Spark splits where it is skewed.
@@ -38,8 +41,8 @@ from mnemora.llm._shared import written
 BUCKET_BITS, MANTISSA_BITS = 8, 10
 BUCKETS = 1 << BUCKET_BITS
 ROWS, BANDS = 6, 42
-#: Corrected register similarity under which a pair isn't compared in full; 0.8 less eight standard deviations.
-LEAST_ESTIMATE = 0.6
+#: Members of a key that meet in one block: those outside its largest component, and all.
+BLOCK_X, BLOCK_Y = 256, 1024
 BATCH_ROWS = 512
 
 _REST_BITS = 64 - BUCKET_BITS
@@ -94,6 +97,15 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.maximum(0, equal - by_chance) / (BUCKETS - by_chance)
 
 
+def near_enough(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Whether corrected register similarity doesn't speak against 0.8.
+
+    The least is 0.8 less about five standard deviations; sets that fill fewer buckets deviate more.
+    """
+    n = np.minimum(n_a, n_b)
+    return estimate(a, b, n_a, n_b) >= np.where(n < 64, 0.6, np.where(n < 256, 0.65, 0.68))
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, h1, h2 (the set's 128-bit hash) and registers of every row of docs."""
 
@@ -116,7 +128,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, BUCKETS)[:, : BANDS * ROWS]
             keys = _mix((_mix(regs.reshape(-1, BANDS, ROWS).astype(np.uint64) + _BAND_MIX) * _BAND_MIX).sum(2, dtype=np.uint64)).view(np.int64)
             each = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), batch.column(0).take(each), batch.column(1).take(each)], ["key", "cid", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), batch.column(0).take(each), batch.column(1).take(each), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows))], ["key", "cid", "n", "band"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,10 +137,49 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, whole.num_rows, BATCH_ROWS):
             b = whole.slice(at, BATCH_ROWS)
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("regs_a", "regs_b"))
-            keep = estimate(x, y, b.column("n_a").to_numpy(), b.column("n_b").to_numpy()) >= LEAST_ESTIMATE
+            keep = near_enough(x, y, b.column("n_a").to_numpy(), b.column("n_b").to_numpy())
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
 
 
+def _bridges(k: int, percent: int, id_type: pa.DataType):
+    """Of sorted rows (key, xb, yb, x, cid, root, band, text) links between components, enough to join them."""
+
+    def solve(rows: dict) -> pa.RecordBatch:
+        sets = [shingles(t, k) for t in rows["text"]]
+        regs, n = np.stack([registers(s) for s in sets]), np.array([len(s) for s in sets])
+        x, root, cid = (np.array(rows[c]) for c in ("x", "root", "cid"))
+        part = root.copy()  # the component of each row, as far as known here
+        right, band, found = np.flatnonzero(~x), rows["band"][0], []
+        for i in np.flatnonzero(x):
+            other = right[(root[right] != root[i]) & (n[right] * 100 >= n[i] * percent) & (n[i] * 100 >= n[right] * percent)]
+            other = other[near_enough(regs[other], regs[i], n[other], n[i])]
+            if band and len(other):  # pairs that met under an earlier band have been compared there
+                other = other[~(regs[other, : band * ROWS] == regs[i, : band * ROWS]).reshape(len(other), band, ROWS).all(2).any(1)]
+            for j in other:
+                if part[i] != part[j]:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if both and 100 * both >= percent * (n[i] + n[j] - both):
+                        found.append((min(root[i], root[j]), max(root[i], root[j])))
+                        part[part == part[j]] = part[i]
+        return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], id_type) for c in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, unit = None, None
+        for batch in batches:
+            columns = [c.cast(pa.binary()) if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else c for c in batch.columns]
+            for row in zip(*(c.to_pylist() for c in columns)):
+                if row[:3] != unit:
+                    if held is not None:
+                        yield solve(held)
+                    unit, held = row[:3], {c: [] for c in ("x", "cid", "root", "band", "text")}
+                for c, value in zip(held, row[3:]):
+                    held[c].append(value)
+        if held is not None:
+            yield solve(held)
+
+    return run
+
+
 def _linked(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -174,11 +225,9 @@ def components(links: DataFrame) -> DataFrame:
     return roots
 
 
-def _compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _compared(may: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of distinct pairs (a, b) of classes those that are linked, confirmed on full sets."""
-    side = lambda c: reps.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
-    kind = dict(reps.dtypes)["cid"]
-    may = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_similar, f"a {kind}, b {kind}"), "may-link")
+    kind = dict(may.dtypes)["a"]
     needed = may.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     texts = written(docs.select(F.col("doc_id").alias("cid"), F.col("text").cast("string").alias("text")).join(needed, "cid", "left_semi"), "texts")
     side = lambda c: texts.select(F.col("cid").alias(c), F.col("text").alias(f"text_{c}"))
@@ -193,7 +242,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = real.withColumnRenamed("doc_id", "cid").join(classes, ["cid", "h1", "h2"]).dropDuplicates(["cid", "h1", "h2"])
     reps = written(reps.select("cid", "n", "regs"), "class-sketches")
     kind = dict(reps.dtypes)["cid"]
-    bands = reps.mapInArrow(_bands, f"key long, cid {kind}, n int")
+    bands = reps.mapInArrow(_bands, f"key long, cid {kind}, n int, band int")
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     active = written(bands.join(shared, "key"), "shared-bands")
 
@@ -202,23 +251,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     hubs = active.join(centre, "cid").groupBy("key").agg(F.max(F.struct("weight", (-F.col("cid")).alias("less"), "n")).alias("hub"))
     hubs = hubs.select("key", (-F.col("hub.less")).alias("hub"), F.col("hub.n").alias("hub_n"))
     stars = active.join(hubs, "key").filter((F.col("cid") != F.col("hub")) & fits("n", "hub_n") & fits("hub_n", "n"))
-    pairs = written(stars.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct(), "star-pairs")
-    links = _compared(pairs, reps, docs, k, percent)
+    pairs = stars.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
+    side = lambda c: reps.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
+    near = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_similar, f"a {kind}, b {kind}"), "star-pairs")
+    links = _compared(near, docs, k, percent)
     roots = components(links)
 
     # keys of three or more whose members are still apart; a key of two had its only pair compared
-    now = active.filter("c > 2").join(roots, F.col("cid") == F.col("node"), "left").select("key", "cid", "n", F.coalesce("root", "cid").alias("root"))
-    parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("size", (-F.col("root")).alias("less"))).alias("main"))
-    apart = written(now.join(parts.filter("roots > 1").select("key", (-F.col("main.less")).alias("main")), "key"), "keys-apart")
-    x = apart.filter("root <> main").select("key", F.col("cid").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
-    y = apart.select("key", F.col("cid").alias("y"), F.col("n").alias("y_n"), F.col("root").alias("y_root"), (F.col("root") == F.col("main")).alias("y_main"))
-    rest = x.join(y, (x["key"] == y["key"]) & (F.col("x_root") != F.col("y_root")) & (F.col("y_main") | (F.col("x") < F.col("y"))) & fits("x_n", "y_n") & fits("y_n", "x_n"))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = _compared(rest, reps, docs, k, percent)
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
-
+    now = active.filter("c > 2").join(roots, F.col("cid") == F.col("node"), "left").select("key", "cid", "n", "band", F.coalesce("root", "cid").alias("root"))
+    parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("size").alias("all"), F.max(F.struct("size", (-F.col("root")).alias("less"))).alias("main"))
+    parts = parts.filter("roots > 1").select("key", "all", (F.col("all") - F.col("main.size")).alias("others"), (-F.col("main.less")).alias("main"))
+    apart = written(now.join(parts, "key"), "keys-apart")
+    # every member goes to the blocks of the others, and these again to the blocks of all
+    block = lambda size: F.pmod(F.xxhash64("cid"), F.col(size)).cast("int")
+    sized = apart.withColumn("bx", F.ceil(F.col("others") / BLOCK_X).cast("int")).withColumn("by", F.ceil(F.col("all") / BLOCK_Y).cast("int"))
+    as_y = F.transform(F.sequence(F.lit(0), F.col("bx") - 1), lambda i: F.struct(i.alias("xb"), block("by").alias("yb"), F.lit(False).alias("x")))
+    as_x = F.when(F.col("root") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("by") - 1), lambda i: F.struct(block("bx").alias("xb"), i.alias("yb"), F.lit(True).alias("x"))))
+    dealt = sized.select("key", F.explode(F.concat(as_y, F.coalesce(as_x, F.array().cast("array<struct<xb:int,yb:int,x:boolean>>")))).alias("b"), "cid", "root", "band")
+    texts = docs.select(F.col("doc_id").alias("cid"), F.col("text").cast("string").alias("text")).join(apart.select("cid").distinct(), "cid", "left_semi")
+    dealt = dealt.join(texts, "cid").select("key", "b.xb", "b.yb", "b.x", "cid", "root", "band", "text")
+    dealt = dealt.repartition("key", "xb", "yb").sortWithinPartitions("key", "xb", "yb")
+    id_type = pa.int64() if kind == "bigint" else pa.int32()
+    bridges = written(dealt.mapInArrow(_bridges(k, percent, id_type), f"a {kind}, b {kind}").distinct(), "bridges")
     named = classes.join(roots, F.col("cid") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "cid").alias("component_id"))
+    if not bridges.isEmpty():
+        # only components are joined now, so the graph is that of the new links between them
+        joined = components(bridges).select(F.col("node").alias("component_id"), F.col("root").alias("least"))
+        named = named.join(joined, "component_id", "left").select("h1", "h2", F.coalesce("least", "component_id").alias("component_id"))
     whole = sketch.join(named, ["h1", "h2"], "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return whole.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
