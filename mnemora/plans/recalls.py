@@ -11,7 +11,7 @@ _FACTS = "f as (select event_id as fact_id, case event_id % 3 when 0 then '[PREF
 @query("preference_recall", f"with {_FACTS}, n as (select * from f where fact like '[%' order by seen_at desc, fact_id limit 40) select fact_id, fact from n order by seen_at desc, fact_id limit 40")
 def preference_recall(v):
     tag = F.when(F.col("event_id") % 3 == 0, "[PREFERENCE] ").when(F.col("event_id") % 3 == 1, "[TECHNICAL] ").otherwise("")
-    facts = v.table("events").filter("event_id < 3000").select(F.col("event_id").alias("fact_id"), F.concat(tag, "event_type").alias("fact"), F.col("ts").alias("at"))
+    facts = v.table("events").select(F.col("event_id").alias("fact_id"), F.concat(tag, "event_type").alias("fact"), F.col("ts").alias("at"))
     return R.preferences(facts, "no such topic", 40).select("fact_id", "fact")
 
 
