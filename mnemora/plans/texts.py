@@ -113,10 +113,10 @@ def id_kinds(v):
 
 @query("repaired_answers", "select user_id as id, 'user ' || user_id as summary, event_type as topic, 'open' as status, 'low' as urgency from events where event_id % 100 = 0 and event_id % 300 <> 200")
 def repaired_answers(v):
-    e = v.table("events").filter("event_id % 100 = 0")
+    e = v.table("events")
     text = F.concat(F.lit('```json\n{"summary": "user '), "user_id", F.lit('", "topics": ["'), "event_type", F.lit('",], "urgency": "??", "action_items": ["do it"'))
     whole = F.when(F.col("event_id") % 300 == 200, "no object").otherwise(text)
-    a = extraction.parsed(whole)
+    a = F.explode(F.array(extraction.parsed(whole)))  # a generator's column: the filter doesn't run the UDF again
     return e.select(F.col("user_id").alias("id"), a.alias("a")).filter("a is not null").select("id", "a.summary", F.col("a.topics")[0].alias("topic"), F.col("a.action_items")[0]["status"].alias("status"), "a.urgency")
 
 

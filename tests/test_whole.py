@@ -10,6 +10,7 @@ from mnemora.session import reachable
 from tests import compare
 
 WHOLE = {
+    "repaired_answers": "select user_id as id, 'user ' || user_id as summary, event_type as topic, 'open' as status, 'low' as urgency from events where event_id % 300 <> 200",
     "preference_recall": "select event_id as fact_id, case event_id % 3 when 0 then '[PREFERENCE] ' else '[TECHNICAL] ' end || event_type as fact from events where event_id % 3 < 2 order by ts desc, event_id limit 40",
 }
 
