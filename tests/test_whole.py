@@ -11,6 +11,11 @@ from tests import compare
 
 WHOLE = {
     "repaired_answers": "select user_id as id, 'user ' || user_id as summary, event_type as topic, 'open' as status, 'low' as urgency from events where event_id % 300 <> 200",
+    "month_chunks": """
+with o as (select o_custkey, min(o_orderdate)::date as since, max(o_orderdate)::date as until from orders group by 1 having min(o_orderdate)::date < max(o_orderdate)::date),
+m as (select *, unnest(generate_series(date_trunc('month', since), date_trunc('month', until - 1), interval 1 month))::date as m from o)
+select o_custkey, greatest(m, since) as start, least((m + interval 1 month)::date, until) as stop from m
+""",
     "preference_recall": "select event_id as fact_id, case event_id % 3 when 0 then '[PREFERENCE] ' else '[TECHNICAL] ' end || event_type as fact from events where event_id % 3 < 2 order by ts desc, event_id limit 40",
 }
 
