@@ -42,7 +42,8 @@ n as (select *, sum(ch) over (partition by conv_id order by turn rows unbounded
 select conv_id, (run - 1)::bigint as turn_index, min(role) as speaker, min(turn) as first, count(*) as parts, left(string_agg(text, chr(10) order by turn), 300) as content from n group by conv_id, run
 """)
 def speaker_turns(v):
-    return W.collapse(v.table("conversations").filter("role <> 'system' and turn % 3 <> 1"), "conv_id", "turn", "role", "text", 300)
+    said = v.table("conversations").filter("role <> 'system'").withColumn("speaker", F.when(F.col("turn") % 3 == 1, "user").otherwise(F.col("role")))  # roles alternate, speakers repeat
+    return W.collapse(said, "conv_id", "turn", "speaker", "text")
 
 
 @query("latest_versions", """

@@ -15,6 +15,12 @@ WHOLE = {
 with o as (select o_custkey, min(o_orderdate)::date as since, max(o_orderdate)::date as until from orders group by 1 having min(o_orderdate)::date < max(o_orderdate)::date),
 m as (select *, unnest(generate_series(date_trunc('month', since), date_trunc('month', until - 1), interval 1 month))::date as m from o)
 select o_custkey, greatest(m, since) as start, least((m + interval 1 month)::date, until) as stop from m
+""",
+    "speaker_turns": """
+with r as (select conv_id, turn, case when turn % 3 = 1 then 'user' else role end as who, text from conversations where role <> 'system'),
+c as (select *, case when who = lag(who) over (partition by conv_id order by turn) then 0 else 1 end as ch from r),
+n as (select *, sum(ch) over (partition by conv_id order by turn rows unbounded preceding) as run from c)
+select conv_id, (run - 1)::bigint as turn_index, min(who) as speaker, min(turn) as first, count(*) as parts, left(string_agg(text, chr(10) order by turn), 50000) as content from n group by conv_id, run
 """,
     "preference_recall": "select event_id as fact_id, case event_id % 3 when 0 then '[PREFERENCE] ' else '[TECHNICAL] ' end || event_type as fact from events where event_id % 3 < 2 order by ts desc, event_id limit 40",
 }
@@ -37,3 +43,12 @@ def test_preferences_on_a_topic(spark):
     named = {-i for _, i, fact in all_[:40] if "click" in fact}
     ranked = set(sorted(-i for _, i, fact in all_ if "click" in fact)[:40])  # all score the same, so ids decide
     assert named - ranked and got == [-i for _, i, _ in all_ if -i in named | ranked][:40]
+
+
+def test_speaker_turns_keep_all_text(spark):
+    reachable(spark)
+    rows = Views(spark, compare.SF_DIR).table("conversations").filter("role <> 'system'")
+    got = catalog.QUERIES["speaker_turns"](spark, compare.SF_DIR)
+    n, length = rows.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
+    # a line break joins each part but a run's first; some run has several parts
+    assert got.agg(F.sum("parts"), F.sum(F.length("content") - F.col("parts") + 1), F.max("parts") > 1).first()[:] == (n, length, True)
