@@ -95,7 +95,7 @@ def content_ids(v):
 @query("embed_texts", "select doc_id, concat_ws(' — ', nullif(concat_ws(' · ', nullif(trim(case when doc_id % 3 = 0 then ' ' else source end), ''), nullif(lang, ''), case when doc_id % 2 = 0 then '2024-01-02' end), ''), nullif(trim(left(text, 40)), '')) as t from documents")
 def embed_texts(v):
     d = F.col("doc_id")
-    return v.table("documents").select("doc_id", T.embed_text(F.when(d % 3 == 0, " ").otherwise(F.col("source")), F.col("lang"), F.when(d % 2 == 0, "2024-01-02T10:00:00"), F.substring("text", 1, 40)).alias("t"))
+    return v.table("documents").select("doc_id", T.embed_text(F.when(d % 3 == 0, " ").otherwise(F.col("source")), F.col("lang"), F.when(d % 2 == 0, "2024-01-02T10:00:00"), F.col("text")).alias("t"))
 
 
 @query("json_props", "select event_id, json_extract_string(props, '$.k')::int as k, json_extract_string(props, '$.k') is not null as has from events where json_extract_string(props, '$.k')::int >= 50")

@@ -11,6 +11,9 @@ from tests import compare
 
 WHOLE = {
     "repaired_answers": "select user_id as id, 'user ' || user_id as summary, event_type as topic, 'open' as status, 'low' as urgency from events where event_id % 300 <> 200",
+    "embed_texts": """
+select doc_id, concat_ws(' — ', nullif(concat_ws(' · ', nullif(trim(case when doc_id % 3 = 0 then ' ' else source end), ''), nullif(lang, ''), case when doc_id % 2 = 0 then '2024-01-02' end), ''), nullif(trim(text), '')) as t from documents
+""",
     "month_chunks": """
 with o as (select o_custkey, min(o_orderdate)::date as since, max(o_orderdate)::date as until from orders group by 1 having min(o_orderdate)::date < max(o_orderdate)::date),
 m as (select *, unnest(generate_series(date_trunc('month', since), date_trunc('month', until - 1), interval 1 month))::date as m from o)
