@@ -66,7 +66,7 @@ def noise_filter(v):
 
 @query("slugs", "select doc_id, regexp_replace(left(trim(regexp_replace(strip_accents(lower(left(text, 100))), '[^a-z0-9]+', '-', 'g'), '-'), 60), '-+$', '') as slug from documents")
 def slugs(v):
-    return v.table("documents").select("doc_id", T.slug(F.substring("text", 1, 100)).alias("slug"))
+    return v.table("documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query("subject_threads", """

@@ -19,6 +19,7 @@ with o as (select o_custkey, min(o_orderdate)::date as since, max(o_orderdate)::
 m as (select *, unnest(generate_series(date_trunc('month', since), date_trunc('month', until - 1), interval 1 month))::date as m from o)
 select o_custkey, greatest(m, since) as start, least((m + interval 1 month)::date, until) as stop from m
 """,
+    "slugs": "select doc_id, regexp_replace(left(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '-', 'g'), '-'), 60), '-+$', '') as slug from documents",
     "speaker_turns": """
 with r as (select conv_id, turn, case when turn % 3 = 1 then 'user' else role end as who, text from conversations where role <> 'system'),
 c as (select *, case when who = lag(who) over (partition by conv_id order by turn) then 0 else 1 end as ch from r),
@@ -55,3 +56,9 @@ def test_speaker_turns_keep_all_text(spark):
     n, length = rows.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
     # a line break joins each part but a run's first; some run has several parts
     assert got.agg(F.sum("parts"), F.sum(F.length("content") - F.col("parts") + 1), F.max("parts") > 1).first()[:] == (n, length, True)
+
+
+def test_slugs_of_late_words(spark, tmp_path):
+    reachable(spark)
+    spark.createDataFrame([(1, "." * 150 + "Late words"), (2, "日" * 100 + " ok")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in catalog.QUERIES["slugs"](spark, str(tmp_path)).collect()} == {(1, "late-words"), (2, "ok")}
