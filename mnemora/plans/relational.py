@@ -100,7 +100,7 @@ def set_algebra(v):
 
 @query("order_nulls", "select doc_id, quality from documents left join labels using (doc_id) order by quality asc nulls last, doc_id desc limit 500")
 def order_nulls(v):
-    return v.attachments().orderBy(F.asc_nulls_last("quality"), F.desc("doc_id")).limit(500).select("doc_id", "quality")
+    return v.attachments().orderBy(F.asc_nulls_last("quality"), F.desc("doc_id")).select("doc_id", "quality")
 
 
 @query("insert_absent", "select doc_id as id, case when doc_id % 3 = 0 then 'old' else 'new' end as origin from documents where doc_id % 3 = 0 or doc_id % 5 <> 0")

@@ -26,6 +26,7 @@ c as (select *, case when who = lag(who) over (partition by conv_id order by tur
 n as (select *, sum(ch) over (partition by conv_id order by turn rows unbounded preceding) as run from c)
 select conv_id, (run - 1)::bigint as turn_index, min(who) as speaker, min(turn) as first, count(*) as parts, left(string_agg(text, chr(10) order by turn), 50000) as content from n group by conv_id, run
 """,
+    "order_nulls": "select doc_id, quality from documents left join labels using (doc_id)",
     "preference_recall": "select event_id as fact_id, case event_id % 3 when 0 then '[PREFERENCE] ' else '[TECHNICAL] ' end || event_type as fact from events where event_id % 3 < 2 order by ts desc, event_id limit 40",
 }
 
@@ -62,3 +63,9 @@ def test_slugs_of_late_words(spark, tmp_path):
     reachable(spark)
     spark.createDataFrame([(1, "." * 150 + "Late words"), (2, "日" * 100 + " ok")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {tuple(r) for r in catalog.QUERIES["slugs"](spark, str(tmp_path)).collect()} == {(1, "late-words"), (2, "ok")}
+
+
+def test_order_nulls_ends_in_nulls(spark):
+    reachable(spark)
+    rows = [tuple(r) for r in catalog.QUERIES["order_nulls"](spark, "/root/testdata/sf0.01").collect()]
+    assert rows == sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, -r[0])) and sum(q is None for _, q in rows) == 601
