@@ -11,6 +11,10 @@ order seeded by (seed, epoch, doc_id) whose tokens fit. That prefix is found wit
 task: sums by equal ranges of the order (about 1,024 documents each), a running sum over these, and rows are
 only sorted in the one range where the budget ends.
 
+Shortfall: documents are taken whole and the prefix ends at the first that does not fit, so a leaf leaves less than
+that one document's tokens, and what it leaves goes to nobody. A small leaf with a long document early in its order
+can thus leave most of its tokens (README.md has measured shares).
+
 Defined results. Weights are integers of 0 or more; a value without one has weight 1. Null and '' are one
 value of a level. Nothing is taken from a leaf that gets no tokens. Shares are rounded down, so a node may
 leave as many tokens as it has children. Rows without tokens (null or empty text) cost none and follow the
