@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from mnemora.operators import recalls as R
 from mnemora.plans.catalog import query
 
-_FACTS = "f as (select event_id as fact_id, case event_id % 3 when 0 then '[PREFERENCE] ' when 1 then '[TECHNICAL] ' else '' end || event_type as fact, ts as seen_at from events where event_id < 3000)"
+_FACTS = "f as (select event_id as fact_id, case event_id % 3 when 0 then '[PREFERENCE] ' when 1 then '[TECHNICAL] ' else '' end || event_type as fact, ts as seen_at from events)"
 
 
 @query("preference_recall", f"with {_FACTS}, n as (select * from f where fact like '[%' order by seen_at desc, fact_id limit 40) select fact_id, fact from n order by seen_at desc, fact_id limit 40")

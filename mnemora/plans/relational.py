@@ -98,7 +98,7 @@ def set_algebra(v):
     return n("union", d.unionByName(e).distinct()).unionByName(n("except", d.distinct().join(l, "doc_id", "left_anti"))).unionByName(n("intersect", d.distinct().join(e, "doc_id", "left_semi")))
 
 
-@query("order_nulls", "select doc_id, quality from documents left join labels using (doc_id) order by quality asc nulls last, doc_id desc limit 500")
+@query("order_nulls", "select doc_id, quality from documents left join labels using (doc_id) order by quality asc nulls last, doc_id desc")
 def order_nulls(v):
     return v.attachments().orderBy(F.asc_nulls_last("quality"), F.desc("doc_id")).select("doc_id", "quality")
 

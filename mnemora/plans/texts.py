@@ -64,7 +64,7 @@ def noise_filter(v):
     return v.table("documents").select("doc_id", T.is_noise(F.col("text"), 600, 0.7).alias("noise"))
 
 
-@query("slugs", "select doc_id, regexp_replace(left(trim(regexp_replace(strip_accents(lower(left(text, 100))), '[^a-z0-9]+', '-', 'g'), '-'), 60), '-+$', '') as slug from documents")
+@query("slugs", "select doc_id, regexp_replace(left(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '-', 'g'), '-'), 60), '-+$', '') as slug from documents")
 def slugs(v):
     return v.table("documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
@@ -92,7 +92,7 @@ def content_ids(v):
     return v.table("documents").select("doc_id", T.document_id(F.col("text").cast("binary")).alias("message_id"), F.sha1("source").alias("source_hash"))
 
 
-@query("embed_texts", "select doc_id, concat_ws(' — ', nullif(concat_ws(' · ', nullif(trim(case when doc_id % 3 = 0 then ' ' else source end), ''), nullif(lang, ''), case when doc_id % 2 = 0 then '2024-01-02' end), ''), nullif(trim(left(text, 40)), '')) as t from documents")
+@query("embed_texts", "select doc_id, concat_ws(' — ', nullif(concat_ws(' · ', nullif(trim(case when doc_id % 3 = 0 then ' ' else source end), ''), nullif(lang, ''), case when doc_id % 2 = 0 then '2024-01-02' end), ''), nullif(trim(text), '')) as t from documents")
 def embed_texts(v):
     d = F.col("doc_id")
     return v.table("documents").select("doc_id", T.embed_text(F.when(d % 3 == 0, " ").otherwise(F.col("source")), F.col("lang"), F.when(d % 2 == 0, "2024-01-02T10:00:00"), F.col("text")).alias("t"))
@@ -111,7 +111,7 @@ def id_kinds(v):
     return v.table("documents").groupBy(T.id_kind(mid).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("repaired_answers", "select user_id as id, 'user ' || user_id as summary, event_type as topic, 'open' as status, 'low' as urgency from events where event_id % 100 = 0 and event_id % 300 <> 200")
+@query("repaired_answers", "select user_id as id, 'user ' || user_id as summary, event_type as topic, 'open' as status, 'low' as urgency from events where event_id % 300 <> 200")
 def repaired_answers(v):
     e = v.table("events")
     text = F.concat(F.lit('```json\n{"summary": "user '), "user_id", F.lit('", "topics": ["'), "event_type", F.lit('",], "urgency": "??", "action_items": ["do it"'))
