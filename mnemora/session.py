@@ -1,4 +1,4 @@
-"""What a session needs from its surroundings."""
+"""What a session needs from its surroundings: the package on its workers, and a shared folder for written tables."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def reachable(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver did, if they see that folder.
@@ -20,13 +22,52 @@ def reachable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, path) if x)
 
 
-def stored(df: DataFrame, label: str = "step") -> DataFrame:
-    """df as a Parquet table in the folder of spark.checkpoint.dir: cuts long plans, outlives executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="mnemora-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where the session names none, a temporary folder is made if everything runs on this machine (master
+    local); on a cluster each executor would write to its own disk, so there it is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="mnemora-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses; `clean` removes what is written there."""
+    _written.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def stored(df: DataFrame, label: str = "step", temporary: list[str] | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts long plans, outlives executors.
+
+    Its path is added to `temporary`, for `remove` once nothing reads the table any more.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
     df.write.parquet(path)
+    if temporary is not None:
+        temporary.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders that no later plan reads."""
+    jvm = spark._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _written:
+            _written.remove(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes every intermediate table that this process has written and that is still there.
+
+    A DataFrame that was returned before may read one of them: call this when no result is needed any more.
+    """
+    remove(spark, list(_written))
