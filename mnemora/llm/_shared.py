@@ -1,35 +1,11 @@
-"""What the operators of this subpackage share: the shared folder and written intermediate tables."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from mnemora.session import fresh_path, remove, shared_dir
+from mnemora.session import stored as written
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["SPACES", "fresh_path", "remove", "shared_dir", "written"]
 
 #: The characters that separate words: \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share.
-
-    Where the session names none (as in tests on one machine), a temporary folder is made once and kept
-    for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="mnemora-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and outlives any executor."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

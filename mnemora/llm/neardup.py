@@ -4,26 +4,31 @@
    buckets; of the least remainder in each bucket the register keeps the number of leading zeros and the
    ten bits behind the first one (2 bytes). An empty bucket borrows the register of the first bucket that
    isn't empty in a fixed order of its own, so small sets band as well as large ones.
-2. Documents with equal sets form a class, named by its least doc_id. All that follows is on classes.
+2. Documents with equal sets form a class, named by its least doc_id. All that follows is on classes, and
+   only on those whose set is large enough to be 0.8 similar to another one (four shingles).
 3. Bands of six registers are hashed; classes that share a band key meet. Of 42 bands, two sets of
    similarity 0.8 share none with a probability of 3e-6.
 4. Instead of all pairs of a key, its members are compared with one hub: the member that shares most keys
    with others. A pair goes on if sizes allow 0.8 and the registers' similarity, less the equal registers
-   expected by chance, comes near enough; then both full sets are compared.
-5. Components of the confirmed links (alternating large and small stars; every round is written out).
-6. Only where a key's members are still in several components, those outside the key's largest component
-   are compared with all others, so no link between components is lost. They meet with their texts in
-   blocks of bounded size; pairs whose registers come near enough have their full sets compared in the
-   block, each pair only under the first of its common keys. A block gives no pairs but links, and of these
-   one fewer than members at most. Components are then joined by these links.
+   expected by chance, comes near enough.
+5. Texts of the classes in such pairs are written once. Members' texts go to their hub, in parts of at most
+   256 members, each with a copy of the hub's text; there full sets are compared.
+6. Components of the confirmed links (alternating large and small stars; every round is written out).
+7. Only where a key's members are still in several components, those outside the key's largest component
+   are compared with all others, so no link between components is lost. They meet in blocks of bounded
+   size, first with their registers alone: each pair is looked at under the first of its common keys only,
+   and a block gives the members with a partner near enough in another component. Only those go on to blocks
+   of the same kind with their texts, where full sets are compared. A block gives no pairs but links, and of
+   these one fewer than members at most. Components are then joined by these links.
 
 No step holds a group in one task: groups are aggregated before a shuffle, or joined with one row per key,
-which Spark splits where it is skewed.
+which Spark splits where it is skewed. Intermediate tables are removed as soon as nothing reads them.
 
 Defined results. Shingles are of k words `[^\\x20\\x09-\\x0D]+` after A-Z became a-z; a text with fewer words
 has one shingle, all of it; a null text or one without words has an empty set, which links with nothing.
 A row without a doc_id links with nothing and is kept. Rows that share a doc_id are one document: it has
-the links of all their texts. Other columns are not read.
+the links of all their texts. A doc_id may be of any type that Spark orders (whole numbers to the least
+long, strings); the least is the one that Spark's min gives. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,14 +40,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from mnemora.llm._shared import written
+from mnemora.llm._shared import remove, written
 
 BUCKET_BITS, MANTISSA_BITS = 8, 10
 BUCKETS = 1 << BUCKET_BITS
 ROWS, BANDS = 6, 42
 #: Members of a key that meet in one block: those outside its largest component, and all.
 BLOCK_X, BLOCK_Y = 256, 1024
+#: Members of a hub that are compared in one part.
+STAR_PART = 256
 BATCH_ROWS = 512
 
 _REST_BITS = 64 - BUCKET_BITS
@@ -122,77 +130,133 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Band keys of every class; size and band share one number, as this is the largest table of all."""
     for whole in batches:
         for at in range(0, whole.num_rows, BATCH_ROWS):
             batch = whole.slice(at, BATCH_ROWS)
             regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, BUCKETS)[:, : BANDS * ROWS]
             keys = _mix((_mix(regs.reshape(-1, BANDS, ROWS).astype(np.uint64) + _BAND_MIX) * _BAND_MIX).sum(2, dtype=np.uint64)).view(np.int64)
             each = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), batch.column(0).take(each), batch.column(1).take(each), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows))], ["key", "cid", "n", "band"])
+            sizes = np.repeat(batch.column(1).to_numpy().astype(np.int64), BANDS) * BANDS + np.tile(np.arange(BANDS), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), batch.column(0).take(each), pa.array(sizes)], ["key", "cid", "nb"])
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _similar(percent: int):
     """Of pairs with both registers, those that may be similar."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, BATCH_ROWS):
-            b = whole.slice(at, BATCH_ROWS)
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("regs_a", "regs_b"))
-            keep = near_enough(x, y, b.column("n_a").to_numpy(), b.column("n_b").to_numpy())
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
-
-
-def _bridges(k: int, percent: int, id_type: pa.DataType):
-    """Of sorted rows (key, xb, yb, x, cid, root, band, text) links between components, enough to join them."""
-
-    def solve(rows: dict) -> pa.RecordBatch:
-        sets = [shingles(t, k) for t in rows["text"]]
-        regs, n = np.stack([registers(s) for s in sets]), np.array([len(s) for s in sets])
-        x, root, cid = (np.array(rows[c]) for c in ("x", "root", "cid"))
-        part = root.copy()  # the component of each row, as far as known here
-        right, band, found = np.flatnonzero(~x), rows["band"][0], []
-        for i in np.flatnonzero(x):
-            other = right[(root[right] != root[i]) & (n[right] * 100 >= n[i] * percent) & (n[i] * 100 >= n[right] * percent)]
-            other = other[near_enough(regs[other], regs[i], n[other], n[i])]
-            if band and len(other):  # pairs that met under an earlier band have been compared there
-                other = other[~(regs[other, : band * ROWS] == regs[i, : band * ROWS]).reshape(len(other), band, ROWS).all(2).any(1)]
-            for j in other:
-                if part[i] != part[j]:
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if both and 100 * both >= percent * (n[i] + n[j] - both):
-                        found.append((min(root[i], root[j]), max(root[i], root[j])))
-                        part[part == part[j]] = part[i]
-        return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], id_type) for c in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, unit = None, None
-        for batch in batches:
-            columns = [c.cast(pa.binary()) if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else c for c in batch.columns]
-            for row in zip(*(c.to_pylist() for c in columns)):
-                if row[:3] != unit:
-                    if held is not None:
-                        yield solve(held)
-                    unit, held = row[:3], {c: [] for c in ("x", "cid", "root", "band", "text")}
-                for c, value in zip(held, row[3:]):
-                    held[c].append(value)
-        if held is not None:
-            yield solve(held)
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                b = whole.slice(at, BATCH_ROWS)
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("regs_member", "regs_hub"))
+                n, m = (b.column(c).to_numpy().astype(np.int64) for c in ("n_member", "n_hub"))
+                keep = (n * 100 >= m * percent) & (m * 100 >= n * percent) & near_enough(x, y, n, m)
+                yield pa.RecordBatch.from_arrays([b.column("member"), b.column("hub")], ["member", "hub"]).filter(pa.array(keep))
 
     return run
 
 
-def _linked(k: int, percent: int):
+def _stars(k: int, percent: int):
+    """Of rows (hub, part, order, cid, text), a hub's own texts first in each part, the links (a, b)."""
+
+    def linked(sets: list[np.ndarray], other: np.ndarray) -> bool:
+        for known in sets:
+            both = len(np.intersect1d(known, other, assume_unique=True))
+            if both and 100 * both >= percent * (len(known) + len(other) - both):
+                return True
+        return False
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, sets = None, []
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
-                b = whole.slice(at, BATCH_ROWS)
-                keep, last, known = [], None, None
-                for x, y in zip(b.column("text_a").cast(pa.binary()).to_pylist(), b.column("text_b").cast(pa.binary()).to_pylist()):
-                    if x != last:
-                        last, known = x, shingles(x, k)
-                    other = shingles(y, k)
-                    both = len(np.intersect1d(known, other, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= percent * (len(known) + len(other) - both))
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                batch = whole.slice(at, BATCH_ROWS)
+                keep = []
+                texts = batch.column(4).cast(pa.binary()).to_pylist()
+                for row, text in enumerate(texts):
+                    now = (batch.column(0)[row].as_py(), batch.column(1)[row].as_py())
+                    if now != unit:
+                        unit, sets = now, []
+                    own = shingles(text, k)
+                    if batch.column(2)[row].as_py() == 0:
+                        sets.append(own)
+                    elif linked(sets, own):
+                        keep.append(row)
+                found = pa.array(keep, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(3).take(found), batch.column(0).take(found)], ["a", "b"])
+
+    return run
+
+
+def _units(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, dict]]:
+    """Of rows sorted by (key, xb, yb), the other columns of each unit of equal ones as lists; a unit is bounded."""
+    held, unit = None, None
+    for batch in batches:
+        parts = [c.cast(pa.binary()) if name == "text" else c for name, c in zip(batch.schema.names, batch.columns)]
+        for row in zip(*(c.to_pylist() for c in parts)):
+            if row[:3] != unit:
+                if held is not None:
+                    yield unit, held
+                unit, held = row[:3], {c: [] for c in columns}
+            for c, value in zip(columns, row[3:]):
+                held[c].append(value)
+    if held is not None:
+        yield unit, held
+
+
+def _partners(regs: np.ndarray, n: np.ndarray, x: np.ndarray, root: np.ndarray, band: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each left member of a block the right ones of other components that come near enough.
+
+    Pairs that met under an earlier band are left out, as they have been looked at there.
+    """
+    right = np.flatnonzero(~x)
+    for i in np.flatnonzero(x):
+        other = right[(root[right] != root[i]) & (n[right] * 100 >= n[i] * percent) & (n[i] * 100 >= n[right] * percent)]
+        other = other[near_enough(regs[other], regs[i], n[other], n[i])]
+        if band and len(other):
+            other = other[~(regs[other, : band * ROWS] == regs[i, : band * ROWS]).reshape(len(other), band, ROWS).all(2).any(1)]
+        yield i, other
+
+
+def _open(percent: int, schema: pa.Schema):
+    """Of a block's rows (key, xb, yb, x, cid, root, band, n, regs) those with a partner, by registers alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit, rows in _units(batches, ["x", "cid", "root", "band", "n", "regs"]):
+            regs, n = np.frombuffer(b"".join(rows["regs"]), np.uint16).reshape(-1, BUCKETS), np.array(rows["n"], np.int64)
+            with_partner = np.zeros(len(n), bool)
+            for i, other in _partners(regs, n, np.array(rows["x"]), np.array(rows["root"]), rows["band"][0], percent):
+                with_partner[other] = True
+                with_partner[i] |= len(other) > 0
+            found = np.flatnonzero(with_partner)
+            columns = [[value] * len(found) for value in unit] + [[rows[c][i] for i in found] for c in ("x", "cid", "root", "band")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return run
+
+
+def _bridges(k: int, percent: int, id_type: pa.DataType):
+    """Of a block's rows (key, xb, yb, x, cid, root, band, text) links between components, enough to join them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _units(batches, ["x", "cid", "root", "band", "text"]):
+            sets = [shingles(t, k) for t in rows["text"]]
+            full = [i for i, s in enumerate(sets) if len(s)]  # of rows that share a doc_id one may be empty
+            sets = [sets[i] for i in full]
+            x, root = (np.array([rows[c][i] for i in full]) for c in ("x", "root"))
+            found = []
+            if sets:
+                regs, n = np.stack([registers(s) for s in sets]), np.array([len(s) for s in sets])
+                part = root.copy()  # the component of each row, as far as known here
+                for i, others in _partners(regs, n, x, root, rows["band"][0], percent):
+                    for j in others:
+                        if part[i] != part[j]:
+                            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                            if both and 100 * both >= percent * (n[i] + n[j] - both):
+                                a, b = rows["root"][full[i]], rows["root"][full[j]]
+                                found.append((min(a, b), max(a, b)))
+                                part[part == part[j]] = part[i]
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], id_type) for c in (0, 1)], ["a", "b"])
 
     return run
 
@@ -204,11 +268,13 @@ def components(links: DataFrame) -> DataFrame:
     node with very many links is spread. A round's links are written; rounds grow with the logarithm of the
     longest path.
     """
+    spark = links.sparkSession
 
     def count(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
 
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    used: list[str] = []
+    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links", used)
     before = count(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -216,68 +282,84 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
-        edges = written(small, "links")
+        edges = written(small, "links", used)
+        remove(spark, used[:-1])
+        del used[:-1]
         now = count(edges)
         if now == before:
             break
         before = now
-    roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _compared(may: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b) of classes those that are linked, confirmed on full sets."""
-    kind = dict(may.dtypes)["a"]
-    needed = may.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    texts = written(docs.select(F.col("doc_id").alias("cid"), F.col("text").cast("string").alias("text")).join(needed, "cid", "left_semi"), "texts")
-    side = lambda c: texts.select(F.col("cid").alias(c), F.col("text").alias(f"text_{c}"))
-    return written(may.join(side("a"), "a").join(side("b"), "b").mapInArrow(_linked(k, percent), f"a {kind}, b {kind}"), "links")
+def _star_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) of distinct pairs (member, hub), confirmed on full sets.
+
+    A member's text goes to one part of each of its hubs, a hub's text to all of its parts.
+    """
+    kind = dict(pairs.dtypes)["hub"]
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / STAR_PART).cast("int").alias("parts"))
+    as_member = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("order"), F.col("member").alias("cid"))
+    as_hub = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("order"), F.col("hub").alias("cid"))
+    dealt = as_hub.unionByName(as_member).join(texts.hint("merge"), "cid").select("hub", "part", "order", "cid", "text")
+    dealt = dealt.repartition("hub", "part").sortWithinPartitions("hub", "part", "order")
+    return dealt.mapInArrow(_stars(k, percent), f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
+    spark, used = docs.sparkSession, []
     sketch = written(sketches(docs, k), "sketches")
     real = sketch.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = written(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("cid")), "classes")
-    reps = real.withColumnRenamed("doc_id", "cid").join(classes, ["cid", "h1", "h2"]).dropDuplicates(["cid", "h1", "h2"])
-    reps = written(reps.select("cid", "n", "regs"), "class-sketches")
-    kind = dict(reps.dtypes)["cid"]
-    bands = reps.mapInArrow(_bands, f"key long, cid {kind}, n int, band int")
+    # a set of n is at best n / (n + 1) similar to another one
+    reps = real.filter(F.col("n") * (100 - percent) >= percent).withColumnRenamed("doc_id", "cid").join(classes.hint("merge"), ["cid", "h1", "h2"]).dropDuplicates(["cid", "h1", "h2"])
+    reps = written(reps.select("cid", "n", "regs"), "class-sketches", used)
+    kind, id_type = dict(reps.dtypes)["cid"], to_arrow_type(reps.schema["cid"].dataType)
+    bands = reps.mapInArrow(_bands, f"key long, cid {kind}, nb long")
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    active = written(bands.join(shared, "key"), "shared-bands")
+    active = bands.join(shared.hint("merge"), "key").select("key", "cid", "c", F.expr(f"nb div {BANDS}").alias("n"), (F.col("nb") % BANDS).cast("int").alias("band"))
+    active = written(active, "shared-bands", used)
 
+    # the first by weight, then by id, as a struct that is least: no arithmetic on ids
+    centre = active.groupBy("cid").agg((-F.sum("c")).alias("light"))
+    hubs = active.join(centre, "cid").groupBy("key").agg(F.min(F.struct("light", F.col("cid").alias("id"), "n")).alias("hub")).select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
     fits = lambda x, y: F.col(x) * 100 >= F.col(y) * percent
-    centre = active.groupBy("cid").agg(F.sum("c").alias("weight"))
-    hubs = active.join(centre, "cid").groupBy("key").agg(F.max(F.struct("weight", (-F.col("cid")).alias("less"), "n")).alias("hub"))
-    hubs = hubs.select("key", (-F.col("hub.less")).alias("hub"), F.col("hub.n").alias("hub_n"))
     stars = active.join(hubs, "key").filter((F.col("cid") != F.col("hub")) & fits("n", "hub_n") & fits("hub_n", "n"))
-    pairs = stars.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
-    side = lambda c: reps.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
-    near = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_similar, f"a {kind}, b {kind}"), "star-pairs")
-    links = _compared(near, docs, k, percent)
-    roots = components(links)
+    pairs = stars.select(F.col("cid").alias("member"), "hub").distinct()
+    registers_of = written(reps.join(active.select("cid").distinct().hint("merge"), "cid", "left_semi"), "active-sketches", used)
+    side = lambda c: registers_of.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}")).hint("merge")
+    near = written(pairs.join(side("member"), "member").join(side("hub"), "hub").mapInArrow(_similar(percent), f"member {kind}, hub {kind}").distinct(), "star-pairs", used)
+    plain = docs.select(F.col("doc_id").alias("cid"), F.col("text").cast("string").alias("text"))
+    texts = written(plain.join(near.select(F.explode(F.array("member", "hub")).alias("cid")).distinct().hint("merge"), "cid", "left_semi"), "star-texts", used)
+    roots = components(_star_links(near, texts, k, percent))
 
     # keys of three or more whose members are still apart; a key of two had its only pair compared
-    now = active.filter("c > 2").join(roots, F.col("cid") == F.col("node"), "left").select("key", "cid", "n", "band", F.coalesce("root", "cid").alias("root"))
-    parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("size").alias("all"), F.max(F.struct("size", (-F.col("root")).alias("less"))).alias("main"))
-    parts = parts.filter("roots > 1").select("key", "all", (F.col("all") - F.col("main.size")).alias("others"), (-F.col("main.less")).alias("main"))
-    apart = written(now.join(parts, "key"), "keys-apart")
+    now = active.filter("c > 2").join(roots, F.col("cid") == F.col("node"), "left").select("key", "cid", "band", F.coalesce("root", "cid").alias("root"))
+    sizes = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    parts = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("size").alias("all"), F.min(F.struct((-F.col("size")).alias("less"), F.col("root").alias("id"))).alias("main"))
+    parts = parts.filter("roots > 1").select("key", "all", (F.col("all") + F.col("main.less")).alias("others"), F.col("main.id").alias("main"))
+    apart = written(now.join(parts, "key"), "keys-apart", used)
     # every member goes to the blocks of the others, and these again to the blocks of all
     block = lambda size: F.pmod(F.xxhash64("cid"), F.col(size)).cast("int")
     sized = apart.withColumn("bx", F.ceil(F.col("others") / BLOCK_X).cast("int")).withColumn("by", F.ceil(F.col("all") / BLOCK_Y).cast("int"))
     as_y = F.transform(F.sequence(F.lit(0), F.col("bx") - 1), lambda i: F.struct(i.alias("xb"), block("by").alias("yb"), F.lit(False).alias("x")))
     as_x = F.when(F.col("root") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("by") - 1), lambda i: F.struct(block("bx").alias("xb"), i.alias("yb"), F.lit(True).alias("x"))))
     dealt = sized.select("key", F.explode(F.concat(as_y, F.coalesce(as_x, F.array().cast("array<struct<xb:int,yb:int,x:boolean>>")))).alias("b"), "cid", "root", "band")
-    texts = docs.select(F.col("doc_id").alias("cid"), F.col("text").cast("string").alias("text")).join(apart.select("cid").distinct(), "cid", "left_semi")
-    dealt = dealt.join(texts, "cid").select("key", "b.xb", "b.yb", "b.x", "cid", "root", "band", "text")
+    dealt = dealt.join(registers_of.hint("merge"), "cid").select("key", "b.xb", "b.yb", "b.x", "cid", "root", "band", "n", "regs")
     dealt = dealt.repartition("key", "xb", "yb").sortWithinPartitions("key", "xb", "yb")
-    id_type = pa.int64() if kind == "bigint" else pa.int32()
-    bridges = written(dealt.mapInArrow(_bridges(k, percent, id_type), f"a {kind}, b {kind}").distinct(), "bridges")
+    schema = f"key long, xb int, yb int, x boolean, cid {kind}, root {kind}, band int"
+    fields = pa.schema([("key", pa.int64()), ("xb", pa.int32()), ("yb", pa.int32()), ("x", pa.bool_()), ("cid", id_type), ("root", id_type), ("band", pa.int32())])
+    unsolved = written(dealt.mapInArrow(_open(percent, fields), schema), "open-blocks", used)
     named = classes.join(roots, F.col("cid") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "cid").alias("component_id"))
-    if not bridges.isEmpty():
+    if not unsolved.isEmpty():
+        texts = plain.join(unsolved.select("cid").distinct().hint("merge"), "cid", "left_semi")
+        whole = unsolved.join(texts.hint("merge"), "cid").select("key", "xb", "yb", "x", "cid", "root", "band", "text")
+        whole = whole.repartition("key", "xb", "yb").sortWithinPartitions("key", "xb", "yb")
         # only components are joined now, so the graph is that of the new links between them
-        joined = components(bridges).select(F.col("node").alias("component_id"), F.col("root").alias("least"))
+        joined = components(whole.mapInArrow(_bridges(k, percent, id_type), f"a {kind}, b {kind}")).select(F.col("node").alias("component_id"), F.col("root").alias("least"))
         named = named.join(joined, "component_id", "left").select("h1", "h2", F.coalesce("least", "component_id").alias("component_id"))
-    whole = sketch.join(named, ["h1", "h2"], "left")
+    remove(spark, used)
+    result = sketch.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return whole.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return result.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))

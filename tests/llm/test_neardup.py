@@ -77,3 +77,53 @@ def test_components_of_a_long_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000)]
     found = {r.node: r.root for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(1, 201)} | {1000 + i: 1000 for i in range(1, 300)}
+
+
+def crowded(rng):
+    """Texts of which many share bands and few are near: all replace some words of one of three texts."""
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(24)]
+        for _ in range(40):
+            text = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                text[rng.randrange(24)] = rng.choice("xyz")
+            rows.append((len(rows), " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_blocks_and_parts_of_a_few_members(spark, monkeypatch, seed):
+    monkeypatch.setattr(neardup, "BLOCK_X", 4)
+    monkeypatch.setattr(neardup, "BLOCK_Y", 4)
+    monkeypatch.setattr(neardup, "STAR_PART", 3)
+    rows = crowded(random.Random(seed))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80)
+    want = brute(rows, 2, 80)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()) == want
+    assert 3 < len({r[2] for r in want}) < len(rows)
+
+
+def test_ids_of_other_types(spark):
+    rows = crowded(random.Random(3))[:60]
+    want = {(i, c) for i, _, c, _ in brute([(i - 2**63, t) for i, t in rows], 2, 80)}
+    least = neardup.near_duplicates(spark.createDataFrame([(i - 2**63, t) for i, t in rows], "doc_id long, text string"), 2, 80)
+    assert {(r.doc_id, r.component_id) for r in least.collect()} == want
+    names = neardup.near_duplicates(spark.createDataFrame([(f"d{i:03}", t) for i, t in rows], "doc_id string, text string"), 2, 80)
+    assert {(r.doc_id, r.component_id) for r in names.collect()} == {(f"d{i + 2**63:03}", f"d{c + 2**63:03}") for i, c in want}
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(5, a), (5, b), (5, None), (6, a + " c"), (7, b + " c"), (8, "c d e")]
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()}
+    assert {(6, 5), (7, 5), (8, 8)} <= got
+
+
+def test_nothing_is_left_but_what_the_result_reads(spark):
+    from mnemora import session
+
+    session.clean(spark)
+    got = neardup.near_duplicates(spark.createDataFrame(crowded(random.Random(4)), "doc_id long, text string"), 2, 80)
+    assert got.count() == 120 and len(session._written) <= 4
+    session.clean(spark)
