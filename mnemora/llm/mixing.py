@@ -8,13 +8,19 @@ it gets, a shortage is first made up by siblings and reaches an ancestor only if
 
 A leaf's tokens are whole epochs over all its documents, and of one more epoch the first documents in an
 order seeded by (seed, epoch, doc_id) whose tokens fit. That prefix is found without sorting a leaf in one
-task: sums by equal ranges of the order (about 1,024 documents each), a running sum over these, and rows are
-only sorted in the one range where the budget ends.
+task: a leaf's order is cut into equal ranges of RANGE_ROWS documents at most on average, whose tokens are
+summed. The range where the budget ends is found from the top: of FAN large parts of the order, the one where
+a running sum passes the budget, of its FAN parts again, and so on, so no task runs over more than FAN sums of
+a leaf. Rows are only sorted in that one range.
 
 Shortfall: documents are taken whole and the prefix ends at the first that does not fit, so a leaf leaves less than
 that one document's tokens, and what it leaves goes to nobody. A small leaf with a long document early in its order
 can thus leave most of its tokens (README.md has measured shares).
 
+Children are ordered by tokens per weight exactly (whole part, then 18 digits), which holds for weights below
+10 ** 9; larger ones are refused. The children of one node are shared out in one task: there are as many as
+different values of a level under it, not rows.
+
 Defined results. Weights are integers of 0 or more; a value without one has weight 1. Null and '' are one
 value of a level. Nothing is taken from a leaf that gets no tokens. Shares are rounded down, so a node may
 leave as many tokens as it has children. Rows without tokens (null or empty text) cost none and follow the
@@ -29,7 +35,10 @@ from pyspark.sql import functions as F
 
 from mnemora.llm._shared import written
 
-RANGE_ROWS = 1024
+RANGE_ROWS = 256
+#: Bits of a step in the search for the last range; FAN is 2 ** FAN_BITS.
+FAN_BITS = 10
+MOST_WEIGHT = 10**9
 _ORDER_BITS = 60
 
 
@@ -43,9 +52,10 @@ def _big(c: Column) -> Column:
 
 def _share(children: DataFrame, parent: list[str], name: str) -> DataFrame:
     """children (parent columns, name, cap, weight, total: the parent's tokens) with their own tokens as total."""
-    by_room = Window.partitionBy(*parent).orderBy("room", name)
+    by_room = Window.partitionBy(*parent).orderBy("room", "room_more", name)
     before, after = by_room.rowsBetween(Window.unboundedPreceding, -1), by_room.rowsBetween(0, Window.unboundedFollowing)
-    rows = children.filter("weight > 0").withColumn("room", F.expr("cast(cap as decimal(19,0)) * 1000000 div weight"))
+    rows = children.filter("weight > 0").withColumn("room", F.expr("cap div weight"))
+    rows = rows.withColumn("room_more", F.expr("cast(cap % weight as decimal(19,0)) * 1000000000000000000 div weight"))
     rows = rows.withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("weight_left", F.sum("weight").over(after))
     full = _big(F.col("cap")) * _big(F.col("weight_left")) <= _big(F.col("total") - F.col("cap_before")) * _big(F.col("weight"))
     rows = rows.withColumn("full", full)
@@ -61,6 +71,8 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: list[dict[str, i
 
     budget is an aggregate expression over leaves, such as F.lit(10 ** 9) or F.sum("tokens") * 2.
     """
+    if any(not 0 <= w < MOST_WEIGHT for level in weights for w in level.values()):
+        raise ValueError(f"weights are from 0 to less than {MOST_WEIGHT}")
     total = leaves.agg(F.least(budget.cast("long"), F.sum(F.col("tokens") * max_epochs))).first()[0] or 0
     given = None
     for i, name in enumerate(levels):
@@ -73,6 +85,23 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: list[dict[str, i
     return leaves.join(given, levels, "left").withColumn("total", F.coalesce("total", F.lit(0)))
 
 
+def _last_range(ranges: DataFrame, names: list[str], most: int) -> DataFrame:
+    """names, last (range, before: the tokens of earlier ranges) of leaves whose ranges hold more than rest."""
+    last = None
+    for depth in range(FAN_BITS, max(most, 1) + FAN_BITS, FAN_BITS):
+        part = lambda d: F.expr(f"shiftright(range, greatest(bits - {d}, 0))")
+        inside = ranges.withColumn("part", part(depth))
+        if last is None:
+            inside = inside.withColumn("before", F.lit(0).cast("long"))
+        else:
+            inside = inside.join(last, names).filter(part(depth - FAN_BITS) == F.col("last.range")).withColumn("before", F.col("last.before"))
+        sums = inside.groupBy(*names, "part").agg(F.sum("sum").alias("sum"), F.max("rest").alias("rest"), F.max("before").alias("before"))
+        sums = sums.withColumn("upto", F.col("before") + F.sum("sum").over(Window.partitionBy(*names).orderBy("part")))
+        first = F.min(F.struct(F.col("part").alias("range"), (F.col("upto") - F.col("sum")).alias("before")))
+        last = sums.filter("upto > rest").groupBy(*names).agg(first.alias("last"))
+    return last
+
+
 def mix(docs: DataFrame, levels: dict[str, Column], weights: list[dict[str, int]], budget: Column, max_epochs: int = 1, seed: int = 0, tokens: Column | None = None) -> DataFrame:
     """doc_id, levels, tokens, copies (how often the document is taken) of every row of docs.
 
@@ -91,10 +120,9 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[dict[str, int]
 
     order = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), F.col("epochs") + 1, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, _ORDER_BITS // 4), 16, 10).cast("long")
     rows = slim.join(plan, names).withColumn("order", order).withColumn("range", F.expr(f"shiftright(order, {_ORDER_BITS} - bits)"))
-    ranges = rows.groupBy(*names, "range").agg(F.sum("tokens").alias("sum"), F.max("rest").alias("rest"))
-    upto = Window.partitionBy(*names).orderBy("range")
-    ranges = ranges.withColumn("upto", F.sum("sum").over(upto))
-    last = ranges.filter("upto > rest").groupBy(*names).agg(F.min(F.struct("range", (F.col("upto") - F.col("sum")).alias("before"))).alias("last"))
+    ranges = written(rows.groupBy(*names, "range").agg(F.sum("tokens").alias("sum"), F.max("rest").alias("rest"), F.max("bits").alias("bits")), "mixing-ranges")
+    most = ranges.agg(F.max("bits")).first()[0] or 0
+    last = _last_range(ranges, names, most)
     rows = rows.join(last, names, "left").withColumn("edge", F.col("last.range"))
     columns = ["doc_id", *names, "tokens"]
     taken = lambda more: F.when(F.col("total") > 0, F.col("epochs") + more.cast("long")).otherwise(F.lit(0)).cast("long").alias("copies")

@@ -46,7 +46,8 @@ def brute(rows, weights, budget, epochs, seed):
 
 @pytest.mark.parametrize("budget,epochs", [(500, 1), (4000, 3), (10**9, 2), (0, 1), (7, 1)])
 def test_against_brute_force(spark, monkeypatch, budget, epochs):
-    monkeypatch.setattr(mixing, "RANGE_ROWS", 8)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 4)
+    monkeypatch.setattr(mixing, "FAN_BITS", 2)
     rng = random.Random(budget)
     rows = [(i, rng.choice("aaab"), rng.choice("xxxxxyz"), rng.choice([0, 1, 5, 9, 30])) for i in range(300)]
     weights = [{"a": 2, "b": 3}, {"x": 1, "y": 50, "z": 0}]
@@ -70,3 +71,19 @@ def test_edges(spark):
     got = mixing.mix(df, levels, [{}, {}, {}], F.sum("tokens"), 1, 1).collect()
     assert len(got) == df.count() and all(r.copies == 1 for r in got if r.tokens)
     assert mixing.mix(df.limit(0), levels, [{}, {}, {}], F.sum("tokens"), 1, 1).collect() == []
+
+
+def test_children_by_true_ratio(spark):
+    """Caps and weights whose ratios differ only far behind the point, against fractions."""
+    rng = random.Random(5)
+    rows, weights = [], {}
+    for i in range(40):
+        weights[f"s{i:02}"] = w = rng.randint(900_000_000, 999_999_999)
+        rows.append((i, f"s{i:02}", w // 1_000_003 + rng.randint(0, 1)))
+    df = spark.createDataFrame(rows, "doc_id long, p string, n long").withColumn("text", F.lit(""))
+    for budget in (sum(r[2] for r in rows) * 99 // 100, sum(r[2] for r in rows) - 7):
+        leaves = df.groupBy("p").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows"))
+        got = {r.p: r.total for r in mixing.leaf_budgets(leaves, ["p"], [weights], F.lit(budget), 1).collect()}
+        assert got == share([(p, n, weights[p]) for _, p, n in sorted(rows, key=lambda r: r[1])], budget)
+    with pytest.raises(ValueError):
+        mixing.leaf_budgets(leaves, ["p"], [{"s00": 10**9}], F.lit(1), 1)
