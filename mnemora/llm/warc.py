@@ -1,22 +1,24 @@
 """WARC archives: written with an index, read back by sorted, coalesced byte ranges.
 
 Write. Records with equal payload digests become one response, that with the smallest page_id, and revisits
-of it. Each task writes its rows, sorted by page_id, as one archive of gzip members (a record each) in the
-shared folder, under a name of its own until it is whole, and returns an index row per record: archive,
-offset, length, URL and digest. A task that runs again writes the same bytes to the same name. The index is
-kept as a Parquet table beside the archives.
+of it. Each task writes its rows, sorted by page_id, URL and digest, as one archive of gzip members (a
+record each) in the shared folder, under a name of its own until it is whole, and returns an index row per
+record: archive, offset, length, URL and digest. Rows equal in all three are equal records, so a task that
+runs again writes the same bytes to the same name. The index is kept as a Parquet table beside the archives.
 
-Read. Index rows, selected by any filter, are dealt by archive and stretch of STRETCH bytes and sorted by
-offset; neighbours less than GAP bytes apart are read at once, READ bytes at most. Every record is parsed
-and its payload's digest compared with the one it states.
+Read. Index rows, selected by any filter, are dealt by archive and stretch of STRETCH bytes to as many
+partitions as there are STRETCH bytes to read (the index alone is so small that Spark would put it into one
+task), and sorted by offset; neighbours less than GAP bytes apart are read at once, READ bytes at most. Every
+record is parsed and its payload's digest compared with the one it states.
 
 Payload digests are bare upper-case base32 SHA-1 of the full payload. The payload's full length is also
 stated in a revisit (field X-Full-Payload-Length), which has no payload itself.
 
 Defined results. A null payload is as an empty one. Payloads shorter than least_bytes are all responses.
-Rows that repeat the smallest page_id of a digest are all responses. A null URL is written as "-" and read
-as null, white space and controls in one as %XX; a null page_id has no record id, its row is a response unless others share its digest, and then a
-revisit of the smallest id. Other columns are not read. An empty table writes no archive.
+Rows that repeat the smallest page_id of a digest are all responses. A null URL has no field in its record;
+white space and controls in a URL are written as %XX. A null page_id has no record id; its row is a response
+unless others share its digest, and then a revisit of the smallest id. Other columns are not read. An empty
+table writes no archive.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from mnemora.llm._shared import fresh_path
 
-GAP, READ, STRETCH = 1 << 16, 8 << 20, 64 << 20
+GAP, READ, STRETCH = 1 << 16, 8 << 20, 16 << 20
 _END = b"\r\n\r\n"
 #: Every record has the same date: the table has none, and a task that runs again must write the same bytes.
 _DATE = "1970-01-01T00:00:00Z"
@@ -50,12 +52,12 @@ def record(page_id, url: str | None, payload: bytes, sha1: str, refers_to) -> by
     revisit = refers_to is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    target = "-" if url is None else "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
+    target = [] if url is None else ["WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url)]
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        f"WARC-Target-URI: {target}",
+        *target,
         f"WARC-Date: {_DATE}",
         f"WARC-Payload-Digest: sha1:{sha1}",
     ]
@@ -78,7 +80,7 @@ def parse(member: bytes) -> dict:
     name = lambda x: x.removeprefix("<urn:page:").removesuffix(">") or None
     return {
         "page_id": name(fields["WARC-Record-ID"]),
-        "url": None if fields["WARC-Target-URI"] == "-" else fields["WARC-Target-URI"],
+        "url": fields.get("WARC-Target-URI"),
         "record_type": fields["WARC-Type"],
         "payload": None if revisit else payload,
         "payload_bytes": int(fields["X-Full-Payload-Length"]) if revisit else len(payload),
@@ -98,7 +100,7 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) ->
     firsts = rows.filter(F.col("bytes") >= least_bytes).groupBy("sha1", "bytes").agg(F.min("page_id").alias("first"))
     whole = rows.join(firsts, ["sha1", "bytes"], "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    whole = whole.select("page_id", "url", "payload", "sha1", refers.alias("refers_to")).sortWithinPartitions("page_id", "url")
+    whole = whole.select("page_id", "url", "payload", "sha1", refers.alias("refers_to")).sortWithinPartitions("page_id", "url", "sha1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -136,7 +138,8 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) ->
 def read(folder: str, selected: DataFrame, id_type: str = "long", payloads: bool = True) -> DataFrame:
     """The records that the rows of selected, from the index, point to."""
     dealt = selected.select("archive", "offset", "length", F.expr(f"offset div {STRETCH}").alias("stretch"))
-    dealt = dealt.repartition("archive", "stretch").sortWithinPartitions("archive", "offset")
+    much = selected.agg(F.sum("length")).first()[0] or 0
+    dealt = dealt.repartition(much // STRETCH + 1, "archive", "stretch").sortWithinPartitions("archive", "offset")
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "sound"] + ["payload"] * payloads
     types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_()] + [pa.binary()] * payloads
 

@@ -53,3 +53,23 @@ def test_selected_records_and_archives(spark, monkeypatch):
 def test_a_broken_payload_is_found():
     member = warc.record(1, "u", b"abc", warc.digest(b"abd"), None)
     assert not warc.parse(member)["sound"]
+
+
+def test_rows_of_one_id_and_url_are_written_in_one_order(spark):
+    rows = [(1, "-", f"<p>{i}</p>") for i in range(40)] + [(1, None, "<p>none</p>"), (1, "", "<p>empty</p>")]
+    written = []
+    for order in (rows, rows[::-1]):
+        folder, index = warc.write(spark.createDataFrame(order, "page_id long, url string, html string").repartition(3))
+        fs, base = pafs.FileSystem.from_uri(folder)
+        written.append([(x.base_name, fs.open_input_file(x.path).read()) for x in sorted(fs.get_file_info(pafs.FileSelector(base)), key=lambda x: x.path) if x.path.endswith(".gz")])
+        got = {(r.url, bytes(r.payload).decode()) for r in warc.read(folder, index).collect()}
+        assert got == {(url, html) for _, url, html in rows}
+    assert written[0] == written[1]
+
+
+def test_reading_is_dealt_by_bytes(spark, monkeypatch):
+    folder, index = warc.write(pages(spark).repartition(2))
+    monkeypatch.setattr(warc, "STRETCH", 500)
+    much = index.agg(F.sum("length")).first()[0]
+    got = warc.read(folder, index)
+    assert got.rdd.getNumPartitions() == much // 500 + 1 > 4 and got.count() == len(ROWS)
