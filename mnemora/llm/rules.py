@@ -1,15 +1,16 @@
 """Quality rules as a bitmask ledger, with DataFrame operations only.
 
-Every rule is evaluated once for each document. The ledger holds the measurements and one bit per failed
-rule. Policies, by version, only combine bits; ablations (what a rule alone rejects) are counts of masked
-bits, so neither reads a text again.
+Every rule is evaluated once for each document. The ledger, a written table, holds the measurements and one
+bit per failed rule. Policies, by version, only combine bits; ablations (what a rule alone rejects) are counts
+of masked bits, so neither reads a text again.
 
 Measurements: n_words (words `[^\\x20\\x09-\\x0D]+`), word_chars (code points in words), n_symbols (characters
 of `[#*$%&|<>]`), n_dup_lines (\\n-split lines with a word, equal to an earlier line), n_repeat_words (words
 in 8-word windows found twice or more in the text, the first included).
 
 Repeated windows: windows are hashed to 64 bits; only if two hashes of a text are equal are they sorted with
-their positions, and the words covered by repeated windows are summed up over neighbouring positions.
+their positions. Windows of equal hashes are then sorted by their words, so that a collision of hashes repeats
+nothing, and the words covered by repeated windows are summed up over neighbouring positions.
 
 Defined results. A null text has no words: all measurements are 0, and it fails the rules on words. Rules
 hold for each row by itself, so repeated rows, ids or null ids don't matter. Other columns are not read.
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemora.llm._shared import written
+
 WINDOW = 8
 _WORD, _SPACE, _SYMBOL = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]+", r"[#*$%&|<>]"
 
@@ -36,6 +39,7 @@ RULES: dict[str, str] = {
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("few_words", "repeated_windows"),
     "v1": tuple(RULES),
+    "v2": ("few_words", "repeated_windows", "short_words", "symbols", "repeated_lines"),
 }
 
 
@@ -58,9 +62,9 @@ def ledger(docs: DataFrame) -> DataFrame:
         F.regexp_count("__text", F.lit(_SYMBOL)).cast("long").alias("n_symbols"),
     )
     n = F.size("__words")
-    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__hashes", i, F.lit(WINDOW)))))
     rows = rows.select(
         "doc_id",
+        "__words",
         "n_symbols",
         n.cast("long").alias("n_words"),
         F.aggregate("__words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
@@ -74,8 +78,10 @@ def ledger(docs: DataFrame) -> DataFrame:
     placed = F.array_sort(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     some = F.size("__windows") > F.size(F.array_distinct("__windows"))
     rows = rows.withColumn("__placed", F.when(some, placed))
-    twice = F.flatten(_neighbours(F.col("__placed"), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>"))))
-    rows = rows.withColumn("__at", F.array_sort(F.array_distinct(twice)))
+    twice = lambda sorted_, key: F.array_distinct(F.flatten(_neighbours(sorted_, lambda a, b: F.when(a[key] == b[key], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))))
+    # the words of windows whose hash repeats; others can't repeat
+    rows = rows.withColumn("__same", F.array_sort(F.transform(twice(F.col("__placed"), "h"), lambda i: F.struct(F.array_join(F.slice("__words", i + 1, F.lit(WINDOW)), " ").alias("w"), i.alias("i")))))
+    rows = rows.withColumn("__at", F.array_sort(twice(F.col("__same"), "w")))
     covered = F.aggregate(_neighbours(F.col("__at"), lambda a, b: F.least(b - a, F.lit(WINDOW))), F.lit(WINDOW), lambda a, x: a + x)
     rows = rows.withColumn("n_repeat_words", F.when(F.size("__at") > 0, covered).otherwise(F.lit(0)).cast("long"))
     failed = sum((F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())), F.lit(0)).cast("long")
@@ -103,5 +109,9 @@ def ablations(rows: DataFrame, policy: str) -> DataFrame:
 
 def verdicts(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The ledger of every row of docs with base_failed and kept (passes the base and the given policy)."""
-    rows = ledger(docs)
+    return judged(written(ledger(docs), "ledger"), policy)
+
+
+def judged(rows: DataFrame, policy: str) -> DataFrame:
+    """A ledger under a policy: base_failed, kept."""
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base")).alias("base_failed"), (passes("base") & passes(policy)).alias("kept"), "failed")
