@@ -9,11 +9,14 @@ bytes excluded after an escape. The shortest code wins. A text is coded in lower
 is no letter as a space.
 
 The trees of all languages share one table of byte strings, so that a text is coded by array lookups: the
-known string of n + 1 bytes that ends at a place follows from the one of n bytes before it and the byte.
+known string of n + 1 bytes that ends at a place follows from the one of n bytes before it and the byte. For
+contexts of up to DENSE bytes that step is a plain table of all contexts and bytes; for longer ones, of which
+few are followed by many bytes, a hash table of the strings that occur, so it grows with these alone.
 
-What is bounded: the sample of labelled documents that the trees are learnt from (docs_per_language, whole
-texts, chosen by a hash of doc_id) and the table (max_strings strings of each length, the most frequent).
-Every document is coded whole.
+What is bounded: the sample of labelled documents that the trees are learnt from (docs_per_language whole
+texts, chosen by a hash of doc_id). Every string of the sample is kept, and every document is coded whole.
+
+Defined results of a prediction are in `predict`, of a sample in `learn`.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ from pyspark.sql import functions as F
 #: Bytes that are coded together; longer texts are coded in several pieces, each with its left context.
 CHUNK = 1 << 20
 UNKNOWN = "und"
+#: Longest contexts whose steps are a plain table: at most 256 ** 3 entries.
+DENSE = 2
+#: Longest contexts there can be: a string is one byte longer and kept as a number of 64 bits.
+MOST_ORDER = 6
 
 
 def byte_classes() -> np.ndarray:
@@ -51,11 +58,51 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+class Steps:
+    """(string of k bytes, symbol) to string of k + 1 bytes, 0 if unknown, in an open-addressing hash table."""
+
+    def __init__(self, before: np.ndarray, symbol: np.ndarray, symbols: int):
+        self.symbols = symbols
+        keys = before.astype(np.int64) * symbols + symbol
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.zeros(1 << self.bits, np.int32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):  # each round, the first of those that want an empty slot gets it
+            free = np.flatnonzero(self.keys[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            own = free[first]
+            self.keys[slot[own]] = keys[left[own]]
+            self.values[slot[own]] = left[own] + 1
+            rest = np.ones(len(left), bool)
+            rest[own] = False
+            left, slot = left[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __getitem__(self, at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        keys = at[0].astype(np.int64) * self.symbols + at[1]
+        slot = self._slot(keys)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.values[slot], 0)
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        while len(left):
+            slot_left = slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[slot_left]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[slot_left[hit]]
+            left = left[~hit & (found >= 0)]
+        return out.astype(np.int32, copy=False)
+
+
 class Trees:
     """The context trees of all languages as lookup tables. Built on the driver from bounded counts."""
 
-    def __init__(self, languages: list[str], counts: list[tuple[int, int, int, int]], max_order: int, max_strings: int):
-        """counts: (language number, length, string as a number, how often)."""
+    def __init__(self, languages: list[str], counts: list[tuple[int, int, int, int]], max_order: int):
+        """counts: (language number, length, string as a number, how often). Every string's beginning occurs too."""
+        if not 0 <= max_order <= MOST_ORDER:
+            raise ValueError(f"max_order is from 0 to {MOST_ORDER}")
         self.languages, self.max_order = languages, max_order
         L = len(languages)
         table = np.array(counts, np.int64).reshape(-1, 4)
@@ -64,31 +111,24 @@ class Trees:
         self.symbol = np.zeros(256, np.int32)
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         A = self.A = len(seen) + 1
-        self.next: list[np.ndarray] = []  # [k]: (string of k bytes, symbol) to string of k + 1 bytes; 0: unknown
+        self.next: list[np.ndarray | Steps] = []  # [k]: (string of k bytes, symbol) to string of k + 1 bytes; 0: unknown
         self.cost: list[np.ndarray] = []  # [k]: code length of the last byte of a string of k + 1 bytes
         self.escape: list[np.ndarray] = []  # [k]: cost of leaving a context of k bytes
-        strings, ids = np.zeros(1, np.int64), {0: 1}  # the empty string is number 1
+        known = np.zeros(1, np.int64)  # strings of k bytes in order, numbered from 1; the empty one to begin with
         for k in range(max_order + 1):
             own = table[table[:, 1] == k + 1]
-            total = np.zeros(0)
-            if len(own):
-                names, where = np.unique(own[:, 2], return_inverse=True)
-                total = np.zeros(len(names))
-                np.add.at(total, where, own[:, 3])
-                names = names[np.lexsort((names, -total))][:max_strings] if len(names) > max_strings else names
+            names, where = np.unique(own[:, 2], return_inverse=True)
+            before = np.searchsorted(known, names >> 8) + 1 if k else np.ones(len(names), np.int64)
+            symbol = self.symbol[names & 255]
+            if k <= DENSE:
+                step = np.zeros((len(known) + 1, A), np.int32)
+                step[before, symbol] = np.arange(1, len(names) + 1)
             else:
-                names = np.zeros(0, np.int64)
-            before = np.array([ids.get(int(x) >> 8, 0) if k else 1 for x in names], np.int64)
-            names, before = names[before > 0], before[before > 0]
-            new = {int(x): i + 1 for i, x in enumerate(names)}
-            step = np.zeros((len(ids) + 1, A), np.int32)
-            step[before, self.symbol[names & 255]] = np.arange(1, len(names) + 1)
+                step = Steps(before, symbol, A)
             count = np.zeros((len(names) + 1, L))
-            for lang, _, x, n in own.tolist():
-                if (i := new.get(x)) is not None:
-                    count[i, lang] += n
-            n = np.zeros((len(ids) + 1, L))
-            d = np.zeros((len(ids) + 1, L))
+            np.add.at(count, (where + 1, own[:, 0]), own[:, 3])
+            n = np.zeros((len(known) + 1, L))
+            d = np.zeros((len(known) + 1, L))
             np.add.at(n, before, count[1:])
             np.add.at(d, before, count[1:] > 0)
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -101,7 +141,7 @@ class Trees:
             cost = np.zeros((len(names) + 1, L), np.float32)
             cost[1:] = np.where(count[1:] > 0, own_cost, escape[before] + lower)
             self.cost.append(cost)
-            strings, ids = names, new
+            known = names
 
     def _of_strings(self, names: np.ndarray, k: int) -> np.ndarray:
         """Code length of the last byte of strings of k + 1 bytes, with contexts of k - 1 bytes at most."""
@@ -163,18 +203,19 @@ class Trees:
         return out
 
 
-def learn(docs: DataFrame, docs_per_language: int = 400, max_order: int = 4, max_strings: int = 1 << 16) -> Trees:
+def learn(docs: DataFrame, docs_per_language: int = 400, max_order: int = 4) -> Trees:
     """Trees from the rows of docs (doc_id, text, lang) that aren't held out and have a language and a text.
 
-    About docs_per_language whole documents of each language are read, or all if it has fewer. Nothing is
-    learnt from an empty table.
+    About docs_per_language whole documents of each language are read, or all if it has fewer; what comes to
+    the driver are the counts of the different strings in these. Rows that repeat count each. Nothing is learnt
+    from an empty table.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     have = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(have)
     if not languages:
-        return Trees([], [], max_order, max_strings)
+        return Trees([], [], max_order)
     scale = 1 << 20
     share = F.create_map(*(F.lit(x) for l in languages for x in (l, min(scale, scale * docs_per_language // have[l] + 1))))
     number = F.create_map(*(F.lit(x) for i, l in enumerate(languages) for x in (l, i)))
@@ -194,7 +235,7 @@ def learn(docs: DataFrame, docs_per_language: int = 400, max_order: int = 4, max
 
     counts = picked.select("text", number[F.col("lang")].cast("int").alias("lang")).mapInArrow(count, "lang int, size int, string long, n long")
     found = counts.groupBy("lang", "size", "string").agg(F.sum("n").alias("n")).toArrow()
-    return Trees(languages, np.stack([found.column(c).to_numpy().astype(np.int64) for c in range(4)], 1) if found.num_rows else [], max_order, max_strings)
+    return Trees(languages, np.stack([found.column(c).to_numpy().astype(np.int64) for c in range(4)], 1) if found.num_rows else [], max_order)
 
 
 def predict(docs: DataFrame, trees: Trees, carry: list[str] = ()) -> DataFrame:
