@@ -49,6 +49,9 @@ def occurrences(words: Column, part: list[str]) -> Column:
 def bm25(rows: DataFrame, key: str, columns: list[str], query: str, limit: int | None = 20, phrase: bool = False) -> DataFrame:
     """key and score of the rows that have all the query's parts in the columns together, best first.
 
+    This reads every text: it is for tables that are searched once or are small. `operators.index` keeps an index
+    for all others. A phrase may go from one column into the next here.
+
     Statistics of the corpus come first, as a single row that is broadcast. Rows without the first token of
     any part are skipped before their text is split into tokens.
     """
@@ -62,7 +65,8 @@ def bm25(rows: DataFrame, key: str, columns: list[str], query: str, limit: int |
     for part in parts:
         may = may | F.col("text").contains(part[0])
     words = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
-    hits = folded.filter(may).select("key", words.alias("words")).select("key", F.size("words").alias("length"), *(occurrences(F.col("words"), p).alias(f"tf{i}") for i, p in enumerate(parts)))
+    # a generator's column is computed once for a row, however often it is used behind
+    hits = folded.filter(may).select("key", F.explode(F.array(words)).alias("words")).select("key", F.size("words").alias("length"), *(occurrences(F.col("words"), p).alias(f"tf{i}") for i, p in enumerate(parts)))
     lengths = folded.agg(F.count(F.lit(1)).alias("n"), F.avg(F.regexp_count("text", F.lit(TOKEN))).alias("average"))
     found = hits.agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(parts))))
     score = F.lit(0.0)

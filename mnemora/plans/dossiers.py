@@ -208,8 +208,8 @@ union all select * from (select 'page' as kind, row_number() over (order by page
 select * from f union all select 'summary', 1, 'total_hits', count(*)::varchar from f union all select 'summary', 2, 'kinds_with_results', count(distinct kind)::varchar from f
 """)
 def recall(v):
-    docs = search.ranked(search.bm25(v.table("documents"), "doc_id", ["text"], "the ing", 5), "doc_id")
-    items = search.ranked(search.bm25(v.table("benchmark"), "item_id", ["text"], "the", 5), "item_id")
+    docs = search.ranked(v.document_index().bm25("the ing", 5, columns=["text"]), "doc_id")
+    items = search.ranked(v.item_index().bm25("the", 5), "item_id")
     pages = v.table("pages").filter(F.lower("html").contains("the thing")).orderBy("page_id").limit(5).select("page_id", "url", F.lit(0.0).alias("score"))
     return dossier.recall({
         "document": docs.select("rank", F.col("doc_id").alias("id"), F.concat(F.lit("document "), F.col("doc_id")).alias("title")),

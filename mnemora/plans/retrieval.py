@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from mnemora.operators import search, vectors
 from mnemora.plans.catalog import query
+from mnemora.session import stored
 
 WORDS = "the edition"
 _TOK = r"regexp_extract_all(strip_accents(lower(coalesce({c}, ''))), '[\p{{L}}\p{{N}}]+')"
@@ -23,12 +24,12 @@ def bm25_sql(table: str, key: str, column: str, terms: list[str], limit: int, na
 
 @query("kw_bm25", "with " + bm25_sql("documents", "doc_id", "text", ["the", "ing"], 20) + " select doc_id, score from r")
 def kw_bm25(v):
-    return search.bm25(v.table("documents"), "doc_id", ["text"], "the Ing", 20)
+    return v.document_index().bm25("the Ing", 20, columns=["text"])
 
 
 @query("kw_all_hits", "with " + bm25_sql("documents", "doc_id", "text", ["éau", "de"], 1_000_000).replace("'éau'", "'eau'") + " select doc_id, score from r")
 def kw_all_hits(v):
-    return search.bm25(v.table("documents"), "doc_id", ["text"], "ÉAU de", None)
+    return v.document_index().bm25("ÉAU de", None, columns=["text"])
 
 
 @query("kw_phrase", f"""
@@ -38,13 +39,12 @@ s as (select count(*) as n, avg(dl) as av, count(*) filter (where tf > 0) as df
 select doc_id, round(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av)), 6) as score from p, s where tf > 0 order by score desc, doc_id limit 20
 """)
 def kw_phrase(v):
-    return search.bm25(v.table("documents"), "doc_id", ["text"], "of the", 20, phrase=True)
+    return v.document_index().bm25("of the", 20, phrase=True, columns=["text"])
 
 
 @query("kw_column", "with " + bm25_sql("conversations", "conv_id * 1000 + turn as id", "text", ["the"], 20, where="role = 'assistant'").replace("select conv_id * 1000 + turn as id, len(w)", "select id, len(w)").replace("select conv_id * 1000 + turn as id, round", "select id, round").replace("score desc, conv_id * 1000 + turn as id", "score desc, id") + " select id, score from r")
 def kw_column(v):
-    turns = v.table("conversations").filter("role = 'assistant'").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    return search.bm25(turns, "id", ["text"], "the", 20)
+    return v.turn_index("assistant").bm25("the", 20)
 
 
 @query("kw_postings", f"""
@@ -67,7 +67,7 @@ def kw_or_semi(v):
 
 @query("kw_snippet")
 def kw_snippet(v):
-    hits = search.bm25(v.table("documents"), "doc_id", ["text"], "the ing", 20)
+    hits = v.document_index().bm25("the ing", 20, columns=["text"])
     return v.table("documents").join(F.broadcast(hits), "doc_id").select("doc_id", "score", search.snippet(F.col("text"), "the ing").alias("snippet"))
 
 
@@ -83,9 +83,9 @@ s3 as (select doc_id, 'label' as source, 2 as p, rank from (select doc_id, row_n
 select doc_id, source, row_number() over (order by p, rank, doc_id)::int as place from (select * from s1 union all select * from s2 union all select * from s3)
 """)
 def kw_waterfall(v):
-    docs = v.table("documents").select("doc_id", "text", F.substring("text", 1, 60).alias("head"))
-    head = search.ranked(search.bm25(docs, "doc_id", ["head"], "the of", 40), "doc_id")
-    body = search.ranked(search.bm25(docs, "doc_id", ["text"], "the of", 40), "doc_id")
+    docs = v.document_index()
+    head = search.ranked(stored(docs.bm25("the of", 40, columns=["head"]), "head"), "doc_id")
+    body = search.ranked(stored(docs.bm25("the of", 40, columns=["text"]), "body"), "doc_id")
     toxic = v.table("labels").filter("toxic = 1").orderBy("doc_id").limit(40).select("doc_id", F.lit(0.0).alias("score"))
     return search.waterfall([("head", head), ("body", body), ("label", search.ranked(toxic, "doc_id"))], "doc_id", 40)
 
@@ -150,7 +150,7 @@ _SEM = f"h as (select vec_id, similarity from (select e.vec_id, {_COS} as simila
 select id, round(sum(1.0::double / (60 + rank)), 12) as score, min(rank)::int as best from (select * from k union all select * from s) group by id
 """)
 def rrf_fusion(v):
-    kw = search.ranked(search.bm25(v.table("documents"), "doc_id", ["text"], "the ing", 40), "doc_id").select(F.lit("k").alias("list"), F.col("doc_id").alias("id"), "rank")
+    kw = search.ranked(v.document_index().bm25("the ing", 40, columns=["text"]), "doc_id").select(F.lit("k").alias("list"), F.col("doc_id").alias("id"), "rank")
     sem = search.ranked(_hits(v).withColumnRenamed("similarity", "score"), "vec_id").select(F.lit("s").alias("list"), F.col("vec_id").alias("id"), "rank")
     return vectors.rrf(kw.unionByName(sem))
 
@@ -161,7 +161,7 @@ t as (select *, row_number() over (order by score desc, best, id)::int as place
 select id, score, place, case when id in (select id from k) then 'keyword' else 'semantic' end as source from t where place <= 10
 """)
 def hybrid_search(v):
-    kw = search.ranked(search.bm25(v.table("documents"), "doc_id", ["text"], "the ing", 40), "doc_id").select(F.col("doc_id").alias("id"), "rank")
+    kw = search.ranked(v.document_index().bm25("the ing", 40, columns=["text"]), "doc_id").select(F.col("doc_id").alias("id"), "rank")
     sem = search.ranked(_hits(v).withColumnRenamed("similarity", "score"), "vec_id").select(F.col("vec_id").alias("id"), "rank")
     return vectors.hybrid(kw, sem, 10)
 
@@ -180,7 +180,7 @@ def replace_vectors(v):
 
 @query("attachment_search", "with " + bm25_sql("documents", "doc_id", "text", ["on", "shth"], 50) + " select r.doc_id, score, quality from r left join labels l on l.doc_id = r.doc_id")
 def attachment_search(v):
-    return search.bm25(v.table("documents"), "doc_id", ["text"], "on shth", 50).join(v.table("labels"), "doc_id", "left").select("doc_id", "score", "quality")
+    return v.document_index().bm25("on shth", 50, columns=["text"]).join(v.table("labels"), "doc_id", "left").select("doc_id", "score", "quality")
 
 
 @query("session_search", "with " + bm25_sql("conversations", "conv_id * 1000 + turn as id", "text", ["of", "the"], 60).replace("select conv_id * 1000 + turn as id, len(w)", "select id, len(w)").replace("select conv_id * 1000 + turn as id, round", "select id, round").replace("score desc, conv_id * 1000 + turn as id", "score desc, id") + """,
@@ -188,6 +188,5 @@ x as (select id, row_number() over (order by score desc, id) as rank from r)
 select id // 1000 as conv_id, min(rank)::int as rank, count(*) as hits from x group by id // 1000
 """)
 def session_search(v):
-    turns = v.table("conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    hits = search.ranked(search.bm25(turns, "id", ["text"], "of the", 60), "id")
+    hits = search.ranked(v.turn_index().bm25("of the", 60), "id")
     return hits.groupBy(F.expr("id div 1000").alias("conv_id")).agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("hits"))

@@ -9,14 +9,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemora.operators.index import TextIndex
+from mnemora.session import fresh_path
+
 #: "Now" in queries on orders and on events.
 AS_OF, EVENTS_AS_OF = "2001-12-31", "2024-02-01"
 
 
+#: Full-text indexes that this session has built: name and state of the files to the index.
+_INDEXES: dict[tuple, TextIndex] = {}
+
+
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    def _state(self, name: str) -> str:
+        """What the files of a table look like: their names, lengths and times."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path
+        at = place(f"{self.dir}/{name}.parquet")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return ";".join(f"{s.getPath()},{s.getLen()},{s.getModificationTime()}" for s in fs.listStatus(at))
+
+    def index(self, name: str, table: str, rows: DataFrame, key: str, fields: list[str]) -> TextIndex:
+        """The full-text index of rows made from a table, as a store keeps one beside its texts.
+
+        It is built when a session first asks for it, and again if the table's files have changed.
+        """
+        state = (self.spark.sparkContext.applicationId, name, key, *fields, self._state(table))
+        if state not in _INDEXES:
+            _INDEXES[state] = TextIndex(self.spark, fresh_path(self.spark, f"index-{name}"), key, fields).put(rows)
+        return _INDEXES[state]
+
+    def document_index(self) -> TextIndex:
+        """Documents by their whole text, and by its beginning as a title would be."""
+        return self.index("documents", "documents", self.table("documents").select("doc_id", "text", F.substring("text", 1, 60).alias("head")), "doc_id", ["text", "head"])
+
+    def turn_index(self, role: str | None = None) -> TextIndex:
+        turns = self.table("conversations") if role is None else self.table("conversations").filter(F.col("role") == role)
+        return self.index(f"turns-{role}", "conversations", turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), "id", ["text"])
+
+    def item_index(self) -> TextIndex:
+        return self.index("items", "benchmark", self.table("benchmark").select("item_id", "text"), "item_id", ["text"])
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
