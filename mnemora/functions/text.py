@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 import unicodedata
 
@@ -14,24 +15,28 @@ from pyspark.sql.types import StringType
 from mnemora.functions.fixed import GREEK_PAIRS, GREEK_SINGLES, NAME_NOTES, PERSONAL_DOMAINS, REPLY_PREFIXES, TRACKING_PARAMETERS, VIDEO_HOSTS
 
 
+@functools.cache
 def _fold_table() -> tuple[str, str]:
-    """Letters whose decomposition is one letter and marks, and what stays; built from the Unicode tables."""
-    pairs = {}
-    for code in (*range(0xC0, 0x250), *range(0x370, 0x400), *range(0x1E00, 0x2000)):
-        parts = unicodedata.normalize("NFD", chr(code))
-        base = "".join(c for c in parts if unicodedata.category(c) != "Mn")
-        if len(parts) > 1 and len(base) == 1 and base != chr(code):
-            pairs[chr(code)] = base
-    marks = [chr(c) for c in range(0x300, 0x370) if unicodedata.category(chr(c)) == "Mn"]
+    """Letters of all scripts whose decomposition is one letter and marks, and what stays; then all marks."""
+    pairs, marks = {}, []
+    for code in range(0xC0, sys.maxunicode + 1):
+        c = chr(code)
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+        elif unicodedata.decomposition(c) and "<" not in unicodedata.decomposition(c):
+            base = unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"))
+            if len(base) == 1 and base != c:
+                pairs[c] = base
     return "".join([*pairs, *marks]), "".join(pairs.values())
 
 
-_ACCENTED, _PLAIN = _fold_table()
-
-
 def strip_accents(text: Column) -> Column:
-    """Latin and Greek letters without their marks. ASCII texts pass untouched."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, _ACCENTED, _PLAIN)).otherwise(text)
+    """Letters without their marks (Mn), in all scripts. ASCII texts pass untouched.
+
+    Where a mark stood between two signs that would compose without it, these stay apart: use
+    strip_accents_all if that matters.
+    """
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, *_fold_table())).otherwise(text)
 
 
 @pandas_udf(StringType())

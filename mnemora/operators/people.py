@@ -10,7 +10,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -139,31 +139,38 @@ def upsert_people(people: DataFrame, seen: DataFrame) -> DataFrame:
 def with_ids(fresh: DataFrame, old: DataFrame, order: str, key: str = "id") -> DataFrame:
     """Ids for new rows, after the largest old one, in the order of a column; ranges are counted, not gathered.
 
-    Rows are range-partitioned by order; each partition's count is a row, so only partitions meet in one task.
+    Rows are range-partitioned by order and stored with their partition, so that whoever reads them later, or
+    again after a lost executor, finds each row where it was counted; equal orders go by the other columns. Each
+    partition's count is a row, so only partitions meet in one task.
     """
-    ranged = fresh.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
+    ranged = stored(fresh.repartitionByRange(order, *_others(fresh, order)).withColumn("__part", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     top = old.agg(F.coalesce(F.max(key), F.lit(0)).alias("__top"))
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(order))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(order, *_others(fresh, order)))
     whole = ranged.withColumn("__place", place).join(F.broadcast(before), "__part").join(F.broadcast(top))
     return whole.withColumn(key, (F.col("__top") + F.col("__before") + F.col("__place")).cast("long")).drop("__part", "__n", "__before", "__place", "__top")
 
 
+def _others(df: DataFrame, but: str) -> list[str]:
+    return [c for c in df.columns if c != but]
+
+
 @pandas_udf(DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """UDF: twice the matching letters over all letters (Ratcliff and Obershelp); no built-in measures it."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
-def fuzzy_pairs(people: DataFrame, threshold: float = FUZZY_THRESHOLD, block: int = FUZZY_BLOCK, most: int = FUZZY_PAIRS) -> DataFrame:
+def fuzzy_pairs(people: DataFrame, threshold: float = FUZZY_THRESHOLD, block: int | None = FUZZY_BLOCK, most: int | None = FUZZY_PAIRS) -> DataFrame:
     """id_a, id_b, score of people who may be one, for review; best first.
 
-    Only within blocks of 2 to block people of one surname; not if the keys are equal or e-mails differ.
+    Only within blocks of 2 to block people of one surname, and most pairs at most, as a person looks at each;
+    None lifts either limit. Not if the keys are equal or e-mails differ.
     """
     named = people.select("id", "name", _email().alias("email"), T.canonical_tokens(F.col("name")).alias("tokens"))
     named = named.withColumn("surname", T.surname_key(F.col("tokens"))).withColumn("canon", F.array_join("tokens", " ")).filter("surname <> ''")
-    sizes = named.groupBy("surname").agg(F.count(F.lit(1)).alias("size")).filter((F.col("size") >= 2) & (F.col("size") <= block))
+    sizes = named.groupBy("surname").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size").between(2, (1 << 62) if block is None else block))
     named = named.join(sizes.select("surname"), "surname")
     pairs = named.alias("a").join(named.alias("b"), (F.col("a.surname") == F.col("b.surname")) & (F.col("a.id") < F.col("b.id")))
     pairs = pairs.filter((F.col("a.canon") != F.col("b.canon")) & (F.col("a.email").isNull() | F.col("b.email").isNull() | (F.col("a.email") == F.col("b.email"))))
@@ -171,20 +178,67 @@ def fuzzy_pairs(people: DataFrame, threshold: float = FUZZY_THRESHOLD, block: in
     scored = pairs.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.canon").alias("ca"), F.col("b.canon").alias("cb"), subset.alias("subset"))
     ratio = scored.filter("not subset").withColumn("score", matching_ratio("ca", "cb"))
     out = scored.filter("subset").withColumn("score", F.lit(0.9)).unionByName(ratio).filter(F.col("score") >= threshold)
-    return out.select("id_a", "id_b", F.bround("score", 3).alias("score")).orderBy(F.desc("score"), "id_a", "id_b").limit(most)
+    return out.select("id_a", "id_b", F.bround("score", 3).alias("score")).orderBy(F.desc("score"), "id_a", "id_b").limit(2**31 - 1 if most is None else most)
+
+
+def review_rows(people: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs of fuzzy_pairs as rows of a review file, each with an empty decision; best first."""
+    out = pairs
+    for side in ("a", "b"):
+        out = out.join(people.select(F.col("id").alias(f"id_{side}"), F.col("name").alias(f"name_{side}"), F.col("email").alias(f"email_{side}")), f"id_{side}")
+    columns = ["id_a", "name_a", "email_a", "id_b", "name_b", "email_b", "score"]
+    return out.select(*columns, F.lit("").alias("decision")).orderBy(F.desc("score"), "id_a", "id_b")
+
+
+def write_review(rows: DataFrame, path: str) -> None:
+    """Review rows as one file of JSON lines in the folder at path: a person reads it from top to bottom."""
+    rows.coalesce(1).sortWithinPartitions(F.desc("score"), "id_a", "id_b").write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+REVIEW = "id_a long, name_a string, email_a string, id_b long, name_b string, email_b string, score double, decision string"
+
+
+def read_review(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a review file (or a folder of them), n: their order; lines that can't be read are left out."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    rows = whole.filter("trim(text) <> ''").select(F.struct("file", "line").alias("n"), F.from_json("text", REVIEW).alias("r")).select("n", "r.*")
+    return rows.filter("id_a is not null and id_b is not null")
 
 
 def reviewed_merges(people: DataFrame, reviewed: DataFrame) -> DataFrame:
-    """The map of reviewed pairs (id_a, id_b, decision 'merge') of people who are both there; one step a loser.
+    """The map (loser, last survivor) of reviewed pairs (id_a, id_b, decision 'merge') of people who are both there.
 
-    The survivor has an e-mail if either has, then the lesser id. Chains are followed by composing again.
+    Case and blanks around a decision don't matter. Pairs are taken in order of n (without one, by ids); a pair
+    of which an earlier one merged somebody away is skipped. The survivor has an e-mail if only one of the two
+    has, else it is the lesser id. As each decision depends on those before it, they are followed in one task:
+    a person has made every one of them.
     """
-    rows = reviewed.filter("decision = 'merge'")
+    rows = reviewed.filter(F.lower(F.trim("decision")) == "merge").filter("id_a <> id_b")
+    rows = rows.drop("email_a", "email_b") if "email_a" in rows.columns else rows
     for side in ("a", "b"):
         rows = rows.join(people.select(F.col("id").alias(f"id_{side}"), F.col("email").alias(f"email_{side}")), f"id_{side}")
-    order = lambda s: F.struct(F.col(f"email_{s}").isNull().alias("none"), F.col(f"id_{s}").alias("id"))
-    pairs = rows.select(F.greatest(order("a"), order("b")).getField("id").alias("loser"), F.least(order("a"), order("b")).getField("id").alias("survivor"))
-    return pairs.groupBy("loser").agg(F.min("survivor").alias("survivor"))
+    order = [*(["n"] if "n" in rows.columns else []), "id_a", "id_b"]
+    has = lambda c: (F.coalesce(_email(c), F.lit("")) != "").alias(c)
+    rows = rows.select(*order, has("email_a"), has("email_b")).repartition(1).sortWithinPartitions(*order)
+
+    def follow(batches):
+        into: dict = {}
+        for batch in batches:
+            for a, b, mail_a, mail_b in zip(batch["id_a"], batch["id_b"], batch["email_a"], batch["email_b"]):
+                if a in into or b in into:
+                    continue
+                keep, lose = (a, b) if (not mail_a, a) < (not mail_b, b) else (b, a)
+                into[lose] = keep
+
+        def last(x):
+            while x in into:
+                x = into[x]
+            return x
+
+        yield pd.DataFrame({"loser": list(into), "survivor": [last(x) for x in into]})
+
+    kind = dict(people.dtypes)["id"]
+    return rows.select("id_a", "id_b", "email_a", "email_b").mapInPandas(follow, f"loser {kind}, survivor {kind}")
 
 
 def resolve_topics(topics: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from mnemora.functions.extraction import parsed
 from mnemora.operators.windows import collapse, first_of
+from mnemora.operators.writes import recover
 
 ADDRESS = "struct<name:string,address:string>"
 MAIL = (
@@ -17,13 +18,10 @@ MAIL = (
 
 
 def table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A Parquet table; with a schema, an absent one is empty."""
-    try:
-        return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
-    except AnalysisException:
-        if schema is None:
-            raise
+    """A Parquet table as `writes.swap` keeps it; with a schema, an absent one is empty."""
+    if schema is not None and not recover(spark, path):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
 
 
 def timestamp(text: Column) -> Column:
@@ -77,6 +75,23 @@ def transcripts(spark: SparkSession, path: str) -> DataFrame:
     return collapse(turns, "session_id", "at", "speaker", "content").withColumn("has_code", F.col("content").contains("```"))
 
 
+def session_files(spark: SparkSession, root: str, now: str, days: int | None = None, workspace: str | None = None) -> DataFrame:
+    """path, workspace, modified, length of session files (root/workspace/*.jsonl), newest first.
+
+    days: only those modified in so many days before now; workspace: only folders with this in their name, case
+    aside. A folder's name is a path with - for /. Only names and times are read.
+    """
+    found = files(spark, [root], [".jsonl"])
+    name = F.regexp_extract("folder", r"([^/]*)$", 1)
+    found = found.filter(F.size(F.split(F.regexp_replace("path", "^[a-z]+:/*", "/"), "/")) == len(f"/{root.split(':', 1)[-1].strip('/')}".split("/")) + 2)
+    found = found.select("path", F.regexp_replace(name, "-", "/").alias("workspace"), "modified", "length")
+    if days is not None:
+        found = found.filter(F.col("modified") >= F.to_timestamp(F.lit(now)) - F.make_dt_interval(F.lit(days)))
+    if workspace:
+        found = found.filter(F.lower("workspace").contains(workspace.lower()))
+    return found.orderBy(F.desc("modified"), "path")
+
+
 def files(spark: SparkSession, roots: list[str], suffixes: list[str], modified_after: str | None = None, content: bool = False) -> DataFrame:
     """path, folder, name, modified, length of files with the suffixes (case aside) under roots that exist."""
     out = None
@@ -84,7 +99,9 @@ def files(spark: SparkSession, roots: list[str], suffixes: list[str], modified_a
         try:
             reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
             rows = (reader.option("modifiedAfter", modified_after) if modified_after else reader).load(root)
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
         out = rows if out is None else out.unionByName(rows)
     if out is None:
@@ -115,13 +132,26 @@ def frontmatter(text: Column) -> Column:
     return F.struct(F.when(has, F.map_from_entries(last)).otherwise(F.map_from_entries(F.filter(entries, lambda e: F.lit(False)))).alias("meta"), F.when(has, body).otherwise(text).alias("body"))
 
 
+MOST_PROXIES = 10_000
+
+
 def proxies(spark: SparkSession, path: str) -> list[str]:
-    """Addresses of those who act for the user, from a list of people; none if the file can't be read."""
+    """The sorted addresses of proxy_addresses; more than MOST_PROXIES, which no list of helpers has, is an error."""
+    found = [r[0] for r in proxy_addresses(spark, path).limit(MOST_PROXIES + 1).collect()]
+    if len(found) > MOST_PROXIES:
+        raise ValueError(f"{path}: more than {MOST_PROXIES} proxies; use proxy_addresses")
+    return sorted(found)
+
+
+def proxy_addresses(spark: SparkSession, path: str) -> DataFrame:
+    """email of those who act for the user, from a list of people; none if the file isn't there."""
     try:
         rows = spark.read.schema("email string, is_proxy_for_self boolean, _corrupt_record string").json(path, multiLine=True)
-        return sorted(r[0] for r in rows.filter("is_proxy_for_self and email is not null").select(F.lower(F.trim("email"))).distinct().limit(10_000).collect())
-    except AnalysisException:
-        return []
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "email string")
+    return rows.filter("is_proxy_for_self and email is not null").select(F.lower(F.trim("email")).alias("email")).distinct()
 
 
 def database(spark: SparkSession, url: str, table_name: str, predicates: list[str] | None = None, properties: dict | None = None) -> DataFrame:

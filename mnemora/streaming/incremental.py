@@ -32,12 +32,15 @@ def upsert_stream(source: DataFrame, target: str, key: str, order: str, checkpoi
 
 
 def replace_stream(source: DataFrame, target: str, parent: str, whole: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Each batch names parents that changed; whole(batch) gives all of their children, which replace the old."""
+    """Each batch names parents that changed; whole(batch) gives all of their children, which replace the old.
+
+    A parent that a batch names and that has no children any more loses its old ones.
+    """
 
     def store(batch: DataFrame, _: int) -> None:
         rows = whole(batch)
         schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-        swap(replace_children(table(batch.sparkSession, target, schema), rows, parent), target)
+        swap(replace_children(table(batch.sparkSession, target, schema), rows, parent, touched=batch), target)
 
     return source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
