@@ -6,12 +6,23 @@ goes left to right with these, accepts a token only if it is compatible with the
 lower rank would have crossed their border), falls back to the next shorter prefix token, and steps back
 where none fits. Places that were left once are marked, so each is entered a bounded number of times and
 the result equals applying the merges by rank.
+
+NFC, lower case, letters and digits are those of `unicodedata`. The tokenizers library has tables of its own,
+of later versions of Unicode; so a text with a code point that `unicodedata` doesn't know is normalized and cut
+into pieces (not encoded) by that library's normalizer and splitter. Tests compare every code point.
+
+Defined results. A null or empty text has no ids and the decoded text ''. Repeated rows are encoded each, and
+texts of any length whole. Special tokens in a text become their ids. An empty table gives an empty result.
+Other columns are not read, whatever their names. A vocabulary file with another normalizer, splitting or
+decoder than the one built here is refused.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -38,12 +49,26 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+#: What `pieces` and `decode` do, as a vocabulary file states it.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_PLAIN_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
 def read_vocabulary(path: str) -> dict:
-    """The parts of a tokenizers JSON file that encoding needs; path is a local path on the driver."""
+    """The parts of a tokenizers JSON file that encoding needs; path is a local path on the driver.
+
+    Raises ValueError if the file asks for anything that this module does otherwise.
+    """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    model = spec["model"]
-    pieces = [x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
+    model, steps = spec["model"], (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split = [x for x in steps if x["type"] == "Split"]
+    same = spec["normalizer"] == _NORMALIZER and spec["decoder"] is None and len(split) == 1 and steps == [split[0], _BYTES]
+    same = same and (split[0]["behavior"], split[0]["invert"]) == ("Removed", True) and {k: model.get(k, v) for k, v in _PLAIN_MODEL.items()} == _PLAIN_MODEL
+    if not same or any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in spec["added_tokens"]):
+        raise ValueError(f"{path}: another normalizer, splitting, model or decoder than this encoder's")
+    pieces = [split[0]["pattern"]["Regex"]]
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
     return {
         "vocab": model["vocab"],
@@ -54,6 +79,15 @@ def read_vocabulary(path: str) -> dict:
     }
 
 
+@functools.cache
+def category_class(start: str) -> str:
+    """The code points whose category in `unicodedata` begins so, as ranges of a pattern's class."""
+    of = [unicodedata.category(chr(c)).startswith(start) for c in range(sys.maxunicode + 1)] + [False]
+    starts = [c for c in range(len(of)) if of[c] and not (c and of[c - 1])]
+    ends = [c for c in range(len(of) - 1) if of[c] and not of[c + 1]]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
+
+
 class BacktrackingBPE:
     """Encoder and decoder for one vocabulary; built once per Python worker."""
 
@@ -88,11 +122,14 @@ class BacktrackingBPE:
         self.forward.make_automaton()
         self.automaton.make_automaton()
         self.letters = byte_letters()
-        self.split = regex.compile(spec["pattern"].replace(r"\s", r"\p{White_Space}"), regex.V0)
+        whole = spec["pattern"].replace(r"\p{L}", category_class("L")).replace(r"\p{N}", category_class("N"))
+        self.split = regex.compile(whole.replace(r"\s", r"\p{White_Space}"), regex.V0)
         # the same pattern for texts whose letters, digits and spaces are only these: re is faster than regex
         letters, digits, spaces = "A-Za-zÀ-ÖØ-öø-ɏ", "0-9", r"\t-\r "
         self.plain = re.compile(spec["pattern"].replace(r"\p{L}", letters).replace(r"\p{N}", digits).replace(r"\s", spaces))
         self.rare = re.compile(f"[^\0-\x7f{letters}]")
+        self.unknown = re.compile(f"[{category_class('Cn')}]")
+        self.pattern = spec["pattern"]
         self.added = spec["added"]
         self.added_split = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.compatible: dict[tuple[int, int], bool] = {}
@@ -198,12 +235,25 @@ class BacktrackingBPE:
 
     def pieces(self, text: str) -> list[str]:
         """The normal form's pieces. Runs of white space only separate, so they needn't be put together first."""
+        if self.rare.search(text) and self.unknown.search(text):
+            return self._later_pieces(text)
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # lower case letter by letter: a word's last sigma is as any other
         text = text.replace("Σ", "σ").lower()
         return (self.split if self.rare.search(text) else self.plain).findall(text)
 
+    @functools.cached_property
+    def _later(self):
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]), pre_tokenizers.Split(Regex(self.pattern), "removed", invert=True)
+
+    def _later_pieces(self, text: str) -> list[str]:
+        """Pieces by the library's own tables of code points."""
+        normal, split = self._later
+        return [piece for piece, _ in split.pre_tokenize_str(normal.normalize_str(text))]
+
     def piece(self, piece: str) -> list[int]:
         ids = self.cache.get(piece)
         if ids is None:
