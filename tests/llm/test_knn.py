@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from mnemora.llm import knn
@@ -21,6 +22,7 @@ def brute(rows, asked, k):
 
 @pytest.mark.parametrize("chunk,block", [(4096, 8192), (20, 3)])
 def test_against_brute_force(spark, monkeypatch, chunk, block):
+    monkeypatch.setattr(knn, "GROUP", 2 if chunk == 20 else knn.GROUP)
     monkeypatch.setattr(knn, "CHUNK", chunk)
     monkeypatch.setattr(knn, "BLOCK", block)
     rng = random.Random(chunk)
@@ -46,3 +48,35 @@ def test_large_components_are_exact(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = knn.top_k(df, df.filter("vec_id = 0"), 2).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute(rows, [0], 2)
+
+
+def test_bounds_keep_every_row_that_counts():
+    """For cells and groups of random vectors: a row that a query scores at its bound or above is never left out."""
+    rng = np.random.RandomState(3)
+    centres = rng.normal(0, 400, (6, 5))
+    rows = np.floor(centres[rng.randint(0, 6, 400)] + rng.normal(0, 20, (400, 5)))
+    asked = np.concatenate([rows[::20], np.floor(rng.normal(0, 300, (10, 5)))])
+    cells = knn.Cells(rows[::13])
+    cell, far = cells.assign(rows)
+    radius = np.zeros(len(cells.pivots))
+    np.maximum.at(radius, cell, far)
+    size = np.bincount(cell, minlength=len(radius))
+    group = cells.groups(7)[cells.assign(asked)[0]]
+    reach, least = np.zeros(7), np.full(7, np.inf)
+    np.maximum.at(reach, group, cells.far(asked, group))
+    best = np.sort(asked @ rows.T, 1)[:, -5]
+    np.minimum.at(least, group, best)
+    groups = knn.Groups(cells, radius, np.arange(7), reach, least)
+    kept = groups.of_rows(rows, cell)
+    needed = asked @ rows.T >= best[:, None]
+    assert all(kept[needed[i], g].all() for i, g in enumerate(group))
+    own = np.unique(group)
+    assert kept[:, own].mean() < 0.8 and (kept.sum(0) <= groups.candidates(size)).all()
+
+
+def test_copies_of_one_id_are_dealt_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CHUNK", 10)
+    rows = [(0, [1.0, 0.5])] + [(7, [1.0, 0.25])] * 60 + [(i, [0.5, 0.1 * i]) for i in range(1, 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = knn.top_k(df, df.filter("vec_id = 0"), 5).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute(rows, [0], 5)
