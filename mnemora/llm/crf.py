@@ -9,7 +9,11 @@ conditional likelihood, with a penalty on squared weights, is climbed in full ba
 the sample: about docs_per_label whole documents of each label, chosen by a hash of doc_id among rows that
 aren't held out. Every document is scored whole, by itself.
 
-Defined results. A null text is as an empty one: one empty line, which is scored like any other. If no
+What comes to the driver for training are the features of the sample's lines, so it grows with the length of
+sampled documents but not with the table.
+
+Defined results. A document with both labels is learnt from under both. Of rows that share a doc_id each is
+learnt from, under the id's label. A null text is as an empty one: one empty line, which is scored like any other. If no
 labelled row (or only one label) is there, every score is the share of label 1 (0.5 without any). Repeated
 rows are scored each. Rows without doc_id are scored and never learnt from. Other columns are not read.
 """

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.llm import bpe, chat, crf, knn, langid, linededup, mixing, neardup, rules, warc
+from mnemora.llm._shared import written
 
 #: Mixing: words of budget as a multiple of all words, epochs at most, and weights by level.
 MIX_LEVELS = ("domain", "lang", "source")
@@ -30,7 +32,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    convs = chat.conversations(_table(spark, sf_dir, "conversations"))
+    convs = chat.conversations(_table(spark, sf_dir, "conversations"), escape=True)
     pairs = chat.preference_pairs(convs, chat.swapped_answers(convs))
     return pairs.withColumns({c: chat.span_text(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
 
@@ -58,6 +60,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(_table(spark, sf_dir, "documents"))
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule rejects, and rejects alone, under each version of the policy, from one ledger."""
+    rows = written(rules.ledger(_table(spark, sf_dir, "documents")), "ledger")
+    out = [rules.ablations(rows, policy).select(F.lit(policy).alias("policy"), "rule", "n_failed", "n_only") for policy in rules.POLICIES]
+    return reduce(DataFrame.unionByName, out)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,11 +88,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_language_id, op2_chat_preference, op3_mixing, op4_line_dedup, op5_near_dedup, op6_top_k, op7_quality_rules, op8_bpe, op9_warc, op10_quality)
 }
 
+#: Further results of the ten operators, beside their one query each.
+MORE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"rule_ablations": rule_ablations}
+
 _SPACES = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _CHAT_SQL = """
-with t as (select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+with t as (select distinct conv_id, turn, replace(replace(coalesce(role, ''), '<\\', '<\\\\'), '<|', '<\\|') as role, replace(replace(coalesce(text, ''), '<\\', '<\\\\'), '<|', '<\\|') as text from conversations where conv_id is not null),
 n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from t),
 l as (select conv_id, max(i) filter (where role = 'assistant') as last from n group by conv_id),
 a as (select xor(n.conv_id, 1) as conv_id, n.text as other from n join l on n.conv_id = l.conv_id and n.i = l.last),
@@ -136,6 +148,16 @@ def _mix_sql() -> str:
     return "with " + ",\n".join(steps) + "\nselect doc_id, domain, lang, source, tokens, (case when total > 0 then epochs + (upto <= rest)::int else 0 end)::bigint as copies from run"
 
 
+_LEDGER_SQL = f"""d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words,
+             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from documents),
+w as (select doc_id, i, array_to_string(words[i : i + 7], ' ') as win from (select doc_id, words, unnest(generate_series(1, len(words) - 7)) as i from d where len(words) >= 8)),
+t as (select doc_id, i from (select *, count(*) over (partition by doc_id, win) as n from w) where n > 1),
+c as (select doc_id, sum(least(8, coalesce(nxt - i, 8)))::bigint as n_repeat_words from (select *, lead(i) over (partition by doc_id order by i) as nxt from t) group by doc_id),
+m as (select doc_id, len(words)::bigint as n_words, length(translate(text, {_SPACES}, ''))::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+        len(lines)::bigint as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words
+      from d left join c using (doc_id)),
+b as (select *, {" + ".join(f"case when {rule} then {1 << i} else 0 end" for i, rule in enumerate(rules.RULES.values()))} as failed from m)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_preference": _CHAT_SQL,
     "op3_mixing": _mix_sql(),
@@ -155,15 +177,7 @@ s as (select q.vec_id as query_id, x.vec_id, list_dot_product(q.v, x.v)::bigint
 select query_id, rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s) where rank <= 5
 """,
     "op7_quality_rules": f"""
-with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words,
-             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from documents),
-w as (select doc_id, i, array_to_string(words[i : i + 7], ' ') as win from (select doc_id, words, unnest(generate_series(1, len(words) - 7)) as i from d where len(words) >= 8)),
-t as (select doc_id, i from (select *, count(*) over (partition by doc_id, win) as n from w) where n > 1),
-c as (select doc_id, sum(least(8, coalesce(nxt - i, 8)))::bigint as n_repeat_words from (select *, lead(i) over (partition by doc_id order by i) as nxt from t) group by doc_id),
-m as (select doc_id, len(words)::bigint as n_words, length(translate(text, {_SPACES}, ''))::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
-        len(lines)::bigint as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words
-      from d left join c using (doc_id)),
-b as (select *, {" + ".join(f"case when {rule} then {1 << i} else 0 end" for i, rule in enumerate(rules.RULES.values()))} as failed from m)
+with {_LEDGER_SQL}
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {rules.mask("base")} <> 0 as base_failed,
   failed & {rules.mask("base") | rules.mask("v1")} = 0 as kept, failed::bigint as failed
 from b
@@ -179,3 +193,9 @@ select page_id, strlen(html)::bigint as payload_bytes,
 from b
 """,
 }
+
+MORE_SQL: dict[str, str] = {
+    "rule_ablations": f"with {_LEDGER_SQL},\nr as (select * from (values " + ", ".join(f"('{p}', '{name}', {1 << i}, {rules.mask(p)})" for p, names in rules.POLICIES.items() for i, name in enumerate(rules.RULES) if name in names) + """) t(policy, rule, bit, mask))
+select policy, rule, count(*) filter (where failed & bit <> 0) as n_failed, count(*) filter (where failed & mask = bit) as n_only from b cross join r group by policy, rule
+""",
+}

@@ -59,3 +59,30 @@ def test_edges(spark):
     assert {r.score for r in crf.score(docs, crf.learn(docs, labels.filter("quality = 1"))).collect()} == {1.0}
     doubled = crf.learn(docs.unionByName(docs), labels)
     assert np.isfinite(doubled.weights).all()
+
+
+def test_fit_climbs_to_the_top_of_the_likelihood():
+    """No small step from the learnt weights raises the penalized likelihood by much; the gradient is right."""
+    rng = np.random.RandomState(2)
+    texts = [b"good words are here\nand more of them." if i % 3 else b"### $$$\nbuy NOW !!!\n1 2 3" for i in range(60)]
+    texts = [t + b"\n" + bytes(rng.choice(list(b"abc #1"), 8).tolist()) for t in texts]
+    label = np.array([int(i % 3 > 0) for i in range(60)])
+    x, _, n_lines = crf.line_features(texts)
+    x = x.astype(np.float64)
+    line_label = np.repeat(label, n_lines)
+    starts = np.cumsum(n_lines) - n_lines
+
+    def objective(w, m):
+        score, _, _, total = crf.Chain(w, m).sums(x, n_lines)
+        gold = score[np.arange(len(x)), line_label]
+        steps = np.zeros(len(x))
+        later = np.setdiff1d(np.arange(len(x)), starts)
+        steps[later] = m[line_label[later - 1], line_label[later]]
+        return (((np.add.reduceat(gold + steps, starts) - total) / n_lines).mean() - 5e-4 * (w * w).sum() - 5e-4 * (m * m).sum())
+
+    chain = crf.fit(x, n_lines, label, rounds=600)
+    best = objective(chain.weights, chain.moves)
+    assert best > objective(np.zeros_like(chain.weights), np.zeros_like(chain.moves)) + 0.1
+    for _ in range(30):
+        step = rng.normal(0, 0.02, chain.weights.shape)
+        assert objective(chain.weights + step, chain.moves + rng.normal(0, 0.02, (2, 2))) < best + 1e-3

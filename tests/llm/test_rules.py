@@ -53,3 +53,13 @@ def test_policies_and_ablations(spark):
         bits = [r.failed & rules.mask(policy) for r in ledger.collect()]
         place = {n: 1 << i for i, n in enumerate(rules.RULES)}
         assert found == {n: (sum(b & place[n] > 0 for b in bits), sum(b == place[n] for b in bits)) for n in names}
+
+
+def test_ablations_of_all_versions_equal_sql(spark):
+    from mnemora.llm import queries
+    from mnemora.session import reachable
+    from tests.compare import both
+
+    reachable(spark)
+    got, want = both(spark, "rule_ablations", queries.MORE_QUERIES["rule_ablations"], queries.MORE_SQL["rule_ablations"])
+    assert got == want and len(got) == sum(map(len, rules.POLICIES.values()))
