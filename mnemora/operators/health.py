@@ -50,3 +50,17 @@ def newest_files(files: DataFrame, roots: list[str], now: Column) -> DataFrame:
     found = files.select(root.alias("root"), F.least("modified", now).alias("modified")).filter("root is not null").groupBy("root").agg(F.count(F.lit(1)).alias("files"), F.max("modified").alias("newest"))
     every = files.sparkSession.createDataFrame([(r,) for r in roots], "root string")
     return every.join(found, "root", "left").select("root", F.coalesce("files", F.lit(0)).alias("files"), "newest")
+
+
+def marker_files(files: DataFrame, known: dict[str, str], now: Column, hours: float = 24) -> DataFrame:
+    """name, kind, state, age_hours of marker files and of those known (name to kind: log or sentinel).
+
+    A log is OK if it was written within hours, else STALE, or MISSING. A sentinel that is there is PRESENT and
+    blocks; files that nobody knows count as sentinels. Times to come count as now.
+    """
+    age = (F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.least("modified", now.cast("timestamp")))) / 3600.0
+    seen = files.groupBy("name").agg(F.max("modified").alias("modified")).select("name", age.alias("age_hours"))
+    names = files.sparkSession.createDataFrame(list(known.items()), "name string, kind string")
+    rows = names.join(seen, "name", "full").withColumn("kind", F.coalesce("kind", F.lit("sentinel")))
+    log = F.when(F.col("age_hours").isNull(), "MISSING").when(F.col("age_hours") > hours, "STALE").otherwise("OK")
+    return rows.select("name", "kind", F.when(F.col("kind") == "log", log).otherwise(F.when(F.col("age_hours").isNull(), "ABSENT").otherwise("PRESENT")).alias("state"), "age_hours")

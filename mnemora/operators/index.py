@@ -16,7 +16,10 @@ one field.
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,6 +163,49 @@ class TextIndex:
         out = hits.filter(every).join(F.broadcast(df)).select(F.col("key").alias(self.key), F.round(score, 6).alias("score"))
         return out.orderBy(F.desc("score"), self.key).limit(limit) if limit is not None else out
 
+    def matching(self, query: str, columns: list[str] | None = None) -> DataFrame:
+        """The keys that match a query with operators (see parse), in no order.
+
+        One pass over the postings of all its words; only a prefix makes that all buckets.
+        """
+        columns, segments, tree, leaves = columns or self.fields, self._segments(), parse(query), []
+
+        def number(node: tuple) -> tuple | int:
+            if node[0] in ("phrase", "prefix"):
+                leaves.append(node)
+                return len(leaves) - 1
+            return (node[0], number(node[1]), number(node[2]))
+
+        tree = number(tree)
+        if not segments:
+            return self.spark.createDataFrame([], f"`{self.key}` long")
+        words = sorted({t for kind, ts in leaves if kind == "phrase" for t in ts})
+        starts = sorted({t for kind, t in leaves if kind == "prefix"})
+        wanted = F.col("term").isin(words) if words else F.lit(False)
+        wanted = reduce(lambda a, t: a | F.col("term").startswith(t), starts, wanted)
+        if not starts:
+            wanted = wanted & F.col("bucket").isin(sorted({bucket_of(t, self.buckets) for t in words}))
+        wanted = wanted & F.col("field").isin(columns)
+        rows = self._live("postings", segments, lambda df: df.filter(wanted).select("key", "field", "term", "positions"))
+        long = {(c, t) for kind, ts in leaves if kind == "phrase" and len(ts) > 1 for t in ts for c in columns}
+        place = {x: f"p{i}" for i, x in enumerate(sorted(long))}
+        found = [F.max(F.when((F.col("field") == c) & (F.col("term") == t), F.col("positions"))).alias(name) for (c, t), name in place.items()]
+        for i, (kind, t) in enumerate(leaves):
+            if kind == "prefix" or len(t) == 1:
+                found.append(F.bool_or(F.col("term").startswith(t) if kind == "prefix" else F.col("term") == t[0]).alias(f"has{i}"))
+        hits = rows.groupBy("key").agg(*found)
+
+        def holds(node: tuple | int) -> Column:
+            if isinstance(node, int):
+                kind, t = leaves[node]
+                if kind == "prefix" or len(t) == 1:
+                    return F.col(f"has{node}")
+                return reduce(lambda a, b: a | b, (_follow([F.col(place[c, x]) for x in t]) > 0 for c in columns))
+            left, right = holds(node[1]), holds(node[2])
+            return left & right if node[0] == "and" else left | right if node[0] == "or" else left & ~right
+
+        return hits.filter(holds(tree)).select(F.col("key").alias(self.key))
+
 
 def _follow(places: list[Column]) -> Column:
     """How often tokens with these positions follow each other."""
@@ -168,3 +214,62 @@ def _follow(places: list[Column]) -> Column:
         back = F.lit(j)
         starts = F.array_intersect(starts, F.transform(p, lambda x: x - back))  # noqa: B023
     return F.when(starts.isNotNull(), F.size(starts)).otherwise(0)
+
+
+# ---- queries with operators
+
+_LEX = re.compile(r'\s*(?:"((?:[^"]|"")*)"|([()])|([^\s()"]+))')
+
+
+def parse(query: str) -> tuple:
+    """A query with AND, OR, NOT (as in `a NOT b`), parentheses, "phrases" and prefixes (word*) as a tree.
+
+    Neighbours without an operator are both wanted. NOT binds closest, then AND, then OR. A tree is
+    ("and" | "or" | "not", left, right), ("phrase", tokens), or ("prefix", token). What can't be read is a ValueError.
+    """
+    words, at = [], 0
+    text = query.strip()
+    while at < len(text):
+        m = _LEX.match(text, at)
+        if not m:
+            raise ValueError(f"a quote without its end: {query}")
+        words.append(("phrase", m[1].replace('""', '"')) if m[1] is not None else ("op", m[2]) if m[2] else ("op", m[3]) if m[3] in ("AND", "OR", "NOT") else ("word", m[3]))
+        at = m.end()
+    words.append(("end", ""))
+
+    def primary() -> tuple:
+        kind, value = words.pop(0)
+        if (kind, value) == ("op", "("):
+            tree = either()
+            if words.pop(0) != ("op", ")"):
+                raise ValueError(f"a parenthesis without its end: {query}")
+            return tree
+        if kind not in ("word", "phrase"):
+            raise ValueError(f"a word is missing before {value or 'the end'!r}: {query}")
+        prefix = kind == "word" and value.endswith("*")
+        found = [t for p in query_parts(value, True) for t in p]
+        if not found or (prefix and len(found) > 1):
+            raise ValueError(f"no word in {value!r}: {query}")
+        return ("prefix", found[0]) if prefix else ("phrase", found)
+
+    def chain(name: str, next_: Callable[[], tuple], goes_on: Callable[[], bool]) -> tuple:
+        tree = next_()
+        while goes_on():
+            if words[0] == ("op", name.upper()):
+                words.pop(0)
+            tree = (name, tree, next_())
+        return tree
+
+    def without() -> tuple:
+        return chain("not", primary, lambda: words[0] == ("op", "NOT"))
+
+    def both() -> tuple:
+        return chain("and", without, lambda: words[0] == ("op", "AND") or words[0][0] in ("word", "phrase") or words[0] == ("op", "("))
+
+    def either() -> tuple:
+        return chain("or", both, lambda: words[0] == ("op", "OR"))
+
+    tree = either()
+    if words[0][0] != "end":
+        raise ValueError(f"unexpected {words[0][1]!r}: {query}")
+    return tree

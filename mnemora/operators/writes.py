@@ -8,7 +8,10 @@ does first, puts it back. A table has one writer at a time.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +90,38 @@ def write_batches(rows: DataFrame, path: str, per_file: int = 200) -> None:
     rows.write.option("maxRecordsPerFile", per_file).json(path)
 
 
+def write_files(rows: DataFrame, folder: str) -> int:
+    """One file for each row (name, content) in a folder that all executors reach; how many.
+
+    A file has its name only when it is whole; a task that runs again writes the same.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs = base = None
+        for batch in batches:
+            for name, content in zip(*(c.to_pylist() for c in batch.columns)):
+                if fs is None:
+                    fs, base = pafs.FileSystem.from_uri(folder)
+                at = f"{base}/{name}"
+                parent, _, last = at.rpartition("/")
+                fs.create_dir(parent, recursive=True)
+                beside = f"{parent}/_{last}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(beside, compression=None) as out:
+                    out.write(content)
+                fs.move(beside, at)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return rows.select("name", F.col("content").cast("binary")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def staging_files(mails: DataFrame, batch: Column) -> DataFrame:
+    """Mails as staging files (name, content): an object with batch_number and emails for each batch."""
+    one = F.struct(*mails.columns)
+    groups = mails.groupBy(batch.alias("batch_number")).agg(F.array_sort(F.collect_list(F.to_json(one))).alias("emails"))
+    text = F.concat(F.lit('{"batch_number": '), "batch_number", F.lit(', "emails": ['), F.array_join("emails", ",\n"), F.lit("]}"))
+    return groups.select(F.concat(F.lit("batch-"), F.lpad(F.col("batch_number").cast("string"), 9, "0"), F.lit(".json")).alias("name"), text.alias("content"))
+
+
 def _file_system(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path
     return place(path).getFileSystem(spark._jsc.hadoopConfiguration()), place

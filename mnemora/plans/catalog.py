@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from mnemora.plans import dossiers, entities, recalls, relational, retrieval, rules, texts, windows  # noqa: E402, F401
+from mnemora.plans import dossiers, entities, feeds, payloads, recalls, relational, retrieval, rules, streams, texts, windows  # noqa: E402, F401

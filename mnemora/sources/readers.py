@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,11 @@ def table(spark: SparkSession, path: str, schema: str | None = None) -> DataFram
     return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
 
 
+def file_name() -> Column:
+    """The name of the file that a row is from, as it is: _metadata has # and the like as %XX."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def timestamp(text: Column) -> Column:
     """ISO texts with or without zone or fractions, in UTC; null if unreadable."""
     return F.try_to_timestamp(F.regexp_replace(text, r"(\.\d{6})\d+", "$1"))
@@ -31,7 +38,7 @@ def timestamp(text: Column) -> Column:
 
 def staging_batches(spark: SparkSession, path: str) -> DataFrame:
     """Mails of batch-*.json files, objects with emails or bare lists; of a repeated message the later file's."""
-    text = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
+    text = spark.read.text(path, wholetext=True).withColumn("file", file_name())
     item = "struct<" + ", ".join(f.replace(" ", ":", 1) for f in _fields(MAIL)) + ">"
     bare = F.from_json("value", f"array<{item}>")
     inside = F.from_json("value", f"struct<emails:array<{item}>>")["emails"]
@@ -53,7 +60,7 @@ def _fields(ddl: str) -> list[str]:
 
 def extractions(spark: SparkSession, path: str) -> DataFrame:
     """message_key (the file's stem, lower case) and the answer in it, as far as it can be read."""
-    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("file", F.col("_metadata.file_name"))
+    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("file", file_name())
     return text.select(F.lower(F.regexp_replace("file", r"\.json$", "")).alias("message_key"), parsed(F.col("value")).alias("answer")).filter("answer is not null")
 
 
@@ -111,6 +118,22 @@ def files(spark: SparkSession, roots: list[str], suffixes: list[str], modified_a
     return out.select("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), name.alias("name"), F.col("modificationTime").alias("modified"), "length", *(["content"] if content else []))
 
 
+def extracted(found: DataFrame, extractors: dict[str, Callable[[Column], Column]], most_bytes: int | None = None) -> DataFrame:
+    """path, name, text, status of file rows with content, by the extractor of their suffix.
+
+    An extractor is a function of the content's column: built-ins, or the caller's own Arrow UDF around a parser.
+    status: extracted, empty (no text came out), too_large (over most_bytes) or unsupported (no extractor).
+    """
+    suffix = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
+    large = F.lit(False) if most_bytes is None else F.col("length") > most_bytes
+    text = F.when(large, F.lit(None).cast("string"))
+    for name, extractor in extractors.items():
+        text = text.when(suffix == name.lower(), extractor(F.col("content")))
+    out = found.withColumn("text", F.nullif(F.trim(text.otherwise(F.lit(None))), F.lit("")))
+    status = F.when(large, "too_large").when(~suffix.isin(*[n.lower() for n in extractors]), "unsupported").when(F.col("text").isNull(), "empty").otherwise("extracted")
+    return out.select("path", "name", "text", status.alias("status"))
+
+
 def standalone_documents(found: DataFrame) -> DataFrame:
     """message_id, filename, text of file rows with content; one row for equal contents."""
     from mnemora.functions.text import document_id

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -74,6 +74,11 @@ def dirty_threads(threads: DataFrame, arrivals: DataFrame) -> DataFrame:
     return threads.join(touched, threads["id"] == touched["thread_id"], "left").withColumn("extraction_status", F.when(F.col("__hit"), "pending").otherwise(F.col("extraction_status"))).select(threads.columns)
 
 
+def cursor_moves(seen: Column, cap: int, known_before: Column) -> Column:
+    """guard_cursor for a table of pulls."""
+    return (seen < cap) & (known_before | (seen > 0))
+
+
 def guard_cursor(seen: int, cap: int, known_before: bool) -> bool:
     """Whether a cursor may move: not if a pull was cut off at its cap, nor on a first run that saw nothing."""
     return seen < cap and (known_before or seen > 0)

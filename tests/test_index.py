@@ -79,3 +79,26 @@ def test_a_search_reads_no_text(spark, tmp_path):
     # two scans (frequencies, hits), each of the terms' folders and row groups and of no text
     assert len(scans) == 2 and all("PartitionFilters: [bucket" in x and "PushedFilters: [In(term" in x for x in scans)
     assert all(set(re.findall(r"(\w+)#", x.split("[")[1])) <= {"key", "field", "term", "positions", "lengths", "bucket"} for x in scans)
+
+
+def test_queries_with_operators(spark, tmp_path):
+    rng = random.Random(8)
+    store = rows(rng, range(150))
+    index = TextIndex(spark, f"{tmp_path}/ix", "id", ["title", "body"]).put(frame(spark, store))
+    words = {i: [re.findall(r"[a-z0-9]+", (t or "").lower().replace("é", "e")) for t in v] for i, v in store.items()}
+    has = lambda i, w: any(w in f for f in words[i])
+    near = lambda i, *p: any(tuple(f[k : k + len(p)]) == p for f in words[i] for k in range(len(f)))
+    pre = lambda i, p: any(w.startswith(p) for f in words[i] for w in f)
+    cases = {
+        "alpha": lambda i: has(i, "alpha"),
+        "alpha NOT beta": lambda i: has(i, "alpha") and not has(i, "beta"),
+        "Alpha AND beta OR ÉTÉ NOT gamma": lambda i: (has(i, "alpha") and has(i, "beta")) or (has(i, "ete") and not has(i, "gamma")),
+        'alpha ("the of" OR q1-2026)': lambda i: has(i, "alpha") and (near(i, "the", "of") or near(i, "q1", "2026")),
+        "ga* bet*": lambda i: pre(i, "ga") and pre(i, "bet"),
+        "(alpha OR beta) NOT (gamma OR the)": lambda i: (has(i, "alpha") or has(i, "beta")) and not (has(i, "gamma") or has(i, "the")),
+    }
+    for query, want in cases.items():
+        assert {r.id for r in index.matching(query).collect()} == {i for i in store if want(i)}, query
+    for wrong in ("", "AND a", "a OR", "(a", "a)", '"a', "a NOT", "--", "*"):
+        with pytest.raises(ValueError):
+            index.matching(wrong)
