@@ -24,7 +24,7 @@ different values of a level under it, not rows.
 Defined results. Weights are integers of 0 or more; a value without one has weight 1. Null and '' are one
 value of a level. Nothing is taken from a leaf that gets no tokens. Shares are rounded down, so a node may
 leave as many tokens as it has children. Rows without tokens (null or empty text) cost none and follow the
-order. Repeated rows count each; equal order keys go by doc_id, then tokens. An empty table gives an empty
+order. Repeated rows count each; equal order keys go by doc_id, then tokens, then what is carried. An empty table gives an empty
 result. Only the columns asked for are read.
 """
 
@@ -102,14 +102,15 @@ def _last_range(ranges: DataFrame, names: list[str], most: int) -> DataFrame:
     return last
 
 
-def mix(docs: DataFrame, levels: dict[str, Column], weights: list[dict[str, int]], budget: Column, max_epochs: int = 1, seed: int = 0, tokens: Column | None = None) -> DataFrame:
-    """doc_id, levels, tokens, copies (how often the document is taken) of every row of docs.
+def mix(docs: DataFrame, levels: dict[str, Column], weights: list[dict[str, int]], budget: Column, max_epochs: int = 1, seed: int = 0, tokens: Column | None = None, carry: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, levels, tokens, copies (how often the document is taken) of every row of docs, and what carry names.
 
-    levels: name to expression, from the root down. tokens: an expression; by default the number of words.
+    levels: name to expression, from the root down. tokens: an expression; by default the number of words. carry:
+    name to expression of small values that tell rows apart, such as a text's hash; the names are new ones.
     """
-    names = list(levels)
+    names, carried = list(levels), list(carry or {})
     text = F.col("text").cast("string")
-    slim = docs.select("doc_id", *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()), (word_tokens(text) if tokens is None else tokens).alias("tokens"))
+    slim = docs.select("doc_id", *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()), (word_tokens(text) if tokens is None else tokens).alias("tokens"), *(c.alias(n) for n, c in (carry or {}).items()))
     slim = written(slim, "mixing-rows")
     leaves = slim.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     plan = leaf_budgets(leaves, names, weights, budget, max_epochs)
@@ -124,9 +125,9 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[dict[str, int]
     most = ranges.agg(F.max("bits")).first()[0] or 0
     last = _last_range(ranges, names, most)
     rows = rows.join(last, names, "left").withColumn("edge", F.col("last.range"))
-    columns = ["doc_id", *names, "tokens"]
+    columns = ["doc_id", *names, "tokens", *carried]
     taken = lambda more: F.when(F.col("total") > 0, F.col("epochs") + more.cast("long")).otherwise(F.lit(0)).cast("long").alias("copies")
     clear = rows.filter("edge is null or range <> edge").select(*columns, taken(F.col("edge").isNull() | (F.col("range") < F.col("edge"))))
-    running = Window.partitionBy(*names).orderBy("order", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(*names).orderBy("order", "doc_id", "tokens", *carried).rowsBetween(Window.unboundedPreceding, 0)
     edge = rows.filter("range = edge").withColumn("upto", F.col("last.before") + F.sum("tokens").over(running)).select(*columns, taken(F.col("upto") <= F.col("rest")))
     return clear.unionByName(edge)
