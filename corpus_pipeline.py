@@ -11,15 +11,22 @@
 
 All stages but the last return the columns of documents. ORACLE_SQL is None: SQL expresses neither the
 trained prediction nor the tokenizer; tests hold the stages against brute force.
+
+Defined results. Null and empty texts, and those without letters, go in stage 1. A row without a doc_id is a
+document of its own: it is linked with nothing and shares in the budget like any other. Rows that share a doc_id
+but not the text are one document to near-dedup, which keeps or drops all of them, and are chosen each by itself
+in mixing. Of rows equal in doc_id and text one stays after near-dedup; those without a doc_id all stay, and mixing
+takes equal ones together or none of them. Ties are as in the operators. Texts of any length are taken whole. Other columns than COLUMNS go in stage 1; an empty
+table gives an empty result. A stage's table is removed when the next one is written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.llm import bpe, langid, linededup, mixing, neardup
-from mnemora.llm._shared import written
+from mnemora.llm._shared import remove, written
 from mnemora.llm.queries import domain
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -43,21 +50,32 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
-def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids, a repeated row once, and rows without a doc_id."""
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(COLUMNS)
-    named = rows.join(ids.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = neardup.near_duplicates(docs, SHINGLE_WORDS, PERCENT).filter("kept and doc_id is not null").select("doc_id")
+    named = rows.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.select(COLUMNS).unionByName(rows.filter("doc_id is null"))
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _chosen(docs, neardup.near_duplicates(docs, SHINGLE_WORDS, PERCENT).filter("kept"))
+def _text_key() -> dict[str, Column]:
+    """Tells rows of one doc_id, or of none, apart by their text."""
+    return {"text_hash": F.xxhash64("text"), "text_length": F.length("text")}
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     levels = {"domain": domain(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
     budget = F.floor(F.sum("tokens") * MIX_PERCENT / 100)
-    return _chosen(docs, mixing.mix(docs, levels, MIX_WEIGHTS, budget, 1, MIX_SEED).filter("copies > 0"))
+    # rows without an id have their place in the order by their text: by a common id, they would be in one
+    by_text = F.concat(F.lit("text-"), F.xxhash64("text").cast("string"))
+    named = docs.select(*COLUMNS, F.col("doc_id").alias("id")).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("string"), by_text))
+    taken = mixing.mix(named, levels, MIX_WEIGHTS, budget, 1, MIX_SEED, carry={"id": F.col("id")} | _text_key())
+    # equal rows are next to each other in the order; they are taken if all of them fit
+    taken = taken.groupBy("id", *_text_key().keys()).agg(F.min("copies").alias("copies")).filter("copies > 0")
+    rows = docs.select(*COLUMNS, *(c.alias(f"own_{n}") for n, c in _text_key().items()))
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    for n in _text_key():
+        same = same & F.col(f"own_{n}").eqNullSafe(F.col(n))
+    return rows.join(taken, same).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,6 +93,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from documents; each but the last is written in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        now: list[str] = []
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}", now)
+        remove(spark, before)
+        before = now
     return STAGES[-1][1](spark, docs, sf_dir)
