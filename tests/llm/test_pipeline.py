@@ -2,6 +2,7 @@ import collections
 import hashlib
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
@@ -64,3 +65,55 @@ def test_edges(spark):
             rows = out.collect()
             assert out.columns == pipeline.COLUMNS or name == "bpe"
             assert rows or not df.count()
+
+
+def test_mixing_goes_by_row_and_keeps_its_budget(spark):
+    """Rows without a doc_id share in the budget, two texts of one id are chosen each, equal rows together."""
+    rows = [(i % 40 if i % 5 else None, f"w{i} " * (3 + i % 9), "en", f"s{i % 3}", 0) for i in range(200)] + [(None, "same text here", "en", "s1", 0)] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = collections.Counter(rows_of(pipeline.mix(spark, docs, "")))
+    all_ = collections.Counter(rows)
+    size = lambda c: sum(len(r[1].split()) * n for r, n in c.items())
+    assert got <= all_ and 0.7 * size(all_) < size(got) <= 0.8 * size(all_)
+    assert all(n == all_[r] for r, n in got.items())
+    assert 0 < sum(r[0] is None for r in got) < sum(r[0] is None for r in all_)
+    texts = collections.defaultdict(set)
+    for r in got:
+        texts[r[0]].add(r[1])
+    assert any(i is not None and 0 < len(t) < 4 for i, t in texts.items())
+
+
+def test_all_stages_on_edges(spark, tmp_path):
+    """Nulls, empties, repeats, a long text and no rows through the whole pipeline."""
+    edges = documents(spark).select(pipeline.COLUMNS).union(corpus(spark).withColumn("doc_id", F.col("doc_id") + 10_000)).union(documents(spark).select(pipeline.COLUMNS).filter("doc_id = 8"))
+    for name, df in (("edges", edges), ("none", edges.limit(0))):
+        (tmp_path / name).mkdir()
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        ids = collections.Counter(r.doc_id for r in out)
+        assert (len(out) > 50 and not {4, 5, 6} & set(ids) and all(n == 1 for i, n in ids.items() if i is not None)) if name == "edges" else out == []
+
+
+def test_language_id_against_the_definition(spark):
+    """Stage 1 keeps the rows, with the language, that code lengths by definition decide on."""
+    import zlib
+
+    import numpy as np
+    from tests.llm.test_langid import code_length
+
+    docs = corpus(spark).limit(60)
+    rows = rows_of(docs)
+    langs = sorted({r[2] for r in rows})
+    counts = collections.Counter()
+    for i, text, lang, *_ in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            data = pipeline.langid._CODED[np.frombuffer(text.lower().encode(), np.uint8)].tobytes()
+            counts.update((langs.index(lang), data[j : j + k + 1]) for k in range(5) for j in range(len(data) - k))
+    got = {r[0]: r[2] for r in rows_of(pipeline.language_id(spark, docs, ""))}
+    for i, text, *_ in rows[:12]:
+        data = pipeline.langid._CODED[np.frombuffer(text.lower().encode(), np.uint8)].tobytes()
+        own = {k: v for k, v in counts.items()}
+        bits = [code_length(data, own, lang, 4) for lang in range(len(langs))]
+        best = int(np.argmin(bits))
+        sure = 1 / sum(2.0 ** max(-1000, min(bits) - b) for b in bits) >= pipeline.LEAST_SCORE and min(bits) / len(data) <= pipeline.MOST_BITS
+        assert got.get(i) == (langs[best] if sure else None)
