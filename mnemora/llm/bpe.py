@@ -34,6 +34,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemora.llm._shared import small_batches
+
 #: Stands for the vocabulary's end-of-word mark while matching; no byte maps to it.
 _END = ""
 #: Pieces in each half of a Python worker's cache.
@@ -60,8 +62,12 @@ def read_vocabulary(path: str) -> dict:
 
     Raises ValueError if the file asks for anything that this module does otherwise.
     """
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    with open(path, "rb") as f:
+        return parse_vocabulary(f.read(), path)
+
+
+def parse_vocabulary(data: bytes, path: str) -> dict:
+    spec = json.loads(data)
     model, steps = spec["model"], (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
     split = [x for x in steps if x["type"] == "Split"]
     same = spec["normalizer"] == _NORMALIZER and spec["decoder"] is None and len(split) == 1 and steps == [split[0], _BYTES]
@@ -134,9 +140,10 @@ class BacktrackingBPE:
         self.added_split = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.compatible: dict[tuple[int, int], bool] = {}
         #: Pieces seen of late, and those seen before them; the older half goes when the newer is full.
-        self.cache: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         top = max([*spec["vocab"].values(), *self.added.values()]) + 1
+        self.number = list(range(top))  # one object for a number, however many cached pieces hold it
         names = [b""] * top
         for t, i in [*spec["vocab"].items(), *self.added.items()]:
             names[i] = t.encode()
@@ -254,14 +261,14 @@ class BacktrackingBPE:
         normal, split = self._later
         return [piece for piece, _ in split.pre_tokenize_str(normal.normalize_str(text))]
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> tuple[int, ...] | list[int]:
         ids = self.cache.get(piece)
         if ids is None:
             ids = self.older.get(piece) or self.encode_piece(piece)
             if len(piece) <= 64:
                 if len(self.cache) >= CACHE_PIECES:
                     self.older, self.cache = self.cache, {}
-                self.cache[piece] = ids
+                self.cache[piece] = ids = tuple(map(self.number.__getitem__, ids))
         return ids
 
     def encode(self, text: str | None) -> list[int]:
@@ -292,15 +299,21 @@ _built: dict[str, BacktrackingBPE] = {}
 
 def _coder(shared) -> BacktrackingBPE:
     """One coder per Python worker and vocabulary."""
-    if shared.value["key"] not in _built:
+    path, data = shared.value
+    if path not in _built:
         _built.clear()
-        _built[shared.value["key"]] = BacktrackingBPE(shared.value)
-    return _built[shared.value["key"]]
+        _built[path] = BacktrackingBPE(parse_vocabulary(data, path))
+    return _built[path]
 
 
 def broadcast_vocabulary(spark: SparkSession, path: str):
-    """The vocabulary for all executors: one file of a tokenizer, 2 MB here, whatever the input's size."""
-    return spark.sparkContext.broadcast(read_vocabulary(path) | {"key": path})
+    """The vocabulary for all executors: one file of a tokenizer, 2 MB here, whatever the input's size.
+
+    The file's bytes are sent, so that a worker keeps its coder alone and not also what it was made from.
+    """
+    read_vocabulary(path)  # an error comes before any task runs
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast((path, f.read()))
 
 
 def encode(docs: DataFrame, vocabulary, decoded: bool = False) -> DataFrame:
@@ -321,6 +334,7 @@ def encode(docs: DataFrame, vocabulary, decoded: bool = False) -> DataFrame:
                     out.append(pa.array([coder.decode(x) for x in ids], pa.binary()).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "decoded"][: len(out)])
 
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, ids array<int>" + (", decoded string" if decoded else "")
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

@@ -29,8 +29,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemora.llm._shared import small_batches
+
 #: Bytes that are coded together; longer texts are coded in several pieces, each with its left context.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 UNKNOWN = "und"
 #: Longest contexts whose steps are a plain table: at most 256 ** 3 entries.
 DENSE = 2
@@ -246,6 +248,7 @@ def predict(docs: DataFrame, trees: Trees, carry: list[str] = ()) -> DataFrame:
     if the code lengths are taken as log-likelihoods and languages as equally likely.
     """
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(trees)
     kind = dict(docs.dtypes)
     names = [f"__carry_{i}" for i in range(len(carry))]

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm._shared import written
+from mnemora.llm._shared import small_batches, written
 
 _SPACES = b" \t\n\x0b\x0c\r"
 _DROP, _WAIT, _COUNT = 0, 1, 2
@@ -136,6 +136,7 @@ def _decide(min_docs: int, keep_first: bool, schema: pa.Schema):
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """doc_id, text_hash, n_lines, n_dropped, keep (zlib-compressed bits, 1: keep) per document that loses lines."""
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     keys = _documents(docs).mapInArrow(_key_rows(max(1, min_chars)), f"h1 long, h2 long, doc_id {kind}, text_hash long, n_lines int, places array<int>")
     order = ["h1", "h2", "doc_id", "text_hash"]

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from mnemora.llm._shared import remove, written
+from mnemora.llm._shared import remove, small_batches, written
 
 BUCKET_BITS, MANTISSA_BITS = 8, 10
 BUCKETS = 1 << BUCKET_BITS
@@ -309,6 +309,7 @@ def _star_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     spark, used = docs.sparkSession, []
+    small_batches(spark)
     sketch = written(sketches(docs, k), "sketches")
     real = sketch.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = written(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("cid")), "classes")
