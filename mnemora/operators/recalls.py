@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.operators import search
@@ -104,3 +104,34 @@ def session_children(turns: DataFrame, answers: DataFrame) -> DataFrame:
     some = lambda c, kind, tag="": F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda t: F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(tag), t).alias("text")))
     every = F.concat(some("decisions", "decision"), some("facts", "fact"), some("preferences", "fact", TAGS[0] + " "), some("technical", "fact", TAGS[1] + " "))
     return answers.join(last, "session_id").select("turn_id", F.explode(every).alias("c")).select("turn_id", "c.kind", "c.text")
+
+
+def like_ranked(rows: DataFrame, key: str, column: str, words: str, *order: Column, title: str | None = None, limit: int = 5) -> DataFrame:
+    """rank, id, title of the first rows by order (then key) whose column has the words, whatever the case."""
+    order = (*order, F.col(key))
+    found = rows.filter(F.lower(column).contains(words.lower())).orderBy(*order).limit(limit)
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
+    return found.select(rank.alias("rank"), F.col(key).alias("id"), F.col(title or column).alias("title"))
+
+
+def unified(kinds: dict[str, DataFrame], limit: int = 5, gates: DataFrame | None = None, contexts: dict[str, DataFrame] | None = None) -> DataFrame:
+    """kind, rank, id, title of everything that is known on some words; every kind's best rows come first.
+
+    kinds: name to ranked rows (rank, id, title), of which limit are taken. gates: one row of flags, such as
+    known_names gives, and contexts: by flag, a dossier (section, rank, key, value), which is part of the result
+    as kind flag_context if the flag holds and the dossier has a row. Four rows of kind summary tell how many rows
+    there are, which kinds have any (sorted, with commas), and which contexts.
+    """
+    text = [df.filter(F.col("rank") <= limit).select(F.lit(k).alias("kind"), F.col("rank").cast("long").alias("rank"), F.col("id").cast("string").alias("id"), F.col("title").cast("string").alias("title")) for k, df in kinds.items()]
+    hits = union(text)
+    total = hits.agg(F.count(F.lit(1)).cast("string").alias("total_hits"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds_with_results"))
+    lines = [(1, "total_hits"), (2, "kinds_with_results")]
+    out = [hits]
+    for flag, dossier in (contexts or {}).items():
+        open_ = dossier.join(F.broadcast(gates.select(F.col(flag).alias("__open"))).filter("__open"))
+        rows = open_.select(F.lit(f"{flag}_context").alias("kind"), F.col("rank").cast("long").alias("rank"), F.concat_ws(":", "section", "key").alias("id"), F.col("value").cast("string").alias("title"))
+        out.append(rows)
+        total = total.join(F.broadcast(rows.agg((F.count(F.lit(1)) > 0).cast("string").alias(f"has_{flag}_context"))))
+        lines.append((len(lines) + 1, f"has_{flag}_context"))
+    each = F.explode(F.array(*(F.struct(F.lit(n).cast("long").alias("rank"), F.lit(name).alias("id"), F.col(name).alias("title")) for n, name in lines))).alias("s")
+    return union([*out, total.select(F.lit("summary").alias("kind"), each).select("kind", "s.*")])

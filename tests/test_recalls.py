@@ -52,3 +52,18 @@ def test_links_and_gate(spark):
     assert [r.url for r in R.link_index(links, "unfetched").collect()] == ["c", "a"] and [r.url for r in R.link_index(links, "stale").collect()] == ["a"]
     people, topics = spark.createDataFrame([("Ann Lee",)], "name string"), spark.createDataFrame([], "name string")
     assert tuple(R.known_names(people, topics, "lee").first()) == (True, False)
+
+
+def test_recall_over_all_kinds(spark):
+    ranked = lambda *rows: spark.createDataFrame([(k + 1, i, t) for k, (i, t) in enumerate(rows)], "rank int, id string, title string")
+    kinds = {"emails": ranked(*((f"m{i}", "mail") for i in range(9))), "decisions": ranked(("d1", "adopt")), "actions": ranked()}
+    gates = spark.createDataFrame([(True, False, True)], "person boolean, topic boolean, other boolean")
+    dossier = spark.createDataFrame([("profile", 1, "Ann", "a@x")], "section string, rank int, key string, value string")
+    got = R.unified(kinds, 5, gates, {"person": dossier, "topic": dossier, "other": dossier.limit(0)}).collect()
+    assert [r.id for r in got if r.kind == "emails"] == ["m0", "m1", "m2", "m3", "m4"]
+    assert [(r.id, r.title) for r in got if r.kind.endswith("_context")] == [("profile:Ann", "a@x")]
+    assert {r.id: r.title for r in got if r.kind == "summary"} == {"total_hits": "6", "kinds_with_results": "decisions,emails", "has_person_context": "true", "has_topic_context": "false", "has_other_context": "false"}
+    nothing = R.unified({"actions": ranked()}).collect()
+    assert {r.id: r.title for r in nothing} == {"total_hits": "0", "kinds_with_results": ""}
+    rows = spark.createDataFrame([(1, "Adopt X", 2), (2, "adopt y", None), (3, "adopt z", 1), (4, "no", 0)], "k long, t string, d int")
+    assert [(r["rank"], r.id) for r in R.like_ranked(rows, "k", "t", "ADOPT", F.asc_nulls_last("d"), limit=2).collect()] == [(1, 3), (2, 1)]
