@@ -48,7 +48,7 @@ BUCKET_BITS, MANTISSA_BITS = 8, 10
 BUCKETS = 1 << BUCKET_BITS
 ROWS, BANDS = 6, 42
 #: Members of a key that meet in one block: those outside its largest component, and all.
-BLOCK_X, BLOCK_Y = 256, 1024
+BLOCK_X, BLOCK_Y = 128, 512
 #: Members of a hub that are compared in one part.
 STAR_PART = 256
 BATCH_ROWS = 512
