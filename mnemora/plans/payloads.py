@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from mnemora.functions import text as T
 from mnemora.operators import people as P
 from mnemora.operators import recalls, selection, vectors, writes
-from mnemora.operators import search as search_ops
 from mnemora.plans.catalog import query
 from mnemora.plans.retrieval import _TOK
 from mnemora.session import fresh_path
@@ -335,22 +334,3 @@ select doc_id from t where ((list_contains(w, 'the') and not list_contains(w, 'o
 """)
 def raw_matches(v):
     return v.document_index().matching("(the NOT of) OR zeb* OR thin*", columns=["text"])
-
-
-_HIT = r"list_has_any(regexp_extract_all(strip_accents(lower(x)), '[\p{L}\p{N}]+'), ['the', 'ing'])"
-
-
-def snippet_rows(v):
-    hits = v.document_index().bm25("the ing", 20, columns=["text"])
-    return v.table("documents").join(F.broadcast(hits), "doc_id").select("doc_id", search_ops.snippet(F.col("text"), "the ing", size=12).alias("snippet"))
-
-
-query("snippets", f"""
-with r0 as (select doc_id, {_TOK.format(c='text')} as w, text from documents),
-d as (select doc_id, text, len(w) as dl, len(list_filter(w, lambda x: x = 'the')) as t0, len(list_filter(w, lambda x: x = 'ing')) as t1 from r0),
-s as (select count(*) as n, avg(dl) as av, count(*) filter (where t0 > 0) as d0, count(*) filter (where t1 > 0) as d1 from d),
-h as (select doc_id, text, round(greatest(1e-6, ln((n - d0 + 0.5) / (d0 + 0.5))) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * dl / av)) + greatest(1e-6, ln((n - d1 + 0.5) / (d1 + 0.5))) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * dl / av)), 6) as score from d, s where t0 > 0 and t1 > 0 order by score desc, doc_id limit 20),
-w as (select doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as w from h),
-p as (select *, greatest(1, least(coalesce(list_position(list_transform(w, lambda x: {_HIT}), true), 1) - 3, len(w) - 11)) as a from w)
-select doc_id, case when a > 1 then '...' else '' end || array_to_string(list_transform(w[a : a + 11], lambda x: case when {_HIT} then '<b>' || x || '</b>' else x end), ' ') || case when a + 12 <= len(w) then '...' else '' end as snippet from p
-""")(snippet_rows)

@@ -65,7 +65,14 @@ def kw_or_semi(v):
     return v.table("documents").join(own.unionByName(toxic).unionByName(said), "doc_id", "left_semi").select("doc_id")
 
 
-@query("kw_snippet")
+_HIT = f"list_has_any({_TOK.format(c='x')}, ['the', 'ing'])"
+
+
+@query("kw_snippet", "with " + bm25_sql("documents", "doc_id", "text", ["the", "ing"], 20) + f""",
+w as (select doc_id, score, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as w from r join documents using (doc_id)),
+p as (select *, greatest(1, least(coalesce(list_position(list_transform(w, lambda x: {_HIT}), true), 1) - 7, len(w) - 29)) as a from w)
+select doc_id, score, case when a > 1 then '...' else '' end || array_to_string(list_transform(w[a : a + 29], lambda x: case when {_HIT} then '<b>' || x || '</b>' else x end), ' ') || case when a + 30 <= len(w) then '...' else '' end as snippet from p
+""")
 def kw_snippet(v):
     hits = v.document_index().bm25("the ing", 20, columns=["text"])
     return v.table("documents").join(F.broadcast(hits), "doc_id").select("doc_id", "score", search.snippet(F.col("text"), "the ing").alias("snippet"))
