@@ -38,7 +38,7 @@ class Views:
         """
         state = (self.spark.sparkContext.applicationId, name, key, *fields, self._state(table))
         if state not in _INDEXES:
-            _INDEXES[state] = TextIndex(self.spark, fresh_path(self.spark, f"index-{name}"), key, fields).put(rows)
+            _INDEXES[state] = TextIndex(self.spark, fresh_path(self.spark, f"index-{name}", lasting=True), key, fields).put(rows)
         return _INDEXES[state]
 
     def document_index(self) -> TextIndex:

@@ -37,10 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses; `clean` removes what is written there."""
-    _written.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
-    return _written[-1]
+def fresh_path(spark: SparkSession, label: str, lasting: bool = False) -> str:
+    """A path in the shared folder that nothing else uses; `clean` removes what is written there unless it is lasting."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not lasting:
+        _written.append(path)
+    return path
 
 
 def stored(df: DataFrame, label: str = "step", temporary: list[str] | None = None) -> DataFrame:

@@ -102,3 +102,14 @@ def test_queries_with_operators(spark, tmp_path):
     for wrong in ("", "AND a", "a OR", "(a", "a)", '"a', "a NOT", "--", "*"):
         with pytest.raises(ValueError):
             index.matching(wrong)
+
+
+def test_an_index_of_the_queries_outlives_intermediate_tables(spark):
+    from mnemora import session
+    from mnemora.plans.views import Views
+    from tests.compare import SF_DIR
+
+    first = Views(spark, SF_DIR).item_index()
+    session.clean(spark)
+    again = Views(spark, SF_DIR).item_index()
+    assert again is first and again.bm25("the", 3).count() == 3
