@@ -79,12 +79,14 @@ class TextIndex:
         segment = known[-1] + 1 if known else 1
         at = f"{self.path}/segment-{segment}"
         if rows is not None:
-            each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("words")) for f in self.fields))).alias("f")
-            lengths = F.struct(*(F.size(tokens(F.col(f))).alias(f) for f in self.fields))
-            rows = rows.filter(F.col(self.key).isNotNull()).select(F.col(self.key).alias("key"), lengths.alias("lengths"), *self.fields)
+            # a generator's column: a field is cut into tokens once a pass, whatever is made of them
+            words = F.explode(F.array(F.struct(*(tokens(F.col(f)).alias(f) for f in self.fields)))).alias("words")
+            rows = rows.filter(F.col(self.key).isNotNull()).select(F.col(self.key).alias("key"), words)
+            rows = rows.select("key", "words", F.struct(*(F.size(F.col("words")[f]).alias(f) for f in self.fields)).alias("lengths"))
             rows.select("key", "lengths").write.mode("overwrite").parquet(f"{at}/rows")
             if self._table(segment, "rows").groupBy("key").count().filter("count > 1").limit(1).count():
                 raise ValueError(f"{self.path}: a key repeats among the rows put")
+            each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col("words")[f].alias("words")) for f in self.fields))).alias("f")
             terms = rows.select("key", "lengths", each).select("key", "lengths", "f.field", F.posexplode("f.words").alias("position", "term"))
             terms = terms.groupBy("key", "field", "term").agg(F.first("lengths").alias("lengths"), F.array_sort(F.collect_list("position")).alias("positions"))
             terms = terms.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % self.buckets).cast("int"))

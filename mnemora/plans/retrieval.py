@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from mnemora.operators import search, vectors
+from mnemora.operators.index import TextIndex
 from mnemora.plans.catalog import query
-from mnemora.session import stored
+from mnemora.session import fresh_path, stored
 
 WORDS = "the edition"
 _TOK = r"regexp_extract_all(strip_accents(lower(coalesce({c}, ''))), '[\p{{L}}\p{{N}}]+')"
@@ -197,3 +198,12 @@ select id // 1000 as conv_id, min(rank)::int as rank, count(*) as hits from x gr
 def session_search(v):
     hits = search.ranked(v.turn_index().bm25("of the", 60), "id")
     return hits.groupBy(F.expr("id div 1000").alias("conv_id")).agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("hits"))
+
+
+@query("index_upkeep", "with " + bm25_sql("u", "id", "text", ["quokka", "the"], 1_000_000).replace("r_t as", "u as (select conv_id * 1000 + turn as id, case when turn % 4 = 0 then 'Quokka ' || text else text end as text from conversations where turn <> 2),\nr_t as") + " select id, score from r")
+def index_upkeep(v):
+    """An index of all turns of which some are put again with other texts, and some removed; then made one segment."""
+    turns = v.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "turn", "text")
+    index = TextIndex(v.spark, fresh_path(v.spark, "index-upkeep"), "id", ["text"], buckets=8).put(turns)
+    index.put(turns.filter("turn % 4 = 0").withColumn("text", F.concat(F.lit("Quokka "), "text"))).remove(turns.filter("turn = 2"))
+    return index.merged(fresh_path(v.spark, "index-merged")).bm25("quokka the", None)
