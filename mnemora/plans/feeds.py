@@ -143,6 +143,7 @@ def frontmatter_read(v):
 @query("foreign_table", "select s_suppkey, s_name, s_acctbal from supplier where s_acctbal > 100 and s_nationkey < 13")
 def foreign_table(v):
     """Suppliers in a foreign database, read by two predicates at once; the database is in the driver's JVM."""
+    v.spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")  # else it writes a log beside the driver
     url = f"jdbc:derby:memory:store{abs(hash(fresh_path(v.spark, 'foreign')))};create=true"
     v.table("supplier").coalesce(1).write.option("isolationLevel", "NONE").jdbc(url, "supplier")
     rows = readers.database(v.spark, url, "supplier", ['"s_suppkey" < 50 AND "s_nationkey" < 13', '"s_suppkey" >= 50 AND "s_nationkey" < 13'])
