@@ -14,9 +14,22 @@ _FACTS = "f as (select event_id as fact_id, case event_id % 3 when 0 then '[PREF
 
 @query("preference_recall", f"with {_FACTS}, n as (select * from f where fact like '[%' order by seen_at desc, fact_id limit 40) select fact_id, fact from n order by seen_at desc, fact_id limit 40")
 def preference_recall(v):
+    return R.preferences(_facts(v), "no such topic", 40).select("fact_id", "fact")
+
+
+@query("preference_topic", f"with {_FACTS}, tagged as (select * from f where fact like '[%'),\n" + bm25_sql("tagged", "fact_id", "fact", ["click"], 40) + """,
+n as (select * from tagged order by seen_at desc, fact_id limit 40),
+ids as (select fact_id from n where contains(lower(fact), 'click') union select fact_id from r)
+select fact_id, fact from tagged where fact_id in (select fact_id from ids) or not exists (select 1 from ids) order by seen_at desc, fact_id limit 40
+""")
+def preference_topic(v):
+    """Tagged facts on a topic that occurs: among the newest, and by rank among all."""
+    return R.preferences(_facts(v), "click", 40).select("fact_id", "fact")
+
+
+def _facts(v):
     tag = F.when(F.col("event_id") % 3 == 0, "[PREFERENCE] ").when(F.col("event_id") % 3 == 1, "[TECHNICAL] ").otherwise("")
-    facts = v.table("events").select(F.col("event_id").alias("fact_id"), F.concat(tag, "event_type").alias("fact"), F.col("ts").alias("at"))
-    return R.preferences(facts, "no such topic", 40).select("fact_id", "fact")
+    return v.table("events").select(F.col("event_id").alias("fact_id"), F.concat(tag, "event_type").alias("fact"), F.col("ts").alias("at"))
 
 
 @query("image_search", """
