@@ -219,17 +219,17 @@ def _partners(regs: np.ndarray, n: np.ndarray, x: np.ndarray, root: np.ndarray,
 
 
 def _open(percent: int, schema: pa.Schema):
-    """Of a block's rows (key, xb, yb, x, cid, root, band, n, regs) those with a partner, by registers alone."""
+    """Of a block's rows (key, xb, yb, part, x, cid, root, band, n, regs) those with a partner, by registers alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit, rows in _units(batches, ["x", "cid", "root", "band", "n", "regs"]):
+        for unit, rows in _units(batches, ["part", "x", "cid", "root", "band", "n", "regs"]):
             regs, n = np.frombuffer(b"".join(rows["regs"]), np.uint16).reshape(-1, BUCKETS), np.array(rows["n"], np.int64)
             with_partner = np.zeros(len(n), bool)
             for i, other in _partners(regs, n, np.array(rows["x"]), np.array(rows["root"]), rows["band"][0], percent):
                 with_partner[other] = True
                 with_partner[i] |= len(other) > 0
             found = np.flatnonzero(with_partner)
-            columns = [[value] * len(found) for value in unit] + [[rows[c][i] for i in found] for c in ("x", "cid", "root", "band")]
+            columns = [[value] * len(found) for value in unit] + [[rows[c][i] for i in found] for c in ("part", "x", "cid", "root", "band")]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
@@ -308,6 +308,11 @@ def _star_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
     return dealt.mapInArrow(_stars(k, percent), f"a {kind}, b {kind}")
 
 
+def _by_block(rows: DataFrame, n: int) -> DataFrame:
+    """n rows of blocks (key, xb, yb, part), a block's together, in as many partitions as there may be full blocks."""
+    return rows.repartitionById(n // (BLOCK_X + BLOCK_Y) + 1, "part").sortWithinPartitions("key", "xb", "yb")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     spark, used = docs.sparkSession, []
@@ -348,17 +353,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sized = apart.withColumn("bx", F.ceil(F.col("others") / BLOCK_X).cast("int")).withColumn("by", F.ceil(F.col("all") / BLOCK_Y).cast("int"))
     as_y = F.transform(F.sequence(F.lit(0), F.col("bx") - 1), lambda i: F.struct(i.alias("xb"), block("by").alias("yb"), F.lit(False).alias("x")))
     as_x = F.when(F.col("root") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("by") - 1), lambda i: F.struct(block("bx").alias("xb"), i.alias("yb"), F.lit(True).alias("x"))))
-    dealt = sized.select("key", F.explode(F.concat(as_y, F.coalesce(as_x, F.array().cast("array<struct<xb:int,yb:int,x:boolean>>")))).alias("b"), "cid", "root", "band")
-    dealt = dealt.join(registers_of.hint("merge"), "cid").select("key", "b.xb", "b.yb", "b.x", "cid", "root", "band", "n", "regs")
-    dealt = dealt.repartition("key", "xb", "yb").sortWithinPartitions("key", "xb", "yb")
-    schema = f"key long, xb int, yb int, x boolean, cid {kind}, root {kind}, band int"
-    fields = pa.schema([("key", pa.int64()), ("xb", pa.int32()), ("yb", pa.int32()), ("x", pa.bool_()), ("cid", id_type), ("root", id_type), ("band", pa.int32())])
+    dealt = sized.select("key", F.explode(F.concat(as_y, F.coalesce(as_x, F.array().cast("array<struct<xb:int,yb:int,x:boolean>>")))).alias("b"), "by", "cid", "root", "band")
+    # the blocks of a key go to one partition after the other, so that a large key's are spread evenly
+    part = F.pmod(F.xxhash64("key"), F.lit(1 << 30)).cast("int") + F.pmod(F.col("b.xb").cast("long") * F.col("by") + F.col("b.yb"), F.lit(1 << 30)).cast("int")
+    dealt = dealt.join(registers_of.hint("merge"), "cid").select("key", "b.xb", "b.yb", part.alias("part"), "b.x", "cid", "root", "band", "n", "regs")
+    n_dealt = sized.agg(F.sum(F.col("bx") + F.when(F.col("root") != F.col("main"), F.col("by")).otherwise(0))).first()[0] or 0
+    dealt = _by_block(dealt, n_dealt)
+    schema = f"key long, xb int, yb int, part int, x boolean, cid {kind}, root {kind}, band int"
+    fields = pa.schema([("key", pa.int64()), ("xb", pa.int32()), ("yb", pa.int32()), ("part", pa.int32()), ("x", pa.bool_()), ("cid", id_type), ("root", id_type), ("band", pa.int32())])
     unsolved = written(dealt.mapInArrow(_open(percent, fields), schema), "open-blocks", used)
     named = classes.join(roots, F.col("cid") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "cid").alias("component_id"))
-    if not unsolved.isEmpty():
+    n_unsolved = unsolved.count()
+    if n_unsolved:
         texts = plain.join(unsolved.select("cid").distinct().hint("merge"), "cid", "left_semi")
-        whole = unsolved.join(texts.hint("merge"), "cid").select("key", "xb", "yb", "x", "cid", "root", "band", "text")
-        whole = whole.repartition("key", "xb", "yb").sortWithinPartitions("key", "xb", "yb")
+        whole = _by_block(unsolved.join(texts.hint("merge"), "cid"), n_unsolved).select("key", "xb", "yb", "x", "cid", "root", "band", "text")
         # only components are joined now, so the graph is that of the new links between them
         joined = components(whole.mapInArrow(_bridges(k, percent, id_type), f"a {kind}, b {kind}")).select(F.col("node").alias("component_id"), F.col("root").alias("least"))
         named = named.join(joined, "component_id", "left").select("h1", "h2", F.coalesce("least", "component_id").alias("component_id"))
