@@ -148,10 +148,10 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     staged = written(ranged.mapInArrow(_decide(min_docs, keep_first, arrow), schema), "line-decisions")
     waiting = staged.filter(F.col("kind") == _WAIT)
-    # at most two runs of each partition, with min_docs rows each at most, wait: small at any size
+    # at most two runs of each partition, with min_docs rows each at most, wait
     mine = F.struct("doc_id", "text_hash")
     runs = staged.filter(F.col("kind") != _DROP).groupBy("h1", "h2").agg(F.sum("n").alias("total"), F.min(F.when(F.col("kind") == _WAIT, mine)).alias("first"))
-    late = waiting.join(F.broadcast(runs.filter(F.col("total") >= min_docs).select("h1", "h2", "first")), ["h1", "h2"])
+    late = waiting.join(runs.filter(F.col("total") >= min_docs).select("h1", "h2", "first"), ["h1", "h2"])
     if keep_first:
         late = late.withColumn("places", F.when(mine == F.col("first"), F.slice("places", F.lit(2), F.size("places"))).otherwise(F.col("places")))
     columns = ["doc_id", "text_hash", "n_lines", "places"]
