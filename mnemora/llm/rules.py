@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from mnemora.llm._shared import written
 
+#: Words of a window, a power of two.
 WINDOW = 8
 _WORD, _SPACE, _SYMBOL = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]+", r"[#*$%&|<>]"
 
@@ -72,9 +73,14 @@ def ledger(docs: DataFrame) -> DataFrame:
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.transform("__words", lambda w: F.xxhash64(w)).alias("__hashes"),
     )
-    n = F.size("__hashes")
-    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__hashes", i, F.lit(WINDOW)))))
-    rows = rows.withColumn("__windows", windows)
+    # hashes of 2, 4 and 8 neighbouring words, each from two of the ones before
+    size = 1
+    while size < WINDOW:
+        behind = F.slice("__hashes", F.lit(size + 1), F.greatest(F.size("__hashes") - size, F.lit(0)))
+        front = F.slice("__hashes", F.lit(1), F.greatest(F.size("__hashes") - size, F.lit(0)))
+        rows = rows.withColumn("__hashes", F.zip_with(front, behind, lambda a, b: F.xxhash64(a, b)))
+        size *= 2
+    rows = rows.withColumnRenamed("__hashes", "__windows")
     placed = F.array_sort(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     some = F.size("__windows") > F.size(F.array_distinct("__windows"))
     rows = rows.withColumn("__placed", F.when(some, placed))
