@@ -1,4 +1,4 @@
-"""The queries op1_… to op10_…, each over its whole table, and the SQL of those that SQL can express."""
+"""The queries op1_… to op13_…, each over its whole table, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.llm import bpe, chat, crf, knn, langid, linededup, mixing, neardup, rules, warc
+from mnemora.llm import bpe, chat, crf, knn, langid, linededup, mixing, neardup, packing, pareto, rules, spelling, warc
 from mnemora.llm._shared import written
 
 #: Mixing: words of budget as a multiple of all words, epochs at most, and weights by level.
@@ -83,9 +83,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.score(docs, crf.learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_pareto_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pareto.layered_offers(*(_table(spark, sf_dir, name) for name in ("sale_lines", "items", "sales")))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe.broadcast_vocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed(_table(spark, sf_dir, "documents"), vocabulary, ids=False)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_chat_preference, op3_mixing, op4_line_dedup, op5_near_dedup, op6_top_k, op7_quality_rules, op8_bpe, op9_warc, op10_quality)
+    for f in (
+        op1_language_id, op2_chat_preference, op3_mixing, op4_line_dedup, op5_near_dedup, op6_top_k, op7_quality_rules, op8_bpe, op9_warc, op10_quality,
+        op11_pareto_layers, op12_packing, op13_spelling,
+    )
 }
 
 #: Further results of the ten operators, beside their one query each.
@@ -148,6 +166,31 @@ def _mix_sql() -> str:
     return "with " + ",\n".join(steps) + "\nselect doc_id, domain, lang, source, tokens, (case when total > 0 then epochs + (upto <= rest)::int else 0 end)::bigint as copies from run"
 
 
+def _pareto_sql() -> str:
+    """Layer by layer, what no other of the points that are left dominates."""
+    lower = " and ".join(f"b.c{k} <= a.c{k}" for k in range(4))
+    steps = [
+        "i as (select item_id, floor(100 * min(price) + 0.5)::hugeint as p, min(kind) as kind from items where item_id is not null group by item_id)",
+        "s as (select sale_id, min(sold_at::date) as sold from sales where sale_id is not null group by sale_id)",
+        "l as (select l.item_id, vendor_id, floor(100 * amount + 0.5)::hugeint as c, floor(100 * discount + 0.5)::hugeint as d, quantity::hugeint as q, date_diff('day', sold, shipped_at::date) as late "
+        "from sale_lines l left join s using (sale_id) where l.item_id is not null and vendor_id is not null)",
+        "m as (select item_id, vendor_id, sum(c * (100 - d)) filter (where q is not null) as spent, sum(q) filter (where c is not null and d is not null) as n, floor(avg(d))::bigint as discount, "
+        "floor(avg(late))::bigint as delay, max(q)::bigint as quantity from l group by item_id, vendor_id)",
+        "o as (select item_id, vendor_id, kind as part_type, case when p >= 1 and n <> 0 then floor(spent / (p * n))::bigint end as price, discount, delay, quantity from m left join i using (item_id))",
+        "x as (select *, coalesce(kind, '') as k, coalesce(price, 1152921504606846976) as c0, coalesce(-discount, 1152921504606846976) as c1, coalesce(delay, 1152921504606846976) as c2, coalesce(-quantity, 1152921504606846976) as c3 "
+        "from (select *, case when part_type is not null then '=' || part_type end as kind from o))",
+    ]
+    for name, key in (("t", "k, "), ("g", "")):
+        same = "b.k = a.k and " if key else ""
+        steps.append(f"{name}0 as materialized (select distinct {key}c0, c1, c2, c3 from x)")
+        for i in range(1, pareto.LAYERS + 1):
+            worse = f"select distinct a.* from {name}{i - 1} a join {name}{i - 1} b on {same}{lower} and (a.c0 <> b.c0 or a.c1 <> b.c1 or a.c2 <> b.c2 or a.c3 <> b.c3)"
+            steps.append(f"{name}{i} as materialized ({worse})")
+        steps.append(f"{name} as (select {key}c0, c1, c2, c3, count(*) as n from (" + " union all ".join(f"select * from {name}{i}" for i in range(pareto.LAYERS + 1)) + ") group by all)")
+    layer = lambda n: f"case when {n}.n <= {pareto.LAYERS} then {n}.n else 0 end"
+    return "with " + ",\n".join(steps) + f"\nselect item_id, vendor_id, part_type, price, discount, delay, quantity, {layer('t')} as type_layer, {layer('g')} as global_layer, count(*) over (partition by c0, c1, c2, c3) as n_equal from x join t using (k, c0, c1, c2, c3) join g using (c0, c1, c2, c3)"
+
+
 _LEDGER_SQL = f"""d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words,
              list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from documents),
 w as (select doc_id, i, array_to_string(words[i : i + 7], ' ') as win from (select doc_id, words, unnest(generate_series(1, len(words) - 7)) as i from d where len(words) >= 8)),
@@ -161,6 +204,7 @@ b as (select *, {" + ".join(f"case when {rule} then {1 << i} else 0 end" for i,
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_preference": _CHAT_SQL,
     "op3_mixing": _mix_sql(),
+    "op11_pareto_layers": _pareto_sql(),
     "op4_line_dedup": f"""
 with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) as i from documents),
 k as (select *, translate(trim(line, {_SPACES}), '{_UPPER}', '{_LOWER}') as key from l),
