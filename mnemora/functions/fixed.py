@@ -34,6 +34,16 @@ SESSION_SENTIMENTS = ["productive", "exploratory", "debugging", "planning", "rev
 URGENCIES = ["low", "medium", "high", "critical"]
 LANGUAGES = ["english", "greek", "mixed"]
 
+# Records of a session file: those that carry a turn's text, and those that are not looked at.
+CONTENT_RECORDS = ["user", "assistant"]
+SKIPPED_RECORDS = ["file-history-snapshot", "last-prompt", "progress", "queue-operation"]
+# What a turn shows of a tool: its target, its file, or so many characters of its command; characters of a turn.
+TOOLS_BY_TARGET = ["Read", "Glob", "Grep"]
+TOOLS_BY_FILE = ["Edit", "Write"]
+TOOL_BY_COMMAND = "Bash"
+COMMAND_SHOWN = 100
+TURN_SHOWN = 50_000
+
 # Vector ids by kind: (kind, offset); id = -offset - entity, but e-mails are positive.
 VECTOR_KINDS = [("email", 0), ("thread", 10_000_000), ("conversation", 2_000_000), ("attachment", 0)]
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemora.operators.windows import top_of
+from mnemora.operators.windows import numbered, top_of
 
 
 def matches(who: str, name: str = "name", email: str = "email") -> Column:
@@ -104,8 +104,11 @@ def combined(store, person: str | None = None, topic: str | None = None, keyword
     return top.join(lists, "email_id", "left")
 
 
-def section(df: DataFrame, name: str, key: Column, value: Column, *order: Column, limit: int | None = None) -> DataFrame:
-    """A small table as rows of a dossier; limit cuts before ranks are given."""
+def section(df: DataFrame, name: str, key: Column, value: Column, *order: Column, limit: int | None = None, whole: bool = False) -> DataFrame:
+    """A table as rows of a dossier; limit cuts before ranks are given. whole: all rows, of which there may be many."""
+    if whole:
+        rows = numbered(df, "__rank", *order)
+        return rows.select(F.lit(name).alias("section"), F.col("__rank").cast("long").alias("rank"), key.cast("string").alias("key"), value.cast("string").alias("value"))
     rows = df.orderBy(*order).limit(limit) if limit else df
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
     return rows.select(F.lit(name).alias("section"), rank.cast("long").alias("rank"), key.cast("string").alias("key"), value.cast("string").alias("value"))
@@ -200,9 +203,9 @@ def thread_context(store, email_id: int) -> DataFrame:
     todo = store.actions().filter("status = 'open'").join(ids, "email_id", "left_semi")
     return union([
         section(rows, "mails", F.col("email_id"), F.to_date("date_received"), F.col("date_received"), F.col("email_id"), limit=50),
-        section(people, "people", F.col("person_id"), F.lit(""), F.col("person_id"), limit=200),
-        section(made, "decisions", F.col("decision"), F.col("date"), F.col("date"), F.col("email_id"), F.col("decision"), F.col("decided_by"), limit=200),
-        section(todo, "open_actions", F.col("task"), F.col("deadline"), F.asc_nulls_last("deadline"), F.col("task"), F.col("email_id"), F.col("line"), limit=200),
+        section(people, "people", F.col("person_id"), F.lit(""), F.col("person_id"), whole=True),
+        section(made, "decisions", F.col("decision"), F.col("date"), F.col("date"), F.col("email_id"), F.col("decision"), F.col("decided_by"), whole=True),
+        section(todo, "open_actions", F.col("task"), F.col("deadline"), F.asc_nulls_last("deadline"), F.col("task"), F.col("email_id"), F.col("line"), whole=True),
     ])
 
 

@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from mnemora.functions import text as T
 from mnemora.functions.fixed import FUZZY_BLOCK, FUZZY_PAIRS, FUZZY_THRESHOLD
+from mnemora.operators.joins import with_groups
 from mnemora.session import stored
 
 MAP = ["loser", "survivor"]
@@ -39,7 +40,7 @@ def _by_key(people: DataFrame, key: Column, eligible: Column, gate: Column | Non
         best.alias("best"), F.min_by("email", F.when(F.col("email").isNotNull(), F.col("id"))).alias("some_email"),
         F.count(F.lit(1)).alias("n"), (F.lit(True) if gate is None else gate).alias("ok"),
     )
-    whole = keyed.join(groups.filter("n > 1 and ok"), "__key", "left")
+    whole = with_groups(keyed, groups.filter("n > 1 and ok"), ["__key"], "left")
     merged = whole.filter("survivor is not null and id <> survivor").select(F.col("id").alias("loser"), "survivor")
     name = F.when(F.col("id") == F.col("survivor"), F.col("best")).otherwise(F.col("name"))
     email = F.when(F.col("id") == F.col("survivor"), F.coalesce("email", "some_email")).otherwise(F.col("email")) if keep_email else F.col("email")
@@ -63,7 +64,8 @@ def into_addressed(people: DataFrame) -> tuple[DataFrame, DataFrame]:
     """People without e-mail go into the first with one and the same name of two words or more."""
     key = T.normalize_name(F.col("name"))
     known = people.filter("email is not null").groupBy(key.alias("__key")).agg(F.min("id").alias("survivor"))
-    whole = people.withColumn("__key", F.when(F.col("email").isNull() & _two_words(key), key)).join(known, "__key", "left")
+    whole = people.withColumn("__key", F.when(F.col("email").isNull() & _two_words(key), key))
+    whole = with_groups(whole, known, ["__key"], "left")
     return whole.filter("survivor is null").select("id", "name", "email"), whole.filter("survivor is not null").select(F.col("id").alias("loser"), "survivor")
 
 
@@ -83,7 +85,8 @@ def address_as_name(people: DataFrame) -> tuple[DataFrame, DataFrame]:
     """People named by an address go into its owner; without one, an address of two parts becomes a name."""
     key = F.lower(F.trim(F.col("name")))
     owners = people.filter(~F.col("name").contains("@") & F.col("email").isNotNull()).groupBy(F.lower("email").alias("__key")).agg(F.min("id").alias("survivor"))
-    whole = people.withColumn("__key", F.when(F.col("name").contains("@"), key)).join(owners, "__key", "left")
+    whole = people.withColumn("__key", F.when(F.col("name").contains("@"), key))
+    whole = with_groups(whole, owners, ["__key"], "left")
     readable = F.when(F.col("__key").isNotNull() & (F.lower("email") == F.col("__key")), T.name_from_address(F.col("__key")))
     stay = whole.filter("survivor is null").select("id", F.coalesce(readable, F.col("name")).alias("name"), "email")
     return stay, whole.filter("survivor is not null").select(F.col("id").alias("loser"), "survivor")

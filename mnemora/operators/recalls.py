@@ -77,8 +77,8 @@ def chat_thread(threads: DataFrame, messages: DataFrame, children: dict[str, Dat
     """A chat thread as a dossier: itself, its messages in order, and its children by kind (thread_id, text)."""
     own = threads.filter(F.col("thread_id") == thread_id)
     said = messages.filter(F.col("thread_id") == thread_id)
-    parts = [section(own, "thread", F.col("title"), F.col("summary"), F.col("thread_id")), section(said, "messages", F.col("sender_display_name"), F.col("content_text"), F.col("composed_at"), F.col("message_id"), limit=500)]
-    parts += [section(df.filter(F.col("thread_id") == thread_id), name, F.col("text"), F.lit(None), F.col("text"), limit=200) for name, df in children.items()]
+    parts = [section(own, "thread", F.col("title"), F.col("summary"), F.col("thread_id")), section(said, "messages", F.col("sender_display_name"), F.col("content_text"), F.col("composed_at"), F.col("message_id"), whole=True)]
+    parts += [section(df.filter(F.col("thread_id") == thread_id), name, F.col("text"), F.lit(None), F.col("text"), whole=True) for name, df in children.items()]
     return union(parts)
 
 

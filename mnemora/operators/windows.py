@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.functions.fixed import SESSION_GAP_HOURS
+from mnemora.session import stored
 
 
 def sessions(rows: DataFrame, by: str, ts: str, order: list[str], hours: float = SESSION_GAP_HOURS) -> DataFrame:
@@ -56,13 +57,21 @@ def has_substance(messages: DataFrame, by: list[str], text: str = "content_text"
     return messages.filter(~F.col("is_system")).groupBy(*by).agg(F.count_if(F.length(text) > long).alias("long_messages"), F.sum(F.length(text)).alias("characters")).filter((F.col("long_messages") > 0) & (F.col("characters") >= total))
 
 
+def runs(rows: DataFrame, by: str, order: str, who: str) -> DataFrame:
+    """rows with __run, the number (from 1) of the run of rows of the same speaker; order tells a group's rows apart."""
+    w = Window.partitionBy(by).orderBy(order)
+    change = F.when(F.lag(who).over(w).eqNullSafe(F.col(who)) & F.lag(F.lit(1)).over(w).isNotNull(), 0).otherwise(1)
+    return rows.withColumn("__change", change).withColumn("__run", F.sum("__change").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__change")
+
+
+def in_order(order: str, text: str) -> Column:
+    """The texts of a group, one a line, in order."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), "\n")
+
+
 def collapse(rows: DataFrame, by: str, order: str, who: str, text: str, most: int = 50_000) -> DataFrame:
     """One row per run of rows of the same speaker: turn_index from 0, speaker, content (cut at most characters)."""
-    w = Window.partitionBy(by).orderBy(order)
-    change = F.when(F.lag(who).over(w).eqNullSafe(F.col(who)) & F.lag(order).over(w).isNotNull(), 0).otherwise(1)
-    marked = rows.withColumn("__change", change).withColumn("__run", F.sum("__change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda t: t[text]), "\n")
-    out = marked.groupBy(by, "__run").agg(F.min(who).alias("speaker"), F.min(order).alias("first"), F.count(F.lit(1)).alias("parts"), joined.alias("content"))
+    out = runs(rows, by, order, who).groupBy(by, "__run").agg(F.min(who).alias("speaker"), F.min(order).alias("first"), F.count(F.lit(1)).alias("parts"), in_order(order, text).alias("content"))
     return out.select(by, (F.col("__run") - 1).alias("turn_index"), "speaker", "first", "parts", F.substring("content", 1, most).alias("content"))
 
 
@@ -78,6 +87,18 @@ def top_of(rows: DataFrame, by: list[str], n: int, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """All rows with their place from 1 in an order that tells them apart, however many they are.
+
+    They are range-partitioned and stored with their partition; only the counts of partitions meet in one task.
+    """
+    ranged = stored(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.withColumn("__place", place).join(before, "__part").withColumn(name, F.col("__place") + F.col("__before")).drop("__part", "__place", "__before")
+
+
 def latest_with_ties(rows: DataFrame, by: list[str], ts: str) -> DataFrame:
     """All rows of each group's latest time."""
     return rows.withColumn("__r", F.rank().over(Window.partitionBy(*by).orderBy(F.desc(ts)))).filter("__r = 1").drop("__r")

@@ -1,9 +1,4 @@
-"""Writing as functions of old and new tables; plain Parquet has no MERGE, so results are whole tables.
-
-Store a result with `swap`, which writes beside the old table and then renames. A crash between its two renames
-leaves the old table under another name; `recover`, which every `swap` and every read by `sources.readers.table`
-does first, puts it back. A table has one writer at a time.
-"""
+"""Writing as functions of old and new tables, and files. `operators.snapshots` keeps tables that change."""
 
 from __future__ import annotations
 
@@ -12,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.operators.windows import first_of
@@ -120,44 +115,3 @@ def staging_files(mails: DataFrame, batch: Column) -> DataFrame:
     groups = mails.groupBy(batch.alias("batch_number")).agg(F.array_sort(F.collect_list(F.to_json(one))).alias("emails"))
     text = F.concat(F.lit('{"batch_number": '), "batch_number", F.lit(', "emails": ['), F.array_join("emails", ",\n"), F.lit("]}"))
     return groups.select(F.concat(F.lit("batch-"), F.lpad(F.col("batch_number").cast("string"), 9, "0"), F.lit(".json")).alias("name"), text.alias("content"))
-
-
-def _file_system(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path
-    return place(path).getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
-def _siblings(fs, place, path: str, kind: str) -> list:
-    """What swap left beside the table at path: its old or new versions."""
-    at = place(path)
-    return [s.getPath() for s in fs.globStatus(place(at.getParent(), f"{at.getName()}.{kind}-*")) or []]
-
-
-def recover(spark: SparkSession, path: str) -> bool:
-    """Whether a table is at path, after a crashed swap has been undone (or, if it got that far, done)."""
-    fs, place = _file_system(spark, path)
-    old = _siblings(fs, place, path, "old")
-    if not fs.exists(place(path)) and old:
-        if len(old) > 1:
-            raise RuntimeError(f"{path}: several old versions and no table: {', '.join(map(str, old))}")
-        _rename(fs, old.pop(), place(path))
-    return fs.exists(place(path))
-
-
-def _rename(fs, source, target) -> None:
-    if not fs.rename(source, target):
-        raise OSError(f"could not rename {source} to {target}")
-
-
-def swap(df: DataFrame, path: str) -> None:
-    """Writes df beside the table at path and puts it in its place; df may read that table."""
-    spark: SparkSession = df.sparkSession
-    beside, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(beside)
-    fs, place = _file_system(spark, path)
-    if recover(spark, path):
-        _rename(fs, place(path), place(old))
-    _rename(fs, place(beside), place(path))
-    for kind in ("old", "new"):  # the table's old version, and what crashed writers left
-        for left in _siblings(fs, place, path, kind):
-            fs.delete(left, True)

@@ -175,8 +175,8 @@ re as (select * from mails where conversation_id = (select conversation_id from
 pe as (select distinct person_id from mail_people where email_id in (select email_id from re)),
 de as (select d.*, coalesce(decision_date, date_received::date) as date from decisions d join re using (email_id)), ac as (select * from actions where status = 'open' and email_id in (select email_id from re))
 """ + " union all ".join([
-    _section("mails", "re", "email_id", "date_received::date", "date_received, email_id", 50), _section("people", "pe", "person_id", "''", "person_id", 200),
-    _section("decisions", "de", "decision", "date", "date, email_id, decision, decided_by", 200), _section("open_actions", "ac", "task", "deadline", "deadline nulls last, task, email_id, line", 200),
+    _section("mails", "re", "email_id", "date_received::date", "date_received, email_id", 50), _section("people", "pe", "person_id", "''", "person_id", 10**9),
+    _section("decisions", "de", "decision", "date", "date, email_id, decision, decided_by", 10**9), _section("open_actions", "ac", "task", "deadline", "deadline nulls last, task, email_id, line", 10**9),
 ]))
 def thread_context(v):
     return dossier.thread_context(v, 17)

@@ -48,25 +48,65 @@ def answer_files(v):
 
 
 def _transcripts(v) -> str:
-    """Conversations as session files in folders by workspace; each fourth turn also uses a tool."""
-    c = v.table("conversations")
+    """Conversations as session files in folders by workspace: a line a turn, by kind (conv_id + turn) % 8.
+
+    Texts that begin with a bracket, tools of every sort, thinking and results; system lines and lines that can't be
+    read; times that are equal, missing, or run backwards.
+    """
+    c = v.table("conversations").filter("conv_id is not null and turn is not null").withColumn("k", F.expr("(conv_id + turn) % 8"))
+    block = lambda kind, **fields: F.struct(F.lit(kind).alias("type"), *[x.alias(n) for n, x in fields.items()])
+    said = block("text", text=F.col("text"))
+    tool = lambda name, **fields: block("tool_use", name=F.lit(name), input=F.struct(*[x.alias(n) for n, x in fields.items()]))
+    listed = lambda *blocks: F.concat(F.lit("["), F.array_join(F.array(*[F.to_json(x) for x in blocks]), ", "), F.lit("]"))
+    name = F.concat(F.lit("f"), "turn")
+    content = (
+        F.when(F.col("k") == 1, listed(said, tool("Read", file_path=name)))
+        .when(F.col("k") == 2, listed(block("thinking", text=F.col("text")), tool("Grep", pattern=name, path=F.lit("x"))))
+        .when(F.col("k") == 3, listed(said, tool("Edit", file_path=name)))
+        .when(F.col("k") == 4, listed(tool("Bash", command=F.col("text"))))
+        .when(F.col("k") == 5, listed(tool("Write", file_path=name), said))
+        .when(F.col("k") == 6, listed(block("tool_result", text=F.col("text")), tool("Fetch", url=name), said))
+        .otherwise(F.expr("regexp_replace(to_json(array(case when k = 0 then '[done] ' else '' end || text)), '(?s)^.|.$', '')"))
+    )
+    kind = F.when(F.col("k") == 7, F.when(F.col("turn") % 2 == 0, "system").otherwise("progress")).when(F.col("role") == "user", "user").otherwise("assistant")
+    time = F.when(F.col("turn") % 3 == 1, F.lit("2026-01-01T10:00:00Z")).when(F.col("turn") % 3 == 2, F.concat(F.lit("2026-01-01T09:"), F.lpad((F.lit(59) - F.col("turn") % 60).cast("string"), 2, "0"), F.lit(":00.5Z")))
+    head = F.to_json(F.struct(kind.alias("type"), F.when(F.col("turn") > 0, F.concat(F.lit("s"), "conv_id")).alias("sessionId"), F.when(F.col("turn") > 1, F.concat(F.lit("/w/p"), F.col("conv_id") % 3)).alias("cwd"), time.alias("timestamp")))
     speaker = F.when(F.col("turn") % 3 == 1, "user").otherwise(F.col("role"))
-    blocks = F.to_json(F.array(F.create_map(F.lit("type"), F.lit("text"), F.lit("text"), F.col("text")), F.create_map(F.lit("type"), F.lit("tool_use"), F.lit("name"), F.lit("Read"))))
-    content = F.when(F.col("turn") % 4 == 3, blocks).otherwise(F.regexp_replace(F.to_json(F.array("text")), r"(?s)^\[|\]$", ""))
-    at = F.concat(F.lit("2026-01-01T10:00:0"), "turn", F.lit("Z"))
-    line = F.concat(F.lit('{"sessionId": "'), "conv_id", F.lit('", "timestamp": "'), at, F.lit('", "message": {"role": "'), speaker, F.lit('", "content": '), content, F.lit("}}"))
-    whole = c.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("content"))
+    line = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(', "message": {"role": "'), speaker, F.lit('", "content": '), content, F.lit("}}\n{broken"))
+    whole = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("content"))
     return _files(v, "sessions", whole.select(F.concat(F.lit("-w"), F.col("conv_id") % 3, F.lit("/conv-"), "conv_id", F.lit(".jsonl")).alias("name"), "content"))
 
 
-@query("transcript_turns", """
-with r as (select conv_id, turn, case when turn % 3 = 1 then 'user' else role end as who, text || case when turn % 4 = 3 then chr(10) || '[Tool: Read]' else '' end as text from conversations where trim(text) <> ''),
-c as (select *, case when who = lag(who) over (partition by conv_id order by turn) then 0 else 1 end as ch from r),
-n as (select *, sum(ch) over (partition by conv_id order by turn rows unbounded preceding) as run from c)
-select conv_id::varchar as session_id, (run - 1)::bigint as turn_index, min(who) as speaker, count(*) as parts, left(string_agg(text, chr(10) order by turn), 50000) as content from n group by conv_id, run
+_TURNS_SQL = """
+with e as (select *, (conv_id + turn) % 8 as k, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as said from conversations where conv_id is not null and turn is not null),
+r as (select conv_id, turn, k, case when turn % 3 = 1 or role = 'user' then 'user' else 'assistant' end as who,
+  case k when 0 then rtrim('[done] ' || regexp_replace(text, '\\s+$', '', 'g')) when 1 then concat_ws(chr(10), nullif(said, ''), '[Tool: Read f' || turn || ']') when 2 then '[Tool: Grep f' || turn || ']'
+    when 3 then concat_ws(chr(10), nullif(said, ''), '[Tool: Edit f' || turn || ']') when 4 then '[Tool: Bash ' || left(coalesce(text, ''), 100) || ']' when 5 then concat_ws(chr(10), '[Tool: Write f' || turn || ']', nullif(said, ''))
+    when 6 then concat_ws(chr(10), '[Tool: Fetch]', nullif(said, '')) end as text,
+  case turn % 3 when 1 then '2026-01-01 10:00:00' when 2 then '2026-01-01 09:' || lpad((59 - turn % 60)::varchar, 2, '0') || ':00.5' end::timestamp as tm from e),
+c as (select *, case when who = lag(who) over (partition by conv_id order by turn) then 0 else 1 end as ch from r where text <> ''),
+n as (select *, sum(ch) over (partition by conv_id order by turn rows unbounded preceding) as run from c),
+s as (select conv_id, coalesce('s' || max(conv_id) filter (where turn > 0), 'conv-' || conv_id) as session_id, arg_min(tm, turn) filter (where tm is not null) as started, arg_max(tm, turn) filter (where tm is not null) as ended,
+  coalesce('/w/p' || max(conv_id % 3) filter (where turn > 1), '') as workspace from r where not (k = 7 and turn % 2 = 1) group by conv_id),
+t as (select conv_id, (run - 1)::bigint as turn_index, min(who) as speaker, count(*) as parts, string_agg(text, chr(10) order by turn) as content, arg_max(tm, turn) filter (where tm is not null) as tm from n group by conv_id, run)
+"""
+
+
+@query("transcript_turns", _TURNS_SQL + """
+select session_id, turn_index, speaker, parts, epoch_us(tm) as at, case when length(content) > 50000 then left(content, 50000) || chr(10) || '[...truncated]' else content end as content, contains(content, '```') as has_code, contains(content, '[Tool:') as has_tool_use
+from t join s using (conv_id)
 """)
 def transcript_turns(v):
-    return readers.transcripts(v.spark, _transcripts(v)).select("session_id", "turn_index", "speaker", "parts", "content")
+    return readers.transcripts(v.spark, _transcripts(v)).select("session_id", "turn_index", "speaker", "parts", F.unix_micros("at").alias("at"), "content", "has_code", "has_tool_use")
+
+
+@query("transcript_sessions", _TURNS_SQL + """
+select session_id, workspace, regexp_extract(workspace, '([^/]*)$', 1) as project, epoch_us(started) as started, epoch_us(ended) as ended, count(*) as turn_count
+from t join s using (conv_id) group by all having count(*) filter (where speaker = 'user') >= 2
+""")
+def transcript_sessions(v):
+    found = readers.transcript_sessions(v.spark, _transcripts(v))
+    return found.select("session_id", "workspace", "project", F.unix_micros("started_at").alias("started"), F.unix_micros("ended_at").alias("ended"), "turn_count")
 
 
 @query("session_listing", "select distinct 'conv-' || conv_id || '.jsonl' as name, '/w1' as workspace from conversations where conv_id % 3 = 1")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from mnemora.operators import search, vectors
 from mnemora.operators.index import TextIndex
+from mnemora.operators.snapshots import SnapshotTable
 from mnemora.plans.catalog import query
 from mnemora.session import fresh_path, stored
 
@@ -183,7 +184,10 @@ def to_embed(v):
 @query("replace_vectors", "select 'email' as kind, vec_id as entity, case when vec_id % 10 = 0 then 2 else 1 end as version from embeddings")
 def replace_vectors(v):
     index = v.table("embeddings").select(F.lit("email").alias("kind"), F.col("vec_id").alias("entity"), F.lit(1).alias("version"))
-    return vectors.replace_vectors(index, index.filter("entity % 10 = 0").withColumn("version", F.lit(2)))
+    held = SnapshotTable(v.spark, fresh_path(v.spark, "vectors"), ["kind", "entity"])
+    held.put(index)
+    held.put(index.filter("entity % 10 = 0").withColumn("version", F.lit(2)))
+    return held.read()
 
 
 @query("attachment_search", "with " + bm25_sql("documents", "doc_id", "text", ["on", "shth"], 50) + " select r.doc_id, score, quality from r left join labels l on l.doc_id = r.doc_id")

@@ -28,8 +28,8 @@ def _written(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _table(v, path: str, schema: str):
-    return readers.table(v.spark, path, schema)
+def _table(v, path: str, schema: str, key: str, order: str | None = None):
+    return readers.table(v.spark, path, schema, [key], order)
 
 
 @query("stream_upserts", "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by event_id desc) as r from events) where r = 1")
@@ -40,7 +40,7 @@ def stream_upserts(v):
     for part, parts in ((rows, 4), (rows.filter("event_id < 1000"), 2)):
         checkpoint = fresh_path(v.spark, "checkpoint")
         _in_parts(v, part, parts, lambda source: I.upsert_stream(source, target, "user_id", "event_id", checkpoint))  # noqa: B023
-    return _table(v, target, "user_id long, event_id long, event_type string")
+    return _table(v, target, "user_id long, event_id long, event_type string", "user_id", "event_id")
 
 
 @query("stream_children", """
@@ -57,7 +57,7 @@ def stream_children(v):
 
     checkpoint = fresh_path(v.spark, "checkpoint")
     _in_parts(v, events.select("user_id", "event_id"), 3, lambda source: I.replace_stream(source, target, "user_id", whole, checkpoint))
-    return _table(v, target, "user_id long, event_type string, n long")
+    return _table(v, target, "user_id long, event_type string, n long", "user_id")
 
 
 @query("stream_distinct", "select user_id, min(event_type) as event_type from (select user_id, event_type, row_number() over (partition by user_id order by event_id) as r from events) where r = 1 group by 1")

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.functions.extraction import parsed
-from mnemora.operators.windows import collapse, first_of
-from mnemora.operators.writes import recover
+from mnemora.functions.fixed import COMMAND_SHOWN, CONTENT_RECORDS, SKIPPED_RECORDS, TOOL_BY_COMMAND, TOOLS_BY_FILE, TOOLS_BY_TARGET, TURN_SHOWN
+from mnemora.operators.windows import first_of, in_order, runs
+from mnemora.operators.snapshots import SnapshotTable, exists
 
 ADDRESS = "struct<name:string,address:string>"
 MAIL = (
@@ -19,13 +20,21 @@ MAIL = (
 )
 
 
-def table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A Parquet table as `writes.swap` keeps it; with a schema, an absent one is empty."""
-    if schema is not None and not recover(spark, path):
-        return spark.createDataFrame([], schema)
+def table(spark: SparkSession, path: str, schema: str | None = None, key: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """The newest version of a table with versions, or a plain Parquet table; with a schema, an absent one is empty.
+
+    key and order are those that the table is written with; they are needed where it has versions.
+    """
+    if exists(spark, path) or (schema is not None and not _there(spark, path)):
+        return SnapshotTable(spark, path, key or [], order, schema).read()
     return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def file_name() -> Column:
     """The name of the file that a row is from, as it is: _metadata has # and the like as %XX."""
     return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
@@ -64,22 +73,80 @@ def extractions(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.lower(F.regexp_replace("file", r"\.json$", "")).alias("message_key"), parsed(F.col("value")).alias("answer")).filter("answer is not null")
 
 
-TURN = "type string, timestamp string, sessionId string, cwd string, message struct<role:string, content:string>"
+def lines(spark: SparkSession, path: str, suffix: str = "*.jsonl") -> DataFrame:
+    """file, position, value of the lines of text files under path; position orders the lines of a file as they stand.
+
+    A task emits the lines of its byte ranges in order, so the start of the range and a number that grows within a
+    task tell where a line stands, however a file is split.
+    """
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", suffix).text(path)
+    position = F.struct(F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("line"))
+    return text.select(F.col("_metadata.file_path").alias("file"), position.alias("position"), "value")
+
+
+def stripped(text: Column) -> Column:
+    """text without white space of any kind at its ends."""
+    return F.regexp_replace(text, "(?U)^[\\s\u001c-\u001f]+|[\\s\u001c-\u001f]+$", "")
+
+
+def _shown(block: Column) -> Column:
+    """How a block of a message's content appears in a turn; null if it doesn't."""
+    of = lambda path: F.try_variant_get(block, path, "string")
+    first = lambda *names: F.coalesce(*[F.nullif(of(f"$.input.{n}"), F.lit("")) for n in names], F.lit(""))
+    kind, name = of("$.type"), F.coalesce(of("$.name"), F.lit("unknown"))
+    target = F.when(name.isin(*TOOLS_BY_TARGET), first("file_path", "pattern", "path")).when(name.isin(*TOOLS_BY_FILE), first("file_path")).when(name == TOOL_BY_COMMAND, F.substring(first("command"), 1, COMMAND_SHOWN))
+    tool = F.concat(F.lit("[Tool: "), name, F.coalesce(F.concat(F.lit(" "), target), F.lit("")), F.lit("]"))
+    return F.when(kind == "text", F.nullif(stripped(of("$.text")), F.lit(""))).when(kind == "tool_use", tool)
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of session files that are records to look at: what they say, and what they tell of the session."""
+    rows = lines(spark, path).select("file", "position", F.try_parse_json("value").alias("v")).filter(F.schema_of_variant("v").startswith("OBJECT"))
+    of = lambda path, kind="string": F.try_variant_get("v", path, kind)
+    content, blocks = of("$.message.content", "variant"), of("$.message.content", "array<variant>")
+    # what it is decides how it is read, not what it begins with
+    text = F.when(F.schema_of_variant(content).startswith("ARRAY"), F.array_join(F.filter(F.transform(blocks, _shown), lambda x: x.isNotNull()), "\n")).otherwise(stripped(of("$.message.content")))
+    kind = F.coalesce(of("$.type"), F.lit(""))
+    speaker = F.when(F.coalesce(of("$.message.role"), kind) == "user", "user").otherwise("assistant")
+    return rows.filter(~kind.isin(*SKIPPED_RECORDS)).select(
+        "file", "position", kind.alias("type"), F.nullif(of("$.sessionId"), F.lit("")).alias("session_id"), F.nullif(of("$.cwd"), F.lit("")).alias("workspace"), F.nullif(of("$.timestamp"), F.lit("")).alias("time"),
+        F.when(kind.isin(*CONTENT_RECORDS), speaker).alias("speaker"), F.when(kind.isin(*CONTENT_RECORDS), F.nullif(text, F.lit(""))).alias("text"),
+    )
+
+
+def _sessions(records: DataFrame) -> DataFrame:
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("position")))
+    stem = F.regexp_extract(F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B"))), r"([^/]*?)(?:\.[^./]*)?$", 1)
+    found = records.groupBy("file").agg(first("session_id").alias("own"), first("workspace").alias("workspace"), first("time").alias("started_at"), F.max_by("time", F.when(F.col("time").isNotNull(), F.col("position"))).alias("ended_at"))
+    return found.select("file", F.coalesce("own", stem).alias("session_id"), F.coalesce("workspace", F.lit("")).alias("workspace"), "started_at", "ended_at")
 
 
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Turns of session files (*.jsonl), lines that can't be read left out, runs of a speaker put together."""
-    lines = spark.read.text(path, recursiveFileLookup=True).withColumn("file", F.col("_metadata.file_path"))
-    rows = lines.select("file", F.try_parse_json("value").alias("v")).filter("v is not null")
-    text = F.col("v").cast("string")
-    part = "struct<type:string,text:string,name:string,input:map<string,string>>"
-    rows = rows.select("file", F.from_json(text, TURN).alias("t")).filter("t.message.role is not null")
-    content = F.col("t.message.content")
-    blocks = F.from_json(content, f"array<{part}>")
-    shown = F.array_join(F.filter(F.transform(blocks, lambda b: F.when(b["type"] == "text", b["text"]).when(b["type"] == "tool_use", F.concat(F.lit("[Tool: "), b["name"], F.coalesce(F.concat(F.lit(" "), F.map_values(b["input"])[0]), F.lit("")), F.lit("]")))), lambda x: x.isNotNull()), "\n")
-    plain = F.when(content.startswith("["), shown).otherwise(content)
-    turns = rows.select(F.coalesce("t.sessionId", "file").alias("session_id"), timestamp(F.col("t.timestamp")).alias("at"), F.col("t.message.role").alias("speaker"), plain.alias("content")).filter("trim(content) <> ''")
-    return collapse(turns, "session_id", "at", "speaker", "content").withColumn("has_code", F.col("content").contains("```"))
+    """Turns of session files (*.jsonl): file, session_id, turn_index, speaker, at, parts, content, has_code, has_tool_use.
+
+    Records come in the order of the file, whatever their times; lines that can't be read are left out, runs of a
+    speaker put together. A turn's time is that of its last record with one.
+    """
+    return _turns(_records(spark, path))
+
+
+def _turns(records: DataFrame) -> DataFrame:
+    said = runs(records.filter("text is not null"), "file", "position", "speaker")
+    at = F.max_by("time", F.when(F.col("time").isNotNull(), F.col("position")))
+    turns = said.groupBy("file", "__run").agg(F.min("speaker").alias("speaker"), at.alias("at"), F.count(F.lit(1)).alias("parts"), in_order("position", "text").alias("content"))
+    content = F.when(F.char_length("content") > TURN_SHOWN, F.concat(F.substring("content", 1, TURN_SHOWN), F.lit("\n[...truncated]"))).otherwise(F.col("content"))
+    out = turns.withColumn("content", content).join(_sessions(records).select("file", "session_id"), "file")
+    return out.select("file", "session_id", (F.col("__run") - 1).alias("turn_index"), "speaker", timestamp(F.col("at")).alias("at"), "parts", "content", F.col("content").contains("```").alias("has_code"), F.col("content").contains("[Tool:").alias("has_tool_use"))
+
+
+def transcript_sessions(spark: SparkSession, path: str, least_user_turns: int = 2) -> DataFrame:
+    """file, session_id, workspace, project, started_at, ended_at, turn_count of sessions with so many turns of the user."""
+    records = _records(spark, path)
+    said = runs(records.filter("text is not null"), "file", "position", "speaker").groupBy("file", "__run").agg(F.min("speaker").alias("speaker"))
+    counts = said.groupBy("file").agg(F.count(F.lit(1)).alias("turn_count"), F.count_if(F.col("speaker") == "user").alias("asked")).filter(F.col("asked") >= least_user_turns)
+    project = F.regexp_extract(F.regexp_replace("workspace", "/+$", ""), r"([^/]*)$", 1)
+    found = _sessions(records).join(counts, "file")
+    return found.select("file", "session_id", "workspace", project.alias("project"), timestamp(F.col("started_at")).alias("started_at"), timestamp(F.col("ended_at")).alias("ended_at"), "turn_count")
 
 
 def session_files(spark: SparkSession, root: str, now: str, days: int | None = None, workspace: str | None = None) -> DataFrame:

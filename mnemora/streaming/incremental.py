@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mnemora.functions.fixed import SESSION_GAP_HOURS
-from mnemora.operators.writes import replace_children, swap, upsert
-from mnemora.sources.readers import table
+from mnemora.operators.snapshots import SnapshotTable
 
 
 def stream_files(spark: SparkSession, path: str, schema: str, fmt: str = "json", per_batch: int = 1000) -> DataFrame:
@@ -22,11 +21,16 @@ def stream_files(spark: SparkSession, path: str, schema: str, fmt: str = "json",
 
 
 def upsert_stream(source: DataFrame, target: str, key: str, order: str, checkpoint: str) -> StreamingQuery:
-    """Each batch's rows replace those of the same key in the table at target, the last by order."""
-    schema = ", ".join(f"`{n}` {t}" for n, t in source.dtypes)
+    """Each batch's rows replace those of the same key in the table at target, the last by order.
 
-    def store(batch: DataFrame, _: int) -> None:
-        swap(upsert(table(batch.sparkSession, target, schema), batch, key, order), target)
+    A batch writes its own rows; `SnapshotTable(target, [key], order)` reads the result.
+    """
+    schema = source.schema
+
+    def store(batch: DataFrame, number: int) -> None:
+        held = SnapshotTable(batch.sparkSession, target, [key], order, schema)
+        held.put(batch, tag=(checkpoint, number))
+        held.merge()
 
     return source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -34,13 +38,14 @@ def upsert_stream(source: DataFrame, target: str, key: str, order: str, checkpoi
 def replace_stream(source: DataFrame, target: str, parent: str, whole: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
     """Each batch names parents that changed; whole(batch) gives all of their children, which replace the old.
 
-    A parent that a batch names and that has no children any more loses its old ones.
+    A parent that a batch names and that has no children any more loses its old ones. A batch writes these
+    children; `SnapshotTable(target, [parent])` reads the result.
     """
 
-    def store(batch: DataFrame, _: int) -> None:
-        rows = whole(batch)
-        schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-        swap(replace_children(table(batch.sparkSession, target, schema), rows, parent, touched=batch), target)
+    def store(batch: DataFrame, number: int) -> None:
+        held = SnapshotTable(batch.sparkSession, target, [parent])
+        held.put(whole(batch), touched=batch, tag=(checkpoint, number))
+        held.merge()
 
     return source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -8,39 +8,11 @@ from pyspark.sql import functions as F
 
 from mnemora.functions import text as T
 from mnemora.operators import people as P
-from mnemora.operators import writes
+from mnemora.operators.snapshots import SnapshotTable
 from mnemora.sources import readers
 from mnemora.streaming import incremental
 
 
-def test_a_crash_between_the_renames_loses_nothing(spark, tmp_path):
-    path, schema = f"{tmp_path}/t", "id long, v string, n long"
-    writes.swap(spark.createDataFrame([(i, "old", 1) for i in range(5)], schema), path)
-    os.rename(path, f"{path}.old-abc")  # the first rename was done, the second not
-    spark.createDataFrame([(9, "half", 1)], schema).write.parquet(f"{path}.new-abc")
-    assert readers.table(spark, path, schema).count() == 5
-    writes.swap(writes.upsert(readers.table(spark, path, schema), spark.createDataFrame([(1, "new", 2)], schema), "id", "n"), path)
-    assert {r.id: r.v for r in readers.table(spark, path, schema).collect()} == {0: "old", 1: "new", 2: "old", 3: "old", 4: "old"}
-    assert sorted(os.listdir(tmp_path)) == ["t"]
-    os.rename(path, f"{path}.old-def")
-    writes.swap(spark.createDataFrame([(7, "x", 1)], schema), path)  # a writer that doesn't read recovers too
-    assert [r.id for r in readers.table(spark, path).collect()] == [7] and sorted(os.listdir(tmp_path)) == ["t"]
-
-
-def test_a_rename_that_fails_is_an_error(spark, tmp_path, monkeypatch):
-    path = f"{tmp_path}/t"
-    writes.swap(spark.range(3), path)
-
-    def refuse(fs, source, target):
-        raise OSError("no")
-
-    monkeypatch.setattr(writes, "_rename", refuse)
-    with pytest.raises(OSError):
-        writes.swap(spark.range(9), path)
-    monkeypatch.undo()
-    assert readers.table(spark, path, "id long").count() == 3
-
-
 def test_only_an_absent_table_is_empty(spark, tmp_path):
     assert readers.table(spark, f"{tmp_path}/none", "id long").collect() == []
     with pytest.raises(Exception):  # noqa: B017
@@ -64,7 +36,7 @@ def test_a_parent_that_lost_all_children(spark, tmp_path):
         (src / f"{k}.json").write_text("\n".join(json.dumps({"parent": p}) for p in parents))
         stream = incremental.stream_files(spark, str(src), "parent long")
         incremental.replace_stream(stream, target, "parent", whole, f"{tmp_path}/cp").awaitTermination()
-        got = {(r.parent, r.child) for r in spark.read.parquet(target).collect()}
+        got = {(r.parent, r.child) for r in SnapshotTable(spark, target, ["parent"]).read().collect()}
         assert got == ({(1, "a"), (1, "b"), (2, "c")} if k == 0 else {(2, "c")})
         children[1] = []
 

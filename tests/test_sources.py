@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from mnemora.functions import extraction as X
 from mnemora.operators import writes
+from mnemora.operators.snapshots import SnapshotTable
 from mnemora.sources import readers
 from mnemora.streaming import incremental
 
@@ -40,11 +41,48 @@ def test_cut_off_answers():
 
 
 def test_transcripts(spark, tmp_path):
-    line = lambda at, role, content: json.dumps({"sessionId": "s1", "timestamp": at, "message": {"role": role, "content": content}})
-    lines = [line("2026-03-01T10:00:00Z", "user", "hi"), "not json", line("2026-03-01T10:00:01Z", "user", "more"), line("2026-03-01T10:00:02Z", "assistant", [{"type": "thinking", "text": "x"}, {"type": "text", "text": "```py```"}, {"type": "tool_use", "name": "Read", "input": {"path": "f"}}])]
+    line = lambda kind, content, at=None, **more: json.dumps({"type": kind, "timestamp": at, "message": {"role": kind, "content": content}} | more)
+    use = lambda name, **found: {"type": "tool_use", "name": name, "input": found}
+    lines = [
+        line("user", "  [done] please go on \u00a0", "2026-03-01T10:00:09Z"), "not json", "[1]", "", line("user", "z second", "2026-03-01T10:00:01Z", sessionId="s1"), line("user", "a third", "2026-03-01T10:00:01Z"),
+        line("system", "no", cwd="/x/proj/"), line("progress", "no", "2020-01-01T00:00:00Z"), line("summary", "no", "2027-01-01T00:00:00Z"),
+        line("assistant", [{"type": "thinking", "text": "x"}, {"type": "text", "text": " ```py``` "}, use("Read", path="f", file_path=""), use("Glob"), use("Edit", file_path="e")]),
+        line("assistant", [use("Write", file_path="w"), use("Bash", command="c" * 300), use("Task", prompt="p"), {"type": "tool_use"}, {"type": "tool_result", "text": "r"}]),
+        line("assistant", [{"type": "text", "text": "  "}]), line("user", [{"type": "text", "text": "last"}], message={"content": "[x] no role"}), line("user", 7),
+    ]
     (tmp_path / "s.jsonl").write_text("\n".join(lines))
-    got = [(r.speaker, r.content, r.has_code) for r in readers.transcripts(spark, str(tmp_path)).orderBy("turn_index").collect()]
-    assert got == [("user", "hi\nmore", False), ("assistant", "```py```\n[Tool: Read f]", True)]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "no id.jsonl").write_text(line("user", "alone"))
+    (tmp_path / "d" / "other.txt").write_text(line("user", "not a session file"))
+    got = {(r.session_id, r.turn_index): (r.speaker, r.content, r.has_code, r.has_tool_use, r.parts, str(r.at)) for r in readers.transcripts(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("s1", 0): ("user", "[done] please go on\nz second\na third", False, False, 3, "2026-03-01 10:00:01"),
+        ("s1", 1): ("assistant", "```py```\n[Tool: Read f]\n[Tool: Glob ]\n[Tool: Edit e]\n[Tool: Write w]\n[Tool: Bash " + "c" * 100 + "]\n[Tool: Task]\n[Tool: unknown]", True, True, 2, "None"),
+        ("s1", 2): ("user", "[x] no role\n7", False, False, 2, "None"),
+        ("no id", 0): ("user", "alone", False, False, 1, "None"),
+    }
+    (whole,) = readers.transcript_sessions(spark, str(tmp_path)).collect()
+    assert (whole.session_id, whole.workspace, whole.project, str(whole.started_at), str(whole.ended_at), whole.turn_count) == ("s1", "/x/proj/", "proj", "2026-03-01 10:00:09", "2027-01-01 00:00:00", 3)
+
+
+def test_lines_keep_their_order_over_splits(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("\n".join(f"line {i} " + "x" * (i % 50) for i in range(20_000)))
+    (tmp_path / "b.jsonl").write_text("one\ntwo")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        rows = readers.lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 10
+        got = [r.value.split(" ")[1] for r in rows.filter("file like '%a.jsonl'").orderBy("position").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [str(i) for i in range(20_000)]
+
+
+def test_a_long_turn_is_cut_as_told(spark, tmp_path):
+    (tmp_path / "s.jsonl").write_text("\n".join(json.dumps({"type": "user", "message": {"content": "x" * 30_000}}) for _ in range(2)))
+    (r,) = readers.transcripts(spark, str(tmp_path)).collect()
+    assert r.content == "x" * 30_000 + "\n" + "x" * 19_999 + "\n[...truncated]" and r.speaker == "user"
 
 
 def test_files_frontmatter_proxies(spark, tmp_path):
@@ -75,9 +113,10 @@ def test_writes(spark, tmp_path):
     new = spark.createDataFrame([(3, "m1", None, "Archive"), (4, "m3", "i1", "Inbox"), (5, "m4", None, "Inbox"), (6, "m4", None, "Sent"), (7, "m5", "i5", "x"), (8, "m6", "i5", "x")], old.schema)
     assert {r.id for r in writes.insert_absent(old, new, ["message_id", "internet_message_id"], "id").collect()} == {1, 2, 5, 7}
     assert {r.id: r.mailbox_name for r in writes.move_mailboxes(old, new).collect()} == {1: "Archive", 2: "Inbox"}
-    writes.swap(old, f"{tmp_path}/t")
-    writes.swap(writes.upsert(readers.table(spark, f"{tmp_path}/t"), new, "message_id", "id"), f"{tmp_path}/t")
-    assert {r.message_id: r.id for r in spark.read.parquet(f"{tmp_path}/t").collect()} == {"m1": 3, "m2": 2, "m3": 4, "m4": 6, "m5": 7, "m6": 8}
+    held = SnapshotTable(spark, f"{tmp_path}/t", ["message_id"])
+    held.replace(old)
+    held.rewrite(lambda rows: writes.upsert(rows, new, "message_id", "id"))
+    assert {r.message_id: r.id for r in readers.table(spark, f"{tmp_path}/t").collect()} == {"m1": 3, "m2": 2, "m3": 4, "m4": 6, "m5": 7, "m6": 8}
     flags = spark.createDataFrame([("a", 1, True), ("b", 1, None)], "sha string, w int, o boolean")
     again = spark.createDataFrame([("a", 2, None), ("c", 3, None)], flags.schema)
     assert {tuple(r) for r in writes.keep_flags(flags, again, "sha", "o").collect()} == {("a", 2, True), ("b", 1, None), ("c", 3, False)}
@@ -91,7 +130,7 @@ def test_streams(spark, tmp_path):
     for k, rows in enumerate([[(1, "a", 1), (2, "b", 1)], [(1, "c", 2)], [(1, "c", 2)]]):
         (src / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(("id", "v", "n"), r))) for r in rows))
         incremental.upsert_stream(incremental.stream_files(spark, str(src), schema), target, "id", "n", f"{tmp_path}/cp").awaitTermination()
-        assert {r.id: r.v for r in spark.read.parquet(target).collect()} == ({1: "a", 2: "b"} if k == 0 else {1: "c", 2: "b"})
+        assert {r.id: r.v for r in SnapshotTable(spark, target, ["id"], "n").read().collect()} == ({1: "a", 2: "b"} if k == 0 else {1: "c", 2: "b"})
     assert incremental.guard_cursor(5, 100, True) and not incremental.guard_cursor(100, 100, True) and not incremental.guard_cursor(0, 100, False)
 
 
