@@ -7,22 +7,30 @@ from pyspark.sql import functions as F
 
 from mnemora.operators import search
 from mnemora.operators.dossier import section, union
+from mnemora.operators.index import TextIndex
+from mnemora.session import stored
 
 TAGS = ("[PREFERENCE]", "[TECHNICAL]")
 
 
-def preferences(facts: DataFrame, topic: str | None, limit: int = 20) -> DataFrame:
+def _hits(source: DataFrame | TextIndex, key: str, columns: list[str], words: str, limit: int, phrase: bool = False) -> DataFrame:
+    """key, score of the best rows, by an index of the columns if there is one; stored, as they are read several times."""
+    found = source.bm25(words, limit, phrase, columns) if isinstance(source, TextIndex) else search.bm25(source, key, columns, words, limit, phrase)
+    return stored(found.toDF(key, "score"), "hits")
+
+
+def preferences(facts: DataFrame, topic: str | None, limit: int = 20, index: TextIndex | None = None) -> DataFrame:
     """fact_id, fact, at: tagged facts on a topic, or all of them if none is on it; newest first.
 
     facts: fact_id, fact, at. The newest limit tagged facts are looked through for the topic, and all tagged
-    ones are searched by rank; both count.
+    ones are searched by rank, in an index of them by fact if there is one; both count.
     """
     tagged = facts.filter(F.col("fact").startswith(TAGS[0]) | F.col("fact").startswith(TAGS[1])).select("fact_id", "fact", "at")
     newest = tagged.orderBy(F.desc("at"), "fact_id").limit(limit)
     if not topic:
         return newest
     named = newest.filter(F.lower("fact").contains(topic.lower())).select("fact_id")
-    ranked = search.bm25(tagged, "fact_id", ["fact"], topic, limit).select("fact_id")
+    ranked = _hits(tagged if index is None else index, "fact_id", ["fact"], topic, limit).select("fact_id")
     ids = named.unionByName(ranked).distinct()
     n = ids.agg(F.count(F.lit(1)).alias("n"))
     chosen = tagged.join(ids, "fact_id", "left_semi")
@@ -57,20 +65,28 @@ def recent_sessions(sessions: DataFrame, as_of: Column, days: int = 7, workspace
     return rows.orderBy(F.desc("started_at"), "session_id").limit(limit)
 
 
-def session_search(sessions: DataFrame, turns: DataFrame, words: str, limit: int = 20) -> DataFrame:
-    """session_id, source, place: sessions found by summary, then by turns for twice the places left."""
-    whole = search.ranked(search.bm25(sessions, "session_id", ["summary", "topics_summary"], words, limit), "session_id").select("session_id", "rank")
-    best = search.bm25(turns, "turn_id", ["summary", "content"], words, 2 * limit)
-    said = search.ranked(best.join(turns.select("turn_id", "session_id"), "turn_id").groupBy("session_id").agg(F.max("score").alias("score")), "session_id").select("session_id", "rank")
-    return search.waterfall([("session", whole), ("turn", said)], "session_id", limit)
+def session_search(sessions: DataFrame | TextIndex, turns: DataFrame | TextIndex, words: str, limit: int = 20, of: DataFrame | None = None, columns: tuple[list[str], list[str]] = (["summary", "topics_summary"], ["summary", "content"])) -> DataFrame:
+    """session_id, source, place: sessions found by summary, then by turns for twice the places left.
+
+    Tables, or indexes by session_id and turn_id; of: turn_id, session_id, if turns is an index.
+    """
+    whole = search.ranked(_hits(sessions, "session_id", columns[0], words, limit), "session_id").select("session_id", "rank")
+    best = _hits(turns, "turn_id", columns[1], words, 2 * limit)
+    of = (turns if of is None else of).select("turn_id", "session_id")
+    said = search.ranked(best.join(of, "turn_id").groupBy("session_id").agg(F.max("score").alias("score")), "session_id").select("session_id", "rank")
+    return search.waterfall([("session", whole), ("turn", stored(said, "hits"))], "session_id", limit)
+
 
+def chat_search(threads: DataFrame | TextIndex, messages: DataFrame | TextIndex, words: str, limit: int = 20, of: DataFrame | None = None, columns: tuple[list[str], list[str]] = (["title", "summary"], ["content_text", "sender_display_name"])) -> DataFrame:
+    """thread_id, source, place of threads by title and summary, then by messages; unthreaded ones are thread -1.
 
-def chat_search(threads: DataFrame, messages: DataFrame, words: str, limit: int = 20) -> DataFrame:
-    """thread_id, source, place of threads by title and summary, then by messages; unthreaded ones are thread -1."""
-    whole = search.ranked(search.bm25(threads, "thread_id", ["title", "summary"], words, limit, phrase=True), "thread_id").select("thread_id", "rank")
-    best = search.bm25(messages, "message_id", ["content_text", "sender_display_name"], words, 2 * limit, phrase=True)
-    said = best.join(messages.select("message_id", F.coalesce("thread_id", F.lit(-1).cast("long")).alias("thread_id")), "message_id").groupBy("thread_id").agg(F.max("score").alias("score"))
-    return search.waterfall([("thread", whole), ("message", search.ranked(said, "thread_id").select("thread_id", "rank"))], "thread_id", limit)
+    Tables, or indexes by thread_id and message_id; of: message_id, thread_id, if messages is an index.
+    """
+    whole = search.ranked(_hits(threads, "thread_id", columns[0], words, limit, True), "thread_id").select("thread_id", "rank")
+    best = _hits(messages, "message_id", columns[1], words, 2 * limit, True)
+    of = (messages if of is None else of).select("message_id", F.coalesce("thread_id", F.lit(-1).cast("long")).alias("thread_id"))
+    said = best.join(of, "message_id").groupBy("thread_id").agg(F.max("score").alias("score"))
+    return search.waterfall([("thread", whole), ("message", stored(search.ranked(said, "thread_id").select("thread_id", "rank"), "hits"))], "thread_id", limit)
 
 
 def chat_thread(threads: DataFrame, messages: DataFrame, children: dict[str, DataFrame], thread_id: int) -> DataFrame:

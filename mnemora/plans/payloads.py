@@ -206,12 +206,9 @@ s1 as (select key, 'thread' as source, 0 as p, rank from ra where rank <= 8), s2
 select key as thread_id, source, row_number() over (order by p, rank, key)::int as place from (select * from s1 union all select * from s2)
 """)
 def chat_found(v):
-    """Chats by a phrase in their first turns, then in any message."""
-    c = v.table("conversations")
-    first = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "\n")
-    threads = c.filter("turn < 2").groupBy(F.col("conv_id").alias("thread_id")).agg(first.alias("summary"), F.lit(None).cast("string").alias("title"))
-    said = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.col("conv_id").alias("thread_id"), F.col("text").alias("content_text"), F.lit(None).cast("string").alias("sender_display_name"))
-    return recalls.chat_search(threads, said, "of the", 8)
+    """Chats by a phrase in their first turns, then in any message; both from indexes."""
+    said = v.turns_of_chats().select(F.col("id").alias("message_id"), F.col("chat_id").alias("thread_id"))
+    return recalls.chat_search(v.chat_index(), v.turn_index(), "of the", 8, said, (["summary", "title"], ["text"]))
 
 
 @query("chat_dossier", """

@@ -6,7 +6,7 @@ from mnemora.operators import recalls as R
 from mnemora.operators import search, vectors
 from mnemora.operators.dossier import section
 from mnemora.plans.catalog import query
-from mnemora.plans.retrieval import bm25_sql
+from mnemora.plans.retrieval import SEMANTIC, bm25_sql, semantic_mails
 from mnemora.session import stored
 
 _FACTS = "f as (select event_id as fact_id, case event_id % 3 when 0 then '[PREFERENCE] ' when 1 then '[TECHNICAL] ' else '' end || event_type as fact, ts as seen_at from events)"
@@ -14,7 +14,7 @@ _FACTS = "f as (select event_id as fact_id, case event_id % 3 when 0 then '[PREF
 
 @query("preference_recall", f"with {_FACTS}, n as (select * from f where fact like '[%' order by seen_at desc, fact_id limit 40) select fact_id, fact from n order by seen_at desc, fact_id limit 40")
 def preference_recall(v):
-    return R.preferences(_facts(v), "no such topic", 40).select("fact_id", "fact")
+    return R.preferences(v.fact_rows(), "no such topic", 40, v.fact_index()).select("fact_id", "fact")
 
 
 @query("preference_topic", f"with {_FACTS}, tagged as (select * from f where fact like '[%'),\n" + bm25_sql("tagged", "fact_id", "fact", ["click"], 40) + """,
@@ -24,12 +24,7 @@ select fact_id, fact from tagged where fact_id in (select fact_id from ids) or n
 """)
 def preference_topic(v):
     """Tagged facts on a topic that occurs: among the newest, and by rank among all."""
-    return R.preferences(_facts(v), "click", 40).select("fact_id", "fact")
-
-
-def _facts(v):
-    tag = F.when(F.col("event_id") % 3 == 0, "[PREFERENCE] ").when(F.col("event_id") % 3 == 1, "[TECHNICAL] ").otherwise("")
-    return v.table("events").select(F.col("event_id").alias("fact_id"), F.concat(tag, "event_type").alias("fact"), F.col("ts").alias("at"))
+    return R.preferences(v.fact_rows(), "click", 40, v.fact_index()).select("fact_id", "fact")
 
 
 @query("image_search", """
@@ -85,7 +80,7 @@ def session_children(v):
     return R.session_children(turns, answers)
 
 
-_ALL = "of the"
+_ALL = "in"
 
 
 def _like_sql(kind: str, rows: str, key: str, column: str, order: str) -> str:
@@ -93,44 +88,54 @@ def _like_sql(kind: str, rows: str, key: str, column: str, order: str) -> str:
 from {rows} where contains(lower({column}), '{_ALL}') qualify row_number() over (order by {order}) <= 5"""
 
 
-@query("recall_all", "with " + bm25_sql("documents", "doc_id", "text", ["of", "the"], 20, "m") + ",\n" + bm25_sql("ev", "item_id", "text", ["of", "the"], 5, "i").replace("i_t as", "ev as (select * from benchmark),\ni_t as") + ",\n"
-    + bm25_sql("st", "conv_id", "summary", ["of", "the"], 5, "ca").replace("ca_t as", "st as (select conv_id, string_agg(text, chr(10) order by turn) as summary from conversations where turn < 2 group by 1),\nca_t as") + ",\n"
-    + bm25_sql("tt", "id", "text", ["of", "the"], 10, "cb").replace("cb_t as", "tt as (select conv_id * 1000 + turn as id, text from conversations),\ncb_t as") + """,
-mk as (select doc_id as id, row_number() over (order by score desc, doc_id) as rank from m), se as (select doc_id as id, row_number() over (order by quality desc, doc_id) as rank from labels where toxic = 0 qualify row_number() over (order by quality desc, doc_id) <= 20),
+@query("recall_all", "with " + bm25_sql("documents", "doc_id", "text", [_ALL], 20, "m") + ",\n" + bm25_sql("ev", "item_id", "text", [_ALL], 5, "i").replace("i_t as", "ev as (select * from benchmark),\ni_t as") + ",\n"
+    + bm25_sql("st", "conv_id", "summary", [_ALL], 5, "ca").replace("ca_t as", "st as (select conv_id, string_agg(text, chr(10) order by turn) as summary from conversations where turn < 2 group by 1),\nca_t as") + ",\n"
+    + bm25_sql("tt", "id", "text", [_ALL], 10, "cb").replace("cb_t as", "tt as (select conv_id * 1000 + turn as id, text from conversations),\ncb_t as") + ",\n"
+    + bm25_sql("dd", "doc_id", "text", [_ALL], 10, "ch").replace("ch_t as", "dd as (select doc_id, text from documents),\nch_t as") + f""",
+mk as (select doc_id as id, row_number() over (order by score desc, doc_id) as rank from m), {SEMANTIC}
+se as (select email_id as id, row_number() over (order by similarity desc, email_id) as rank from g qualify row_number() over (order by similarity desc, email_id) <= 20),
 fu as (select id, round(sum(1.0::double / (60 + rank)), 12) as score, min(rank) as best from (select * from mk union all select * from se) group by id),
 em as (select 'email' as kind, row_number() over (order by score desc, best, id)::bigint as rank, id::varchar as id, case when id in (select id from mk) then 'keyword' else 'semantic' end as title from fu qualify row_number() over (order by score desc, best, id) <= 5),
 ra as (select conv_id as key, row_number() over (order by score desc, conv_id) as rank from ca), sb as (select id // 1000 as key, max(score) as score from cb group by 1), rb as (select key, row_number() over (order by score desc, key) as rank from sb),
 s1 as (select key, 'session' as source, 0 as p, rank from ra where rank <= 5), s2 as (select key, 'turn' as source, 1 as p, rank from rb where rank <= 5 - (select count(*) from s1) and key not in (select key from s1)),
 co as (select 'conversation' as kind, row_number() over (order by p, rank, key)::bigint as rank, key::varchar as id, source as title from (select * from s1 union all select * from s2)),
-f as (select * from em union all select * from co
+cx as (select coalesce(try_cast(regexp_extract(source, '(\\d{{1,9}})$', 1) as bigint), -1) as key, max(score) as score from ch join documents using (doc_id) group by 1),
+cc as (select 'chat' as kind, row_number() over (order by score desc, key)::bigint as rank, key::varchar as id, 'message' as title from cx qualify row_number() over (order by score desc, key) <= 5),
+f as (select * from em union all select * from co union all select * from cc
 union all """ + _like_sql("decision", "benchmark", "item_id", "text", "item_id desc") + "\nunion all " + _like_sql("action", "documents join labels using (doc_id)", "doc_id", "text", "quality asc nulls last, doc_id") + "\nunion all " + _like_sql("commitment", "conversations", "conv_id * 1000 + turn", "text", "conv_id * 1000 + turn")
-    + "\nunion all " + _like_sql("image", "documents", "doc_id", "text", "n_chars desc, doc_id") + """
+    + "\nunion all " + _like_sql("image", "documents", "doc_id", "text", "n_chars desc, doc_id") + f"""
 union all select 'event', row_number() over (order by score desc, item_id)::bigint, item_id::varchar, 'item ' || item_id from i),
-tc as (select 'topic_context' as kind, row_number() over (order by count(*) desc, source)::bigint as rank, 'sources:' || source as id, count(*)::varchar as title from documents where contains(lower(text), 'of the') group by source qualify row_number() over (order by count(*) desc, source) <= 3)
-select * from f union all select * from tc
+pc as (select 'person_context' as kind, row_number() over (order by count(*) desc, coalesce(status, ''))::bigint as rank, 'sales:' || coalesce(status, '') as id, count(*)::varchar as title from sales
+  where client_id = (select min(client_id) from clients where contains(lower(name), '{_ALL}')) group by coalesce(status, '')),
+tc as (select 'topic_context' as kind, row_number() over (order by count(*) desc, name)::bigint as rank, 'items:' || name as id, count(*)::varchar as title from sale_lines join items using (item_id) where contains(lower(name), '{_ALL}') group by name
+  qualify row_number() over (order by count(*) desc, name) <= 3)
+select * from f union all select * from tc union all select * from pc
 union all select 'summary', 1, 'total_hits', count(*)::varchar from f union all select 'summary', 2, 'kinds_with_results', coalesce(string_agg(distinct kind, ',' order by kind), '') from f
-union all select 'summary', 3, 'has_person_context', 'false' union all select 'summary', 4, 'has_topic_context', (count(*) > 0)::varchar from tc
+union all select 'summary', 3, 'has_person_context', (count(*) > 0)::varchar from pc union all select 'summary', 4, 'has_topic_context', (count(*) > 0)::varchar from tc
 """)
 def recall_all(v):
-    """Everything on some words: eight kinds, of which mails are by rank and by meaning, and a topic's context."""
+    """Everything on a word: eight kinds, of which mails are by rank and by meaning, and a person's and a topic's context."""
     docs, said = v.table("documents"), v.table("conversations")
     keyword = search.ranked(stored(v.document_index().bm25(_ALL, 20, columns=["text"]), "hits"), "doc_id").select(F.col("doc_id").alias("id"), "rank")
-    near = v.table("labels").filter("toxic = 0").orderBy(F.desc("quality"), "doc_id").limit(20)
-    semantic = search.ranked(near.select(F.col("doc_id"), F.col("quality").cast("double").alias("score")), "doc_id").select(F.col("doc_id").alias("id"), "rank")
+    semantic = search.ranked(stored(semantic_mails(v), "hits").withColumnRenamed("similarity", "score"), "email_id").select(F.col("email_id").alias("id"), "rank").filter("rank <= 20")
     emails = vectors.hybrid(keyword, semantic, 5).select(F.col("place").alias("rank"), "id", F.col("source").alias("title"))
-    first = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "\n")
-    sessions = said.filter("turn < 2").groupBy(F.col("conv_id").alias("session_id")).agg(first.alias("summary"), F.lit(None).cast("string").alias("topics_summary"))
-    turns = said.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), F.col("conv_id").alias("session_id"), F.lit(None).cast("string").alias("summary"), F.col("text").alias("content"))
-    talks = R.session_search(sessions, turns, _ALL, 5).select(F.col("place").alias("rank"), F.col("session_id").alias("id"), F.col("source").alias("title"))
+    turns = v.turns_of_chats().select(F.col("id").alias("turn_id"), F.col("chat_id").alias("session_id"))
+    talks = R.session_search(v.chat_index(), v.turn_index(), _ALL, 5, turns, (["summary", "title"], ["text"])).select(F.col("place").alias("rank"), F.col("session_id").alias("id"), F.col("source").alias("title"))
+    posts = docs.select(F.col("doc_id").alias("message_id"), F.regexp_extract("source", r"(\d{1,9})$", 1).try_cast("long").alias("thread_id"))
+    chats = R.chat_search(v.source_index(), v.document_index(), _ALL, 5, posts, (["title", "summary"], ["text"])).select(F.col("place").alias("rank"), F.col("thread_id").alias("id"), F.col("source").alias("title"))
     events = search.ranked(v.item_index().bm25(_ALL, 5), "item_id").select("rank", F.col("item_id").alias("id"), F.concat(F.lit("item "), "item_id").alias("title"))
     kinds = {
-        "email": emails, "conversation": talks, "event": events, "chat": talks.limit(0),
+        "email": emails, "conversation": talks, "event": events, "chat": chats,
         "decision": R.like_ranked(v.table("benchmark"), "item_id", "text", _ALL, F.desc("item_id")),
         "action": R.like_ranked(docs.join(v.table("labels"), "doc_id"), "doc_id", "text", _ALL, F.asc_nulls_last("quality")),
-        "commitment": R.like_ranked(turns, "turn_id", "content", _ALL),
+        "commitment": R.like_ranked(said.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text"), "turn_id", "text", _ALL),
         "image": R.like_ranked(docs, "doc_id", "text", _ALL, F.desc("n_chars")),
     }
-    people, topics = v.table("customer").select(F.col("c_name").alias("name")), v.spark.createDataFrame([("State of the store",)], "name string")
-    sources = docs.filter(F.lower("text").contains(_ALL)).groupBy(F.col("source").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    topic = section(sources, "sources", F.col("k"), F.col("n"), F.desc("n"), F.col("k"), limit=3)
-    return R.unified(kinds, 5, R.known_names(people, topics, _ALL), {"person": topic, "topic": topic})
+    people, topics = v.table("clients"), v.table("items")
+    has = F.lower("name").contains(_ALL)
+    first = people.filter(has).agg(F.min("client_id").alias("client_id"))
+    sales = v.table("sales").join(first, "client_id").groupBy(F.coalesce("status", F.lit("")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    lines = v.table("sale_lines").select("item_id").join(topics.filter(has).select("item_id", F.col("name").alias("k")), "item_id").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    person = section(sales, "sales", F.col("k"), F.col("n"), F.desc("n"), F.col("k"))
+    topic = section(lines, "items", F.col("k"), F.col("n"), F.desc("n"), F.col("k"), limit=3)
+    return R.unified(kinds, 5, R.known_names(people, topics, _ALL), {"person": person, "topic": topic})

@@ -124,13 +124,16 @@ def unit_vectors(v):
 
 
 @query("vector_ids", """
-with x as (select unnest([5, -7, -2000004, -10000009, -1999999]) as id)
-select id, case when id > 0 then 'email' when id <= -10000000 then 'thread' when id <= -2000000 then 'conversation' else 'attachment' end as kind,
-  case when id > 0 then id when id <= -10000000 then -id - 10000000 when id <= -2000000 then -id - 2000000 else -id end as entity from x
+with x as (select unnest([doc_id, -doc_id - 1, -2000000 - doc_id, -10000000 - doc_id]) as id, unnest(['email', 'attachment', 'conversation', 'thread']) as kind, unnest([doc_id, doc_id + 1, doc_id, doc_id]) as entity from documents where doc_id > 0)
+select id, kind, entity, true as back from x
 """)
 def vector_ids(v):
-    ids = v.spark.createDataFrame([(i,) for i in (5, -7, -2000004, -10000009, -1999999)], "id long")
-    return ids.select("id", vectors.decode_vector_id(F.col("id")).alias("x")).select("id", "x.kind", "x.entity")
+    """Signed ids of the documents as mails, attachments, sessions and threads, taken apart and put together again."""
+    d = v.table("documents").filter("doc_id > 0")
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), (F.col("doc_id") + more).alias("entity")) for k, more in (("email", 0), ("attachment", 1), ("conversation", 0), ("thread", 0))))
+    ids = d.select(F.explode(kinds).alias("e")).select(vectors.encode_vector_id(F.col("e.kind"), F.col("e.entity")).alias("id"))
+    out = ids.select("id", vectors.decode_vector_id(F.col("id")).alias("x")).select("id", "x.kind", "x.entity")
+    return out.withColumn("back", vectors.encode_vector_id(F.col("kind"), F.col("entity")) == F.col("id"))
 
 
 def _hits(v):
@@ -139,18 +142,25 @@ def _hits(v):
     return vectors.cosine_top_k(rows, "vec_id", "embedding", probe, 60)
 
 
-@query("semantic_candidates", f"""
-with h as (select vec_id, similarity from (select e.vec_id, {_COS} as similarity from embeddings e, (select embedding from embeddings where vec_id = 7) q) order by similarity desc, vec_id limit 60),
-f as (select case when vec_id % 3 = 0 then vec_id when vec_id % 3 = 1 and vec_id % 2 = 0 then vec_id // 2 end as email_id, similarity from h)
-select email_id, max(similarity) as similarity from f where email_id is not null group by email_id
-""")
-def semantic_candidates(v):
+SEMANTIC = f"""h as (select vec_id, similarity from (select e.vec_id, {_COS} as similarity from embeddings e, (select embedding from embeddings where vec_id = 7) q) order by similarity desc, vec_id limit 60),
+f_ as (select case when vec_id % 3 = 0 then vec_id when vec_id % 3 = 1 and vec_id % 2 = 0 then vec_id // 2 end as email_id, similarity from h),
+g as (select email_id, max(similarity) as similarity from f_ where email_id is not null group by email_id),
+"""
+
+
+def semantic_mails(v):
+    """Mails near a probe: vectors are of mails, attachments and threads; an attachment counts for its mail."""
     kind = F.when(F.col("vec_id") % 3 == 0, "email").when(F.col("vec_id") % 3 == 1, "attachment").otherwise("thread")
     hits = _hits(v).select(kind.alias("kind"), F.col("vec_id").alias("entity"), "similarity")
     attachments = v.table("embeddings").filter("vec_id % 2 = 0").select(F.col("vec_id").alias("attachment_id"), F.expr("vec_id div 2").alias("email_id"))
     return vectors.fold_to_emails(hits, attachments)
 
 
+@query("semantic_candidates", f"with {SEMANTIC.rstrip().rstrip(',')} select email_id, similarity from g")
+def semantic_candidates(v):
+    return semantic_mails(v)
+
+
 _LISTS = "k as (select doc_id as id, row_number() over (order by score desc, doc_id) as rank from r),\ns as (select vec_id as id, row_number() over (order by similarity desc, vec_id) as rank from h)"
 _SEM = f"h as (select vec_id, similarity from (select e.vec_id, {_COS} as similarity from embeddings e, (select embedding from embeddings where vec_id = 7) q) order by similarity desc, vec_id limit 60)"
 

@@ -49,6 +49,33 @@ class Views:
         turns = self.table("conversations") if role is None else self.table("conversations").filter(F.col("role") == role)
         return self.index(f"turns-{role}", "conversations", turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), "id", ["text"])
 
+    def chat_rows(self) -> DataFrame:
+        """Chats: title none, summary the first two turns."""
+        first = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "\n")
+        return self.table("conversations").filter("turn < 2").groupBy(F.col("conv_id").alias("chat_id")).agg(first.alias("summary"), F.lit(None).cast("string").alias("title"))
+
+    def chat_index(self) -> TextIndex:
+        return self.index("chats", "conversations", self.chat_rows(), "chat_id", ["summary", "title"])
+
+    def turns_of_chats(self) -> DataFrame:
+        return self.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("chat_id"))
+
+    def source_rows(self) -> DataFrame:
+        """Sources of documents as threads, by the number at the end of their name."""
+        number = F.regexp_extract("source", r"(\d{1,9})$", 1).try_cast("long")
+        return self.table("documents").groupBy(number.alias("thread_id")).agg(F.min("source").alias("title"), F.lit(None).cast("string").alias("summary")).filter("thread_id is not null")
+
+    def source_index(self) -> TextIndex:
+        return self.index("sources", "documents", self.source_rows(), "thread_id", ["title", "summary"])
+
+    def fact_rows(self) -> DataFrame:
+        """Events as facts, two thirds of them tagged."""
+        tag = F.when(F.col("event_id") % 3 == 0, "[PREFERENCE] ").when(F.col("event_id") % 3 == 1, "[TECHNICAL] ").otherwise("")
+        return self.table("events").select(F.col("event_id").alias("fact_id"), F.concat(tag, "event_type").alias("fact"), F.col("ts").alias("at"))
+
+    def fact_index(self) -> TextIndex:
+        return self.index("facts", "events", self.fact_rows().filter("fact like '[%'"), "fact_id", ["fact"])
+
     def item_index(self) -> TextIndex:
         return self.index("items", "benchmark", self.table("benchmark").select("item_id", "text"), "item_id", ["text"])
 
