@@ -23,7 +23,10 @@ their names. An empty table has no pieces.
 
 from __future__ import annotations
 
+import gc
+import re
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -191,28 +194,60 @@ class Places:
         return first + (nth - start) // copies, offset + (nth - start) % copies * length
 
 
-_bytes: dict[str, dict[str, bytes]] = {}
-
-
-def _packed_ids(coder: bpe.BacktrackingBPE, known: dict[str, bytes], text: str) -> bytes:
-    """The ids of a text as little-endian unsigned 32-bit numbers."""
-    out = []
-    for k, part in enumerate(coder.added_split.split(text) if coder.added_split else [text]):
-        if k % 2:
-            out.append(np.array([coder.added[part]], "<u4").tobytes())
-            continue
-        pieces = coder.pieces(part)
-        found = list(map(known.get, pieces))
+#: What a text must not have for its words to be those between white space: other than plain letters, marks and spaces.
+_ODD = re.compile("[^\t-\r -\x7fÀ-ÖØ-öø-ɏ]")
+
+
+class _Packer:
+    """Texts to their ids as little-endian unsigned 32-bit numbers, with the words and pieces seen of late."""
+
+    def __init__(self, coder: bpe.BacktrackingBPE):
+        self.coder = coder
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        # the coder's tables stay: the collector needn't go through them again and again
+        gc.collect()
+        gc.freeze()
+
+    def _of_pieces(self, pieces: list[str]) -> bytes:
+        known, out = self.pieces, []
+        for piece in pieces:
+            ids = known.get(piece)
+            if ids is None:
+                ids = array("I", self.coder.encode_piece(piece)).tobytes()
+                if len(piece) <= 64:
+                    if len(known) >= 2 * bpe.CACHE_PIECES:
+                        known.clear()
+                    known[piece] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def _of_words(self, words: list[str]) -> bytes:
+        """A piece never goes over white space, so the ids of a text are those of its words."""
+        known = self.words
+        found = list(map(known.get, words))
         if None in found:
-            for at, (piece, ids) in enumerate(zip(pieces, found)):
+            for at, (word, ids) in enumerate(zip(words, found)):
                 if ids is None:
-                    found[at] = ids = np.array(coder.encode_piece(piece), "<u4").tobytes()
-                    if len(piece) <= 64:
+                    found[at] = ids = self._of_pieces(self.coder.plain.findall(word))
+                    if len(word) <= 64:
                         if len(known) >= 2 * bpe.CACHE_PIECES:
                             known.clear()
-                        known[piece] = ids
-        out.extend(found)
-    return b"".join(out)
+                        known[word] = ids
+        return b"".join(found)
+
+    def ids(self, text: str) -> bytes:
+        out = []
+        for k, part in enumerate(self.coder.added_split.split(text) if self.coder.added_split else [text]):
+            if k % 2:
+                out.append(array("I", [self.coder.added[part]]).tobytes())
+                continue
+            lower = part.lower()
+            out.append(self._of_pieces(self.coder.pieces(part)) if _ODD.search(lower) else self._of_words(lower.split()))
+        return b"".join(out)
+
+
+_packers: dict[str, _Packer] = {}
 
 
 def pieces(docs: DataFrame, vocabulary, capacity: int = CAPACITY, ids: bool = True) -> DataFrame:
@@ -222,8 +257,10 @@ def pieces(docs: DataFrame, vocabulary, capacity: int = CAPACITY, ids: bool = Tr
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe._coder(vocabulary)
-        known = _bytes.setdefault(vocabulary.value[0], {})
+        path = vocabulary.value[0]
+        if path not in _packers:
+            _packers[path] = _Packer(bpe._coder(vocabulary))
+        packer = _packers[path]
         part, seen = TaskContext.get().partitionId(), {}
         end = np.array([END_ID], "<u4").tobytes()
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", *(["ids"] if ids else [])]
@@ -232,7 +269,7 @@ def pieces(docs: DataFrame, vocabulary, capacity: int = CAPACITY, ids: bool = Tr
                 batch = whole.slice(k, bpe.BATCH_ROWS)
                 rows, found = [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):
-                    raw = _packed_ids(coder, known, text or "") + end
+                    raw = packer.ids(text or "") + end
                     for start in range(0, len(raw), 4 * capacity):
                         own = raw[start : start + 4 * capacity]
                         length = len(own) // 4

@@ -131,3 +131,12 @@ def test_bad_lengths_are_refused(spark):
     rows = written(spark.createDataFrame([(1, 0, 0, 99)], "doc_id long, part int, nth long, length long"), "bad")
     with pytest.raises(ValueError):
         packing.pack(rows, 64)
+
+
+def test_ids_of_words_are_those_of_texts():
+    coder = bpe.BacktrackingBPE(bpe.read_vocabulary(PATH))
+    packer, rng = packing._Packer(coder), random.Random(3)
+    marks = [*"abcdeXYZ0123 \n\t.,!'-_éÀßÿİıſKÅẞΣ漢🙂", "\x1c", "\x85", "\u00a0", "\u2028", "e\u0301", "'s", "'RE", " <|endoftext|> ", "<|startoftext|>"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 60))) for _ in range(4000)] + ["", "x" * 5000, "the end. " * 2000]
+    for text in texts * 2:
+        assert packer.ids(text) == np.array(coder.encode(text), "<u4").tobytes(), text
