@@ -11,12 +11,19 @@ from pyspark.sql.streaming import StreamingQuery
 from mnemora.plans.catalog import query
 from mnemora.session import fresh_path
 from mnemora.sources import readers
+from mnemora.sources.cursor import cursor_stream
 from mnemora.streaming import incremental as I
+from mnemora.streaming import state as S
 
 
-def _in_parts(v, rows: DataFrame, parts: int, start: Callable[[DataFrame], StreamingQuery]) -> None:
-    """rows arrive as files, a part of the event_ids after the other; after each part the stream runs again."""
+def _in_parts(v, rows: DataFrame, parts: int, start: Callable[[DataFrame], StreamingQuery], told: list[str] | None = None) -> None:
+    """rows arrive as files, a part of the event_ids after the other; after each part the stream runs again.
+
+    told gets the folder of the files.
+    """
     folder = fresh_path(v.spark, "arrivals")
+    if told is not None:
+        told.append(folder)
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
     last = rows.agg(F.max("event_id")).first()[0] or 0
     for k in range(parts):
@@ -114,3 +121,66 @@ def sessions_to_reload(v):
 def cursor_moves(v):
     pulls = v.table("events").groupBy("user_id").agg(F.count_if(F.col("event_type") != "view").alias("seen"))
     return pulls.select("user_id", I.cursor_moves(F.col("seen"), 100, F.col("user_id") % 2 == 0).alias("moves"))
+
+
+def _parts(column: str, table: str, parts: int) -> str:
+    return f"{column} * {parts} // (select max({column}) + 1 from {table})"
+
+
+@query("stream_live_sessions", """
+with e as (select *, lag(ts) over (partition by user_id order by ts, event_id) as before from events where ts is not null),
+n as (select *, sum(case when before is null or ts - before > interval 8 hour then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as s from e)
+select user_id, epoch_us(min(ts)) as started, epoch_us(max(ts)) as ended, count(*) as messages, string_agg(distinct event_type, ',' order by event_type) as participants from n group by user_id, s
+""")
+def stream_live_sessions(v):
+    """All sessions, open ones included, after four runs over parts in no order of time: late rows join what they lie between."""
+    rows = v.table("events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    last = rows.agg(F.max("event_id")).first()[0] or 0
+    rows = rows.withColumn("event_id", F.expr(f"(event_id * 7919) % {last + 1}"))
+    target, checkpoint = fresh_path(v.spark, "sessions"), fresh_path(v.spark, "checkpoint")
+    _in_parts(v, rows, 4, lambda source: S.live_sessions(source, "user_id", "ts", "event_type", target, checkpoint, keep="400 days"))
+    return S.read_sessions(v.spark, target).select(F.col("key").alias("user_id"), "started", "ended", F.col("n").alias("messages"), F.col("who").alias("participants"))
+
+
+@query("stream_reloads", f"""
+with p as (select *, {_parts("event_id", "events", 4)} as part from events), u as (select distinct user_id from p),
+c as (select u.user_id, count(*) filter (where part = 0) as n0, count(*) filter (where part <= 1) as n1, count(*) filter (where part <= 2) as n2, count(*) as n3 from u join p using (user_id) group by 1),
+l0 as (select *, case when n0 >= 50 then n0 else 0 end as a0 from c), l1 as (select *, case when n1 - a0 >= 50 then n1 else a0 end as a1 from l0),
+l2 as (select *, case when n2 - a1 >= 50 then n2 else a1 end as a2 from l1), l3 as (select *, case when n3 - a2 >= 50 then n3 else a2 end as a3 from l2),
+w as (select *, case a3 when n0 then 0 when n1 then 1 when n2 then 2 else 3 end as upto from l3 where a3 > 0)
+select w.user_id, event_type, count(*) as n, max(event_id) as last from w join p using (user_id) where part <= upto group by 1, 2
+""")
+def stream_reloads(v):
+    """Users as sessions and events as lines: one with 50 new lines is loaded whole, as it is then."""
+    rows = v.table("events").select("event_id", "user_id", "event_type")
+    target, checkpoint = fresh_path(v.spark, "reloaded"), fresh_path(v.spark, "checkpoint")
+    folder: list[str] = []
+
+    def start(source):
+        def whole(due):
+            seen = v.spark.read.schema(rows.schema).parquet(folder[0])
+            return seen.join(due, "user_id", "left_semi").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+
+        return S.reloaded_sessions(source, "user_id", whole, target, checkpoint)
+
+    _in_parts(v, rows, 4, start, folder)
+    return _table(v, target, "user_id long, event_type string, n long, last long", "user_id")
+
+
+@query("stream_cursor", """
+with l as (select * from clicks where arrived_at is not null and click_id is not null qualify row_number() over (partition by click_id order by arrived_at desc) = 1)
+select client_id, count(*) as n, min(click_id) as first, epoch_us(max(arrived_at)) as mark from l group by client_id
+""")
+def stream_cursor(v):
+    """Clicks pulled by a mark of their arrival in three runs; what lies at a mark comes twice and counts once."""
+    rows = v.table("clicks").filter("click_id is not null").select("click_id", "client_id", F.unix_micros(F.col("arrived_at").cast("timestamp")).alias("arrived"))
+    low, high = rows.agg(F.min("arrived"), F.max("arrived")).first()
+    folder, target, checkpoint = fresh_path(v.spark, "arrivals"), fresh_path(v.spark, "pulled"), fresh_path(v.spark, "checkpoint")
+    schema = "click_id long, client_id long, arrived long"
+    for k in range(3):
+        part = rows.filter(F.coalesce(F.expr(f"(arrived - {low}) * 3 div {high - low + 1} = {k}"), F.lit(k == 0)))
+        part.write.mode("append").parquet(folder)
+        pulled = cursor_stream(v.spark, folder, "arrived", schema, 1 << 40, bootstrap=True)
+        I.upsert_stream(pulled, target, "click_id", "arrived", checkpoint).awaitTermination()
+    held = _table(v, target, schema, "click_id", "arrived")
+    return held.groupBy("client_id").agg(F.count(F.lit(1)).alias("n"), F.min("click_id").alias("first"), F.max("arrived").alias("mark"))
