@@ -203,37 +203,34 @@ class _Packer:
 
     def __init__(self, coder: bpe.BacktrackingBPE):
         self.coder = coder
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        #: Ids of pieces and of words; a word that is one piece has that piece's.
+        self.known: dict[str, bytes] = {}
         # the coder's tables stay: the collector needn't go through them again and again
         gc.collect()
         gc.freeze()
 
+    def _keep(self, text: str, ids: bytes) -> bytes:
+        if len(text) <= 64:
+            if len(self.known) >= 3 * bpe.CACHE_PIECES:
+                self.known.clear()
+            self.known[text] = ids
+        return ids
+
     def _of_pieces(self, pieces: list[str]) -> bytes:
-        known, out = self.pieces, []
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
-                ids = array("I", self.coder.encode_piece(piece)).tobytes()
-                if len(piece) <= 64:
-                    if len(known) >= 2 * bpe.CACHE_PIECES:
-                        known.clear()
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        known, encode = self.known, self.coder.encode_piece
+        return b"".join([known.get(x) or self._keep(x, array("I", encode(x)).tobytes()) for x in pieces])
 
     def _of_words(self, words: list[str]) -> bytes:
         """A piece never goes over white space, so the ids of a text are those of its words."""
-        known = self.words
-        found = list(map(known.get, words))
+        found = list(map(self.known.get, words))
         if None in found:
+            encode, plain = self.coder.encode_piece, self.coder.plain
             for at, (word, ids) in enumerate(zip(words, found)):
                 if ids is None:
-                    found[at] = ids = self._of_pieces(self.coder.plain.findall(word))
-                    if len(word) <= 64:
-                        if len(known) >= 2 * bpe.CACHE_PIECES:
-                            known.clear()
-                        known[word] = ids
+                    if word.isalpha():
+                        found[at] = self._keep(word, array("I", encode(word)).tobytes())
+                    else:
+                        found[at] = self._keep(word, self._of_pieces(plain.findall(word)))
         return b"".join(found)
 
     def ids(self, text: str) -> bytes:
