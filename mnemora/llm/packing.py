@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from mnemora.llm import bpe
 from mnemora.llm._shared import remove, small_batches, written
@@ -199,10 +200,13 @@ _ODD = re.compile("[^\t-\r -\x7fÀ-ÖØ-öø-ɏ]")
 
 
 class _Packer:
-    """Texts to their ids as little-endian unsigned 32-bit numbers, with the words and pieces seen of late."""
+    """Texts to their ids as little-endian unsigned 32-bit numbers, with the words and pieces seen of late.
 
-    def __init__(self, coder: bpe.BacktrackingBPE):
-        self.coder = coder
+    The text's pieces are those of `bpe`; a piece that is new is encoded by the tokenizers library's model.
+    """
+
+    def __init__(self, coder: bpe.BacktrackingBPE, file: bytes):
+        self.coder, self.model = coder, Tokenizer.from_str(file.decode()).model
         #: Ids of pieces and of words; a word that is one piece has that piece's.
         self.known: dict[str, bytes] = {}
         # the coder's tables stay: the collector needn't go through them again and again
@@ -216,21 +220,23 @@ class _Packer:
             self.known[text] = ids
         return ids
 
+    def _new(self, piece: str) -> bytes:
+        letters = self.coder.letters
+        word = piece if piece.isascii() and piece.isprintable() else "".join([letters[b] for b in piece.encode("utf-8", "surrogatepass")])
+        return self._keep(piece, array("I", [x.id for x in self.model.tokenize(word)]).tobytes())
+
     def _of_pieces(self, pieces: list[str]) -> bytes:
-        known, encode = self.known, self.coder.encode_piece
-        return b"".join([known.get(x) or self._keep(x, array("I", encode(x)).tobytes()) for x in pieces])
+        known = self.known
+        return b"".join([known.get(x) or self._new(x) for x in pieces])
 
     def _of_words(self, words: list[str]) -> bytes:
         """A piece never goes over white space, so the ids of a text are those of its words."""
         found = list(map(self.known.get, words))
         if None in found:
-            encode, plain = self.coder.encode_piece, self.coder.plain
+            plain = self.coder.plain
             for at, (word, ids) in enumerate(zip(words, found)):
                 if ids is None:
-                    if word.isalpha():
-                        found[at] = self._keep(word, array("I", encode(word)).tobytes())
-                    else:
-                        found[at] = self._keep(word, self._of_pieces(plain.findall(word)))
+                    found[at] = self._new(word) if word.isalpha() else self._keep(word, self._of_pieces(plain.findall(word)))
         return b"".join(found)
 
     def ids(self, text: str) -> bytes:
@@ -254,9 +260,9 @@ def pieces(docs: DataFrame, vocabulary, capacity: int = CAPACITY, ids: bool = Tr
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = vocabulary.value[0]
+        path, file = vocabulary.value
         if path not in _packers:
-            _packers[path] = _Packer(bpe._coder(vocabulary))
+            _packers[path] = _Packer(bpe._coder(vocabulary), file)
         packer = _packers[path]
         part, seen = TaskContext.get().partitionId(), {}
         end = np.array([END_ID], "<u4").tobytes()

@@ -135,7 +135,8 @@ def test_bad_lengths_are_refused(spark):
 
 def test_ids_of_words_are_those_of_texts():
     coder = bpe.BacktrackingBPE(bpe.read_vocabulary(PATH))
-    packer, rng = packing._Packer(coder), random.Random(3)
+    with open(PATH, "rb") as f:
+        packer, rng = packing._Packer(coder, f.read()), random.Random(3)
     marks = [*"abcdeXYZ0123 \n\t.,!'-_éÀßÿİıſKÅẞΣ漢🙂", "\x1c", "\x85", "\u00a0", "\u2028", "e\u0301", "'s", "'RE", " <|endoftext|> ", "<|startoftext|>"]
     texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 60))) for _ in range(4000)] + ["", "x" * 5000, "the end. " * 2000]
     for text in texts * 2:
