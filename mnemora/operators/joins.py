@@ -19,7 +19,7 @@ def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str =
     left = rows.filter(whole).withColumn("__hash", F.xxhash64(*keys))
     right = groups.withColumn("__hash", F.xxhash64(*keys))
     out = left.join(right, [*keys, "__hash"], how).drop("__hash")
-    if how == "inner":
+    if how == "inner" or not any(f.nullable for f in rows.schema.fields if f.name in keys):
         return out
     added = [F.lit(None).cast(f.dataType).alias(f.name) for f in groups.schema.fields if f.name not in keys]
     missed = rows.filter(~whole)
