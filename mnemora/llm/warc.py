@@ -16,7 +16,8 @@ stated in a revisit (field X-Full-Payload-Length), which has no payload itself.
 
 Defined results. A null payload is as an empty one. Payloads shorter than least_bytes are all responses.
 Rows that repeat the smallest page_id of a digest are all responses. A null URL has no field in its record;
-white space and controls in a URL are written as %XX. A null page_id has no record id; its row is a response
+white space and controls in a URL are written as %XX, and so is in a page_id of
+any text all but letters, digits and _.-~. A null page_id has no record id; its row is a response
 unless others share its digest, and then a revisit of the smallest id. Other columns are not read. An empty
 table writes no archive.
 """
@@ -28,6 +29,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -36,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.llm._shared import fresh_path
+from mnemora.operators.joins import with_groups
 
 GAP, READ, STRETCH = 1 << 16, 8 << 20, 16 << 20
 _END = b"\r\n\r\n"
@@ -47,6 +50,11 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _urn(page_id) -> str:
+    """A page's id as a name in a header: a text is written with %XX, so that none forges a field."""
+    return "<urn:no-page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
 def record(page_id, url: str | None, payload: bytes, sha1: str, refers_to) -> bytes:
     """One record, response or (if refers_to is given) revisit, as a gzip member."""
     revisit = refers_to is not None
@@ -56,13 +64,13 @@ def record(page_id, url: str | None, payload: bytes, sha1: str, refers_to) -> by
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: {_urn(page_id)}",
         *target,
         f"WARC-Date: {_DATE}",
         f"WARC-Payload-Digest: sha1:{sha1}",
     ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>", f"X-Full-Payload-Length: {len(payload)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to)}", f"X-Full-Payload-Length: {len(payload)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     member = zlib.compressobj(6, zlib.DEFLATED, 31)
     return member.compress("\r\n".join(head).encode() + _END + block + _END) + member.flush()
@@ -77,7 +85,7 @@ def parse(member: bytes) -> dict:
     payload = block.partition(_END)[2]
     sha1 = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     revisit = fields["WARC-Type"] == "revisit"
-    name = lambda x: x.removeprefix("<urn:page:").removesuffix(">") or None
+    name = lambda x: unquote(x[len("<urn:page:") : -1]) if x.startswith("<urn:page:") else None
     return {
         "page_id": name(fields["WARC-Record-ID"]),
         "url": fields.get("WARC-Target-URI"),
@@ -96,9 +104,10 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) ->
     folder = folder or fresh_path(spark, "warc")
     kind = dict(pages.dtypes)["page_id"]
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"), F.unhex(F.sha1(payload)).alias("sha1"), F.octet_length(payload).alias("bytes"))
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"), F.coalesce(F.unhex(F.sha1(payload)), F.lit(b"")).alias("sha1"), F.octet_length(payload).alias("bytes"))
     firsts = rows.filter(F.col("bytes") >= least_bytes).groupBy("sha1", "bytes").agg(F.min("page_id").alias("first"))
-    whole = rows.join(firsts, ["sha1", "bytes"], "left")
+    # copies of one payload go to as many tasks, and archives, as their bytes need
+    whole = with_groups(rows, firsts, ["sha1", "bytes"], "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     whole = whole.select("page_id", "url", "payload", "sha1", refers.alias("refers_to")).sortWithinPartitions("page_id", "url", "sha1")
 

@@ -73,3 +73,27 @@ def test_reading_is_dealt_by_bytes(spark, monkeypatch):
     much = index.agg(F.sum("length")).first()[0]
     got = warc.read(folder, index)
     assert got.rdd.getNumPartitions() == much // 500 + 1 > 4 and got.count() == len(ROWS)
+
+
+def test_ids_that_are_texts(spark):
+    ids = ["a", "", "x\r\nWARC-Type: revisit", "<urn:page:a>", "ü %41", None]
+    rows = [(i, "u", "same payload") for i in ids]
+    got = {r.page_id: r for r in warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert set(got) == set(ids) and all(r.sound for r in got.values())
+    assert {i: r.refers_to for i, r in got.items()} == {i: None if i == "" else "" for i in ids}
+
+
+def test_pages_of_one_payload_go_to_several_archives(spark):
+    skew = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in skew}
+    try:
+        for k, v in skew.items():
+            spark.conf.set(k, v)
+        pages = spark.range(0, 20_000, 1, 8).selectExpr("id as page_id", "concat('http://x/', sha2(cast(id as string), 256)) as url", "case when id % 4 > 0 then 'parked' else concat('page ', id) end as html")
+        _, index = warc.write(pages)
+        sizes = sorted(r["count"] for r in index.groupBy("archive").count().collect())
+        assert sum(sizes) == 20_000 and sizes[-1] <= 4 * sizes[len(sizes) // 2], sizes
+        assert index.filter("record_type = 'response'").count() == 5_001
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
