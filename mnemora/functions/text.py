@@ -39,10 +39,15 @@ def strip_accents(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, *_fold_table())).otherwise(text)
 
 
+@functools.cache
+def _marks() -> dict[int, None]:
+    return {c: None for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Mn"}
+
+
 @pandas_udf(StringType())
 def strip_accents_all(text: pd.Series) -> pd.Series:
     """UDF for all scripts: NFD, marks dropped, NFC."""
-    marks = {c: None for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Mn"}
+    marks = _marks()
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", unicodedata.normalize("NFD", t).translate(marks)), na_action="ignore")
 
 
@@ -206,6 +211,22 @@ def slug(text: Column, most: int = 60) -> Column:
     return F.regexp_replace(F.substring(F.regexp_replace(plain, r"^-+|-+$", ""), 1, most), r"-+$", "")
 
 
+@pandas_udf(StringType())
+def ascii_letters(text: pd.Series) -> pd.Series:
+    """UDF: letters in compatible form (NFKD) as far as ASCII has them; no built-in takes letters apart."""
+    return text.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+
+
+def file_slug(name: Column, most: int = 60) -> Column:
+    """A file's name in lower case with underscores, most characters at most; a short extension at the end is kept."""
+    plain = F.lower(F.trim(F.regexp_replace(F.regexp_replace(ascii_letters(name), r"[^\w\s.-]", ""), r"^\s+|\s+$", "")))
+    plain = F.regexp_replace(F.regexp_replace(plain, r"[\s\-_]+", "_"), r"\.+", ".")
+    extension = F.regexp_extract(plain, r"\.([^.]{0,7})$", 1)
+    stem = F.substr(plain, F.lit(1), F.lit(most - 1) - F.length(extension))
+    cut = F.when(F.length(plain) <= most, plain).when(plain.rlike(r"\.[^.]{0,7}$"), F.concat(stem, F.lit("."), extension)).otherwise(F.substring(plain, 1, most))
+    return F.regexp_replace(cut, r"^[._]+|[._]+$", "")
+
+
 def is_noise(text: Column, least: int = 50, share: float = 0.1) -> Column:
     """Too short, or with too few letters and digits."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")

@@ -44,9 +44,27 @@ def lag(upstream: DataFrame, stored: DataFrame, ts: str, now: Column) -> DataFra
     return up.join(F.broadcast(own)).select((F.unix_seconds(F.col("up").cast("timestamp")) - F.unix_seconds(F.col("own").cast("timestamp"))).alias("lag_seconds"))
 
 
+def _plain(path: str) -> str:
+    """A root without scheme and last slash."""
+    return "/" + path.split(":", 1)[-1].strip("/")
+
+
+def under(path: Column, root: str) -> Column:
+    """Whether a path lies under a root, whole names compared."""
+    return F.regexp_replace(path, "^[a-z0-9]+:/*", "/").startswith(_plain(root).rstrip("/") + "/")
+
+
+def root_label(path: Column, roots: list[str]) -> Column:
+    """Where a file lies: the last name of the first root it is under and the folders below; else its folder's name."""
+    plain = F.regexp_replace(path, "^[a-z0-9]+:/*", "/")
+    folder = F.regexp_extract(plain, r"^(.*)/[^/]*$", 1)
+    label = [F.when(under(path, r), F.concat(F.lit(_plain(r).rsplit("/", 1)[-1]), F.substr(folder, F.lit(len(_plain(r).rstrip("/")) + 1)))) for r in roots]
+    return F.coalesce(*label, F.regexp_extract(folder, r"([^/]*)$", 1))
+
+
 def newest_files(files: DataFrame, roots: list[str], now: Column) -> DataFrame:
     """root, files, newest (times to come count as now) of each root; roots without files too."""
-    root = F.coalesce(*[F.when(F.col("path").contains(r), F.lit(r)) for r in roots])
+    root = F.coalesce(*[F.when(under(F.col("path"), r), F.lit(r)) for r in roots])
     found = files.select(root.alias("root"), F.least("modified", now).alias("modified")).filter("root is not null").groupBy("root").agg(F.count(F.lit(1)).alias("files"), F.max("modified").alias("newest"))
     every = files.sparkSession.createDataFrame([(r,) for r in roots], "root string")
     return every.join(found, "root", "left").select("root", F.coalesce("files", F.lit(0)).alias("files"), "newest")

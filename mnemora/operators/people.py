@@ -18,7 +18,8 @@ from pyspark.sql.types import DoubleType
 from mnemora.functions import text as T
 from mnemora.functions.fixed import FUZZY_BLOCK, FUZZY_PAIRS, FUZZY_THRESHOLD
 from mnemora.operators.joins import with_groups
-from mnemora.session import stored
+from mnemora.operators.windows import numbered
+from mnemora.session import remove, stored
 
 MAP = ["loser", "survivor"]
 
@@ -165,22 +166,66 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
+def _letters(canon: Column) -> Column:
+    """A text's letters as a set of (how often so far, letter), those that are seldom first: equal letters differ by number."""
+    letters = F.split(canon, "")
+    numbered = F.transform(letters, lambda x, i: F.struct(F.size(F.filter(F.slice(letters, 1, i + 1), lambda y: y == x)).alias("n"), x.alias("x")))
+    return F.sort_array(numbered, asc=False)
+
+
+def _alike(named: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a block whose letters allow a ratio of threshold.
+
+    Of two texts of l and m letters at least threshold (l + m) / 2 must be in both, and m is l threshold / (2 - threshold)
+    at least; so the first letters of both, in one order, as many as may be missing and one more, have one in common.
+    """
+    least = F.ceil(F.col("length") * threshold / (2 - threshold) - 1e-9).cast("int")
+    whole = named.withColumn("letters", _letters(F.col("canon"))).withColumn("length", F.size("letters"))
+    whole = whole.withColumn("first", F.slice("letters", F.lit(1), F.col("length") - least + 1))
+    each = whole.select("*", F.explode("first").alias("letter"))
+    a, b = each.alias("a"), each.alias("b")
+    pairs = a.join(b, (F.col("a.surname") == F.col("b.surname")) & (F.col("a.letter") == F.col("b.letter")) & (F.col("a.id") < F.col("b.id")))
+    # a pair counts at the first letter that both have
+    pairs = pairs.filter(F.array_intersect("a.first", "b.first")[0] == F.col("a.letter"))
+    both = F.size(F.array_intersect("a.letters", "b.letters"))
+    return pairs.filter(2.0 * both >= threshold * (F.col("a.length") + F.col("b.length")) - 1e-9)
+
+
+def _within(named: DataFrame) -> DataFrame:
+    """Pairs of a block of which one's tokens are all among the other's: they meet at the longest token of the fewer."""
+    rarest = F.array_max(F.transform("tokens", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    few = named.withColumn("token", rarest).alias("few")
+    many = named.select("*", F.explode(F.array_distinct("tokens")).alias("token")).alias("many")
+    pairs = few.join(many, (F.col("few.surname") == F.col("many.surname")) & (F.col("few.token") == F.col("many.token")) & (F.col("few.id") != F.col("many.id")))
+    pairs = pairs.filter(F.size(F.array_except("few.tokens", "many.tokens")) == 0)
+    # two with the same tokens find each other twice
+    same = F.size(F.array_except("many.tokens", "few.tokens")) == 0
+    return pairs.filter(~same | (F.col("few.id") < F.col("many.id")))
+
+
 def fuzzy_pairs(people: DataFrame, threshold: float = FUZZY_THRESHOLD, block: int | None = FUZZY_BLOCK, most: int | None = FUZZY_PAIRS) -> DataFrame:
     """id_a, id_b, score of people who may be one, for review; best first.
 
     Only within blocks of 2 to block people of one surname, and most pairs at most, as a person looks at each;
-    None lifts either limit. Not if the keys are equal or e-mails differ.
+    None lifts either limit. Not if the keys are equal or e-mails differ. Only pairs whose letters allow the
+    threshold are compared letter by letter.
     """
     named = people.select("id", "name", _email().alias("email"), T.canonical_tokens(F.col("name")).alias("tokens"))
     named = named.withColumn("surname", T.surname_key(F.col("tokens"))).withColumn("canon", F.array_join("tokens", " ")).filter("surname <> ''")
     sizes = named.groupBy("surname").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size").between(2, (1 << 62) if block is None else block))
-    named = named.join(sizes.select("surname"), "surname")
-    pairs = named.alias("a").join(named.alias("b"), (F.col("a.surname") == F.col("b.surname")) & (F.col("a.id") < F.col("b.id")))
-    pairs = pairs.filter((F.col("a.canon") != F.col("b.canon")) & (F.col("a.email").isNull() | F.col("b.email").isNull() | (F.col("a.email") == F.col("b.email"))))
-    subset = (F.size(F.array_except("a.tokens", "b.tokens")) == 0) | (F.size(F.array_except("b.tokens", "a.tokens")) == 0)
-    scored = pairs.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.canon").alias("ca"), F.col("b.canon").alias("cb"), subset.alias("subset"))
-    ratio = scored.filter("not subset").withColumn("score", matching_ratio("ca", "cb"))
-    out = scored.filter("subset").withColumn("score", F.lit(0.9)).unionByName(ratio).filter(F.col("score") >= threshold)
+    named = with_groups(named, sizes.select("surname"), ["surname"])
+    out = None
+    for found, a, b, subset in ((_alike(named, threshold), "a", "b", False), (_within(named), "few", "many", True)):
+        c = lambda side, name: F.col(f"{side}.{name}")  # noqa: B023, E731
+        found = found.filter((c(a, "canon") != c(b, "canon")) & (c(a, "email").isNull() | c(b, "email").isNull() | (c(a, "email") == c(b, "email"))))
+        if subset:
+            part = found.select(F.least(c(a, "id"), c(b, "id")).alias("id_a"), F.greatest(c(a, "id"), c(b, "id")).alias("id_b"), F.lit(0.9).alias("score"))
+        else:
+            contained = (F.size(F.array_except(c(a, "tokens"), c(b, "tokens"))) == 0) | (F.size(F.array_except(c(b, "tokens"), c(a, "tokens"))) == 0)
+            found = found.filter(~contained).select(c(a, "id").alias("id_a"), c(b, "id").alias("id_b"), c(a, "canon").alias("ca"), c(b, "canon").alias("cb"))
+            part = found.select("id_a", "id_b", matching_ratio("ca", "cb").alias("score"))
+        out = part if out is None else out.unionByName(part)
+    out = out.filter(F.col("score") >= threshold)
     return out.select("id_a", "id_b", F.bround("score", 3).alias("score")).orderBy(F.desc("score"), "id_a", "id_b").limit(2**31 - 1 if most is None else most)
 
 
@@ -213,35 +258,63 @@ def reviewed_merges(people: DataFrame, reviewed: DataFrame) -> DataFrame:
 
     Case and blanks around a decision don't matter. Pairs are taken in order of n (without one, by ids); a pair
     of which an earlier one merged somebody away is skipped. The survivor has an e-mail if only one of the two
-    has, else it is the lesser id. As each decision depends on those before it, they are followed in one task:
-    a person has made every one of them.
+    has, else it is the lesser id. Who would lose is known beforehand, so a decision waits only for earlier ones in which one of
+    its two would lose: see _taken.
     """
     rows = reviewed.filter(F.lower(F.trim("decision")) == "merge").filter("id_a <> id_b")
     rows = rows.drop("email_a", "email_b") if "email_a" in rows.columns else rows
     for side in ("a", "b"):
         rows = rows.join(people.select(F.col("id").alias(f"id_{side}"), F.col("email").alias(f"email_{side}")), f"id_{side}")
-    order = [*(["n"] if "n" in rows.columns else []), "id_a", "id_b"]
-    has = lambda c: (F.coalesce(_email(c), F.lit("")) != "").alias(c)
-    rows = rows.select(*order, has("email_a"), has("email_b")).repartition(1).sortWithinPartitions(*order)
-
-    def follow(batches):
-        into: dict = {}
-        for batch in batches:
-            for a, b, mail_a, mail_b in zip(batch["id_a"], batch["id_b"], batch["email_a"], batch["email_b"]):
-                if a in into or b in into:
-                    continue
-                keep, lose = (a, b) if (not mail_a, a) < (not mail_b, b) else (b, a)
-                into[lose] = keep
-
-        def last(x):
-            while x in into:
-                x = into[x]
-            return x
-
-        yield pd.DataFrame({"loser": list(into), "survivor": [last(x) for x in into]})
-
-    kind = dict(people.dtypes)["id"]
-    return rows.select("id_a", "id_b", "email_a", "email_b").mapInPandas(follow, f"loser {kind}, survivor {kind}")
+    order = [F.col(c) for c in (*(["n"] if "n" in rows.columns else []), "id_a", "id_b")]
+    none = lambda c: F.coalesce(_email(c), F.lit("")) == ""
+    first = F.struct(none("email_a"), F.col("id_a")) < F.struct(none("email_b"), F.col("id_b"))
+    rows = numbered(rows, "number", *order)
+    rows = rows.select("number", F.when(first, F.col("id_a")).otherwise(F.col("id_b")).alias("winner"), F.when(first, F.col("id_b")).otherwise(F.col("id_a")).alias("loser"))
+    into = _taken(stored(rows, "decisions")).select("loser", F.col("winner").alias("survivor"))
+    while True:  # a survivor may have lost later
+        into = stored(into, "merged")
+        later = into.select(F.col("loser").alias("survivor"), F.col("survivor").alias("last"))
+        if into.join(later, "survivor", "left_semi").isEmpty():
+            return into.select(*MAP)
+        into = into.join(later, "survivor", "left").select("loser", F.coalesce("last", "survivor").alias("survivor"))
+
+
+def _taken(decisions: DataFrame) -> DataFrame:
+    """Those of the decisions (number, winner, loser) that count when they are followed by number.
+
+    One counts unless an earlier one that counts made its winner or loser lose. In each round a decision is settled if such a one
+    counts, or if none that might is open; one that waits for a single other is the opposite of that one, so rows
+    of decisions that wait for each other are settled together, by doubling.
+    """
+    open_, done, used = decisions, decisions.limit(0), []
+    while True:
+        first = open_.groupBy("loser").agg(F.min("number").alias("m1"))
+        second = open_.join(first, "loser").filter("number > m1").groupBy("loser").agg(F.min("number").alias("m2"))
+        marks = stored(first.join(second, "loser", "left").join(done.groupBy("loser").agg(F.min("number").alias("lost")), "loser", "full"), "marks", used)
+        seen = open_
+        for side in ("winner", "loser"):
+            seen = seen.join(marks.select(F.col("loser").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("m1", "m2", "lost"))), side, "left")
+        before = lambda c: F.coalesce(F.col(c) < F.col("number"), F.lit(False))
+        off = before("lost_winner") | before("lost_loser")
+        waits = [F.when(before(c), 1).otherwise(0) for c in ("m1_winner", "m2_winner", "m1_loser", "m2_loser")]
+        n = waits[0] + waits[1] + waits[2] + waits[3]
+        state = F.when(off, "off").when(n == 0, "on").when(n == 1, "not").otherwise("open")
+        on = F.when(state == "not", F.when(before("m1_winner"), F.col("m1_winner")).otherwise(F.col("m1_loser")))
+        seen = stored(seen.select("number", "winner", "loser", state.alias("state"), on.alias("of")), "seen", used)
+        # state "not": the opposite of decision `of`; "same": as that one
+        while not seen.filter("state in ('not', 'same')").join(seen.filter("state <> 'open'").select(F.col("number").alias("of")), "of", "left_semi").isEmpty():
+            other = seen.filter("state <> 'open'").select(F.col("number").alias("of"), F.col("state").alias("then"), F.col("of").alias("beyond"))
+            flip = F.when(F.col("then") == "on", "off").when(F.col("then") == "off", "on").when(F.col("then") == "not", "same").otherwise("not")
+            now = F.when(F.col("then").isNull(), F.col("state")).when(F.col("state") == "not", flip).otherwise(F.col("then"))
+            to = F.when(F.col("then").isNull(), F.col("of")).otherwise(F.col("beyond"))
+            chain = seen.filter("state in ('not', 'same')").join(other, "of", "left").select("number", "winner", "loser", now.alias("state"), to.alias("of"))
+            seen = stored(chain.unionByName(seen.filter("state in ('on', 'off', 'open')")), "seen", used)
+        counted = seen.filter("state = 'on'").select(decisions.columns)
+        done = stored(done.unionByName(counted), "taken")
+        open_ = stored(seen.filter("state not in ('on', 'off')").select(decisions.columns), "open")
+        if open_.isEmpty():
+            remove(decisions.sparkSession, used)
+            return done
 
 
 def resolve_topics(topics: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -29,7 +29,8 @@ def cosine(a: Column, b: Column) -> Column:
 def cosine_top_k(rows: DataFrame, key: str, vector: str, query: list[float], k: int) -> DataFrame:
     """key, similarity (5 places) of the k nearest rows, best first, ties by key.
 
-    Each batch is one matrix product; a task passes on its own k best only, so the final sort is small.
+    Each batch is one matrix product; a task passes on its own k best only, so the final sort is small. Vectors that
+    are null, hold a null, or are not as long as the query take no part.
     """
     q = np.asarray(query, np.float64)
     q = q / (np.linalg.norm(q) or 1.0)
@@ -40,7 +41,7 @@ def cosine_top_k(rows: DataFrame, key: str, vector: str, query: list[float], k:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m = np.stack([np.asarray(x, np.float64) for x in batch.column(1).to_pylist()])
+            m = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, len(q))
             norm = np.linalg.norm(m, axis=1)
             sim = np.round(m @ q / np.where(norm == 0, 1, norm), 5)
             found = pa.RecordBatch.from_arrays([batch.column(0), pa.array(sim)], ["key", "similarity"])
@@ -49,7 +50,8 @@ def cosine_top_k(rows: DataFrame, key: str, vector: str, query: list[float], k:
         if held is not None:
             yield held
 
-    top = rows.filter(F.col(vector).isNotNull()).select(key, vector).mapInArrow(best, f"key {kind}, similarity double")
+    sound = (F.size(vector) == len(q)) & F.forall(vector, lambda x: x.isNotNull())
+    top = rows.filter(sound).select(key, vector).mapInArrow(best, f"key {kind}, similarity double")
     return top.orderBy(F.desc("similarity"), "key").limit(k).select(F.col("key").alias(key), "similarity")
 
 

@@ -134,8 +134,8 @@ def topics_upserted(v):
 
 
 @query("people_upserted", """
-with o as (select c_custkey as id, c_name as name, 'm' || c_custkey || '@x' as email from customer where c_custkey < 100),
-n as (select o_orderkey as n, case when o_custkey % 3 = 0 then 'C' || o_custkey else 'Person number ' || o_custkey || repeat('x', (o_orderkey % 5)::int) end as name, case when o_custkey % 2 = 0 then 'M' || o_custkey || '@x ' end as email from orders),
+with o as (select c_custkey as id, c_name as name, 'm' || c_custkey || '@x' as email from customer),
+n as (select o_orderkey as n, case when o_custkey % 3 = 0 then 'C' || o_custkey else 'Person number ' || o_custkey || repeat('x', (o_orderkey % 5)::int) end as name, case when o_custkey % 2 = 0 then 'M' || o_custkey * 2 || '@x ' end as email from orders),
 m as (select lower(trim(email)) as email, arg_max(name, length(name) * 1000000000 - n) as name, min(n) as n from n where email is not null group by 1),
 k as (select id, case when length(m.name) > length(o.name) then m.name else o.name end as name, o.email from o left join m on lower(trim(o.email)) = m.email),
 f as (select name, email, n from m where email not in (select email from o)),
@@ -143,7 +143,7 @@ e as (select name, null as email, min(n) as n from n where email is null and nam
 select * from k union all select (select max(id) from o) + row_number() over (order by n), name, email from (select * from f union all select * from e)
 """)
 def people_upserted(v):
-    old = v.table("customer").filter("c_custkey < 100").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.concat(F.lit("m"), "c_custkey", F.lit("@x")).alias("email"))
+    old = v.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.concat(F.lit("m"), "c_custkey", F.lit("@x")).alias("email"))
     name = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("C"), "o_custkey")).otherwise(F.concat(F.lit("Person number "), "o_custkey", F.repeat(F.lit("x"), (F.col("o_orderkey") % 5).cast("int"))))
-    seen = v.table("orders").select(F.col("o_orderkey").alias("n"), name.alias("name"), F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("M"), "o_custkey", F.lit("@x "))).alias("email"))
+    seen = v.table("orders").select(F.col("o_orderkey").alias("n"), name.alias("name"), F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("M"), F.col("o_custkey") * 2, F.lit("@x "))).alias("email"))
     return P.upsert_people(old, seen)

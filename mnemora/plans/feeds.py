@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemora.functions import mime
 from mnemora.functions import text as T
 from mnemora.operators import health, writes
 from mnemora.plans.catalog import query
@@ -145,8 +146,9 @@ def extracted_texts(v):
 
 @query("document_roots", "select 'notes' as root, count(*) as files from benchmark union all select 'web', count(*) from pages union all select 'nowhere', 0")
 def document_roots(v):
-    found = readers.files(v.spark, [_folder(v)], [".txt", ".html"])
-    return health.newest_files(found.withColumn("path", F.regexp_extract("folder", r"([^/]*)$", 1)), ["notes", "web", "nowhere"], F.current_timestamp()).select("root", "files")
+    folder = _folder(v)
+    found = health.newest_files(readers.files(v.spark, [folder], [".txt", ".html"]), [f"{folder}/{r}" for r in ("notes", "web", "nowhere")], F.current_timestamp())
+    return found.select(F.regexp_extract("root", r"([^/]*)$", 1).alias("root"), "files")
 
 
 @query("marker_files", """
@@ -188,3 +190,37 @@ def foreign_table(v):
     v.table("supplier").coalesce(1).write.option("isolationLevel", "NONE").jdbc(url, "supplier")
     rows = readers.database(v.spark, url, "supplier", ['"s_suppkey" < 50 AND "s_nationkey" < 13', '"s_suppkey" >= 50 AND "s_nationkey" < 13'])
     return rows.filter("s_acctbal > 100").select("s_suppkey", "s_name", "s_acctbal")
+
+
+_MIME_SQL = """
+with d as (select doc_id, coalesce(text, '') as text from documents where doc_id is not null), l as (
+  select doc_id, '1.1' as path, 'text/plain' as type, '' as filename, '' as disposition, text as body from d union all select doc_id, '1.2', 'text/html', '', '', '<p>' || text || '</p>' from d
+  union all select doc_id, '2', 'application/octet-stream', 'αρχείο ' || doc_id || '.bin', 'attachment', text from d union all select doc_id, '3.1.1', 'text/plain', '', '', 'inner ' || doc_id from d)
+"""
+
+
+def _letters(v) -> DataFrame:
+    """Documents as messages: two forms of the text, an attachment, and a message within the message; the text in three encodings."""
+    d = v.table("documents").filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    quoted = lambda c: F.regexp_replace(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "=$1"), "((?:=..){20})", "$1=\r\n")
+    part = lambda kind, encoding, body, more="": F.concat(F.lit(f"Content-Type: {kind}\r\nContent-Transfer-Encoding: {encoding}\r\n"), more if not isinstance(more, str) else F.lit(more), F.lit("\r\n"), body)
+    folded = lambda c: F.regexp_replace(F.base64(F.encode(c, "UTF-8")), "(.{76})", "$1\r\n")
+    text, page = F.col("text"), F.concat(F.lit("<p>"), "text", F.lit("</p>"))
+    plain = F.when(F.col("doc_id") % 2 == 0, part("text/plain; charset=utf-8", "quoted-printable", quoted(text))).otherwise(part('text/plain;\r\n\tcharset="utf-8"', "BASE64", folded(text)))
+    name = F.concat(F.lit('Content-Disposition: attachment; filename="=?utf-8?B?'), F.base64(F.encode(F.concat(F.lit("αρχείο "), "doc_id", F.lit(".bin")), "UTF-8")), F.lit('?="\r\n'))
+    inner = F.concat(F.lit("Content-Type: message/rfc822\r\n\r\nSubject: inner\r\nContent-Type: multipart/mixed; boundary=outer-x\r\n\r\n--outer-x\r\n\r\ninner "), "doc_id", F.lit("\r\n--outer-x--\r\n"))
+    both = F.concat(F.lit("Content-Type: multipart/alternative; boundary=two\r\n\r\n--two\r\n"), plain, F.lit("\r\n--two\r\n"), part("text/html; charset=utf-8", "base64", folded(page)), F.lit("\r\n--two--"))
+    head = F.concat(F.lit("Subject: =?utf-8?Q?=CE=B1?=\r\n number "), "doc_id", F.lit('\r\nFrom: a@x.example\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary="outer"\r\n\r\nlead\r\n--outer\r\n'))
+    whole = F.concat(head, both, F.lit("\r\n--outer\r\n"), part("application/octet-stream", "base64", folded(text), name), F.lit("\r\n--outer\r\n"), inner, F.lit("\r\n--outer--\r\ntail"))
+    return d.select("doc_id", F.encode(whole, "UTF-8").alias("content"))
+
+
+@query("mime_trees", _MIME_SQL + "select doc_id, path, type, filename, disposition, md5(body) as digest, strlen(body)::bigint as size from l")
+def mime_trees(v):
+    found = mime.mime_parts(_letters(v), "doc_id", "content")
+    return found.select("doc_id", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "type", "filename", "disposition", F.md5("body").alias("digest"), F.octet_length("body").cast("long").alias("size"))
+
+
+@query("message_texts", "select doc_id, 'Subject: α number ' || doc_id || chr(10) || 'From: a@x.example' || chr(10) || 'Date: N/A' || chr(10) || chr(10) || coalesce(text, '') as text from documents where doc_id is not null")
+def message_texts(v):
+    return mime.message_texts(_letters(v), "doc_id", "content")

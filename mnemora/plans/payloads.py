@@ -37,6 +37,57 @@ def provider_mails(v):
     return rows.select("message_id", F.unix_seconds(readers.timestamp(F.col("date_received"))).alias("received"), "subject", "conversation_id")
 
 
+@query("mail_payloads", """
+select o_orderkey::varchar as message_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') as date_received, o_orderpriority as subject, 'C ' || o_custkey as sender, case when o_custkey % 3 > 0 then 'c' || o_custkey || '@x' else '' end as address,
+  coalesce(string_agg('s' || l_suppkey || '@x', ',' order by l_linenumber, 's' || l_suppkey || '@x'), '') as receivers, least(count(l_linenumber), 1) as copies, 'Inbox' as mailbox_name, 'order of ' || o_custkey as content,
+  o_custkey::varchar as conversation_id, '<' || o_orderkey || '@x>' as internet_message_id, 'https://x/' || o_orderkey as web_link, o_orderkey % 4 = 0 as has_attachments
+from orders left join lineitem on o_orderkey = l_orderkey group by o_orderkey, o_orderdate, o_orderpriority, o_custkey
+""")
+def mail_payloads(v):
+    """Orders as a provider's messages, all fields, in both spellings; receivers are the suppliers of the lines."""
+    line = v.table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.concat(F.lit("s"), "l_suppkey", F.lit("@x")).alias("to"))
+    o = v.table("orders").join(line.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "to"))).alias("to")), "o_orderkey", "left")
+
+    def payload(name):
+        person = lambda label, address: F.struct(F.struct(label.alias(name("Name")), address.alias(name("Address"))).alias(name("EmailAddress")))
+        to = F.transform("to", lambda t: person(F.lit(None).cast("string"), t["to"]))
+        fields = {
+            "Id": F.col("o_orderkey").cast("string"), "ReceivedDateTime": F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")), "Subject": F.col("o_orderpriority"),
+            "From": person(F.concat(F.lit("C "), "o_custkey"), F.when(F.col("o_custkey") % 3 > 0, F.concat(F.lit("c"), "o_custkey", F.lit("@x")))), "ToRecipients": to, "CcRecipients": F.filter(to, lambda x, i: i == 0),
+            "Body": F.struct(F.concat(F.lit("order of "), "o_custkey").alias(name("Content"))), "ConversationId": F.col("o_custkey").cast("string"), "InternetMessageId": F.concat(F.lit("<"), "o_orderkey", F.lit("@x>")),
+            "WebLink": F.concat(F.lit("https://x/"), "o_orderkey"), "HasAttachments": F.when(F.col("o_orderkey") % 4 == 0, True),
+        }
+        return F.to_json(F.struct(*(c.alias(name(n)) for n, c in fields.items())))
+
+    raw = o.select(F.when(F.col("o_orderkey") % 2 == 0, payload(lambda n: n)).otherwise(payload(lambda n: n[0].lower() + n[1:])).alias("value"))
+    got = readers.mail_payloads(raw, "Inbox")
+    return got.select(
+        "message_id", "date_received", "subject", F.col("sender.name").alias("sender"), "sender.address", F.array_join(F.col("to_recipients.address"), ",").alias("receivers"), F.size("cc_recipients").cast("long").alias("copies"),
+        "mailbox_name", "content", "conversation_id", "internet_message_id", "web_link", "has_attachments",
+    )
+
+
+@query("event_payloads", """
+select sale_id::varchar as event_id, coalesce(status, '') as subject, case when client_id is not null then 'c' || client_id || '@x' else '' end as organizer_email, epoch(sold_at)::bigint as started, epoch(arrived_at)::bigint as ended,
+  case when priority > 2 then 'room ' || priority else '' end as location, coalesce(priority = 1, false) as is_recurring, case when priority = 1 then 'm' || client_id end as recurrence_master_id,
+  case when priority is null then 'None' else 'P' || priority end as response_status, case when client_id is not null then 'c' || client_id || '@x:None' else '' end as attendees from sales where sale_id is not null
+""")
+def event_payloads(v):
+    """Sales as a provider's calendar events."""
+    s = v.table("sales")
+    iso = lambda c: F.struct(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("DateTime"), F.lit("UTC").alias("TimeZone"))
+    mail = F.struct(F.concat(F.lit("c"), "client_id", F.lit("@x")).alias("Address"))
+    raw = s.select(F.to_json(F.struct(
+        F.col("sale_id").cast("string").alias("Id"), F.col("status").alias("Subject"), F.struct(mail.alias("EmailAddress")).alias("Organizer"), iso("sold_at").alias("Start"), iso("arrived_at").alias("End"),
+        F.struct(F.when(F.col("priority") > 2, F.concat(F.lit("room "), "priority")).alias("DisplayName")).alias("Location"), (F.col("priority") == 1).alias("IsRecurring"),
+        F.when(F.col("priority") == 1, F.concat(F.lit("m"), "client_id")).alias("SeriesMasterId"), F.struct(F.concat(F.lit("P"), "priority").alias("Response")).alias("ResponseStatus"),
+        F.when(F.col("client_id").isNotNull(), F.array(F.struct(mail.alias("EmailAddress")))).alias("Attendees"),
+    )).alias("value"))
+    got = readers.event_payloads(raw)
+    guests = F.array_join(F.transform("attendees", lambda a: F.concat(a["email"], F.lit(":"), a["response_status"])), ",")
+    return got.select("event_id", "subject", "organizer_email", F.unix_seconds("start_at").alias("started"), F.unix_seconds("end_at").alias("ended"), "location", "is_recurring", "recurrence_master_id", "response_status", guests.alias("attendees"))
+
+
 @query("chat_payloads", """
 select 'c::' || event_id as message_id, case when user_id % 2 = 0 then '8:u' || user_id end as sender_mri, event_type || chr(10) || 'a < b & c' as content_text, event_id % 5 = 0 as is_system, epoch(date_trunc('second', ts))::bigint as composed from events
 """)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from mnemora.operators import search, vectors
 from mnemora.operators.index import TextIndex
 from mnemora.operators.snapshots import SnapshotTable
+from mnemora.operators.vectorindex import VectorIndex, hydrated
 from mnemora.plans.catalog import query
 from mnemora.session import fresh_path, stored
 
@@ -221,3 +222,32 @@ def index_upkeep(v):
     index = TextIndex(v.spark, fresh_path(v.spark, "index-upkeep"), "id", ["text"], buckets=8).put(turns)
     index.put(turns.filter("turn % 4 = 0").withColumn("text", F.concat(F.lit("Quokka "), "text"))).remove(turns.filter("turn = 2"))
     return index.merged(fresh_path(v.spark, "index-merged")).bm25("quokka the", None)
+
+
+_KIND = "case vec_id % 4 when 0 then 'email' when 1 then 'attachment' when 2 then 'conversation' else 'thread' end"
+
+
+@query("semantic_by_kind", f"""
+with h as (select vec_id, similarity, row_number() over (order by similarity desc, id) as rank from (select e.vec_id, case vec_id % 4 when 0 then vec_id + 1 when 1 then -vec_id - 1 when 2 then -2000000 - vec_id else -10000000 - vec_id end as id,
+  {_COS} as similarity from embeddings e, (select embedding from embeddings where vec_id = 7) q) order by similarity desc, id limit 80),
+x as (select *, {_KIND} as type, case when vec_id % 4 < 2 then vec_id + 1 else vec_id end as entity from h),
+y as (select doc_id as entity, 'email' as type, 'mail ' || doc_id as title, text as summary, source as date from documents where doc_id % 3 > 0 union all select doc_id, 'attachment', 'file ' || doc_id, lang, null from documents where doc_id % 2 = 0
+  union all select distinct conv_id, 'conversation', 'session ' || conv_id, null, null from conversations union all select page_id, 'thread', url, null, null from pages)
+select rank::int as rank, type, entity, title, summary, date, round(similarity, 4) as similarity from x join y using (type, entity)
+""")
+def semantic_by_kind(v):
+    """The 80 vectors nearest to one, by cells, as mails, attachments, sessions and threads; those that aren't there are left out."""
+    e, d = v.table("embeddings"), v.table("documents")
+    kind = F.when(F.col("vec_id") % 4 == 0, "email").when(F.col("vec_id") % 4 == 1, "attachment").when(F.col("vec_id") % 4 == 2, "conversation").otherwise("thread")
+    entity = F.when(F.col("vec_id") % 4 < 2, F.col("vec_id") + 1).otherwise(F.col("vec_id"))
+    rows = e.select(vectors.encode_vector_id(kind, entity).alias("vector_id"), "embedding")
+    index = VectorIndex(v.spark, fresh_path(v.spark, "vectors")).build(rows, "embedding")
+    none = F.lit(None).cast("string")
+    entities = {
+        "email": d.filter("doc_id % 3 > 0").select(F.col("doc_id").alias("entity"), F.concat(F.lit("mail "), "doc_id").alias("title"), F.col("text").alias("summary"), F.col("source").alias("date")),
+        "attachment": d.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("entity"), F.concat(F.lit("file "), "doc_id").alias("title"), F.col("lang").alias("summary"), none.alias("date")),
+        "conversation": v.table("conversations").select(F.col("conv_id").alias("entity")).distinct().select("entity", F.concat(F.lit("session "), "entity").alias("title"), none.alias("summary"), none.alias("date")),
+        "thread": v.table("pages").select(F.col("page_id").alias("entity"), F.col("url").alias("title"), none.alias("summary"), none.alias("date")),
+    }
+    probe = e.filter("vec_id = 7").select("embedding").first()[0]
+    return hydrated(index.top_k(probe, 80), entities, 80)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from mnemora.functions import extraction
 from mnemora.functions import text as T
+from mnemora.operators import health
 from mnemora.operators import selection as S
 from mnemora.plans.catalog import query
 
@@ -41,22 +42,52 @@ def url_parts(v):
 
 
 @query("page_links", """
-with l as (select page_id, unnest(regexp_extract_all(html, '(?i)https?://[^\\s"''<>/]+/[^\\s"''<>]*')) as u from pages)
-select page_id, regexp_replace(u, '[.,;)"''>]+$', '') as link from l where not contains(u, '?') group by all
+with h as (select page_id, coalesce(html, '') || ' see <a href="' || url || '?source=x&id=' || page_id || '&WEB=1#top">' || url || '</a>. ' as html from pages),
+l as (select page_id, regexp_replace(unnest(regexp_extract_all(html, '(?i)https?://[^\\s"''<>/]+/[^\\s"''<>]*')), '[.,;)"''>]+$', '') as u from h),
+p as (select page_id, regexp_extract(u, '^([^?#]*)', 1) as head, regexp_extract(u, '(#.*)$', 1) as tail,
+  array_to_string(list_filter(string_split(regexp_extract(u, '\\?([^#]*)', 1), '&'), lambda x: x <> '' and lower(string_split(x, '=')[1]) not in ('web', 'source', 'csf', 'e', 'cid', 'nav')), '&') as kept from l)
+select distinct page_id, head || case when kept <> '' then '?' || kept else '' end || tail as link from p
 """)
 def page_links(v):
-    links = v.table("pages").select("page_id", F.explode(T.extract_urls(F.col("html"), r"[^\s\"'<>/]+")).alias("link"))
-    found = v.table("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?i)https?://[^\s\"'<>/]+/[^\s\"'<>?]*(?=[\s\"'<>]|$)"), F.lit(0))).alias("link"))
-    return links.join(found.select("page_id", F.regexp_replace("link", r"[.,;)\"'>]+$", "").alias("link")).distinct(), ["page_id", "link"], "left_semi")
+    """Links of the pages, to each of which one to itself is added, with and without tracking parameters."""
+    own = F.concat(F.coalesce("html", F.lit("")), F.lit(' see <a href="'), "url", F.lit("?source=x&id="), "page_id", F.lit('&WEB=1#top">'), "url", F.lit("</a>. "))
+    return v.table("pages").select("page_id", F.explode(T.extract_urls(own, r"[^\s\"'<>/]+")).alias("link"))
 
 
 @query("video_ids", """
-with u as (select * from (values (1, 'https://youtu.be/abc?t=3', 'abc'), (2, 'https://www.youtube.com/watch?v=xyz&list=1', 'xyz'), (3, 'https://youtube.com/shorts/q1/', 'q1'), (4, 'https://m.youtube.com/embed/e2?x', 'e2'), (5, 'https://example.com/watch?v=no', null), (6, 'https://www.youtube.com/v/', null)) t(id, url, video))
-select id, video from u
+select doc_id, case when doc_id % 6 < 4 then 'v' || doc_id end as video from documents union all select page_id, null from pages where not regexp_matches(lower(url), '^https?://(www\\.|m\\.)?(youtube\\.com|youtu\\.be)[/:?]')
 """)
 def video_ids(v):
-    rows = [(1, "https://youtu.be/abc?t=3"), (2, "https://www.youtube.com/watch?v=xyz&list=1"), (3, "https://youtube.com/shorts/q1/"), (4, "https://m.youtube.com/embed/e2?x"), (5, "https://example.com/watch?v=no"), (6, "https://www.youtube.com/v/")]
-    return v.spark.createDataFrame(rows, "id int, url string").select("id", T.video_id(F.col("url")).alias("video"))
+    """Documents by URLs of six forms, of which four name a video, and the pages' own URLs."""
+    i, k = F.concat(F.lit("v"), "doc_id"), F.col("doc_id") % 6
+    url = F.when(k == 0, F.concat(F.lit("https://youtu.be/"), i, F.lit("?t=3"))).when(k == 1, F.concat(F.lit("https://www.youtube.com/watch?list=1&v="), i)).when(k == 2, F.concat(F.lit("https://youtube.com/shorts/"), i, F.lit("/")))
+    url = url.when(k == 3, F.concat(F.lit("https://m.youtube.com/embed/"), i, F.lit("?x"))).when(k == 4, F.concat(F.lit("https://example.com/watch?v="), i)).otherwise("https://www.youtube.com/v/")
+    rows = v.table("documents").select("doc_id", url.alias("url")).unionByName(v.table("pages").filter(~F.lower("url").rlike(r"^https?://(www\.|m\.)?(youtube\.com|youtu\.be)[/:?]")).select(F.col("page_id").alias("doc_id"), "url"))
+    return rows.select("doc_id", T.video_id(F.col("url")).alias("video"))
+
+
+@query("file_slugs", """
+with n as (select doc_id, lower(regexp_replace(regexp_replace(regexp_replace(strip_accents(coalesce(text, '')) || case when doc_id % 2 = 0 then ' -- v1..PDF' else '' end, '[^\\x00-\\x7F]', '', 'g'), '[^\\w\\s.-]', '', 'g'), '^\\s+|\\s+$', '', 'g')) as s from documents),
+p as (select doc_id, regexp_replace(regexp_replace(s, '[\\s_-]+', '_', 'g'), '[.]+', '.', 'g') as s from n),
+c as (select doc_id, case when length(s) <= 60 then s when regexp_matches(s, '[.][^.]{0,7}$') then left(s, 59 - length(regexp_extract(s, '[.]([^.]{0,7})$', 1))) || '.' || regexp_extract(s, '[.]([^.]{0,7})$', 1) else left(s, 60) end as s from p)
+select doc_id, regexp_replace(s, '^[._]+|[._]+$', '', 'g') as slug from c
+""")
+def file_slugs(v):
+    """Whole texts as names of files, half of them with an extension."""
+    name = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 2 == 0, " -- v1..PDF").otherwise(""))
+    return v.table("documents").select("doc_id", T.file_slug(name).alias("slug"))
+
+
+@query("root_labels", """
+with f as (select page_id, '/data/' || case page_id % 5 when 0 then 'notes/' when 1 then 'notes/web/' || (page_id % 7) || '/' when 2 then 'webmail/' when 3 then 'web/x/y/' else 'other/z/' end || 'f' || page_id as path from pages)
+select page_id, case page_id % 5 when 0 then 'notes' when 1 then 'notes/web/' || (page_id % 7) when 2 then 'webmail' when 3 then 'web/x/y' else 'z' end as label from f
+""")
+def root_labels(v):
+    """Files below roots of which one's name begins another's."""
+    k = F.col("page_id") % 5
+    folder = F.when(k == 0, "notes/").when(k == 1, F.concat(F.lit("notes/web/"), F.col("page_id") % 7, F.lit("/"))).when(k == 2, "webmail/").when(k == 3, "web/x/y/").otherwise("other/z/")
+    path = F.concat(F.lit("file:/data/"), folder, F.lit("f"), "page_id")
+    return v.table("pages").select("page_id", health.root_label(path, ["/data/web", "/data/webmail/", "/data/notes"]).alias("label"))
 
 
 @query("noise_filter", "select doc_id, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) < 600 or length(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '[^\\p{L}\\p{N}]', '', 'g')) < 0.7 * length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) as noise from documents")
@@ -98,10 +129,10 @@ def embed_texts(v):
     return v.table("documents").select("doc_id", T.embed_text(F.when(d % 3 == 0, " ").otherwise(F.col("source")), F.col("lang"), F.when(d % 2 == 0, "2024-01-02T10:00:00"), F.col("text")).alias("t"))
 
 
-@query("json_props", "select event_id, json_extract_string(props, '$.k')::int as k, json_extract_string(props, '$.k') is not null as has from events where json_extract_string(props, '$.k')::int >= 50")
+@query("json_props", "select event_id, json_extract_string(props, '$.k')::int as k, json_extract_string(props, '$.k') is not null as has from events")
 def json_props(v):
     k = F.from_json("props", "k int")["k"]
-    return v.table("events").select("event_id", k.alias("k"), k.isNotNull().alias("has")).filter("k >= 50")
+    return v.table("events").select("event_id", k.alias("k"), k.isNotNull().alias("has"))
 
 
 @query("id_kinds", "select case when doc_id % 4 = 0 then 'numeric' when doc_id % 4 = 1 then 'document' when doc_id % 4 = 2 then 'news' else 'opaque' end as kind, count(*) as n from documents group by 1")

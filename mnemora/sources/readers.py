@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -258,6 +259,58 @@ def provider_mail(raw: DataFrame) -> DataFrame:
     )
 
 
+_PERSON = "struct<EmailAddress:struct<Name:string,Address:string>>"
+_MAIL_PAYLOAD = (
+    f"Id string, ReceivedDateTime string, Subject string, From {_PERSON}, ToRecipients array<{_PERSON}>, CcRecipients array<{_PERSON}>, Body struct<Content:string>, "
+    "ConversationId string, InternetMessageId string, WebLink string, HasAttachments boolean"
+)
+_TIME = "struct<DateTime:string,TimeZone:string>"
+_ANSWER = "struct<Response:string>"
+_EVENT_PAYLOAD = (
+    f"Id string, Subject string, Organizer {_PERSON}, Attendees array<struct<EmailAddress:struct<Name:string,Address:string>,Status:{_ANSWER}>>, Start {_TIME}, End {_TIME}, Location struct<DisplayName:string>, "
+    f"IsRecurring boolean, SeriesMasterId string, ResponseStatus {_ANSWER}, IsCancelled boolean, CreatedDateTime string, LastModifiedDateTime string"
+)
+
+
+def _payload(value: Column, schema: str) -> Column:
+    """A payload's struct, whether its fields begin with capitals or not."""
+    small = re.sub(r"\b([A-Z])(?=\w*[ :])", lambda m: m[1].lower(), schema)
+    large = F.from_json(value, schema)
+    return F.when(large["Id"].isNotNull(), large).otherwise(F.from_json(value, small).cast("struct<" + ", ".join(f.replace(" ", ":", 1) for f in _fields(schema)) + ">"))
+
+
+def mail_payloads(raw: DataFrame, mailbox: str, value: str = "value") -> DataFrame:
+    """A provider's messages (JSON texts) as staging rows: those of MAIL, web_link and has_attachments.
+
+    A payload without an id, or that can't be read, is left out. What is missing is '' in texts, and no recipient.
+    """
+    none = lambda c: F.coalesce(c, F.lit(""))
+    who = lambda p: F.struct(none(p["EmailAddress"]["Name"]).alias("name"), none(p["EmailAddress"]["Address"]).alias("address"))
+    some = lambda c: F.transform(F.coalesce(c, F.array().cast(f"array<{_PERSON}>")), who)
+    p = raw.select(_payload(F.col(value), _MAIL_PAYLOAD).alias("p")).filter("p.Id is not null").select("p.*")
+    null = F.lit(None).cast("string")
+    return p.select(
+        F.col("Id").alias("message_id"), none(F.col("ReceivedDateTime")).alias("date_received"), none(F.col("Subject")).alias("subject"), who(F.col("From")).alias("sender"),
+        some(F.col("ToRecipients")).alias("to_recipients"), some(F.col("CcRecipients")).alias("cc_recipients"), F.lit(mailbox).alias("mailbox_name"), none(F.col("Body.Content")).alias("content"),
+        F.col("ConversationId").alias("conversation_id"), F.col("InternetMessageId").alias("internet_message_id"), null.alias("in_reply_to"), null.alias("references"),
+        F.col("WebLink").alias("web_link"), F.coalesce("HasAttachments", F.lit(False)).alias("has_attachments"),
+    )
+
+
+def event_payloads(raw: DataFrame, value: str = "value") -> DataFrame:
+    """A provider's calendar events (JSON texts) as rows, with their attendees; times are texts as they came, and read."""
+    none = lambda c, other="": F.coalesce(c, F.lit(other))
+    p = raw.select(_payload(F.col(value), _EVENT_PAYLOAD).alias("p")).filter("p.Id is not null").select("p.*")
+    guest = lambda a: F.struct(none(a["EmailAddress"]["Address"]).alias("email"), none(a["EmailAddress"]["Name"]).alias("name"), none(a["Status"]["Response"], "None").alias("response_status"))
+    guests = F.when(F.col("Attendees").isNull(), F.array().cast("array<struct<email:string,name:string,response_status:string>>")).otherwise(F.transform("Attendees", guest))
+    return p.select(
+        F.col("Id").alias("event_id"), none(F.col("Subject")).alias("subject"), none(F.col("Organizer.EmailAddress.Address")).alias("organizer_email"), none(F.col("Organizer.EmailAddress.Name")).alias("organizer_name"),
+        timestamp(F.col("Start.DateTime")).alias("start_at"), timestamp(F.col("End.DateTime")).alias("end_at"), none(F.col("Location.DisplayName")).alias("location"), F.coalesce("IsRecurring", F.lit(False)).alias("is_recurring"),
+        F.col("SeriesMasterId").alias("recurrence_master_id"), none(F.col("ResponseStatus.Response"), "None").alias("response_status"), F.coalesce("IsCancelled", F.lit(False)).alias("is_cancelled"),
+        timestamp(F.col("CreatedDateTime")).alias("created_at"), timestamp(F.col("LastModifiedDateTime")).alias("modified_at"), guests.alias("attendees"),
+    )
+
+
 def _has(df: DataFrame, name: str) -> bool:
     return name in df.columns
 
