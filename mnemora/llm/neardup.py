@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from mnemora.llm._shared import remove, small_batches, written
+from mnemora.operators.joins import with_groups
 
 BUCKET_BITS, MANTISSA_BITS = 8, 10
 BUCKETS = 1 << BUCKET_BITS
@@ -301,7 +302,7 @@ def _star_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
     """
     kind = dict(pairs.dtypes)["hub"]
     parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / STAR_PART).cast("int").alias("parts"))
-    as_member = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("order"), F.col("member").alias("cid"))
+    as_member = with_groups(pairs, parts, ["hub"], nulls=False).select("hub", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("order"), F.col("member").alias("cid"))
     as_hub = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("order"), F.col("hub").alias("cid"))
     dealt = as_hub.unionByName(as_member).join(texts.hint("merge"), "cid").select("hub", "part", "order", "cid", "text")
     dealt = dealt.repartition("hub", "part").sortWithinPartitions("hub", "part", "order")
@@ -326,14 +327,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     kind, id_type = dict(reps.dtypes)["cid"], to_arrow_type(reps.schema["cid"].dataType)
     bands = reps.mapInArrow(_bands, f"key long, cid {kind}, nb long")
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    active = bands.join(shared.hint("merge"), "key").select("key", "cid", "c", F.expr(f"nb div {BANDS}").alias("n"), (F.col("nb") % BANDS).cast("int").alias("band"))
+    active = with_groups(bands, shared.hint("merge"), ["key"], nulls=False).select("key", "cid", "c", F.expr(f"nb div {BANDS}").alias("n"), (F.col("nb") % BANDS).cast("int").alias("band"))
     active = written(active, "shared-bands", used)
 
     # the first by weight, then by id, as a struct that is least: no arithmetic on ids
     centre = active.groupBy("cid").agg((-F.sum("c")).alias("light"))
     hubs = active.join(centre, "cid").groupBy("key").agg(F.min(F.struct("light", F.col("cid").alias("id"), "n")).alias("hub")).select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
     fits = lambda x, y: F.col(x) * 100 >= F.col(y) * percent
-    stars = active.join(hubs, "key").filter((F.col("cid") != F.col("hub")) & fits("n", "hub_n") & fits("hub_n", "n"))
+    stars = with_groups(active, hubs, ["key"], nulls=False).filter((F.col("cid") != F.col("hub")) & fits("n", "hub_n") & fits("hub_n", "n"))
     pairs = stars.select(F.col("cid").alias("member"), "hub").distinct()
     registers_of = written(reps.join(active.select("cid").distinct().hint("merge"), "cid", "left_semi"), "active-sketches", used)
     side = lambda c: registers_of.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}")).hint("merge")
@@ -347,7 +348,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sizes = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
     parts = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("size").alias("all"), F.min(F.struct((-F.col("size")).alias("less"), F.col("root").alias("id"))).alias("main"))
     parts = parts.filter("roots > 1").select("key", "all", (F.col("all") + F.col("main.less")).alias("others"), F.col("main.id").alias("main"))
-    apart = written(now.join(parts, "key"), "keys-apart", used)
+    apart = written(with_groups(now, parts, ["key"], nulls=False), "keys-apart", used)
     # every member goes to the blocks of the others, and these again to the blocks of all
     block = lambda size: F.pmod(F.xxhash64("cid"), F.col(size)).cast("int")
     sized = apart.withColumn("bx", F.ceil(F.col("others") / BLOCK_X).cast("int")).withColumn("by", F.ceil(F.col("all") / BLOCK_Y).cast("int"))
