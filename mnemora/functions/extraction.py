@@ -23,30 +23,83 @@ _NAMES = {"decided_by", "owner", "by", "to"}
 _ITEMS = {"decisions": ("decision", "decided_by", "decision_date"), "action_items": ("task", "owner", "deadline", "status"), "commitments": ("commitment", "by", "to")}
 
 
-def close_open(text: str) -> str | None:
-    """A cut-off JSON text with its string and containers closed; None if nothing is open.
-
-    What is open is found by one pattern over strings and brackets. A key without its value goes.
-    """
-    open_, rest = [], 0
-    for m in re.finditer(r'"(?:[^"\\]|\\.)*("?)|[{}\[\]]', text, re.S):
-        mark = m[0][0]
-        if mark == '"':
-            if not m[1]:
-                open_.append('"')
-        elif mark in "{[":
-            open_.append(mark)
-        elif open_:
-            open_.pop()
-        rest = m.end()
-    if not open_:
+_SCALAR = json.JSONDecoder(strict=False)
+_TEXT = re.compile(r'"((?:[^"\\]|\\.)*)("?)', re.S)
+
+
+class _Cut(Exception):
+    """The text ends within a value, of which nothing can be kept."""
+
+
+def _beginning(text: str, at: int) -> tuple[object, int, bool]:
+    """The value that begins at a place, where it ends, and whether it is whole; ValueError where no JSON text goes on so."""
+    at = _next(text, at)
+    mark = text[at : at + 1]
+    if mark == '"':
+        m = _TEXT.match(text, at)
+        return _letters(m[1]), m.end(), bool(m[2])
+    if mark not in ("{", "["):
+        try:
+            value, end = _SCALAR.raw_decode(text, at)
+        except ValueError:
+            if not text[at:].strip("truefalsn-"):  # half a word at the end
+                raise _Cut from None
+            raise
+        if end < len(text) and not text[end:].strip("-+.0123456789eE"):  # half a number
+            raise _Cut
+        return value, end, True
+    out, at = ({} if mark == "{" else []), at + 1
+    while True:
+        at = _next(text, at)
+        if at == len(text):
+            return out, at, False
+        if text[at] == ("}" if mark == "{" else "]"):
+            return out, at + 1, True
+        if out:
+            if text[at] != ",":
+                raise ValueError(f"no comma at {at}")
+            at += 1
+        try:
+            key = None
+            if mark == "{":
+                key, at, whole = _beginning(text, at)
+                at = _next(text, at)
+                if not whole or at == len(text):
+                    raise _Cut
+                if not isinstance(key, str) or text[at] != ":":
+                    raise ValueError(f"no key at {at}")
+                at += 1
+            value, at, whole = _beginning(text, at)
+        except _Cut:
+            return out, len(text), False
+        out.__setitem__(key, value) if mark == "{" else out.append(value)
+        if not whole:
+            return out, len(text), False
+
+
+def _next(text: str, at: int) -> int:
+    while at < len(text) and text[at] in " \t\r\n":
+        at += 1
+    return at
+
+
+def _letters(inner: str) -> str:
+    """A string's text, less an escape that was cut off at its end."""
+    for less in range(7):
+        try:
+            return json.loads(f'"{inner[: len(inner) - less]}"', strict=False)
+        except ValueError:
+            continue
+    return inner
+
+
+def kept(text: str) -> dict | None:
+    """What a cut-off JSON object holds whole, and the last string as far as it goes; None if it isn't cut off."""
+    try:
+        value, _, whole = _beginning(text, 0)
+    except (ValueError, _Cut, RecursionError):
         return None
-    if open_[-1] == '"':
-        text = re.sub(r"\\$", "", text) + '"'
-        open_.pop()
-    text = re.sub(r',?\s*"(?:[^"\\]|\\.)*"\s*:\s*$', "", text.rstrip())
-    text = text.rstrip().rstrip(",")
-    return text + "".join({"{": "}", "[": "]"}[x] for x in reversed(open_))
+    return None if whole else value
 
 
 def loads(raw: str | None) -> dict | None:
@@ -61,13 +114,15 @@ def loads(raw: str | None) -> dict | None:
     whole = text[: text.rfind("}") + 1]
     for candidate in (whole, text):
         tidy = re.sub(r'(["}\]])[ \t]*\n\s*(?=["{\[])', r"\1,\n", re.sub(r",(?=\s*[}\]])", "", candidate))
-        for attempt in (candidate, tidy, close_open(tidy)):
+        for attempt in (candidate, tidy):
             try:
                 found = json.loads(attempt) if attempt else None
             except ValueError:
                 continue
             if isinstance(found, dict):
                 return found
+        if tidy and (found := kept(tidy)) is not None:
+            return found
     return None
 
 

@@ -25,9 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.operators.search import B, K1, LEAST_IDF, query_parts, tokens
+from mnemora.session import remove
 
-#: Folders of postings in a segment.
-BUCKETS = 64
+#: Folders of postings in a segment; a segment is merged with those after it if it is under so many times as large.
+BUCKETS, GROWTH = 64, 4
 
 
 def bucket_of(term: str, buckets: int) -> int:
@@ -45,8 +46,17 @@ class TextIndex:
     def _segments(self) -> list[int]:
         place = self.spark._jvm.org.apache.hadoop.fs.Path
         fs = place(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        done = fs.globStatus(place(f"{self.path}/segment-*/totals/_SUCCESS")) or []
-        return sorted(int(s.getPath().getParent().getParent().getName().split("-")[1]) for s in done)
+        number = lambda path: int(path.getName().split("-")[1])
+        done = {number(s.getPath().getParent().getParent()) for s in fs.globStatus(place(f"{self.path}/segment-*/totals/_SUCCESS")) or []}
+        for s in fs.globStatus(place(f"{self.path}/segment-*/covers-*")) or []:
+            segment, first = number(s.getPath().getParent()), number(s.getPath())
+            if segment in done:
+                done -= set(range(first, segment))
+        return sorted(done)
+
+    def there(self) -> bool:
+        """Whether anything was put into the index and is still there."""
+        return bool(self._segments())
 
     def _table(self, segment: int, name: str) -> DataFrame:
         at = f"{self.path}/segment-{segment}"
@@ -79,9 +89,11 @@ class TextIndex:
         segment = known[-1] + 1 if known else 1
         at = f"{self.path}/segment-{segment}"
         if rows is not None:
-            # a generator's column: a field is cut into tokens once a pass, whatever is made of them
-            words = F.explode(F.array(F.struct(*(tokens(F.col(f)).alias(f) for f in self.fields)))).alias("words")
+            # texts are cut into tokens once: rows, the borders of ranges, and postings are made from these
+            words = F.struct(*(tokens(F.col(f)).alias(f) for f in self.fields)).alias("words")
             rows = rows.filter(F.col(self.key).isNotNull()).select(F.col(self.key).alias("key"), words)
+            rows.write.mode("overwrite").parquet(f"{at}/words")
+            rows = self.spark.read.schema(rows.schema).parquet(f"{at}/words")
             rows = rows.select("key", "words", F.struct(*(F.size(F.col("words")[f]).alias(f) for f in self.fields)).alias("lengths"))
             rows.select("key", "lengths").write.mode("overwrite").parquet(f"{at}/rows")
             if self._table(segment, "rows").groupBy("key").count().filter("count > 1").limit(1).count():
@@ -92,6 +104,7 @@ class TextIndex:
             terms = terms.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % self.buckets).cast("int"))
             terms = terms.repartitionByRange("bucket", "term", "key").sortWithinPartitions("bucket", "term", "key")
             terms.write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
+            remove(self.spark, [f"{at}/words"])
             own = self._table(segment, "rows").select("key")
             gone = own if gone is None else gone.unionByName(own)
         else:
@@ -127,6 +140,45 @@ class TextIndex:
             self._table(segments[-1], "totals").coalesce(1).write.mode("overwrite").parquet(f"{at}/totals")
         return out
 
+    def _bytes(self, segment: int) -> int:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path
+        at = place(f"{self.path}/segment-{segment}/postings")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+    def tidy(self) -> TextIndex:
+        """Makes one segment of the oldest one that is under GROWTH times as large as all after it, and of these.
+
+        So segments form a geometric row, and a posting is rewritten a logarithmic number of times. The new segment says
+        from which one on it covers others; it counts, and they no longer do, once its last table is there. `forget`
+        deletes what is covered.
+        """
+        segments = self._segments()
+        if len(segments) < 2:
+            return self
+        sizes = [self._bytes(s) for s in segments]
+        first = next((i for i in range(len(sizes)) if sizes[i] < GROWTH * sum(sizes[i + 1 :])), len(sizes))
+        run = segments[first:]
+        if len(run) > 1:
+            segment = segments[-1] + 1
+            at = f"{self.path}/segment-{segment}"
+            self._live("rows", run).write.mode("overwrite").parquet(f"{at}/rows")
+            postings = self._live("postings", run).repartitionByRange("bucket", "term", "key").sortWithinPartitions("bucket", "term", "key")
+            postings.write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
+            reduce(DataFrame.unionByName, [self._table(s, "gone") for s in run]).distinct().write.mode("overwrite").parquet(f"{at}/gone")
+            place = self.spark._jvm.org.apache.hadoop.fs.Path
+            mark = place(f"{at}/covers-{run[0]}")
+            mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(mark, True).close()
+            self._table(segments[-1], "totals").coalesce(1).write.mode("overwrite").parquet(f"{at}/totals")
+        return self
+
+    def forget(self) -> None:
+        """Deletes segments that others cover; a search that began before may still read them."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = place(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        kept = {f"segment-{s}" for s in self._segments()}
+        done = fs.globStatus(place(f"{self.path}/segment-*/totals/_SUCCESS")) or []
+        remove(self.spark, [f"{self.path}/{n}" for n in (s.getPath().getParent().getParent().getName() for s in done) if n not in kept])
+
     # ---- search
 
     def postings(self, terms: list[str], columns: list[str] | None = None) -> DataFrame | None:

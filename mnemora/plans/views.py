@@ -34,10 +34,10 @@ class Views:
     def index(self, name: str, table: str, rows: DataFrame, key: str, fields: list[str]) -> TextIndex:
         """The full-text index of rows made from a table, as a store keeps one beside its texts.
 
-        It is built when a session first asks for it, and again if the table's files have changed.
+        It is built when a session first asks for it, and again if the table's files have changed or it was removed.
         """
         state = (self.spark.sparkContext.applicationId, name, key, *fields, self._state(table))
-        if state not in _INDEXES:
+        if state not in _INDEXES or not _INDEXES[state].there():
             _INDEXES[state] = TextIndex(self.spark, fresh_path(self.spark, f"index-{name}", lasting=True), key, fields).put(rows)
         return _INDEXES[state]
 

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_lasting: list[str] = []
 
 
 def reachable(spark: SparkSession) -> None:
@@ -38,10 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str, lasting: bool = False) -> str:
-    """A path in the shared folder that nothing else uses; `clean` removes what is written there unless it is lasting."""
+    """A path in the shared folder that nothing else uses; `clean` removes what is written there, if it is lasting only when told."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if not lasting:
-        _written.append(path)
+    (_lasting if lasting else _written).append(path)
     return path
 
 
@@ -63,13 +63,14 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        if path in _written:
-            _written.remove(path)
+        for known in (_written, _lasting):
+            if path in known:
+                known.remove(path)
 
 
-def clean(spark: SparkSession) -> None:
-    """Deletes every intermediate table that this process has written and that is still there.
+def clean(spark: SparkSession, lasting: bool = False) -> None:
+    """Deletes every intermediate table that this process has written and that is still there; lasting: indexes too.
 
     A DataFrame that was returned before may read one of them: call this when no result is needed any more.
     """
-    remove(spark, list(_written))
+    remove(spark, [*_written, *(_lasting if lasting else [])])

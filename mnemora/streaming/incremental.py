@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mnemora.functions.fixed import SESSION_GAP_HOURS
+from mnemora.operators.index import TextIndex
 from mnemora.operators.snapshots import SnapshotTable
 
 
@@ -50,6 +51,24 @@ def replace_stream(source: DataFrame, target: str, parent: str, whole: Callable[
     return source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def index_stream(source: DataFrame, index: TextIndex, checkpoint: str) -> StreamingQuery:
+    """Keeps a full-text index up: each batch's rows (its key and fields) replace those of the same key.
+
+    A row whose fields are all null takes its key out. Of rows that share a key in a batch one counts; give them in
+    batches of their own if the order matters. A repeated batch changes nothing.
+    """
+
+    def store(batch: DataFrame, _: int) -> None:
+        rows = batch.dropDuplicates([index.key]).persist()
+        some = F.coalesce(*(F.col(f) for f in index.fields)).isNotNull()
+        index.put(rows.filter(some))
+        index.remove(rows.filter(~some))
+        rows.unpersist()
+        index.tidy()
+
+    return source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def distinct_arrivals(source: DataFrame, key: str, ts: str, delay: str = "1 day") -> DataFrame:
     """Arrivals without repeats of a key within the delay; state older than that is dropped."""
     return source.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])

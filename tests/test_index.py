@@ -113,3 +113,34 @@ def test_an_index_of_the_queries_outlives_intermediate_tables(spark):
     session.clean(spark)
     again = Views(spark, SF_DIR).item_index()
     assert again is first and again.bm25("the", 3).count() == 3
+
+
+def test_a_stream_keeps_the_index_equal_to_a_rebuild(spark, tmp_path):
+    from mnemora.streaming import incremental
+
+    rng, store = random.Random(8), {}
+    index = TextIndex(spark, f"{tmp_path}/ix", "id", ["title", "body"], buckets=3)
+    for k in range(5):
+        batch = rows(rng, rng.sample(range(60), 25))
+        gone = rng.sample(sorted(store), min(4, len(store)))
+        store = {i: v for i, v in store.items() if i not in gone} | {i: v for i, v in batch.items() if i not in gone}
+        arrived = [(i, *v) for i, v in batch.items() if i not in gone] + [(i, None, None) for i in gone]
+        spark.createDataFrame(arrived, SCHEMA).write.mode("append").parquet(f"{tmp_path}/in")
+        incremental.index_stream(incremental.stream_files(spark, f"{tmp_path}/in", SCHEMA, "parquet"), index, f"{tmp_path}/cp").awaitTermination()
+    check(spark, index, store)
+    assert len(index._segments()) <= 4
+    index.forget()
+    check(spark, index, store)
+    assert len([n for n in os.listdir(f"{tmp_path}/ix") if n.startswith("segment")]) == len(index._segments())
+
+
+def test_a_merge_that_crashed_counts_for_nothing(spark, tmp_path):
+    store = rows(random.Random(4), range(30))
+    index = TextIndex(spark, f"{tmp_path}/ix", "id", ["title", "body"]).put(frame(spark, store))
+    more = rows(random.Random(5), range(20, 40))
+    index.put(frame(spark, more)).tidy()
+    assert index._segments() == [3]
+    check(spark, index, store | more)
+    os.rename(f"{tmp_path}/ix/segment-3/totals/_SUCCESS", f"{tmp_path}/lost")
+    assert index._segments() == [1, 2]
+    check(spark, index, store | more)

@@ -35,7 +35,10 @@ def test_cut_off_answers():
         found = X.loads(text[:n])
         assert found is None or found["summary"].startswith("it") or found == {}
     assert X.loads('{"summary": "x", "topics": ["a", "b') == {"summary": "x", "topics": ["a", "b"]}
-    assert X.loads('{"summary": "x", "owner":') == {"summary": "x"}
+    assert X.loads('{"summary": "x", "owner":') == {"summary": "x"} == X.loads('{"summary": "x", "own') == X.loads('{"summary": "x", "n": -1.')
+    assert X.loads('{"a": [1, {"b": tru') == {"a": [1, {}]} and X.loads('{"a": "x\\u00') == {"a": "x"} and X.loads('{"a": 1 x "b": 2') is None
+    whole = '{"summary": "it", "topics": ["a", {"k": [1, 2.5, true, null]}], "n": -12e3}'
+    assert all(isinstance(X.loads(whole[:n]), dict) for n in range(1, len(whole) + 1))
     assert X.loads('{"a": "1"\n"b": "2"}') == {"a": "1", "b": "2"}
     assert X.loads('{"s": "a, }b"}') == {"s": "a, }b"} and X.loads("[1]") is None and X.loads(None) is None
 
