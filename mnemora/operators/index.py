@@ -47,10 +47,11 @@ class TextIndex:
         place = self.spark._jvm.org.apache.hadoop.fs.Path
         fs = place(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
         number = lambda path: int(path.getName().split("-")[1])
-        done = {number(s.getPath().getParent().getParent()) for s in fs.globStatus(place(f"{self.path}/segment-*/totals/_SUCCESS")) or []}
+        whole = {number(s.getPath().getParent().getParent()) for s in fs.globStatus(place(f"{self.path}/segment-*/totals/_SUCCESS")) or []}
+        done = set(whole)
         for s in fs.globStatus(place(f"{self.path}/segment-*/covers-*")) or []:
             segment, first = number(s.getPath().getParent()), number(s.getPath())
-            if segment in done:
+            if segment in whole:  # also one that is covered itself covers others
                 done -= set(range(first, segment))
         return sorted(done)
 
