@@ -93,15 +93,15 @@ class VectorIndex:
         return self.spark.createDataFrame(best, schema)
 
 
-def hydrated(hits: DataFrame, entities: dict[str, DataFrame], limit: int) -> DataFrame:
-    """rank, type, entity, title, summary, date, similarity (4 places) of the best hits (vector_id, similarity).
+def hydrated(hits: DataFrame, entities: dict[str, DataFrame], limit: int, places: int = 4) -> DataFrame:
+    """rank, type, entity, title, summary, date, similarity (to so many places) of the best hits (vector_id, similarity).
 
     entities: by kind (email, attachment, thread, conversation) a table of entity, title, summary, date. The cut to
     limit comes first; hits without an entity are dropped then, and keep their rank from others.
     """
     top = hits.orderBy(F.desc("similarity"), "vector_id").limit(limit)
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("similarity"), "vector_id"))
-    top = top.select("vector_id", F.round("similarity", 4).alias("similarity"), place.alias("rank"), decode_vector_id(F.col("vector_id")).alias("d")).select("rank", "similarity", "d.kind", "d.entity")
+    top = top.select("vector_id", F.round("similarity", places).alias("similarity"), place.alias("rank"), decode_vector_id(F.col("vector_id")).alias("d")).select("rank", "similarity", "d.kind", "d.entity")
     out = None
     for kind, rows in entities.items():
         own = rows.join(F.broadcast(top.filter(F.col("kind") == kind)), "entity")  # at most limit rows

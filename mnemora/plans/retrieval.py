@@ -233,7 +233,7 @@ with h as (select vec_id, similarity, row_number() over (order by similarity des
 x as (select *, {_KIND} as type, case when vec_id % 4 < 2 then vec_id + 1 else vec_id end as entity from h),
 y as (select doc_id as entity, 'email' as type, 'mail ' || doc_id as title, text as summary, source as date from documents where doc_id % 3 > 0 union all select doc_id, 'attachment', 'file ' || doc_id, lang, null from documents where doc_id % 2 = 0
   union all select distinct conv_id, 'conversation', 'session ' || conv_id, null, null from conversations union all select page_id, 'thread', url, null, null from pages)
-select rank::int as rank, type, entity, title, summary, date, round(similarity, 4) as similarity from x join y using (type, entity)
+select rank::int as rank, type, entity, title, summary, date, similarity from x join y using (type, entity)
 """)
 def semantic_by_kind(v):
     """The 80 vectors nearest to one, by cells, as mails, attachments, sessions and threads; those that aren't there are left out."""
@@ -250,4 +250,4 @@ def semantic_by_kind(v):
         "thread": v.table("pages").select(F.col("page_id").alias("entity"), F.col("url").alias("title"), none.alias("summary"), none.alias("date")),
     }
     probe = e.filter("vec_id = 7").select("embedding").first()[0]
-    return hydrated(index.top_k(probe, 80), entities, 80)
+    return hydrated(index.top_k(probe, 80), entities, 80, 5)
