@@ -28,17 +28,21 @@ def decoded(content: Column, charset: Column | None = None) -> Column:
 
 
 def _unquoted(text: Column, mark: str = "=") -> Column:
-    """Bytes of a text in which =XX is a byte; other marks stay."""
-    pieces = F.split(text, mark)
-    raw = lambda t: F.hex(F.encode(t, _BYTES))
-    piece = lambda t, i: F.when(i == 0, raw(t)).when(t.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.upper(F.substring(t, 1, 2)), raw(F.substring(t, 3, 1 << 30)))).otherwise(F.concat(F.lit(f"{ord(mark):02X}"), raw(t)))
+    """Bytes of a text in which =XX is a byte; other marks stay. A run of such bytes is one piece, and so is what lies between two."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?:{mark}[0-9A-Fa-f]{{2}})++|[^{mark}]++|{mark}"), F.lit(0))
+    piece = lambda t: F.when(t.rlike(f"^{mark}[0-9A-Fa-f]{{2}}"), F.replace(t, F.lit(mark), F.lit(""))).otherwise(F.hex(F.encode(t, _BYTES)))
     return F.unhex(F.array_join(F.transform(pieces, piece), ""))
 
 
 def _unbase64(text: Column) -> Column:
-    letters = F.regexp_replace(text, "[^A-Za-z0-9+/]", "")
-    whole = F.substr(letters, F.lit(1), F.length(letters) - F.when(F.length(letters) % 4 == 1, 1).otherwise(0))
-    return F.try_to_binary(F.concat(whole, F.repeat(F.lit("="), F.pmod(-F.length(whole), F.lit(4)))), F.lit("base64"))
+    whole = lambda t: F.substr(t, F.lit(1), F.length(t) - F.when(F.length(t) % 4 == 1, 1).otherwise(0))
+    padded = lambda t: F.concat(t, F.repeat(F.lit("="), F.pmod(-F.length(t), F.lit(4))))
+    # a lambda's argument is computed once, however often it is used
+    bare = F.rtrim(F.replace(F.replace(text, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("")), F.lit("="))
+    # replacing by a pattern takes many times as long as looking for it: only where ends of lines were not all
+    clean = lambda t: F.when(t.rlike("[^A-Za-z0-9+/]"), F.regexp_replace(t, "[^A-Za-z0-9+/]+", "")).otherwise(t)
+    letters = F.transform(F.transform(F.transform(F.array(bare), clean), whole), padded)[0]
+    return F.unbase64(letters)  # nothing is left in it that could fail
 
 
 def body_bytes(body: Column, encoding: Column) -> Column:
@@ -60,10 +64,14 @@ def header_text(value: Column) -> Column:
     return F.concat(decoded(F.encode(gaps[0], _BYTES)), F.array_join(F.transform(words, lambda w, i: F.concat(read(w), F.coalesce(decoded(F.encode(F.get(gaps, i + 1), _BYTES)), F.lit("")))), ""))
 
 
-def headers(head: Column) -> Column:
-    """map of header names, lower case, to values: lines that go on are one, and of a repeated name the first counts."""
+def _lines(head: Column) -> Column:
+    """(k, v) of a head's lines in their order, names in lower case; lines that go on are one."""
     lines = F.filter(F.split(F.regexp_replace(head, r"\r?\n[ \t]+", " "), r"\r?\n"), lambda x: x.rlike(r"^[!-9;-~]+[ \t]*:"))
-    pairs = F.transform(lines, lambda x: F.struct(F.lower(F.regexp_extract(x, r"^([!-9;-~]+)", 1)).alias("k"), F.trim(F.regexp_replace(x, r"^[!-9;-~]+[ \t]*:", "")).alias("v")))
+    return F.transform(lines, lambda x: F.struct(F.lower(F.regexp_extract(x, r"^([!-9;-~]+)", 1)).alias("k"), F.trim(F.regexp_replace(x, r"^[!-9;-~]+[ \t]*:", "")).alias("v")))
+
+
+def _named(pairs: Column) -> Column:
+    """map of names to values; of a repeated name the first counts."""
     return F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda o: o["k"] == p["k"])))
 
 
@@ -78,11 +86,17 @@ def _extended(value: Column, name: str) -> Column:
     return decoded(_unquoted(raw, "%"), F.nullif(F.regexp_extract(parameter(value, rf"{name}\*"), r"^([^']*)'", 1), F.lit("")))
 
 
-def _read(part: Column) -> tuple[Column, Column]:
-    """The head and the body of a part; one that begins with an empty line has no head."""
-    none = part.rlike(r"^\r?\n")
-    cut = F.split(part, r"\r?\n\r?\n", 2)
-    return F.when(none, "").otherwise(cut[0]), F.when(none, F.regexp_replace(part, r"^\r?\n", "")).otherwise(F.coalesce(F.get(cut, F.lit(1)), F.lit("")))
+def _read(rows: DataFrame, part: Column) -> DataFrame:
+    """rows with the headers and the body (text) of a part; one that begins with an empty line has no head.
+
+    Each step is a generator's column: it is computed once for a row, however often it is used behind.
+    """
+    none = F.regexp_extract(F.substring(part, 1, 2), r"^\r?\n", 0)
+    cut = F.when(none == "", F.split(part, r"\r?\n\r?\n", 2)).otherwise(F.array(F.lit(""), F.substr(part, F.length(none) + 1)))
+    kept = rows.columns
+    rows = rows.select(*kept, F.explode(F.array(cut)).alias("cut"))
+    rows = rows.select(*kept, F.coalesce(F.get("cut", F.lit(1)), F.lit("")).alias("text"), F.explode(F.array(_lines(F.col("cut")[0]))).alias("lines"))
+    return rows.select(*kept, "text", F.explode(F.array(_named(F.col("lines")))).alias("headers"))
 
 
 def mime_parts(messages: DataFrame, key: str, content: str) -> DataFrame:
@@ -94,8 +108,7 @@ def mime_parts(messages: DataFrame, key: str, content: str) -> DataFrame:
     spark, used, out = messages.sparkSession, [], None
     level = messages.filter(F.col(content).isNotNull()).select(F.col(key), F.array().cast("array<int>").alias("path"), F.decode(content, _BYTES).alias("part"))
     while True:
-        head, body = _read(F.col("part"))
-        rows = level.select(key, "path", headers(head).alias("headers"), body.alias("text"))
+        rows = _read(level, F.col("part")).drop("part")
         kind = F.coalesce(F.nullif(F.lower(F.regexp_extract(F.col("headers")["content-type"], r"^\s*([^;\s]+)", 1)), F.lit("")), F.lit("text/plain"))
         edge = parameter(F.col("headers")["content-type"], "boundary")
         inner = F.when(kind == "message/rfc822", "message").when(kind.startswith("multipart/") & (edge != ""), "parts").otherwise("none")
@@ -104,24 +117,26 @@ def mime_parts(messages: DataFrame, key: str, content: str) -> DataFrame:
         out = leaves if out is None else out.unionByName(leaves)
         if rows.filter("inner <> 'none'").isEmpty():
             break
+        rows = rows.filter("inner <> 'none'")
         quoted = F.concat(F.lit("\\r?\\n--\\Q"), "edge", F.lit("\\E"))
         whole = F.split(F.concat(F.lit("\n"), "text"), F.concat(quoted, F.lit("--[ \\t]*(?=\\r?\\n|$)")), F.lit(2))[0]
-        found = F.split(whole, F.concat(quoted, F.lit("[ \\t]*(?=\\r?\\n|$)")))
-        some = F.transform(F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0))), lambda p: F.regexp_replace(p, r"^\r?\n", ""))
-        below = F.when(F.col("inner") == "message", F.array("text")).otherwise(some)
-        level = rows.filter("inner <> 'none'").select(key, "path", F.posexplode(below).alias("place", "part"))
-        level = level.select(key, F.concat("path", F.array(F.col("place") + 1)).alias("path"), "part")
+        cut = rows.filter("inner = 'parts'").select(key, "path", "edge", F.explode(F.array(whole)).alias("whole"))
+        # what is before the first edge is no part
+        parts = cut.select(key, "path", F.posexplode(F.split("whole", F.concat(quoted, F.lit("[ \\t]*(?=\\r?\\n|$)")))).alias("place", "part")).filter("place > 0")
+        parts = parts.withColumn("part", F.substr("part", F.length(F.regexp_extract(F.substring("part", 1, 2), r"^\r?\n", 0)) + 1))
+        level = parts.unionByName(rows.filter("inner = 'message'").select(key, "path", F.lit(1).alias("place"), F.col("text").alias("part")))
+        level = level.select(key, F.concat("path", F.array("place")).alias("path"), "part")
     h = F.col("headers")
     given = lambda value, name: F.coalesce(F.nullif(_extended(value, name), F.lit("")), header_text(parameter(value, name)))
     name = F.coalesce(F.nullif(given(h["content-disposition"], "filename"), F.lit("")), given(h["content-type"], "name"), F.lit(""))
     disposition = F.coalesce(F.lower(F.regexp_extract(h["content-disposition"], r"^\s*([^;\s]+)", 1)), F.lit(""))
-    return out.select(key, "path", "type", name.alias("filename"), disposition.alias("disposition"), "headers", body_bytes(F.col("text"), F.coalesce(h["content-transfer-encoding"], F.lit(""))).alias("body"))
+    out = out.withColumn("filename", F.when(h["content-disposition"].isNotNull() | h["content-type"].isNotNull(), name).otherwise(""))
+    return out.select(key, "path", "type", "filename", disposition.alias("disposition"), "headers", body_bytes(F.col("text"), F.coalesce(h["content-transfer-encoding"], F.lit(""))).alias("body"))
 
 
 def message_texts(messages: DataFrame, key: str, content: str) -> DataFrame:
     """key, text of messages: subject, sender and date, and the first plain part that is no attachment, else the first HTML one."""
-    top = headers(_read(F.decode(content, _BYTES))[0])
-    heads = messages.filter(F.col(content).isNotNull()).select(F.col(key), top.alias("h"))
+    heads = _read(messages.filter(F.col(content).isNotNull()).select(F.col(key), F.decode(content, _BYTES).alias("part")), F.col("part")).select(key, F.col("headers").alias("h"))
     line = lambda name: F.coalesce(header_text(F.col("h")[name]), F.lit("N/A"))
     heads = heads.select(key, F.concat(F.lit("Subject: "), line("subject"), F.lit("\nFrom: "), line("from"), F.lit("\nDate: "), line("date"), F.lit("\n")).alias("head"))
     parts = mime_parts(messages, key, content).filter(F.col("type").isin("text/plain", "text/html") & (F.col("disposition") != "attachment"))

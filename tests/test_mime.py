@@ -68,3 +68,18 @@ def test_character_sets(spark):
     words = ["=?utf-8?Q?Gr=C3=BC=C3=9Fe_a?= =?UTF-8?b?zrE=?= end", "plain", "=?iso-8859-1?q?=E9?=,x", "=?utf-8?Q?broken", None]
     df = spark.createDataFrame(list(enumerate(words)), "id int, w string")
     assert [r.t for r in df.select("id", mime.header_text(F.col("w")).alias("t")).orderBy("id").collect()] == ["Grüße aα end", "plain", "é,x", "=?utf-8?Q?broken", None]
+
+
+def test_bytes_in_runs_and_steps_are_cut_once(spark):
+    """Bodies of many encoded bytes: as many pieces as runs, and no step of a part's reading is in the plan more than a few times."""
+    rows = [(0, "=E2=82=AC" * 20000), (1, "a=3Db=" + "=C3=A9=" * 3 + "=zz=4"), (2, "=" * 5000), (3, "")]
+    df = spark.createDataFrame(rows, "id int, q string")
+    got = {r.id: bytes(r.b) for r in df.select("id", mime._unquoted(F.col("q")).alias("b")).collect()}
+    assert got == {0: "€".encode() * 20000, 1: b"a=b=" + "é=".encode() * 3 + b"=zz=4", 2: b"=" * 5000, 3: b""}
+    rows = [(0, "QUJD\r\nREVG\n"), (1, "QU JD*=="), (2, "QQ=="), (3, "QUJDR"), (4, ""), (5, "QQ=\r\n=\r\n"), (6, "QQ==QUJD")]
+    df = spark.createDataFrame(rows, "id int, z string")
+    got = {r.id: bytes(r.b) for r in df.select("id", mime._unbase64(F.col("z")).alias("b")).collect()}
+    assert got == {0: b"ABCDEF", 1: b"ABC", 2: b"A", 3: b"ABC", 4: b"", 5: b"A", 6: bytes([0x41, 0x04, 0x14, 0x24])[:4]}
+    letters_ = spark.createDataFrame([(1, b"Subject: x\n\ny")], "id int, content binary").select("id", F.decode("content", "ISO-8859-1").alias("part"))
+    plan = mime._read(letters_, F.col("part"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(part") == 1
