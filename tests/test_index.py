@@ -144,3 +144,22 @@ def test_a_merge_that_crashed_counts_for_nothing(spark, tmp_path):
     os.rename(f"{tmp_path}/ix/segment-3/totals/_SUCCESS", f"{tmp_path}/lost")
     assert index._segments() == [1, 2]
     check(spark, index, store | more)
+
+
+def test_postings_are_made_within_rows_and_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """Tasks that sort postings are as many as the postings need, and rows without a token are there too."""
+    from mnemora.operators import index as I
+
+    monkeypatch.setattr(I, "SORTED", 20)
+    rows = [(i, None if i == 7 else f"w{i % 5} the x{i} the", "" if i % 2 else "the head") for i in range(60)]
+    made = I.TextIndex(spark, str(tmp_path / "i"), "id", ["a", "b"], buckets=2).put(spark.createDataFrame(rows, "id long, a string, b string"))
+    assert made._table(1, "rows").count() == 60 and {tuple(r.lengths) for r in made._table(1, "rows").filter("key in (7, 8)").collect()} == {(0, 0), (4, 2)}
+    files = [n for n in (tmp_path / "i/segment-1/postings").rglob("*.parquet")]
+    assert len(files) > 8
+    got = {(r.key, r.field, r.term): r.positions for r in made._table(1, "postings").collect()}
+    want = {}
+    for i, a, b in rows:
+        for f, text in (("a", a), ("b", b)):
+            for at, w in enumerate((text or "").split()):
+                want.setdefault((i, f, w), []).append(at)
+    assert got == want
