@@ -129,11 +129,14 @@ def article_date(published: Column, fetched: Column) -> Column:
     return F.when(published.isNull() | (published > fetched), fetched).otherwise(published)
 
 
-def article_records(articles: DataFrame, categories: DataFrame, tickers: DataFrame) -> DataFrame:
-    """message_id, sender_address, conversation_id, date_received, content of dated articles with a body."""
-    gather = lambda df, value, name: df.groupBy(F.col("article_url").alias("url")).agg(F.array_join(F.array_sort(F.collect_set(value)), ", ").alias(name))
+def article_records(articles: DataFrame, categories: DataFrame, tickers: DataFrame, by: str | None = None) -> DataFrame:
+    """message_id, sender_address, conversation_id, date_received, content of dated articles with a body.
+
+    categories and tickers are by article_url; by: a column of articles by which tickers are instead, where several have one address.
+    """
+    gather = lambda df, value, name, key=F.col("article_url").alias("url"): df.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(value)), ", ").alias(name))
     rows = articles.withColumn("date_received", article_date(F.col("published_at"), F.col("fetched_at"))).filter("date_received is not null and trim(coalesce(content, '')) <> ''")
-    rows = rows.join(gather(categories, "category", "categories"), "url", "left").join(gather(tickers, "ticker", "tickers"), "url", "left")
+    rows = rows.join(gather(categories, "category", "categories"), "url", "left").join(gather(tickers, "ticker", "tickers", by) if by else gather(tickers, "ticker", "tickers"), by or "url", "left")
     line = lambda label, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(label), F.col(c)))
     source = F.regexp_replace(F.regexp_replace(F.lower("source"), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return rows.select(
