@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import zipfile
+from pathlib import Path
+from urllib.parse import urlparse
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,12 +187,35 @@ def frontmatter_read(v):
     return found.select("doc_id", F.col("f.meta")["title"].alias("title"), F.col("f.meta")["lang"].alias("lang"), F.md5(F.col("f.body").cast("binary")).alias("body"))
 
 
+def _foreign(v, rows: DataFrame, name: str) -> str:
+    """The URL of a database with one table: it loads the files that Spark writes, is closed, and archived for readers elsewhere."""
+    folder = f"{fresh_path(v.spark, 'foreign')}"
+    rows.write.option("escape", '"').csv(f"{folder}/rows")
+    at = Path(urlparse(folder).path)  # the database engine opens plain paths only
+    jvm = v.spark._jvm
+    jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")  # else it writes a log beside the driver
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR(32672)"}
+    db = jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:{at}/store;create=true")
+    run = db.createStatement()
+    run.execute(f'CREATE TABLE {name} (' + ", ".join(f'"{c}" {kinds.get(t, t)}' for c, t in rows.dtypes) + ")")
+    for part in sorted((at / "rows").glob("part-*.csv")):
+        run.execute(f"CALL SYSCS_UTIL.SYSCS_IMPORT_DATA(NULL, '{name.upper()}', NULL, NULL, '{part}', ',', '\"', 'UTF-8', 0)")
+    db.close()
+    try:
+        jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:{at}/store;shutdown=true")
+    except Py4JJavaError as e:
+        if e.java_exception.getSQLState() != "08006":  # that it was closed
+            raise
+    with zipfile.ZipFile(at / "store.jar", "w", zipfile.ZIP_STORED) as archive:
+        for f in sorted((at / "store").rglob("*")):
+            archive.write(f, f.relative_to(at))
+    return f"jdbc:derby:jar:({at}/store.jar)store"
+
+
 @query("foreign_table", "select s_suppkey, s_name, s_acctbal from supplier where s_acctbal > 100 and s_nationkey < 13")
 def foreign_table(v):
-    """Suppliers in a foreign database, read by two predicates at once; the database is in the driver's JVM."""
-    v.spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")  # else it writes a log beside the driver
-    url = f"jdbc:derby:memory:store{abs(hash(fresh_path(v.spark, 'foreign')))};create=true"
-    v.table("supplier").coalesce(1).write.option("isolationLevel", "NONE").jdbc(url, "supplier")
+    """Suppliers in a foreign database, read by two predicates at once: a read-only archive in the shared folder, which every executor opens."""
+    url = _foreign(v, v.table("supplier").select("s_suppkey", "s_name", "s_acctbal", "s_nationkey"), "supplier")
     rows = readers.database(v.spark, url, "supplier", ['"s_suppkey" < 50 AND "s_nationkey" < 13', '"s_suppkey" >= 50 AND "s_nationkey" < 13'])
     return rows.filter("s_acctbal > 100").select("s_suppkey", "s_name", "s_acctbal")
 
