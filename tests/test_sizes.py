@@ -42,3 +42,18 @@ def test_texts_stay_out_of_python(spark):
     texts = ["&amp;&lt;x&#65;&#x42;&notit;&nosuch; & &", "none", "", None, "&#0;&copy 2&copyx;", "a &" + "b" * 40 + ";", "&eacute;&#128;end", "\n&amp;\n"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", T.unescape_html(F.col("t")).alias("x"))
     assert {r.id: r.x for r in df.collect()} == {i: None if t is None else html.unescape(t) for i, t in enumerate(texts)}
+
+
+def test_a_review_file_is_read_in_parts_and_in_order(spark, tmp_path):
+    from mnemora.operators import people as P
+
+    lines = [f'{{"id_a": {(i * 7919) % 5000}, "id_b": {i + 10000}, "decision": "merge"}}' for i in range(5000)]
+    (tmp_path / "review.json").write_text("\r\n".join([*lines[:2500], "", "no json", *lines[2500:]]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = P.read_review(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 4
+        assert [r.id_b for r in rows.orderBy("n").collect()] == list(range(10000, 15000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
