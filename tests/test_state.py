@@ -38,6 +38,23 @@ def test_live_sessions_equal_a_batch_after_every_run(spark, tmp_path):
         assert sorted(tuple(r) for r in state.read_sessions(spark, f"{tmp_path}/out").collect()) == brute(seen), k
 
 
+def test_live_sessions_hand_state_over_in_batches(spark, tmp_path):
+    """Keys that are null, or not to be told apart as floats; what nothing reaches any more is forgotten, and late rows stay out."""
+    reachable(spark)
+    big, seen, schema = 1 << 60, [], "chat long, ts timestamp, who string"
+    batches = [[(big + 1, 1000, "a"), (big, 1000, None), (None, 1000, "b")], [(None, 1004, "c"), (big, 1010, "d")], [(7, 1100, "x")], [(big, 1009, "z"), (7, 1101, "y")], [(7, 1120, "x")]]
+    for batch in batches:
+        spark.createDataFrame([(c, t * HOUR, w) for c, t, w in batch], "chat long, at long, who string").select("chat", F.timestamp_micros("at").alias("ts"), "who").write.mode("append").parquet(f"{tmp_path}/in")
+        q = state.live_sessions(incremental.stream_files(spark, f"{tmp_path}/in", schema, "parquet"), "chat", "ts", "who", f"{tmp_path}/out", f"{tmp_path}/cp", keep="24 hours")
+        q.awaitTermination()
+        seen.append(q.lastProgress["stateOperators"][0])
+    assert seen[0]["operatorName"] == "applyInPandasWithState"
+    assert [s["numRowsTotal"] for s in seen][-1] == 1
+    got = sorted(((c or 0, a // HOUR, b // HOUR, n, w) for c, a, b, n, w in (tuple(r) for r in state.read_sessions(spark, f"{tmp_path}/out").collect())), key=repr)
+    want = [(0, 1000, 1004, 2, "b,c"), (7, 1100, 1101, 2, "x,y"), (7, 1120, 1120, 1, "x"), (big, 1000, 1000, 1, ""), (big, 1010, 1010, 1, "d"), (big + 1, 1000, 1000, 1, "a")]
+    assert got == sorted(want, key=repr)
+
+
 def test_only_grown_sessions_are_reloaded(spark, tmp_path):
     reachable(spark)
     loads = []
