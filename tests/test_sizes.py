@@ -57,3 +57,15 @@ def test_a_review_file_is_read_in_parts_and_in_order(spark, tmp_path):
         assert [r.id_b for r in rows.orderBy("n").collect()] == list(range(10000, 15000))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_answers_are_not_tried_as_what_they_cannot_be(spark, monkeypatch):
+    from mnemora.functions import extraction as X
+
+    tried, loads = [], X.json.loads
+    monkeypatch.setattr(X.json, "loads", lambda text, **kw: tried.append(text) or loads(text, **kw))
+    assert X.loads('```json\n{"summary": "user 1", "topics": ["a",], "x": ["do it"') == {"summary": "user 1", "topics": ["a"], "x": ["do it"]}
+    assert not tried
+    assert X.loads('so: {"a": [1], "c": "x\\n') == {"a": [1], "c": "x\n"}
+    assert X.loads('{"a": [1, 2,]} and') == {"a": [1, 2]}
+    assert X.loads("{}") == {} and X.loads("no") is None and X.loads("} {") == {}
