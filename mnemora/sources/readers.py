@@ -275,8 +275,14 @@ _EVENT_PAYLOAD = (
 def _payload(value: Column, schema: str) -> Column:
     """A payload's struct, whether its fields begin with capitals or not."""
     small = re.sub(r"\b([A-Z])(?=\w*[ :])", lambda m: m[1].lower(), schema)
-    large = F.from_json(value, schema)
-    return F.when(large["Id"].isNotNull(), large).otherwise(F.from_json(value, small).cast("struct<" + ", ".join(f.replace(" ", ":", 1) for f in _fields(schema)) + ">"))
+    other = F.from_json(value, small).cast("struct<" + ", ".join(f.replace(" ", ":", 1) for f in _fields(schema)) + ">")
+    # in a lambda a text is parsed once, however often its struct is used
+    return F.transform(F.array(F.from_json(value, schema)), lambda large: F.when(large["Id"].isNotNull(), large).otherwise(other))[0]
+
+
+def _payloads(raw: DataFrame, value: str, schema: str) -> DataFrame:
+    """The fields of payloads with an id; a generator's column, as a filter on another would parse the texts again."""
+    return raw.select(F.explode(F.array(_payload(F.col(value), schema))).alias("p")).filter("p.Id is not null").select("p.*")
 
 
 def mail_payloads(raw: DataFrame, mailbox: str, value: str = "value") -> DataFrame:
@@ -287,7 +293,7 @@ def mail_payloads(raw: DataFrame, mailbox: str, value: str = "value") -> DataFra
     none = lambda c: F.coalesce(c, F.lit(""))
     who = lambda p: F.struct(none(p["EmailAddress"]["Name"]).alias("name"), none(p["EmailAddress"]["Address"]).alias("address"))
     some = lambda c: F.transform(F.coalesce(c, F.array().cast(f"array<{_PERSON}>")), who)
-    p = raw.select(_payload(F.col(value), _MAIL_PAYLOAD).alias("p")).filter("p.Id is not null").select("p.*")
+    p = _payloads(raw, value, _MAIL_PAYLOAD)
     null = F.lit(None).cast("string")
     return p.select(
         F.col("Id").alias("message_id"), none(F.col("ReceivedDateTime")).alias("date_received"), none(F.col("Subject")).alias("subject"), who(F.col("From")).alias("sender"),
@@ -300,7 +306,7 @@ def mail_payloads(raw: DataFrame, mailbox: str, value: str = "value") -> DataFra
 def event_payloads(raw: DataFrame, value: str = "value") -> DataFrame:
     """A provider's calendar events (JSON texts) as rows, with their attendees; times are texts as they came, and read."""
     none = lambda c, other="": F.coalesce(c, F.lit(other))
-    p = raw.select(_payload(F.col(value), _EVENT_PAYLOAD).alias("p")).filter("p.Id is not null").select("p.*")
+    p = _payloads(raw, value, _EVENT_PAYLOAD)
     guest = lambda a: F.struct(none(a["EmailAddress"]["Address"]).alias("email"), none(a["EmailAddress"]["Name"]).alias("name"), none(a["Status"]["Response"], "None").alias("response_status"))
     guests = F.when(F.col("Attendees").isNull(), F.array().cast("array<struct<email:string,name:string,response_status:string>>")).otherwise(F.transform("Attendees", guest))
     return p.select(

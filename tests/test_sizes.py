@@ -69,3 +69,12 @@ def test_answers_are_not_tried_as_what_they_cannot_be(spark, monkeypatch):
     assert X.loads('so: {"a": [1], "c": "x\\n') == {"a": [1], "c": "x\n"}
     assert X.loads('{"a": [1, 2,]} and') == {"a": [1, 2]}
     assert X.loads("{}") == {} and X.loads("no") is None and X.loads("} {") == {}
+
+
+def test_a_payload_is_parsed_once_in_each_spelling(spark):
+    from mnemora.sources import readers
+
+    rows = spark.createDataFrame([('{"Id": "1", "Subject": "a"}',), ('{"id": "2", "subject": "b"}',), ("{}",), ("no",), (None,)], "value string")
+    df = readers.mail_payloads(rows, "Inbox")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 2
+    assert sorted((r.message_id, r.subject) for r in df.collect()) == [("1", "a"), ("2", "b")]
