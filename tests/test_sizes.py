@@ -59,6 +59,24 @@ def test_a_review_file_is_read_in_parts_and_in_order(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_people_of_one_file_are_compared_in_several_tasks(spark, monkeypatch):
+    from mnemora.operators import people as P
+
+    dealt, stored = [], P.stored
+
+    def seen(df, *args):
+        dealt.append(df.rdd.getNumPartitions())
+        return stored(df, *args)
+
+    monkeypatch.setattr(P, "stored", seen)
+    rows = spark.createDataFrame([(1, "nikos papadopoulos", None), (2, "nikolas papadopoulos", None), (3, "Νίκος Παπαδόπουλος", None), (4, "", None), (5, None, None)], "id long, name string, email string").coalesce(1)
+    assert [(r.id_a, r.id_b) for r in P.fuzzy_pairs(rows).collect()] == [(1, 2), (2, 3)]
+    assert dealt and dealt[0] > 1
+    dealt.clear()
+    assert [tuple(r) for r in P.resolve(rows, cut=seen)[1].collect()] == [(3, 1)]
+    assert max(dealt[:2]) > 1
+
+
 def test_answers_are_not_tried_as_what_they_cannot_be(spark, monkeypatch):
     from mnemora.functions import extraction as X
 
