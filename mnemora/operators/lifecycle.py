@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemora.functions.fixed import STALE_DEADLINE_DAYS
 from mnemora.operators.windows import first_of, latest_with_ties
+from mnemora.session import dealt
 
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}"
 
@@ -17,8 +18,11 @@ def deadline_date(deadline: Column) -> Column:
 
 
 def without_repeats(actions: DataFrame, id_column: str = "id") -> DataFrame:
-    """The first of actions with the same mail, task, owner and deadline (null as '')."""
-    keyed = actions.withColumn("__deadline", F.coalesce("deadline", F.lit("")))
+    """The first of actions with the same mail, task, owner and deadline (null as '').
+
+    A mail has few actions, so they are dealt before anything is sorted; groups by mail and owner need no other shuffle.
+    """
+    keyed = dealt(actions, "email_id", "owner").withColumn("__deadline", F.coalesce("deadline", F.lit("")))
     return first_of(keyed, ["email_id", "task", "owner", "__deadline"], F.col(id_column)).drop("__deadline")
 
 

@@ -6,7 +6,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from mnemora.functions import text as T
-from mnemora.operators import selection
+from mnemora.operators import lifecycle, selection
 from mnemora.plans import catalog
 from tests.compare import SF_DIR
 
@@ -96,3 +96,13 @@ def test_a_payload_is_parsed_once_in_each_spelling(spark):
     df = readers.mail_payloads(rows, "Inbox")
     assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 2
     assert sorted((r.message_id, r.subject) for r in df.collect()) == [("1", "a"), ("2", "b")]
+
+
+def test_actions_are_dealt_to_many_tasks_before_they_are_sorted(spark):
+    rows = spark.range(0, 40000, 1, 4).select((F.col("id") % 30000).alias("email_id"), F.lit("t").alias("task"), F.concat(F.lit("s:"), F.col("id") % 30000 % 7).alias("owner"), F.when(F.col("id") < 30000, F.lit("")).alias("deadline"), "id")
+    found = lifecycle.without_repeats(rows).withColumn("task_number", F.spark_partition_id()).collect()
+    assert sorted(r.id for r in found) == list(range(30000))
+    each = [sum(r.task_number == n for r in found) for n in range(max(r.task_number for r in found) + 1)]
+    assert len(each) == 16 and max(each) < 2 * len(found) / 16
+    plan = lifecycle.without_repeats(rows).groupBy("email_id", "owner").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Sort" not in plan[plan.index("Exchange"):]
