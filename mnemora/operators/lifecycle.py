@@ -17,12 +17,13 @@ def deadline_date(deadline: Column) -> Column:
     return F.when(deadline.rlike(ISO_DATE), F.substring(deadline, 1, 10).try_cast("date"))
 
 
-def without_repeats(actions: DataFrame, id_column: str = "id") -> DataFrame:
+def without_repeats(actions: DataFrame, id_column: str = "id", total: int = 0) -> DataFrame:
     """The first of actions with the same mail, task, owner and deadline (null as '').
 
     A mail has few actions, so they are dealt before anything is sorted; groups by mail and owner need no other shuffle.
+    Their total, where known, keeps the rows of a task few as they grow.
     """
-    keyed = dealt(actions, "email_id", "owner").withColumn("__deadline", F.coalesce("deadline", F.lit("")))
+    keyed = dealt(actions, "email_id", "owner", total=total).withColumn("__deadline", F.coalesce("deadline", F.lit("")))
     return first_of(keyed, ["email_id", "task", "owner", "__deadline"], F.col(id_column)).drop("__deadline")
 
 

@@ -93,8 +93,9 @@ select l_orderkey as email_id, 's:' || l_suppkey as owner, min(l_partkey) as par
   select *, row_number() over (partition by l_orderkey, l_suppkey, l_linenumber order by l_partkey) as r from lineitem) where r = 1 group by all
 """)
 def actions_first(v):
-    rows = v.table("lineitem").select(F.col("l_orderkey").alias("email_id"), F.concat(F.lit("s:"), F.col("l_suppkey")).alias("owner"), F.lit("t").alias("task"), F.col("l_linenumber").cast("string").alias("deadline"), F.col("l_partkey").alias("id"))
-    return lifecycle.without_repeats(rows).groupBy("email_id", "owner").agg(F.min("id").alias("part"), F.count(F.lit(1)).alias("n"))
+    lines = v.table("lineitem")
+    rows = lines.select(F.col("l_orderkey").alias("email_id"), F.concat(F.lit("s:"), F.col("l_suppkey")).alias("owner"), F.lit("t").alias("task"), F.col("l_linenumber").cast("string").alias("deadline"), F.col("l_partkey").alias("id"))
+    return lifecycle.without_repeats(rows, total=lines.count()).groupBy("email_id", "owner").agg(F.min("id").alias("part"), F.count(F.lit(1)).alias("n"))
 
 
 @query("actions_expired", with_views("actions") + f"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemora.functions import text as T
 from mnemora.operators import lifecycle, selection
 from mnemora.plans import catalog
+from mnemora.session import dealt
 from tests.compare import SF_DIR
 
 
@@ -106,3 +107,8 @@ def test_actions_are_dealt_to_many_tasks_before_they_are_sorted(spark):
     assert len(each) == 16 and max(each) < 2 * len(found) / 16
     plan = lifecycle.without_repeats(rows).groupBy("email_id", "owner").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Sort" not in plan[plan.index("Exchange"):]
+
+
+def test_tasks_grow_with_the_rows(spark):
+    rows = spark.range(1000)
+    assert [dealt(rows, "id", total=n, most=100).rdd.getNumPartitions() for n in (0, 1600, 1601, 10000)] == [16, 16, 17, 100]
