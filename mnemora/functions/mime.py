@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.functions import text as T
-from mnemora.session import remove, stored
+from mnemora.session import stored
 
 _BYTES = "ISO-8859-1"
 #: The upper half of the Greek Windows character set, as letters of ISO-8859-1 and what they stand for.
@@ -17,6 +17,11 @@ _UPPER = bytes(range(128, 256)).decode("latin-1")
 _GREEK = bytes(range(128, 256)).decode("cp1253", "replace")
 
 
+def _cut(text: Column, begin: Column, length: Column) -> Column:
+    """A text's bytes from begin (from 1). Letters would have to be counted from the start of the text, and for its length once more."""
+    return F.substr(text.cast("binary"), begin, length).cast("string")
+
+
 def decoded(content: Column, charset: Column | None = None) -> Column:
     """A binary as text: by its character set if it is one of those known here, else UTF-8 if it is that, else ISO-8859-1."""
     utf8, latin = content.cast("string"), F.decode(content, _BYTES)
@@ -29,8 +34,8 @@ def decoded(content: Column, charset: Column | None = None) -> Column:
 
 def _unquoted(text: Column, mark: str = "=") -> Column:
     """Bytes of a text in which =XX is a byte; other marks stay. A run of such bytes is one piece, and so is what lies between two."""
-    pieces = F.regexp_extract_all(text, F.lit(f"(?:{mark}[0-9A-Fa-f]{{2}})++|[^{mark}]++|{mark}"), F.lit(0))
-    piece = lambda t: F.when(t.rlike(f"^{mark}[0-9A-Fa-f]{{2}}"), F.replace(t, F.lit(mark), F.lit(""))).otherwise(F.hex(F.encode(t, _BYTES)))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?:{mark}\\p{{XDigit}}\\p{{XDigit}})++|[^{mark}]++|{mark}"), F.lit(0))
+    piece = lambda t: F.when(t.startswith(mark) & (t != mark), F.replace(t, F.lit(mark), F.lit(""))).otherwise(F.hex(F.encode(t, _BYTES)))
     return F.unhex(F.array_join(F.transform(pieces, piece), ""))
 
 
@@ -42,14 +47,22 @@ def _unbase64(text: Column) -> Column:
     # replacing by a pattern takes many times as long as looking for it: only where ends of lines were not all
     clean = lambda t: F.when(t.rlike("[^A-Za-z0-9+/]"), F.regexp_replace(t, "[^A-Za-z0-9+/]+", "")).otherwise(t)
     letters = F.transform(F.transform(F.transform(F.array(bare), clean), whole), padded)[0]
-    return F.unbase64(letters)  # nothing is left in it that could fail
+    # what is written as it should be needs no cleaning; else nothing is left in it that could fail
+    return F.coalesce(F.try_to_binary(text, F.lit("base64")), F.unbase64(letters))
+
+
+def _joined(body: Column) -> Column:
+    """A quoted-printable text without its soft ends of lines, by a pattern only where they are not all alike."""
+    has = lambda mark: body.contains(mark)
+    mixed = has("= ") | has("=\t") | (has("=\n") & has("=\r\n"))
+    alike = F.when(has("=\n"), F.replace(body, F.lit("=\n"), F.lit(""))).otherwise(F.replace(body, F.lit("=\r\n"), F.lit("")))
+    return F.when(mixed, F.regexp_replace(body, "=[ \\t]*\\r?\\n", "")).otherwise(alike)
 
 
 def body_bytes(body: Column, encoding: Column) -> Column:
     """The bytes of a part's body by its transfer encoding."""
     kind = F.lower(F.trim(encoding))
-    soft = F.regexp_replace(body, "[ \\t]*=[ \\t]*\\r?\\n", "")
-    return F.when(kind == "base64", _unbase64(body)).when(kind == "quoted-printable", _unquoted(soft)).otherwise(F.encode(body, _BYTES))
+    return F.when(kind == "base64", _unbase64(body)).when(kind == "quoted-printable", _unquoted(_joined(body))).otherwise(F.encode(body, _BYTES))
 
 
 _WORD = r"=\?([^?]+)\?([BbQq])\?([^?]*)\?="
@@ -92,46 +105,86 @@ def _read(rows: DataFrame, part: Column) -> DataFrame:
     Each step is a generator's column: it is computed once for a row, however often it is used behind.
     """
     none = F.regexp_extract(F.substring(part, 1, 2), r"^\r?\n", 0)
-    cut = F.when(none == "", F.split(part, r"\r?\n\r?\n", 2)).otherwise(F.array(F.lit(""), F.substr(part, F.length(none) + 1)))
+    # bound to the beginning, as a split goes on looking for more ends behind the last one it needs
+    cut = F.when(none == "", F.split(part, r"(?s)\A.*?\r?\n\r?\n", 2)).otherwise(F.array(F.lit(""), _cut(part, F.length(none) + 1, F.octet_length(part))))
     kept = rows.columns
     rows = rows.select(*kept, F.explode(F.array(cut)).alias("cut"))
-    rows = rows.select(*kept, F.coalesce(F.get("cut", F.lit(1)), F.lit("")).alias("text"), F.explode(F.array(_lines(F.col("cut")[0]))).alias("lines"))
+    text = F.coalesce(F.get("cut", F.lit(1)), F.lit(""))
+    head = F.when(none != "", "").when(F.size("cut") < 2, part).otherwise(_cut(part, F.lit(1), F.octet_length(part) - F.octet_length(text)))
+    rows = rows.select(*kept, text.alias("text"), F.explode(F.array(_lines(head))).alias("lines"))
     return rows.select(*kept, "text", F.explode(F.array(_named(F.col("lines")))).alias("headers"))
 
 
+def _children(level: DataFrame, key: str) -> DataFrame:
+    """level with every part that is still a text in `part` read: it becomes a node, and what lies in it rows with a `part`.
+
+    A row of a level that is a node already stays as it is. A multipart's text is cut once at all its edges: the search
+    begins with a fixed text, which Java looks for in leaps. What is before the first edge or behind the closing one is no part.
+    """
+    rows = _read(level, F.col("part"))
+    kind = F.coalesce(F.nullif(F.lower(F.regexp_extract(F.col("headers")["content-type"], r"^\s*([^;\s]+)", 1)), F.lit("")), F.lit("text/plain"))
+    rows = rows.select(key, "path", "node", "headers", "text", F.col("part").isNull().alias("done"), F.explode(F.array(F.struct(kind.alias("kind"), parameter(F.col("headers")["content-type"], "boundary").alias("edge")))).alias("is"))
+    inner = F.when(F.col("done"), "done").when(F.col("is.kind") == "message/rfc822", "message").when(F.col("is.kind").startswith("multipart/") & (F.col("is.edge") != ""), "parts").otherwise("none")
+    rows = rows.withColumn("inner", inner)
+    quoted = F.concat(F.lit("\n--\\Q"), F.replace(F.col("is.edge"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?=(?:--)?[ \\t]*(?:\\r?\\n|$))"))
+    rows = rows.withColumn("pieces", F.explode(F.array(F.when(F.col("inner") == "parts", F.split(F.concat(F.lit("\n"), "text"), quoted)))))
+    found = F.slice("pieces", F.lit(2), F.size("pieces") - 1)
+    closing = F.array_position(F.transform(found, lambda p: p.startswith("--")), True)
+    last = F.size("pieces") - 1
+    rows = rows.withColumn("kept", F.when(closing > 0, closing.cast("int") - 1).otherwise(last))
+    # a part begins behind its edge's line; an end of line before an edge is the edge's
+    begin = lambda p: F.octet_length(F.substring_index(p, "\n", 1)) + 2
+    less = lambda p, i: F.when(p.endswith("\r") & (i + 1 < last), 1).otherwise(0)
+    body = lambda p, i: _cut(p, begin(p), F.greatest(F.octet_length(p) - begin(p) + 1 - less(p, i), F.lit(0)))
+    node = F.struct("headers", F.col("is.kind").alias("type"), "inner", F.when(F.col("inner") == "none", F.col("text")).alias("text"))
+    row = lambda path, part, node: F.struct(path.alias("path"), part.cast("string").alias("part"), node.alias("node"))
+    none = F.lit(None)
+    itself = F.array(row(F.col("path"), none, F.when(F.col("done"), F.col("node")).otherwise(node)))
+    below = F.transform(F.slice("pieces", F.lit(2), F.col("kept")), lambda p, i: row(F.concat("path", F.array(i + 1)), body(p, i), none.cast(level.schema["node"].dataType)))
+    message = F.array(row(F.concat("path", F.array(F.lit(1))), F.col("text"), none.cast(level.schema["node"].dataType)))
+    all_ = F.when(F.col("inner") == "parts", F.concat(itself, below)).when(F.col("inner") == "message", F.concat(itself, message)).otherwise(itself)
+    return rows.select(key, F.explode(all_).alias("row")).select(key, "row.*")
+
+
+_NODE = "struct<headers:map<string,string>,type:string,inner:string,text:string>"
+#: So many levels of nesting are read before rows are written; deeper ones take another pass.
+_LEVELS = 4
+
+
+def _nodes(messages: DataFrame, key: str, content: str) -> DataFrame:
+    """key, path, type, inner, filename, disposition, headers, body of every part of messages, also of those that have parts (inner is not 'none', no body).
+
+    Written once, with bodies decoded; only texts nested deeper than a pass reads are written as they are, and read again.
+    """
+    out = None
+    # a generator's column: a filter on the content itself would be put before a shuffle of messages, and work them out there as well
+    level = messages.select(F.col(key), F.array().cast("array<int>").alias("path"), F.explode(F.array(F.decode(content, _BYTES))).alias("part"), F.lit(None).cast(_NODE).alias("node")).filter("part is not null")
+    while True:
+        for _ in range(_LEVELS):
+            level = _children(level, key)
+        h = F.col("node.headers")
+        # the first of the four ways to write a name, each of them read once
+        given = lambda value, name: [F.when(value.contains("*"), _extended(value, name)), header_text(parameter(value, name))]
+        names = F.array(*given(h["content-disposition"], "filename"), *given(h["content-type"], "name"))
+        name = F.coalesce(F.get(F.filter(names, lambda x: x != ""), F.lit(0)), F.lit(""))
+        named = h["content-disposition"].rlike(r"(?i)name") | h["content-type"].rlike(r"(?i)name")
+        disposition = F.coalesce(F.lower(F.regexp_extract(h["content-disposition"], r"^\s*([^;\s]+)", 1)), F.lit(""))
+        body = body_bytes(F.col("node.text"), F.coalesce(h["content-transfer-encoding"], F.lit("")))
+        rows = stored(level.select(key, "path", "part", "node.type", "node.inner", F.when(named, name).otherwise("").alias("filename"), disposition.alias("disposition"), "node.headers", body.alias("body")), "parts")
+        done = rows.filter("part is null").drop("part")
+        out = done if out is None else out.unionByName(done)
+        level = rows.filter("part is not null")
+        if level.isEmpty():
+            return out
+        level = level.select(key, "path", "part", F.lit(None).cast(_NODE).alias("node"))
+
+
 def mime_parts(messages: DataFrame, key: str, content: str) -> DataFrame:
     """key, path (places from 1), type, filename, disposition, headers, body (binary) of the parts that have no parts.
 
-    A level of nesting is one pass, whatever the number of messages; containers that are broken off end where the text does.
-    A null message has no parts; one without a boundary it names is a part itself.
+    Containers that are broken off end where the text does. A null message has no parts; one without a boundary it names is a part itself.
     """
-    spark, used, out = messages.sparkSession, [], None
-    level = messages.filter(F.col(content).isNotNull()).select(F.col(key), F.array().cast("array<int>").alias("path"), F.decode(content, _BYTES).alias("part"))
-    while True:
-        rows = _read(level, F.col("part")).drop("part")
-        kind = F.coalesce(F.nullif(F.lower(F.regexp_extract(F.col("headers")["content-type"], r"^\s*([^;\s]+)", 1)), F.lit("")), F.lit("text/plain"))
-        edge = parameter(F.col("headers")["content-type"], "boundary")
-        inner = F.when(kind == "message/rfc822", "message").when(kind.startswith("multipart/") & (edge != ""), "parts").otherwise("none")
-        rows = stored(rows.select("*", kind.alias("type"), edge.alias("edge"), inner.alias("inner")), "parts", used)
-        leaves = rows.filter("inner = 'none'")
-        out = leaves if out is None else out.unionByName(leaves)
-        if rows.filter("inner <> 'none'").isEmpty():
-            break
-        rows = rows.filter("inner <> 'none'")
-        quoted = F.concat(F.lit("\\r?\\n--\\Q"), "edge", F.lit("\\E"))
-        whole = F.split(F.concat(F.lit("\n"), "text"), F.concat(quoted, F.lit("--[ \\t]*(?=\\r?\\n|$)")), F.lit(2))[0]
-        cut = rows.filter("inner = 'parts'").select(key, "path", "edge", F.explode(F.array(whole)).alias("whole"))
-        # what is before the first edge is no part
-        parts = cut.select(key, "path", F.posexplode(F.split("whole", F.concat(quoted, F.lit("[ \\t]*(?=\\r?\\n|$)")))).alias("place", "part")).filter("place > 0")
-        parts = parts.withColumn("part", F.substr("part", F.length(F.regexp_extract(F.substring("part", 1, 2), r"^\r?\n", 0)) + 1))
-        level = parts.unionByName(rows.filter("inner = 'message'").select(key, "path", F.lit(1).alias("place"), F.col("text").alias("part")))
-        level = level.select(key, F.concat("path", F.array("place")).alias("path"), "part")
-    h = F.col("headers")
-    given = lambda value, name: F.coalesce(F.nullif(_extended(value, name), F.lit("")), header_text(parameter(value, name)))
-    name = F.coalesce(F.nullif(given(h["content-disposition"], "filename"), F.lit("")), given(h["content-type"], "name"), F.lit(""))
-    disposition = F.coalesce(F.lower(F.regexp_extract(h["content-disposition"], r"^\s*([^;\s]+)", 1)), F.lit(""))
-    out = out.withColumn("filename", F.when(h["content-disposition"].isNotNull() | h["content-type"].isNotNull(), name).otherwise(""))
-    return out.select(key, "path", "type", "filename", disposition.alias("disposition"), "headers", body_bytes(F.col("text"), F.coalesce(h["content-transfer-encoding"], F.lit(""))).alias("body"))
+    return _nodes(messages, key, content).filter("inner = 'none'").drop("inner")
 
 
 def message_texts(messages: DataFrame, key: str, content: str) -> DataFrame:

@@ -14,7 +14,7 @@ from mnemora.functions import mime
 from mnemora.functions import text as T
 from mnemora.operators import health, writes
 from mnemora.plans.catalog import query
-from mnemora.session import fresh_path
+from mnemora.session import fresh_path, spread
 from mnemora.sources import readers
 
 
@@ -229,10 +229,15 @@ with d as (select doc_id, coalesce(text, '') as text from documents where doc_id
 
 def _letters(v) -> DataFrame:
     """Documents as messages: two forms of the text, an attachment, and a message within the message; the text in three encodings."""
-    d = v.table("documents").filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    quoted = lambda c: F.regexp_replace(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "=$1"), "((?:=..){20})", "$1=\r\n")
+    d = spread(v.table("documents").filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+    # lines of 20 bytes are made as one each, what is left byte by byte
+    whole = lambda h: F.octet_length(h) - F.octet_length(h) % 40
+    piece = lambda h, begin, length: F.substr(h.cast("binary"), begin, length).cast("string")
+    lines = lambda h: F.regexp_replace(piece(h, F.lit(1), whole(h)), "(..)" * 20, "".join(f"=${n}" for n in range(1, 21)) + "=\r\n")
+    rest = lambda h: F.regexp_replace(piece(h, whole(h) + 1, F.lit(40)), "(..)", "=$1")
+    quoted = lambda c: F.transform(F.array(F.hex(F.encode(c, "UTF-8"))), lambda h: F.concat(lines(h), rest(h)))[0]
     part = lambda kind, encoding, body, more="": F.concat(F.lit(f"Content-Type: {kind}\r\nContent-Transfer-Encoding: {encoding}\r\n"), more if not isinstance(more, str) else F.lit(more), F.lit("\r\n"), body)
-    folded = lambda c: F.regexp_replace(F.base64(F.encode(c, "UTF-8")), "(.{76})", "$1\r\n")
+    folded = lambda c: F.regexp_replace(F.base64(F.encode(c, "UTF-8")), ".{76}", "$0\r\n")
     text, page = F.col("text"), F.concat(F.lit("<p>"), "text", F.lit("</p>"))
     plain = F.when(F.col("doc_id") % 2 == 0, part("text/plain; charset=utf-8", "quoted-printable", quoted(text))).otherwise(part('text/plain;\r\n\tcharset="utf-8"', "BASE64", folded(text)))
     name = F.concat(F.lit('Content-Disposition: attachment; filename="=?utf-8?B?'), F.base64(F.encode(F.concat(F.lit("αρχείο "), "doc_id", F.lit(".bin")), "UTF-8")), F.lit('?="\r\n'))

@@ -83,3 +83,47 @@ def test_bytes_in_runs_and_steps_are_cut_once(spark):
     letters_ = spark.createDataFrame([(1, b"Subject: x\n\ny")], "id int, content binary").select("id", F.decode("content", "ISO-8859-1").alias("part"))
     plan = mime._read(letters_, F.col("part"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(part") == 1
+
+
+def test_all_levels_are_read_in_one_pass_and_deeper_ones_too(spark, monkeypatch):
+    """Nothing is written between levels; a text is written whole only if it lies deeper than a pass reads."""
+    written, stored = [], mime.stored
+    monkeypatch.setattr(mime, "stored", lambda df, *args: written.append(stored(df, *args)) or written[-1])
+    deep = letters()[1]
+    for n in range(6):
+        deep = f"Subject: level {n}\r\nContent-Type: multipart/mixed; boundary=b{n}\r\n\r\n--b{n}\r\nContent-Type: message/rfc822\r\n\r\n".encode() + deep + f"\r\n--b{n}--\r\n".encode()
+    for raw, passes in (letters()[::2][:2], 1), ([deep], 5):
+        written.clear()
+        df = spark.createDataFrame(list(enumerate(raw)), "id int, content binary").coalesce(1)
+        got = sorted((r.id, *r[1:5], bytes(r.body).rstrip(b"\r\n")) for r in mime.mime_parts(df, "id", "content").select("id", "path", "type", "filename", "disposition", "body").collect())
+        assert got == sorted((i, *part[:4], part[4].rstrip(b"\r\n")) for i, data in enumerate(raw) for part in leaves(email.message_from_bytes(data, policy=policy.default)))
+        assert len(written) == passes
+
+
+def test_edges_and_soft_ends_as_the_library_has_them(spark):
+    head = b"Content-Type: multipart/mixed; boundary=\"a.b\"\n\n"
+    raw = [
+        head + b"lead\n--a.b\n\none\r\n--a.b  \r\n\ntwo\r\r\n--a.b--\nbehind\n--a.b\n\nno part\n",
+        head + b"--a.b\n\n--axb\n--a.bc\n--a.b-\n--a.b\nX: y\n\nlast, broken off\r",
+        head + b"--a.b--\n",
+        b"Content-Transfer-Encoding: quoted-printable\n\na =\nb=\r\nc =\r\n\r\nd =3D=\ne",
+        b"Content-Transfer-Encoding: quoted-printable\n\na =\nb =E9=\n\n= c=zz",
+    ]
+    df = spark.createDataFrame(list(enumerate(raw)), "id int, content binary")
+    got = {}
+    for r in mime.mime_parts(df, "id", "content").collect():
+        got.setdefault(r.id, []).append((r.path, bytes(r.body)))
+    got = {i: [b for _, b in sorted(parts)] for i, parts in got.items()}
+    assert got == {0: [b"one", b"two\r"], 1: [b"--axb\n--a.bc\n--a.b-", b"last, broken off\r"], 3: [b"a bc \r\nd =e"], 4: [b"a b \xe9\n= c=zz"]}
+
+
+def test_messages_are_built_and_cut_by_several_tasks(spark, tmp_path):
+    from mnemora.plans import feeds
+    from mnemora.plans.views import Views
+
+    spark.createDataFrame([(n, "é" * n) for n in range(90)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = feeds._letters(Views(spark, str(tmp_path)))
+    assert rows.rdd.getNumPartitions() == 16
+    for n in (0, 2, 20, 42, 89):
+        whole = email.message_from_bytes(bytes(rows.filter(F.col("doc_id") == n).first().content), policy=policy.default)
+        assert [b.decode() for *_, b in leaves(whole)] == ["é" * n, "<p>" + "é" * n + "</p>", "é" * n, f"inner {n}"]
