@@ -189,11 +189,13 @@ def mime_parts(messages: DataFrame, key: str, content: str) -> DataFrame:
 
 def message_texts(messages: DataFrame, key: str, content: str) -> DataFrame:
     """key, text of messages: subject, sender and date, and the first plain part that is no attachment, else the first HTML one."""
-    heads = _read(messages.filter(F.col(content).isNotNull()).select(F.col(key), F.decode(content, _BYTES).alias("part")), F.col("part")).select(key, F.col("headers").alias("h"))
+    nodes = _nodes(messages, key, content)
+    shown = (F.col("inner") == "none") & F.col("type").isin("text/plain", "text/html") & (F.col("disposition") != "attachment")
+    body = F.struct("type", "body", F.nullif(parameter(F.col("headers")["content-type"], "charset"), F.lit("")).alias("charset"))
+    # only what is shown is read as a text
+    first = nodes.groupBy(key).agg(F.min_by("headers", F.size("path")).alias("h"), F.min_by(F.when(shown, body), F.when(shown, F.struct(F.col("type") != "text/plain", F.col("path")))).alias("first"))
+    first = first.select(key, "h", "first.type", F.explode(F.array(decoded(F.col("first.body"), F.col("first.charset")))).alias("body"))
     line = lambda name: F.coalesce(header_text(F.col("h")[name]), F.lit("N/A"))
-    heads = heads.select(key, F.concat(F.lit("Subject: "), line("subject"), F.lit("\nFrom: "), line("from"), F.lit("\nDate: "), line("date"), F.lit("\n")).alias("head"))
-    parts = mime_parts(messages, key, content).filter(F.col("type").isin("text/plain", "text/html") & (F.col("disposition") != "attachment"))
-    text = decoded(F.col("body"), F.nullif(parameter(F.col("headers")["content-type"], "charset"), F.lit("")))
-    shown = F.when(F.col("type") == "text/html", T.html_text(text)).otherwise(text)
-    first = parts.groupBy(key).agg(F.min_by(shown, F.struct(F.col("type") != "text/plain", F.col("path"))).alias("body"))
-    return heads.join(first, key, "left").select(key, F.concat("head", F.coalesce(F.concat(F.lit("\n"), "body"), F.lit(""))).alias("text"))
+    head = F.concat(F.lit("Subject: "), line("subject"), F.lit("\nFrom: "), line("from"), F.lit("\nDate: "), line("date"), F.lit("\n"))
+    text = F.when(F.col("type") == "text/html", T.html_text(F.col("body"))).otherwise(F.col("body"))
+    return first.select(key, F.concat(head, F.coalesce(F.concat(F.lit("\n"), text), F.lit(""))).alias("text"))

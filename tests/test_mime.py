@@ -127,3 +127,13 @@ def test_messages_are_built_and_cut_by_several_tasks(spark, tmp_path):
     for n in (0, 2, 20, 42, 89):
         whole = email.message_from_bytes(bytes(rows.filter(F.col("doc_id") == n).first().content), policy=policy.default)
         assert [b.decode() for *_, b in leaves(whole)] == ["é" * n, "<p>" + "é" * n + "</p>", "é" * n, f"inner {n}"]
+
+
+def test_texts_come_from_one_reading_of_the_messages(spark):
+    """Heads and bodies are of the same pass, and only what is shown is read as a text."""
+    df = spark.createDataFrame(list(enumerate(letters()[::2][:2])) + [(8, None), (9, b""), (10, b"Subject: s\nContent-Type: application/x\n\nnot shown")], "id int, content binary")
+    texts = mime.message_texts(df, "id", "content")
+    plan = texts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation [") == 1
+    got = {r.id: r.text for r in texts.collect()}
+    assert got[9] == "Subject: N/A\nFrom: N/A\nDate: N/A\n\n" and got[10] == "Subject: s\nFrom: N/A\nDate: N/A\n" and 8 not in got and len(got) == 4
