@@ -73,3 +73,25 @@ def test_pairs_without_a_cap_equal_all_pairs(spark, threshold):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) <= 0.0005001 for k in want)
     named = people.select("id", T.canonical_tokens(F.col("name")).alias("tokens")).withColumn("surname", T.surname_key(F.col("tokens"))).withColumn("canon", F.array_join("tokens", " "))
     assert P._alike(named, 0.9).count() < compared / 2  # difflib sees these only
+
+
+def test_pairs_of_large_blocks_are_all_found_in_tiles(spark):
+    """A block of more than 60 people and more than 1,000 pairs, by the defaults, and dealt to tiles of a few rows."""
+    rng = random.Random(3)
+    names = [rng.choice(["Nikos", "Nikolas", "Nick", "Maria", "Marios", ""]) + rng.choice(["", "", " K.", " jo"]) + " Papadopoulos" for _ in range(130)]
+    people = spark.createDataFrame([(i, n, rng.choice([None, None, f"a{i % 5}@x"])) for i, n in enumerate(names)], "id long, name string, email string")
+    known = people.select("id", "email", T.canonical_tokens(F.col("name")).alias("t")).collect()
+    want = {}
+    for a in known:
+        for b in known:
+            if a.id < b.id and a.t != b.t and (a.email is None or b.email is None or a.email == b.email):
+                inside = set(a.t) <= set(b.t) or set(b.t) <= set(a.t)
+                score = 0.9 if inside else difflib.SequenceMatcher(None, " ".join(a.t), " ".join(b.t)).ratio()
+                if score >= 0.82:
+                    want[a.id, b.id] = score
+    assert len(want) > 1000
+    for tile in {}, {"tile": 7}:
+        got = P.fuzzy_pairs(people, **tile)
+        assert "Limit" not in got._jdf.queryExecution().optimizedPlan().toString()
+        rows = [(r.id_a, r.id_b) for r in got.collect()]
+        assert len(rows) == len(want) and set(rows) == set(want)
